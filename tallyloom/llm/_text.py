@@ -89,8 +89,22 @@ class Words:
     counts: np.ndarray  # words of each text
 
 
-def words_of(texts: list[str], hashed: bool = True) -> Words:
+_LETTERS: list[np.ndarray] = []
+
+
+def letters_table() -> np.ndarray:
+    """For each code point its lower-case letter, or a space if it is no letter."""
+    if not _LETTERS:
+        lower = (c.lower() if (c := chr(i)).isalpha() else " " for i in range(0x110000))
+        _LETTERS.append(np.fromiter((ord(c[0]) for c in lower), np.uint32, 0x110000))
+    return _LETTERS[0]
+
+
+def words_of(texts: list[str], hashed: bool = True, letters: bool = False) -> Words:
+    """The words of a slice; with ``letters`` all but letters counts as white space, and case is folded."""
     codes = code_points("\n".join(texts) + "\n")
+    if letters:
+        codes = letters_table()[codes]
     text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     space = (codes == 32) | ((codes >= 9) & (codes <= 13))
     before = np.empty_like(space)
