@@ -17,22 +17,41 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import _text as T
+from ._arrow import with_columns
 from ._io import text_column
 
-MEMO_WORDS = 300_000
+MEMO_WORDS = 800_000
 MEMO_CHARS = 4_000_000
 CHUNK_CHARS = 256  # mean
 CHUNK_LEAST = 32
 WINDOW = 16
 _END = b"\xff"  # never part of UTF-8; stands for the end-of-word mark
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
+#: Latin letters, and ASCII punctuation but the apostrophe and the underscore.
+_L, _P = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-\^`{-~"
+#: Text whose pre-tokens are plain: runs of letters, runs of punctuation, single line ends between them.
+_PLAIN = re.compile(rf"(?!\n)(?:[{_L}{_P}]|\n(?!\n|\Z))+")
+_PARTS = re.compile(rf"[{_L}]+|[{_P}]+|\n")
+
+
+class Memo(dict):
+    """What ``make`` gives for each key, remembered."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        found = self[key] = self.make(key)
+        return found
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -59,11 +78,13 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
-        model, self.words, self.chunks, self.chunk_chars = spec["model"], {}, {}, 0
+        model, self.chunks, self.chunk_chars = spec["model"], {}, 0
         self.suffix = model.get("end_of_word_suffix") or ""
+        self.words = Memo(self._new if self.suffix else self._new_spaced)
         vocab, letters = model["vocab"], byte_alphabet()
         ids = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
-        ordered = ids == list(range(len(vocab) - len(ids) - (0 if self.suffix else len(self.special)), len(vocab) - (0 if self.suffix else len(self.special))))
+        base = len(set(vocab) - set(self.special)) - len(ids)  # ids of single bytes come first, then merges in order
+        ordered = ids == list(range(base, base + len(ids)))
         self.piece = None
         if ordered:
             ranks = {}
@@ -77,48 +98,42 @@ class WordEncoder:
             self.tokens[i] = token.encode()
         self.plain_decoder = spec.get("decoder") is None
 
+    def _library(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _pieces(self, pieces: Iterator[bytes]) -> bytes:
+        out: list[int] = []
+        for p in pieces:
+            out += self.piece(p)
+        return array("I", out).tobytes()
+
     def _new(self, word: str) -> bytes:
-        core = word.rstrip(".,")
-        if self.piece is not None and core.isalpha() and max(core) < "ɐ" and "İ" not in core:
-            rest = word[len(core) :]
-            if self.suffix:
-                ids = self.piece(core.lower().encode() + _END)
-                if rest:
-                    ids = ids + self.piece(rest.encode() + _END)
-            else:
-                ids = self.piece(core.encode())
-                if rest:
-                    ids = ids + self.piece(rest.encode())
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        """For files that mark the end of a word: a word without white space."""
+        if self.piece is not None and word.isascii() and word.isalpha():
+            return array("I", self.piece(word.lower().encode() + _END)).tobytes()
+        if self.piece is None or "İ" in word or not _PLAIN.fullmatch(word) or any(t in word for t in self.special):
+            return self._library(word)
+        return self._pieces(p.lower().encode() + _END for p in _PARTS.findall(word))
+
+    def _new_first(self, word: str) -> bytes:
+        """For byte-level files: what stands before the first single space."""
+        if self.piece is None or not _PLAIN.fullmatch(word):
+            return self._library(word)
+        return self._pieces(p.encode() for p in _PARTS.findall(word))
 
     def _new_spaced(self, word: str) -> bytes:
         """For byte-level files: a word with the space before it."""
-        core = word.rstrip(".,")
-        if self.piece is not None and core.isalpha():
-            ids = self.piece(b" " + core.encode())
-            if len(core) < len(word):
-                ids = ids + self.piece(word[len(core) :].encode())
-        else:
-            ids = self.tokenizer.encode(" " + word, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def _joined(self, words: list[str], new) -> bytes:
-        memo = self.words
-        try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            pass
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        out = []
-        for w in words:
-            ids = memo.get(w)
-            if ids is None:
-                ids = memo[w] = new(w)
-            out.append(ids)
-        return b"".join(out)
+        if self.piece is not None and word.isalpha():
+            return array("I", self.piece(b" " + word.encode())).tobytes()
+        if self.piece is None or not _PLAIN.fullmatch(word):
+            return self._library(" " + word)
+        first, *rest = _PARTS.findall(word)
+        return self._pieces([b" " + first.encode(), *(p.encode() for p in rest)])
+
+    def _joined(self, words: list[str]) -> bytes:
+        if len(self.words) > MEMO_WORDS:
+            self.words.clear()
+        return b"".join(map(self.words.__getitem__, words))
 
     def encode_spaced(self, text: str) -> bytes:
         """Ids of a whole text under a byte-level file, as little-endian 32-bit integers.
@@ -129,17 +144,16 @@ class WordEncoder:
         if not text:
             return b""
         if self.suffix or text[-1] == " " or "  " in text or any(t in text for t in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._library(text)
         first, *rest = text.split(" ")
-        head = np.array(self.tokenizer.encode(first, add_special_tokens=False).ids, "<u4").tobytes() if first else b""
-        return head + self._joined(rest, self._new_spaced)
+        return (self._new_first(first) if first else b"") + self._joined(rest)
 
     def _chunk(self, chunk: str) -> tuple[str, bytes | None, str]:
         """(word begun before the chunk, ids of the words inside or None if no white space, word not ended)."""
         found = self.chunks.get(chunk)
         if found is None:
             pieces = _SPACE.split(chunk)
-            found = (chunk, None, "") if len(pieces) == 1 else (pieces[0], self._joined(pieces[1:-1], self._new), pieces[-1])
+            found = (chunk, None, "") if len(pieces) == 1 else (pieces[0], self._joined(pieces[1:-1]), pieces[-1])
             if self.chunk_chars > MEMO_CHARS:
                 self.chunks.clear()
                 self.chunk_chars = 0
@@ -150,18 +164,18 @@ class WordEncoder:
     def encode_chunked(self, text: str) -> bytes:
         """Ids of a whole text under a file whose pre-tokenizer drops white space, by chunks."""
         if not self.suffix:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._library(text)
         out, open_word = [], ""
         for chunk in chunks_of(text):
             head, inside, tail = self._chunk(chunk)
             open_word += head
             if inside is not None:  # white space: the straddling word is whole and is encoded again
                 if open_word:
-                    out.append(self._joined([open_word], self._new))
+                    out.append(self._joined([open_word]))
                 out.append(inside)
                 open_word = tail
         if open_word:
-            out.append(self._joined([open_word], self._new))
+            out.append(self._joined([open_word]))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
@@ -207,28 +221,24 @@ def encoder(path: str) -> WordEncoder:
 def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, ids binary: little-endian 32-bit) of every text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(b: pa.RecordBatch) -> dict:
         e = encoder(path)
-        for b in batches:
-            yield pd.DataFrame({id: b[id], "ids": [e.encode_chunked(t) for t in b["text"]]})
+        return {"ids": [e.encode_chunked(t) for t in b["_text"].to_pylist()]}
 
-    rows = docs.select(docs[id], text_column(docs, text).alias("text"))
-    return rows.mapInPandas(run, f"`{id}` {docs.schema[id].dataType.simpleString()}, ids binary")
+    return with_columns(docs.select(docs[id], text_column(docs, text).alias("_text")), ("_text",), "ids binary", make)
 
 
 def round_trips(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Digests of encoding and decoding every text: id, n_tokens, ids_sha256, decoded_sha256."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(b: pa.RecordBatch) -> dict:
         e = encoder(path)
-        for b in batches:
-            n, digest, decoded = [], [], []
-            for t in b["text"]:
-                ids = e.encode_chunked(t)
-                n.append(len(ids) // 4)
-                digest.append(hashlib.sha256(ids).hexdigest())
-                decoded.append(hashlib.sha256(e.decode(ids)).hexdigest())
-            yield pd.DataFrame({id: b[id], "n_tokens": n, "ids_sha256": digest, "decoded_sha256": decoded})
-
-    rows = docs.select(docs[id], text_column(docs, text).alias("text"))
-    return rows.mapInPandas(run, f"`{id}` {docs.schema[id].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        for t in b["_text"].to_pylist():
+            ids = e.encode_chunked(t)
+            out["n_tokens"].append(len(ids) // 4)
+            out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(e.decode(ids)).hexdigest())
+        return out
+
+    return with_columns(docs.select(docs[id], text_column(docs, text).alias("_text")), ("_text",), "n_tokens long, ids_sha256 string, decoded_sha256 string", make)

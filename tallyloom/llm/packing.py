@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._arrow import exploded
 from ._io import stored, text_column
 from .bpe import encoder
 
@@ -33,20 +34,21 @@ SIZE = 1024
 def pieces_of(docs: DataFrame, path: str, size: int = SIZE, end_id: int = 2, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's ids and the end id, cut into pieces of ``size`` tokens of which the first may be shorter."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(b: pa.RecordBatch) -> tuple[list[int], dict]:
         e, end = encoder(path), np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            out = []
-            for doc, t in zip(b[id], b["text"]):
-                ids = e.encode_spaced(t) + end
-                n = len(ids) // 4
-                starts = [0, *range(n % size or size, n, size)]
-                for k, (a, z) in enumerate(zip(starts, [*starts[1:], n])):
-                    out.append((doc, k, a, z - a, zlib.crc32(ids[4 * a : 4 * z])))
-            yield pd.DataFrame(out, columns=[id, "piece", "start", "length", "ids_crc32"]).astype({id: b[id].dtype})
+        rows: list[int] = []
+        out: dict[str, list] = {"piece": [], "start": [], "length": [], "ids_crc32": []}
+        for row, t in enumerate(b["_text"].to_pylist()):
+            ids = e.encode_spaced(t) + end
+            n = len(ids) // 4
+            starts = [0, *range(n % size or size, n, size)]
+            for k, (a, z) in enumerate(zip(starts, [*starts[1:], n])):
+                rows.append(row)
+                for name, value in zip(out, (k, a, z - a, zlib.crc32(ids[4 * a : 4 * z]))):
+                    out[name].append(value)
+        return rows, out
 
-    rows = docs.select(docs[id], text_column(docs, text).alias("text"))
-    return rows.mapInPandas(run, f"`{id}` {docs.schema[id].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return exploded(docs.select(docs[id], text_column(docs, text).alias("_text")), ("_text",), "piece int, start long, length long, ids_crc32 long", make)
 
 
 def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: int, score: str = "norm") -> tuple[np.ndarray, np.ndarray]:
@@ -59,26 +61,26 @@ def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: int, s
     weight = need.sum(0)
     weight /= weight.sum() or 1
     where, offset = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    room, used, ids, live, made = np.empty((n, 3)), np.zeros(n, np.int64), np.empty(n, np.int64), 0, 0
-    order = np.argsort(-lengths, kind="stable")
-    smallest = float(lengths.min()) / tokens if n else 0.0
-    for i in order:
+    room, used, ids, live, made = np.empty((3, n)), np.zeros(n, np.int64), np.empty(n, np.int64), 0, 0
+    least = lengths.min() / tokens - 1e-12 if n else 0.0
+    for i in np.argsort(-lengths, kind="stable"):
         want = need[i]
-        at = np.flatnonzero((room[:live] >= want - 1e-12).all(1))
+        at = np.flatnonzero(room[0, :live] >= want[0] - 1e-12)
+        at = at[(room[1, at] >= want[1] - 1e-12) & (room[2, at] >= want[2] - 1e-12)]
         if len(at):
-            left = room[at]
-            value = (weight * (left - want) ** 2).sum(1) if score == "norm" else -(left * (weight * want)).sum(1)
+            left = room[:, at]
+            value = weight @ (left - want[:, None]) ** 2 if score == "norm" else -((weight * want) @ left)
             at = at[np.argmin(value)]
         else:
             at, live = live, live + 1
-            room[at], used[at], ids[at] = 1.0, 0, made
+            room[:, at], used[at], ids[at] = 1.0, 0, made
             made += 1
         where[i], offset[i] = ids[at], used[at]
         used[at] += lengths[i]
-        room[at] -= want
-        if room[at, 0] < smallest - 1e-12 or room[at, 1] <= 1e-12:  # full: the last open one takes its place
+        room[:, at] -= want
+        if room[0, at] < least or room[1, at] <= 1e-12:  # full: the last open one takes its place
             live -= 1
-            room[at], used[at], ids[at] = room[live], used[live], ids[live]
+            room[:, at], used[at], ids[at] = room[:, live], used[live], ids[live]
     return where, offset
 
 
