@@ -1,16 +1,59 @@
-"""The corpus pipeline: quality rules, near duplicates, repeated passages, personal data, packing."""
+"""The corpus pipeline: quality rules, near duplicates, repeated passages, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyloom.llm import jaccard, packing, pii, quality, suffix
+from tallyloom.llm._io import stored
+
+
+def _with_length(docs: DataFrame) -> DataFrame:
+    """n_chars, where there is one, says the length of the text as it is now."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.first_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _with_length(suffix.deduplicated(docs).select(docs.columns))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _with_length(pii.pseudonymised(docs, counts=None))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
 
-STAGES: list = []
-#: No stage can be expressed in SQL alone.
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("personal_data", personal_data),
+    ("best_fit_packing", best_fit_packing),
+]
+#: The model, the signatures and the tokenizer cannot be said in SQL; tests hold the stages to brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stored(docs)
     return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html_extract, jaccard, langid, packing, pii, quality, tokencount
+from . import ann, bpe, html_extract, jaccard, langid, packing, pii, quality, suffix, tokencount
 from ._io import table
 
 
@@ -47,12 +47,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text without repeated passages, n_words, n_removed, spans of every document."""
+    return suffix.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_extraction, op2_pii_pseudonyms, op3_language_id, op4_nearest_neighbours, op5_quality_rules, op6_best_fit_packing, op7_ngram_jaccard_join, op8_token_counts, op10_bpe_round_trip)
+    found = (op1_html_extraction, op2_pii_pseudonyms, op3_language_id, op4_nearest_neighbours, op5_quality_rules, op6_best_fit_packing, op7_ngram_jaccard_join, op8_token_counts, op9_suffix_array_dedup, op10_bpe_round_trip)
     return {f.__name__: f for f in found}
 
 
