@@ -142,7 +142,7 @@ def repeats(rows: DataFrame) -> DataFrame:
     whole = again.select("rid", "start", (F.col("start") + F.col("length")).alias("end"))
     mixed = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
     open_runs = contexts.join(mixed, "gram").groupBy(F.col("first.rid").alias("rid")).agg(F.collect_list(F.struct(F.col("first.start").alias("start"), "length")).alias("runs"))
-    inner = stored(windows(rows.join(open_runs, "rid")))
+    inner = stored(windows(rows.join(open_runs.hint("merge"), "rid")))
     firsts = inner.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "first")
     partly = inner.join(firsts, "hash").filter(place != F.col("first")).select("rid", "start", (F.col("start") + LEAST).alias("end"))
     return whole.unionByName(partly).groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
@@ -173,7 +173,7 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     added = [S.StructField("n_words", S.LongType()), S.StructField("n_removed", S.LongType()), S.StructField("spans", S.ArrayType(S.StructType([S.StructField("start", S.IntegerType()), S.StructField("end", S.IntegerType())])))]
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     read = numbered.select(F.col(row).alias("rid"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    marked = numbered.join(repeats(read).select(F.col("rid").alias(row), F.col("spans").alias(spans)), row, "left").drop(row)
+    marked = numbered.join(repeats(read).select(F.col("rid").alias(row), F.col("spans").alias(spans)).hint("merge"), row, "left").drop(row)
     keep = [f for f in docs.schema if f.name not in {a.name for a in added}]
     schema = S.StructType([*keep, *added])
     from pyspark.sql.pandas.types import to_arrow_type
