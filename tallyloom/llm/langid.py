@@ -82,8 +82,9 @@ def learn(rows: DataFrame, lang: str = "lang", text: str = "text") -> MaskFilter
     counts = gram_counts(read, letters=True)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     kept = counts.join(totals, "lang").filter(F.col("n") >= SHARE * F.col("total")).select("lang", "gram")
-    found = kept.toPandas()  # at most 1 / SHARE rows a language
-    return MaskFilter({k: g["gram"].to_numpy(np.int64).view(np.uint64) for k, g in found.groupby("lang")})
+    found = kept.toArrow()  # at most 1 / SHARE rows a language
+    langs, grams = found["lang"].combine_chunks().dictionary_encode(), found["gram"].to_numpy().view(np.uint64)
+    return MaskFilter({lang: grams[langs.indices.to_numpy() == i] for i, lang in enumerate(langs.dictionary.to_pylist())})
 
 
 def predict(docs: DataFrame, filters: MaskFilter, text: str = "text") -> DataFrame:

@@ -113,12 +113,22 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
 class SortedModel:
     """Log probabilities of one language in arrays sorted by hash; grams that were never seen back off."""
 
-    def __init__(self, rows: pd.DataFrame):
+    def __init__(self, kinds: np.ndarray, keys: np.ndarray, values: np.ndarray):
+        """``kinds``: twice the order, and one more for the back-off weights of contexts."""
         self.arrays = {}
-        for (order, context), g in rows.groupby(["order", "context"]):
-            keys = g["key"].to_numpy(np.int64).view(np.uint64) * _SPREAD
-            at = np.argsort(keys)
-            self.arrays[int(order), bool(context)] = keys[at], g["value"].to_numpy(np.float64)[at]
+        hashes = keys.view(np.uint64) * _SPREAD
+        for kind in np.unique(kinds):
+            own = np.flatnonzero(kinds == kind)
+            own = own[np.argsort(hashes[own])]
+            self.arrays[int(kind) // 2, bool(kind % 2)] = hashes[own], values[own]
+
+    @staticmethod
+    def by_language(model: DataFrame) -> dict[str, SortedModel]:
+        """The models in a table of ``kneser_ney``, brought to the driver as Arrow arrays."""
+        rows = model.select("lang", (2 * F.col("order") + F.col("context").cast("int")).cast("byte").alias("kind"), "key", F.col("value").cast("float").alias("value")).toArrow()
+        langs = rows["lang"].combine_chunks().dictionary_encode()
+        codes, columns = langs.indices.to_numpy(), [rows[c].to_numpy() for c in ("kind", "key", "value")]
+        return {lang: SortedModel(*(c[codes == i] for c in columns)) for i, lang in enumerate(langs.dictionary.to_pylist())}
 
     def find(self, order: int, context: bool, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if (order, context) not in self.arrays:
@@ -188,8 +198,7 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
     model = stored(kneser_ney(grams))
     rows = read.withColumn("lang_key", F.col("_lang"))
     if model.count() <= BROADCAST_ROWS:
-        models = {lang: SortedModel(g) for lang, g in model.toPandas().groupby("lang")}
-        shared = spark.sparkContext.broadcast(models)
+        shared = spark.sparkContext.broadcast(SortedModel.by_language(model))
         made = lambda r: _annotated(r, shared)
     else:
         made = lambda r: _joined(r, model)
