@@ -1,15 +1,344 @@
-"""The queries of the library's own operators, by name, and their DuckDB twins."""
+"""The queries of the library's own operators over the relational tables, by name.  Their DuckDB twins are in ``oracle``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import ids, penalties, rules
+from .functions import numerics as N
+from .operators import aggregates as A
+from .operators import match, quality, review, stats
+from .oracle import SQL
+from .sources import markup, text
+
+PART_RULES = (("ring", "ring"), ("fastener", "bolt|nut|screw"), ("red", "^red"), ("small", "^small|^tiny"))
+SOURCE_RULES = (("main", "^src0$"), ("teens", "^src1[0-9]$"))
+SEGMENTS = {"automobile": "vehicle", "machinery": "industry", "building": "industry"}
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*columns) if columns else df
+
+
+def route_cascade_counts(spark, d):
+    df = _t(spark, d, "part", "p_name").select(rules.cascade(F.col("p_name"), PART_RULES, "other").alias("label"))
+    src = _t(spark, d, "documents", "source").select(rules.cascade(F.col("source"), SOURCE_RULES, "other").alias("label"))
+    return A.counted(df, "label").withColumn("of", F.lit("part")).unionByName(A.counted(src, "label").withColumn("of", F.lit("document")))
+
+
+def canonical_alias_counts(spark, d):
+    df = _t(spark, d, "customer", "c_mktsegment", "c_nationkey").withColumn("name", rules.aliased(F.col("c_mktsegment"), SEGMENTS))
+    return df.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("c_mktsegment").alias("spellings"), F.countDistinct("c_nationkey").alias("nations"))
+
+
+def rules_fired_ambiguous(spark, d):
+    return _t(spark, d, "part", "p_name").groupBy(rules.rules_fired(F.col("p_name"), PART_RULES).alias("fired")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p_name").alias("names"))
+
+
+def _line_rules() -> dict:
+    return {"top discount": F.col("l_discount") >= 0.1, "small quantity": F.col("l_quantity") < 3, "no tax": F.col("l_tax") == 0, "cheap": F.col("l_extendedprice") / F.col("l_quantity") < 500}
+
+
+def quality_flags_lineitem(spark, d):
+    df = _t(spark, d, "lineitem", "l_discount", "l_quantity", "l_tax", "l_extendedprice").select(F.array_join(quality.flags(_line_rules()), "; ").alias("flags"))
+    return A.counted(df, "flags")
+
+
+def quality_report_lineitem(spark, d):
+    return quality.report(_t(spark, d, "lineitem"), _line_rules()).withColumn("share", F.round("share", 6))
+
+
+def duplicate_of_first(spark, d):
+    return quality.first_of_duplicates(_t(spark, d, "documents", "doc_id", "text").withColumn("key", F.md5("text")), ["key"], "doc_id").filter("duplicate_of is not null").select("doc_id", "duplicate_of")
+
+
+def duplicate_rows(spark, d):
+    return quality.duplicate_counts(_t(spark, d, "events", "user_id", "event_type", "ts").withColumn("day", F.to_date("ts")), ["user_id", "event_type", "day"])
+
+
+def fill_rate_by_group(spark, d):
+    df = _t(spark, d, "events", "event_type", "user_id", "value", "props").withColumns({"user": F.nullif(F.col("user_id") % 7, F.lit(0)), "amount": F.when(F.col("value") > 5, F.col("value")), "k": F.get_json_object("props", "$.k")})
+    return quality.fill_rates(df, ["user", "amount", "k"], ["event_type"]).withColumn("filled", F.round("filled", 6))
+
+
+def within_group_spearman(spark, d):
+    return stats.spearman(_t(spark, d, "lineitem", "l_suppkey", "l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice", ["l_suppkey"]).withColumn("rho", F.round("rho", 6))
+
+
+def pooled_vs_within(spark, d):
+    df = _t(spark, d, "lineitem", "l_suppkey", "l_quantity", "l_discount")
+    pooled = stats.spearman(df, "l_quantity", "l_discount").select(F.col("n").alias("pooled_n"), F.round("rho", 6).alias("pooled"))
+    within = stats.sign_summary(stats.spearman(df, "l_quantity", "l_discount", ["l_suppkey"]), "rho", 1)
+    return pooled.crossJoin(within).withColumns({"median_rho": F.round("median_rho", 6), "as_expected": F.round("as_expected", 6)})
+
+
+def numeric_penalty_bands(spark, d):
+    o = _t(spark, d, "orders", "o_orderkey", "o_totalprice")
+    sums = _t(spark, d, "lineitem", "l_orderkey", "l_extendedprice").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("lines"))
+    p = o.join(sums, "o_orderkey", "left").select(penalties.numeric(F.col("o_totalprice"), F.col("lines")).alias("p"))
+    return p.groupBy(F.floor(F.round(F.col("p") * 10, 6)).cast("long").alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("mean_penalty"))
+
+
+def tolerance_band_join(spark, d):
+    p = _t(spark, d, "part", "p_partkey", "p_brand", "p_type", "p_size", "p_retailprice").withColumn("p_size", F.nullif(F.col("p_size"), F.lit(7)).cast("double"))
+    pairs = match.tolerance_join(p, p, ["p_brand", "p_type"], ["p_size", "p_retailprice"], 0.05).filter("p_partkey_l < p_partkey_r")
+    return pairs.select("p_brand", "p_type", "p_partkey_l", "p_partkey_r")
+
+
+def semi_anti_resume(spark, d):
+    docs, labels = _t(spark, d, "documents", "doc_id", "lang"), _t(spark, d, "labels", "doc_id")
+    left = A.counted(review.pending(docs, labels, "doc_id"), "lang").withColumn("state", F.lit("pending"))
+    return left.unionByName(A.counted(docs.join(labels, "doc_id", "left_semi"), "lang").withColumn("state", F.lit("done")))
+
+
+def key_overlap(spark, d):
+    docs, labels = _t(spark, d, "documents", "doc_id"), _t(spark, d, "labels", "doc_id").distinct()
+    both = docs.withColumn("d", F.lit(1)).join(labels.withColumn("l", F.lit(1)), "doc_id", "full_outer")
+    return both.agg(F.count_if(F.col("l").isNull()).alias("only_documents"), F.count_if(F.col("d").isNull()).alias("only_labels"), F.count_if((F.col("d") == 1) & (F.col("l") == 1)).alias("both"))
+
+
+def agreement_kappa(spark, d):
+    out = stats.agreement(_t(spark, d, "labels"), F.col("quality") == 1, F.col("toxic") == 0)
+    return out.select(*(F.col(c).cast("long").alias(c) for c in ("yy", "yn", "ny", "nn")), F.round("agree", 6).alias("agree"), F.round("kappa", 6).alias("kappa"))
+
+
+def weighted_prf(spark, d):
+    out = stats.weighted_scores(_t(spark, d, "labels"), F.col("quality") == 1, F.col("toxic") == 0, (F.col("doc_id") % 5 + 1).cast("double"))
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+
+
+def verdict_partition(spark, d):
+    e = _t(spark, d, "events", "event_type", "user_id")
+    test = lambda *v: F.count_if(F.col("event_type").isin(*v))
+    out = e.groupBy((F.col("user_id") % 10).alias("bucket")).agg(test("purchase", "signup").alias("accepted"), test("error").alias("rejected"), test("view", "click").alias("open"), F.count(F.lit(1)).alias("n"))
+    return out.withColumn("whole", F.col("accepted") + F.col("rejected") + F.col("open") == F.col("n"))
+
+
+def explode_counter(spark, d):
+    words = _t(spark, d, "documents", "text").select(F.explode(F.split(F.regexp_replace("text", "[^ a-zA-Z]", " "), " +")).alias("w")).filter("w <> ''")
+    return A.counted(words, F.length("w").alias("length"))
+
+
+def pareto_frontier(spark, d):
+    return A.pareto(_t(spark, d, "part", "p_size", "p_retailprice"), "p_size", "p_retailprice")
+
+
+def threshold_sweep(spark, d):
+    o = _t(spark, d, "orders", "o_totalprice", "o_orderkey").select((F.col("o_orderkey") % 3 != 0).alias("gate"), penalties.numeric(F.col("o_totalprice"), F.lit(250000.0), 1.0).alias("penalty"))
+    params = spark.createDataFrame([(0.1,), (0.2,), (0.3,), (0.5,), (1.0,)], "threshold double")
+    return match.sweep(o, params, "threshold").withColumn("mean_penalty", F.round("mean_penalty", 6))
+
+
+def largest_remainder(spark, d):
+    return A.percentages(_t(spark, d, "part", "p_brand"), "p_brand")
+
+
+def top_k_other(spark, d):
+    return A.top_and_other(_t(spark, d, "part", "p_brand"), "p_brand", 8)
+
+
+def binned_share_within_group(spark, d):
+    li = _t(spark, d, "lineitem", "l_returnflag", "l_quantity")
+    return A.shares_within(li, "l_returnflag", A.binned(F.col("l_quantity"), [0, 10, 25, 40, 60])).withColumn("share", F.round("share", 6))
+
+
+def left_closed_bins(spark, d):
+    li = _t(spark, d, "lineitem", "l_linestatus", "l_quantity")
+    return A.shares_within(li, "l_linestatus", A.binned(F.col("l_quantity"), [0, 10, 25, 40, 60], "left")).withColumn("share", F.round("share", 6))
+
+
+def crosstab_pivot(spark, d):
+    return A.crosstab(_t(spark, d, "orders", "o_orderstatus", "o_orderpriority"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"])
+
+
+def hash_stratified_sample(spark, d):
+    out = review.stratified_sample(_t(spark, d, "orders", "o_orderkey", "o_orderpriority"), "o_orderpriority", ["o_orderkey"], 25, 17)
+    return out.withColumn("weight", F.round("weight", 6))
+
+
+def fingerprint_sample_id(spark, d):
+    rows = _t(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus").select("o_custkey", ids.fingerprint(F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus")).alias("fp"))
+    return rows.groupBy("o_custkey").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("fp")), ","), 256), 1, 12).alias("sample"), F.count(F.lit(1)).alias("n"))
+
+
+def chunk_sentences(spark, d):
+    s = _t(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "sentence"))
+    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("sentence")).cast("long").alias("longest"), F.sum(F.length("sentence")).cast("long").alias("chars"))
+
+
+def chunk_ids(spark, d):
+    name = F.concat_ws("|", F.col("item_id").cast("string"), F.substring("text", 1, 200))
+    return _t(spark, d, "benchmark").select("item_id", ids.uuid5(name).alias("chunk_id"))
+
+
+def chunk_documents(spark, d):
+    return text.chunked(_t(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def page_blocks(spark, d):
+    return markup.blocks(_t(spark, d, "pages", "page_id", "html"), "page_id", "html")
+
+
+def citation_resolution(spark, d):
+    def sentences(df, key):
+        return df.select(F.col(key).alias("doc"), F.explode(text.sentences(F.col("text"))).alias("chunk"))
+
+    docs = _t(spark, d, "documents", "doc_id", "text")
+    own = sentences(docs.filter("doc_id % 2 = 0"), "doc_id").withColumn("doc", F.floor(F.col("doc") / 2).cast("long"))
+    cited = sentences(docs.filter("doc_id % 2 = 1"), "doc_id").withColumn("doc", F.floor(F.col("doc") / 2).cast("long"))
+    examples = sentences(_t(spark, d, "benchmark"), "item_id").select("chunk")
+    found = review.resolved_citations(cited, own, examples, "doc", "chunk")
+    return found.groupBy("found").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc").alias("docs"))
+
+
+def _fixed(spark, d):
+    e = _t(spark, d, "events", "event_id", "event_type", "value", "props")
+    fix = e.filter(F.col("event_id") % 3 == 0).select("event_id", F.lit(0).alias("place"), F.lit("Value").alias("field"), F.concat(F.get_json_object("props", "$.k"), F.lit(" C")).alias("value"))
+    more = e.filter(F.col("event_id") % 6 == 0).select("event_id", F.lit(1).alias("place"), F.lit("kind").alias("field"), F.lit("fixed").alias("value"))
+    return review.apply_fixes(e, fix.unionByName(more), ["event_id"], {"value": "double", "event_type": "string"}, ["value"], {"kind": "event_type"})
+
+
+def apply_fixes_overlay(spark, d):
+    out, _ = _fixed(spark, d)
+    return out.select("event_id", "event_type", "value")
+
+
+def fixes_changelog(spark, d):
+    return A.counted(_fixed(spark, d)[1], "field")
+
+
+def first_active_answer(spark, d):
+    c = _t(spark, d, "conversations", "conv_id", "turn", "role", "text").select("conv_id", F.col("role").alias("who"), F.when(F.length("text") > 200, "long").otherwise("short").alias("answer"), (F.col("turn") < 2).alias("active"))
+    return review.settled_answers(c, ["conv_id"], "who", "answer", "active").withColumn("deciders", F.array_join("deciders", ","))
+
+
+def modal_label_group(spark, d):
+    return A.modal(_t(spark, d, "part", "p_type", "p_brand"), "p_type", "p_brand")
+
+
+def topk_concentration(spark, d):
+    return A.concentration(_t(spark, d, "orders", "o_custkey"), "o_custkey", [1, 10, 100]).withColumn("share", F.round("share", 6))
+
+
+def rolling_median(spark, d):
+    return stats.rolling_median(_t(spark, d, "events", "event_id", "event_type", "ts", "value"), ["event_type"], ["ts", "event_id"], "value", 9).select("event_id", F.round("rolling_median", 6).alias("rolling_median"))
+
+
+def funnel(spark, d):
+    orders = _t(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderstatus")
+    items = _t(spark, d, "lineitem", "l_orderkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("lines"))
+    per = orders.join(items, "o_orderkey", "left").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("orders"), F.max(F.coalesce("lines", F.lit(0))).alias("lines"), F.max((F.col("o_orderstatus") == "F").cast("int")).alias("closed"))
+    steps = {"customer": F.lit(True), "ordered": F.col("orders") > 0, "many orders": F.col("orders") >= 8, "closed": F.col("closed") == 1, "long order": F.col("lines") >= 8}
+    return quality.funnel(_t(spark, d, "customer", "c_custkey").join(per, "c_custkey", "left"), steps)
+
+
+def pairwise_votes(spark, d):
+    e = _t(spark, d, "events", "user_id", "event_type")
+    return A.counted(review.seconded(e.filter("event_type <> 'view'"), ["user_id"], "event_type"), "votes")
+
+
+def reconciled_counts(spark, d):
+    o = _t(spark, d, "orders", "o_orderstatus", "o_orderpriority")
+    return A.reconciled(A.counted(o.filter("o_orderstatus = 'F'"), "o_orderpriority"), A.counted(o.filter("o_orderstatus <> 'F'"), "o_orderpriority"), "o_orderpriority")
+
+
+def noise_between_groups(spark, d):
+    out = stats.noise_flag(_t(spark, d, "lineitem", "l_returnflag", "l_discount"), F.col("l_returnflag") == "R", F.col("l_discount") > 0.05)
+    return out.select(*(F.round(c, 6).alias(c) for c in ("p1", "p2", "difference", "se")), "n1", "n2", "noise")
+
+
+def release_digest(spark, d):
+    return quality.release_split(_t(spark, d, "part"), "p_partkey", ["p_name", "p_brand", "p_type"], {"unsized": F.col("p_size") > 45}, {"large": F.col("p_size") > 40, "dear": F.col("p_retailprice") > 1000}).select("p_partkey", "excluded_because", "duplicate_of", "quality_flags")
+
+
+def verified_decisions(spark, d):
+    o = _t(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_custkey")
+    decided = o.select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, "F").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), (F.col("o_custkey") % 2).alias("answer"))
+    out = match.verified_join(o, decided, ["o_orderkey"], ["o_orderstatus"])
+    return out.groupBy("accepted", "answer").agg(F.count(F.lit(1)).alias("n"))
+
+
+def grown_policies(spark, d):
+    c = _t(spark, d, "customer", "c_custkey", "c_mktsegment", "c_acctbal")
+    grown = review.grown_key(c.filter("c_acctbal > 5000"), c.filter("c_acctbal <= 5000"), {"none": "false", "some": "c_acctbal > 0", "all": "true"})
+    return grown.groupBy("policy").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("c_mktsegment").alias("segments"))
+
+
+def rescued_rows(spark, d):
+    p = _t(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_size")
+    new = review.rescued(p.filter("p_partkey % 2 = 0"), p.filter("p_partkey % 2 = 1"), ["p_name", "p_brand"])
+    return new.select("p_name", "p_brand")
+
+
+def extraction(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A key (lines of each order, with their part's name) and an extraction of it with known faults."""
+    lines = _t(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount").join(_t(spark, d, "part", "p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")) - 1
+    key = lines.select("l_orderkey", place.cast("long").alias("index"), "p_name", "l_quantity", "l_extendedprice", "l_discount", "l_partkey", "l_suppkey")
+    found = key.filter(F.col("l_suppkey") % 11 != 0).select(
+        "l_orderkey", (F.col("index") * 7 % 1000).alias("index"), F.when(F.col("l_partkey") % 5 == 0, F.concat("p_name", F.lit("s"))).when(F.col("l_partkey") % 13 == 0, "unknown").otherwise(F.col("p_name")).alias("p_name"),
+        F.when(F.col("l_suppkey") % 3 == 0, F.col("l_quantity") * 1.5).otherwise(F.col("l_quantity")).alias("l_quantity"), (F.col("l_extendedprice") * 1.001).alias("l_extendedprice"), F.when(F.col("l_partkey") % 4 == 0, None).otherwise(F.col("l_discount")).alias("l_discount"),
+    )
+    return key.drop("l_partkey", "l_suppkey"), found
+
+
+def assignment_match(spark, d):
+    """A label for every record of the synthetic extraction: TP, MISMATCH, FN or FP."""
+    key, found = extraction(spark, d)
+    return match.evaluate(key, found, "l_orderkey", "index", "p_name", ["l_quantity", "l_extendedprice", "l_discount"]).drop("wrong")
+
+
+def assignment_score(spark, d):
+    """Precision, recall and F1 of the synthetic extraction."""
+    return match.totals(assignment_match(spark, d))
+
+
+def greedy_match(spark, d):
+    key, found = extraction(spark, d)
+    return match.matched(match.pairs(key, found, "l_orderkey", "index", "p_name", ["l_quantity", "l_extendedprice", "l_discount"]), "l_orderkey", greedy=True).drop("wrong")
+
+
+def string_ratio(spark, d):
+    names = _t(spark, d, "part", "p_name", "p_type").distinct()
+    both = names.select("p_type", F.col("p_name").alias("a")).join(names.select("p_type", F.col("p_name").alias("b")), "p_type").filter("a < b")
+    return penalties.with_string_ratio(both.select("a", "b").distinct(), "a", "b").withColumn("ratio", F.round("ratio", 6))
+
+
+def bootstrap_shift(spark, d):
+    got = stats.bootstrap(_t(spark, d, "lineitem", "l_discount"), F.col("l_discount"))
+    return spark.createDataFrame([(got["mean"], got["low"], got["high"])], "mean double, low double, high double")
+
+
+def exact_tests(spark, d):
+    """Tests on per-arm aggregates of events: arms pairwise, analysis of variance, signed ranks and a binomial."""
+    e = _t(spark, d, "events", "event_type", "value")
+    rows = [(f"{r['a']} vs {r['b']}", r["p_corrected"]) for r in stats.arms_tests(e, "event_type", "value")]
+    rows.append(("anova", stats.anova(e, "event_type", "value")["p"]))
+    rows.append(("signed rank", stats.signed_rank(e.select((F.col("value") - 30.0).alias("v")), "v")["p"]))
+    c = e.agg(F.count_if(F.col("event_type") == "error").alias("k"), F.count_if(F.col("event_type").isin("error", "click")).alias("n")).first()
+    rows.append(("binomial", N.binomial_p_value(c["k"], c["n"])))
+    rows += [("jeffreys low", N.jeffreys(c["k"], c["n"])[0]), ("jeffreys high", N.jeffreys(c["k"], c["n"])[1])]
+    return spark.createDataFrame(rows, "name string, value double")
+
+
+ROWS_ONLY = (assignment_match, assignment_score, greedy_match, string_ratio, bootstrap_shift, exact_tests, chunk_documents, page_blocks)
+QUERIES = (
+    route_cascade_counts, canonical_alias_counts, rules_fired_ambiguous, quality_flags_lineitem, quality_report_lineitem, duplicate_of_first, duplicate_rows,
+    fill_rate_by_group, within_group_spearman, pooled_vs_within, numeric_penalty_bands, tolerance_band_join, semi_anti_resume, key_overlap, agreement_kappa,
+    weighted_prf, verdict_partition, explode_counter, pareto_frontier, threshold_sweep, largest_remainder, top_k_other, binned_share_within_group,
+    left_closed_bins, crosstab_pivot, hash_stratified_sample, fingerprint_sample_id, chunk_sentences, chunk_ids, citation_resolution, apply_fixes_overlay,
+    fixes_changelog, first_active_answer, modal_label_group, topk_concentration, rolling_median, funnel, pairwise_votes, reconciled_counts,
+    noise_between_groups, release_digest, verified_decisions, grown_policies, rescued_rows,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in (*QUERIES, *ROWS_ONLY)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {f.__name__: SQL[f.__name__] for f in QUERIES}
