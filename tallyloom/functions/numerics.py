@@ -15,6 +15,9 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     n, m = cost.shape
     if n > m:
         return sorted((r, c) for c, r in assignment(cost.T))
+    nearest = cost.argmin(1)
+    if len(set(nearest.tolist())) == n:  # every row can have its cheapest column
+        return list(enumerate(nearest.tolist()))
     up, down = np.zeros(n + 1), np.zeros(m + 1)
     owner = np.zeros(m + 1, int)
     for row in range(1, n + 1):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -41,21 +42,33 @@ def pairs(curated: DataFrame, extracted: DataFrame, group: str, index: str, name
 def matched(pair_table: DataFrame, group: str, greedy: bool = False) -> DataFrame:
     """The pairs of a least-cost one-to-one assignment in each group (or closest first); ties to low indices.
 
-    A group is one document, whose pairs are one task's work; documents are spread by hash.
+    Pairs are dealt to tasks by group and stream through sorted, so a task holds one group and one batch.
     """
     fields = pair_table.schema
 
-    def solve(g: pd.DataFrame) -> pd.DataFrame:
-        rows, columns = np.unique(g["i"]), np.unique(g["j"])
-        at_row, at_column = np.searchsorted(rows, g["i"]), np.searchsorted(columns, g["j"])
-        cost = np.empty((len(rows), len(columns)))
-        cost[at_row, at_column] = g["cost"]
-        place = np.empty(cost.shape, int)
-        place[at_row, at_column] = np.arange(len(g))
-        found = (closest_first if greedy else assignment)(cost)
-        return g.iloc[[place[i, j] for i, j in found]]
-
-    return pair_table.groupBy(group).applyInPandas(solve, fields)
+    def solve(i: np.ndarray, j: np.ndarray, costs: np.ndarray) -> list[int]:
+        rows, columns = np.unique(i), np.unique(j)
+        at_row, at_column = np.searchsorted(rows, i), np.searchsorted(columns, j)
+        cost, place = np.full((len(rows), len(columns)), GATE_COST), np.full((len(rows), len(columns)), -1)
+        cost[at_row, at_column], place[at_row, at_column] = costs, np.arange(len(i))
+        return [place[x] for x in (closest_first if greedy else assignment)(cost) if place[x] >= 0]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in chain(batches, [None]):
+            rows = b if held is None else held if b is None else pd.concat([held, b], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            keys = rows[group].to_numpy()
+            starts = np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1)
+            ends = np.append(starts[1:], len(rows))
+            whole = len(starts) if b is None else len(starts) - 1  # the last group may go on in the next batch
+            i, j, costs = (rows[c].to_numpy() for c in ("i", "j", "cost"))
+            chosen = [a + k for a, z in zip(starts[:whole], ends[:whole]) for k in solve(i[a:z], j[a:z], costs[a:z])]
+            held = rows.iloc[starts[-1] :] if whole < len(starts) else None
+            yield rows.iloc[chosen]
+
+    return pair_table.filter(F.col(group).isNotNull()).repartition(group).sortWithinPartitions(group, "i", "j").mapInPandas(run, fields)
 
 
 def labels(curated: DataFrame, extracted: DataFrame, assigned: DataFrame, group: str, index: str, accept: float = P.ACCEPT) -> DataFrame:

@@ -126,7 +126,7 @@ def bootstrap(df: DataFrame, value: Column, resamples: int = 1000, seed: int = 0
     draws = np.random.default_rng(seed).integers(0, len(table), (resamples, len(table)))
     n, s = table["n"].to_numpy(float), table["s"].to_numpy(float)
     means = s[draws].sum(1) / n[draws].sum(1)
-    return {"mean": s.sum() / n.sum(), "low": float(np.quantile(means, 0.025)), "high": float(np.quantile(means, 0.975))}
+    return {"mean": float(s.sum() / n.sum()), "low": float(np.quantile(means, 0.025)), "high": float(np.quantile(means, 0.975))}
 
 
 def rolling_median(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, window: int) -> DataFrame:
