@@ -134,7 +134,7 @@ def windows(rows: DataFrame) -> DataFrame:
 def repeats(rows: DataFrame) -> DataFrame:
     """(rid, spans): word ranges [start, end) of ``rows`` (rid, _text) that occurred before."""
     found = stored(suffixes(rows))
-    shared = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    shared = stored(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))  # a table of its own: Spark then splits hot grams
     near = stored(found.join(shared, "gram"))
     place = F.struct("rid", "start")
     contexts = stored(near.groupBy("gram", "context").agg(F.min(place).alias("first"), F.first("length").alias("length"), F.count(F.lit(1)).alias("n")))
