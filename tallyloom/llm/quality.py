@@ -6,7 +6,8 @@ four-grams of *all* texts; lower orders use continuation counts, and each order
 discounts of its own counts of counts.  The probabilities are kept as arrays sorted by the gram's 64-bit hash
 (a bijection, so equal hash means equal gram) and looked up by binary search.
 
-A text's score is its mean negative log probability a symbol.  For each language the bands lie ``WIDTH``
+A text's score is its mean negative log probability a symbol; a four-gram that no other place of the corpus has
+is scored as the rest of the corpus would, else odd texts would be judged by what they taught.  For each language the bands lie ``WIDTH``
 robust deviations from the median of the scores of all texts that pass the fixed rules, wider for short texts,
 whose means vary more; a text outside is rejected.
 
@@ -80,8 +81,12 @@ def _low(key: F.Column, order: int) -> F.Column:
     return key.bitwiseAND(F.lit((1 << 16 * order) - 1))
 
 
-def kneser_ney(grams: DataFrame) -> DataFrame:
-    """(lang, order, context, key, value): log probabilities of grams, and log back-off weights of contexts."""
+def kneser_ney(grams: DataFrame, leave_out: bool = True) -> DataFrame:
+    """(lang, order, context, key, value): log probabilities of grams, and log back-off weights of contexts.
+
+    With ``leave_out`` a four-gram that occurs once in the corpus gets the probability that the rest of the corpus
+    gives it, so that a text is not judged by what only it has taught the model.
+    """
     counts = {ORDER: stored(grams.select("lang", F.col("gram").alias("key"), "n"))}
     for o in range(ORDER - 1, 0, -1):
         counts[o] = counts[o + 1].groupBy("lang", _low(F.col("key"), o).alias("key")).agg(F.count(F.lit(1)).alias("n"))
@@ -97,12 +102,15 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
         rows = rows.join(sums, ["lang", "ctx"])
         weight = F.col("freed") / F.col("all")
         if o == 1:
-            rows = rows.withColumn("p_low", 1.0 / (F.col("size") + 1))
+            rows = rows.withColumn("p_low", 1.0 / (F.col("size") + 1)).withColumn("q_low", F.col("p_low"))
         else:
-            rows = rows.withColumn("low", _low(F.col("key"), o - 1)).join(below.select("lang", F.col("key").alias("low"), F.exp("value").alias("p_low")), ["lang", "low"])
-        p = stored(rows.select("lang", "key", "ctx", F.log((F.col("n") - F.col("cut")) / F.col("all") + weight * F.col("p_low")).alias("value"), F.log(weight).alias("back")))
+            rows = rows.withColumn("low", _low(F.col("key"), o - 1)).join(below.select("lang", F.col("key").alias("low"), F.exp("value").alias("p_low"), F.exp("apart").alias("q_low")), ["lang", "low"])
+        value = (F.col("n") - F.col("cut")) / F.col("all") + weight * F.col("p_low")
+        apart = F.when(F.col("n") > 1, value).when(F.col("all") > 1, weight * F.col("q_low")).otherwise(F.col("q_low"))
+        p = stored(rows.select("lang", "key", "ctx", F.log(value).alias("value"), F.log(apart).alias("apart"), F.log(weight).alias("back")))
         below = p
-        tables.append(p.select("lang", F.lit(o).alias("order"), F.lit(False).alias("context"), "key", "value"))
+        said = F.col("apart" if o == ORDER and leave_out else "value").alias("value")
+        tables.append(p.select("lang", F.lit(o).alias("order"), F.lit(False).alias("context"), "key", said))
         tables.append(p.groupBy("lang", F.col("ctx").alias("key")).agg(F.first("back").alias("value")).select("lang", F.lit(o).alias("order"), F.lit(True).alias("context"), "key", "value"))
     out = tables[0]
     for t in tables[1:]:
