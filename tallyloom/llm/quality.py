@@ -8,8 +8,9 @@ discounts of its own counts of counts.  The probabilities are kept as arrays sor
 
 A text's score is its mean negative log probability a symbol; a four-gram that no other place of the corpus has
 is scored as the rest of the corpus would, else odd texts would be judged by what they taught.  For each language the bands lie ``WIDTH``
-robust deviations from the median of the scores of all texts that pass the fixed rules, wider for short texts,
-whose means vary more; a text outside is rejected.
+robust deviations from the median of the scores of all texts that pass the fixed rules, but never nearer than a
+factor of ``FACTOR`` in perplexity, which spares clean texts in even corpora; they are wider for short texts,
+whose means vary more.  A text outside is rejected.
 
 Defined results: a null text counts as empty (no words, so it fails the fixed rules); texts that fail them get
 no verdict from the model; repeated rows and ids are judged one by one; an empty table gives an empty result;
@@ -34,7 +35,8 @@ from ._io import stored, text_column
 ORDER = 4
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
-WIDTH = 16.0
+WIDTH = 8.0
+FACTOR = 3.0
 SHORT = 300.0  # symbols at which the band is sqrt(2) times as wide
 #: Model rows up to which the sorted arrays are broadcast (16 bytes each); beyond, scores come from a join.
 BROADCAST_ROWS = 4_000_000
@@ -244,7 +246,7 @@ def _joined(rows: DataFrame, model: DataFrame) -> DataFrame:
 def _kept(bands: DataFrame, scored: DataFrame) -> DataFrame:
     """One row a language: ``bands`` is joined by broadcast if Spark finds it small."""
     rows = scored.join(bands, "lang_key", "left")
-    reach = WIDTH * F.col("unit") * F.sqrt(1 + SHORT / F.greatest(F.col("symbols"), F.lit(1)))
+    reach = F.greatest(WIDTH * F.col("unit"), F.log(F.lit(FACTOR))) * F.sqrt(1 + SHORT / F.greatest(F.col("symbols"), F.lit(1)))
     rows = rows.withColumn("lower_band", F.col("middle") - reach).withColumn("upper_band", F.col("middle") + reach).withColumn("base_failed", _base_failed())
     inside = F.coalesce(F.col("score").between(F.col("lower_band"), F.col("upper_band")), F.lit(False))
     return rows.withColumn("kept", ~F.col("base_failed") & inside)
