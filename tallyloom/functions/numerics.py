@@ -125,3 +125,37 @@ def signed_rank_p_value(w: float, n: int, tie_term: float = 0.0) -> float:
         return float(min(1.0, 2 * ways[: low + 1].sum() / 2.0**n))
     mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - tie_term / 48
     return math.erfc(abs(w - mean) / math.sqrt(var) / math.sqrt(2)) if var > 0 else 1.0
+
+
+def power_table(differences: list[float], sizes: list[int], spread: float, draws: int = 20_000, alpha: float = 0.05, seed: int = 0) -> list[dict]:
+    """Simulated power of an equal-variance t-test by true difference and arm size."""
+    rng, out = np.random.default_rng(seed), []
+    for d in differences:
+        for n in sizes:
+            a, b = rng.normal(0, spread, (draws, n)), rng.normal(d, spread, (draws, n))
+            t = (b.mean(1) - a.mean(1)) / np.sqrt((a.var(1, ddof=1) + b.var(1, ddof=1)) / n)
+            low, high = 0.0, 1000.0  # the critical value by bisection
+            for _ in range(60):
+                low, high = ((low + high) / 2, high) if t_p_value((low + high) / 2, 2 * n - 2) > alpha else (low, (low + high) / 2)
+            out.append({"difference": d, "n": n, "power": float((np.abs(t) > high).mean())})
+    return out
+
+
+def posterior_recall(strata: list[dict], draws: int = 20_000, seed: int = 0) -> tuple[float, float, float]:
+    """(median, low, high) of weighted recall: a Jeffreys posterior of the true share for each stratum.
+
+    ``strata``: dicts of ``n`` rows judged, ``k`` true ones, ``size`` rows in all and whether they are ``found``.
+    """
+    rng = np.random.default_rng(seed)
+    hit, every = np.zeros(draws), np.zeros(draws)
+    for s in strata:
+        true = s["size"] * rng.beta(s["k"] + 0.5, s["n"] - s["k"] + 0.5, draws)
+        every += true
+        hit += true * bool(s["found"])
+    share = hit / np.maximum(every, 1e-12)
+    return float(np.median(share)), float(np.quantile(share, 0.025)), float(np.quantile(share, 0.975))
+
+
+def rule_of_three(n: int) -> float:
+    """Upper 95 % bound of a proportion when none of n was seen."""
+    return 3.0 / n if n else math.nan

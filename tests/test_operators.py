@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyloom import schemas
 from tallyloom.functions import ids, penalties, rules
 from tallyloom.functions import numerics as N
-from tallyloom.operators import aggregates, match, quality, review, stats
+from tallyloom.operators import aggregates, calls, match, quality, review, stats
 from tallyloom.plans import audit, metrics
 from tallyloom.sources import bundles, markup, sinks, text
 from tallyloom.streaming import incremental
@@ -196,3 +196,25 @@ def test_sinks_metrics_and_resume(spark, tmp_path):
     for n in (2, 2):
         incremental.resume(spark, src, flat.schema, lambda s: s.withColumn("done", F.lit(True)), target, mark, "parquet").awaitTermination()
         assert spark.read.parquet(target).count() == n
+
+
+def test_calls(spark):
+    def client(prompt):
+        if "bad" in prompt:
+            raise ValueError("no")
+        return '```json\n{"verdict": "' + prompt + '",}\n```'
+
+    df = spark.createDataFrame([("a", "fine"), ("b", "bad"), ("c", None)], "k string, p string").filter("p is not null")
+    from pyspark.sql import types as T
+
+    replies = calls.called(df, "k", "p", client, attempts=2, wait=0.0)
+    got = {r["k"]: (r["parsed_ok"], r["error"]) for r in calls.parsed(replies, T.StructType([T.StructField("verdict", T.StringType())])).collect()}
+    assert got == {"a": (True, None), "b": (False, "ValueError: no")}
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(12)], "k string")
+    drawn = calls.exemplars(keys, keys, "k", 3, 1).collect()
+    assert len(drawn) == 36 and all(r["k"] != r["exemplar"] for r in drawn)
+    done = calls.completed_verdicts(keys.withColumn("index", F.lit(0)), spark.createDataFrame([("k1", 0, True)], "k string, index int, parsed_ok boolean"), ["k", "index"])
+    assert done.filter("parsed_ok").count() == 1 and done.count() == 12
+    assert abs(N.power_table([1.0], [17], 1.0, 4000)[0]["power"] - 0.807) < 0.04
+    mid, low, high = N.posterior_recall([{"n": 50, "k": 40, "size": 500, "found": True}, {"n": 50, "k": 10, "size": 500, "found": False}])
+    assert low < mid < high and abs(mid - 0.8) < 0.05
