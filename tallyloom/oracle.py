@@ -99,5 +99,11 @@ SQL = {
     "verified_decisions": "select (o_orderkey % 4 <> 0 or o_orderstatus = 'F') as accepted, o_custkey % 2 as answer, count(*) as n from orders group by 1, 2",
     "grown_policies": """with c as (select 'none' as policy, * from customer where c_acctbal > 5000 union all select 'some', * from customer where c_acctbal > 0 union all select 'all', * from customer)
         select policy, count(*) as n, count(distinct c_mktsegment) as segments from c group by 1""",
+    "parity_by_field": """with p as (select 'q' as field, l_quantity as a, l_quantity + l_suppkey % 5 as b from lineitem union all select 'r', l_discount, nullif(l_tax, 0.0) from lineitem)
+        select field, count(*) as n, count_if(a = b) as same, count_if(abs(a - b) <= 2) as close, round(count_if(abs(a - b) <= 2) / count(*), 6) as close_share from p where a is not null and b is not null group by 1""",
+    "constraint_recall": """with r as (select *, case when o_orderkey % 3 <> 0 and o_orderpriority = '1-URGENT' then 'incorrect' else 'correct' end as v from orders),
+        c as (select 'dear' as "constraint", count_if(o_totalprice > 400000) as n, count_if(o_totalprice > 400000 and v <> 'correct') as caught from r union all select 'odd', count_if(o_orderkey % 2 = 1), count_if(o_orderkey % 2 = 1 and v <> 'correct') from r)
+        select "constraint", n, caught, round(caught / n, 6) as recall from c""",
+    "run_states": "select case when c_custkey in (select o_custkey from orders where o_orderstatus = 'P') then 'evaluated' when c_custkey in (select o_custkey from orders where o_orderstatus = 'F') then 'extracted' else 'planned' end as state, count(*) as n from customer group by 1",
     "rescued_rows": "select distinct p_name, p_brand from part a where p_partkey % 2 = 1 and not exists (select 1 from part b where b.p_partkey % 2 = 0 and b.p_name = a.p_name and b.p_brand = a.p_brand)",
 }

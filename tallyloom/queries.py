@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import ids, penalties, rules
 from .functions import numerics as N
 from .operators import aggregates as A
-from .operators import match, quality, review, stats
+from .operators import match, quality, review, runs, stats
 from .oracle import SQL
 from .sources import markup, text
 
@@ -274,6 +274,24 @@ def rescued_rows(spark, d):
     return new.select("p_name", "p_brand")
 
 
+def parity_by_field(spark, d):
+    li = _t(spark, d, "lineitem", "l_quantity", "l_discount", "l_tax", "l_suppkey")
+    pairs = li.select(F.col("l_quantity").alias("a_q"), (F.col("l_quantity") + F.col("l_suppkey") % 5).alias("b_q"), F.col("l_discount").alias("a_r"), F.nullif(F.col("l_tax"), F.lit(0.0)).alias("b_r"))
+    return runs.parity(pairs, ["q", "r"], "a_", "b_").withColumn("close_share", F.round("close_share", 6))
+
+
+def constraint_recall(spark, d):
+    o = _t(spark, d, "orders", "o_orderkey", "o_totalprice", "o_orderpriority")
+    said = o.filter("o_orderkey % 3 <> 0").select("o_orderkey", F.when(F.col("o_orderpriority") == "1-URGENT", "incorrect").otherwise("correct").alias("verdict"))
+    out = runs.judge_recall(o, {"dear": F.col("o_totalprice") > 400000, "odd": F.col("o_orderkey") % 2 == 1}, said, ["o_orderkey"])
+    return out.withColumn("recall", F.round("recall", 6))
+
+
+def run_states(spark, d):
+    c, o = _t(spark, d, "customer", "c_custkey"), _t(spark, d, "orders", "o_custkey", "o_orderstatus").withColumnRenamed("o_custkey", "c_custkey")
+    return A.counted(runs.states(c, o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus = 'P'"), "c_custkey"), "state")
+
+
 def extraction(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A key (lines of each order, with their part's name) and an extraction of it with known faults."""
     lines = _t(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount").join(_t(spark, d, "part", "p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
@@ -332,7 +350,7 @@ QUERIES = (
     weighted_prf, verdict_partition, explode_counter, pareto_frontier, threshold_sweep, largest_remainder, top_k_other, binned_share_within_group,
     left_closed_bins, crosstab_pivot, hash_stratified_sample, fingerprint_sample_id, chunk_sentences, chunk_ids, citation_resolution, apply_fixes_overlay,
     fixes_changelog, first_active_answer, modal_label_group, topk_concentration, rolling_median, funnel, pairwise_votes, reconciled_counts,
-    noise_between_groups, release_digest, verified_decisions, grown_policies, rescued_rows,
+    noise_between_groups, release_digest, verified_decisions, grown_policies, rescued_rows, parity_by_field, constraint_recall, run_states,
 )
 
 

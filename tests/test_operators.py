@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyloom import schemas
 from tallyloom.functions import ids, penalties, rules
 from tallyloom.functions import numerics as N
-from tallyloom.operators import aggregates, calls, match, quality, review, stats
+from tallyloom.operators import aggregates, calls, match, quality, review, runs, stats
 from tallyloom.plans import audit, metrics
 from tallyloom.sources import bundles, markup, sinks, text
 from tallyloom.streaming import incremental
@@ -218,3 +218,20 @@ def test_calls(spark):
     assert abs(N.power_table([1.0], [17], 1.0, 4000)[0]["power"] - 0.807) < 0.04
     mid, low, high = N.posterior_recall([{"n": 50, "k": 40, "size": 500, "found": True}, {"n": 50, "k": 10, "size": 500, "found": False}])
     assert low < mid < high and abs(mid - 0.8) < 0.05
+
+
+def test_runs(spark):
+    r = spark.createDataFrame([("judge_a_on_x", 1), ("judge_b_on_x", 2), ("other", 3)], "run string, n int")
+    assert {(x["judge"], x["extraction"]) for x in runs.paired_by_name(r, "run").collect()} == {("a", "x"), ("b", "x")}
+    with pytest.raises(Exception, match="two runs"):
+        runs.paired_by_name(r.union(r), "run").collect()
+    arms = spark.createDataFrame([("m1", 0, 0.5), ("m2", 0, 0.6), ("m1", 1, 0.9), ("m1", 0, 0.7)], "model string, shots int, f1 double")
+    assert [x["shots"] for x in runs.common_arm(arms, "model", "shots").collect()] == [0]
+    up = runs.runner_up(arms, "shots", "f1").first()
+    assert up["best"] == 1 and up["margin"] == pytest.approx(0.2)
+    rec = spark.createDataFrame([("d", 0, ["1", "9"]), ("d", 1, None)], "doi string, index int, ids array<string>")
+    got = runs.papers(rec, spark.createDataFrame([("d", 0, "correct")], "doi string, index int, verdict string"), spark.createDataFrame([("d", "1")], "doi string, chunk string"), "doi", "index", "ids", "chunk").first()
+    assert (got["correct"], got["incorrect"], got["unjudged"]) == (1, 0, 1) and got["records"][0]["missing"] == ["9"]
+    assert runs.conditions(spark.createDataFrame([(100.0, 1.0), (0.0, 1.0)], "x double, y double"), "x", "y", ["x"]).first()["x"] == 2.0
+    agree = runs.field_agreement(spark.createDataFrame([(1.0, 1.01), (1.0, 2.0), (None, 1.0)], "a_v double, b_v double"), ["v"], "a_", "b_").first()
+    assert (agree["n"], agree["agree"]) == (2, 0.5)
