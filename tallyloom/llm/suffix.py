@@ -167,7 +167,8 @@ def cut(text: str, spans: list[dict] | None) -> tuple[str, list[tuple[int, int]]
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with repeated passages cut from the text, and n_words, n_removed, spans (of words, as they were).
 
-    A span goes with the white space after it.  Columns of ``docs`` named like the added ones are replaced.
+    A span goes with the white space after it.  ``docs`` is read more than once: it should be a table or a stored
+    step, whose rows come in the same partitions each time.  Columns of ``docs`` named like the added ones are replaced.
     """
     row, spans = "__tallyloom_row", "__tallyloom_spans"
     added = [S.StructField("n_words", S.LongType()), S.StructField("n_removed", S.LongType()), S.StructField("spans", S.ArrayType(S.StructType([S.StructField("start", S.IntegerType()), S.StructField("end", S.IntegerType())])))]
