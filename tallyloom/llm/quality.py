@@ -98,7 +98,7 @@ def kneser_ney(grams: DataFrame, leave_out: bool = True) -> DataFrame:
         y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
         d = [F.least(F.greatest(F.coalesce(i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(i / 2)), F.lit(0.1)), F.lit(i - 0.1)) for i in (1, 2, 3)]
         discounts = counts[o].groupBy("lang").agg(*of, F.count(F.lit(1)).alias("size")).select("lang", "size", *(d[i].alias(f"d{i + 1}") for i in range(3)))
-        rows = counts[o].join(discounts, "lang")
+        rows = counts[o].join(F.broadcast(discounts), "lang")  # one row a language
         rows = rows.withColumn("ctx", F.shiftrightunsigned("key", 16)).withColumn("cut", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
         sums = rows.groupBy("lang", "ctx").agg(F.sum("n").alias("all"), F.sum("cut").alias("freed"))
         rows = rows.join(sums, ["lang", "ctx"])
