@@ -72,12 +72,13 @@ class Block:
 
 def _node(tag: str, attributes: str, parent: Node | None) -> Node:
     words = {w for m in _NAMES.finditer(attributes) for w in _CAMEL.split(m[2] or m[3] or m[4] or "")} if "=" in attributes else ()
-    words = {w.lower() for w in words if w}
+    words = {w.lower() for w in words}
     inside = parent is not None and parent.main
-    boiler = bool(words & BOILER_WORDS) and tag not in ("html", "body") or tag == "header" and not inside
+    marks = BOILER_WORDS - {"header"} if inside else BOILER_WORDS  # an article's own header holds its title
+    boiler = not marks.isdisjoint(words) and tag not in ("html", "body") or tag == "header" and not inside
     return Node(
         tag, parent, parent.depth + 1 if parent else 0, tag in NEVER or bool(parent and parent.never),
-        boiler or bool(parent and parent.boiler), inside or tag in ("article", "main") or "main" in words, bool(words & CONTENT_WORDS) or bool(parent and parent.content),
+        boiler or bool(parent and parent.boiler), inside or tag in ("article", "main") or "main" in words, not CONTENT_WORDS.isdisjoint(words) or bool(parent and parent.content),
     )
 
 

@@ -116,6 +116,8 @@ def test_html():
     assert text == "A title & more First part of the story here. Next line. Second <one> follows, long enough to read. An item in the text" and n > k
     plain = "<div><p>" + "Plain sentences without any article element, long enough to count. " * 3 + "</p><p>" + "More of them follow in the same place. " * 4 + "</p></div><div><a href=x>Link</a> <a href=y>Link</a></div>"
     assert html_extract.main_text(plain)[0].startswith("Plain") and "Link" not in html_extract.main_text(plain)[0]
+    own = '<article><div class="article-header"><h1>Kept</h1></div><p>Text of it.</p><div class="share-bar">Share this</div></article>'
+    assert html_extract.main_text(own)[0] == "Kept Text of it."
     assert html_extract.main_text("<article><p>unclosed <b>bold <i>text")[0] == "unclosed bold text"
     assert html_extract.main_text(None)[0] == html_extract.main_text("<p>") [0] == "" and html_extract.main_text("a < b & c")[0] in ("", "a < b & c")
 
