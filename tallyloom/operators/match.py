@@ -39,6 +39,29 @@ def pairs(curated: DataFrame, extracted: DataFrame, group: str, index: str, name
     return both.select(group, "i", "j", agree.alias("gate"), mean.alias("penalty"), F.when(agree, mean).otherwise(GATE_COST).alias("cost"), wrong.alias("wrong"))
 
 
+def uncontested(groups: np.ndarray, i: np.ndarray, j: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of chosen pairs, groups left): groups in which each record of the smaller side can have its cheapest partner."""
+    if not len(groups):
+        return np.empty(0, int), np.empty(0, int)
+
+    def best(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((other, costs, own, groups))
+        g, o = groups[order], own[order]
+        first = order[np.append(True, (g[1:] != g[:-1]) | (o[1:] != o[:-1]))]
+        by = np.lexsort((other[first], groups[first]))
+        same = (groups[first][by][1:] == groups[first][by][:-1]) & (other[first][by][1:] == other[first][by][:-1])
+        return first, np.bincount(groups[first], minlength=n), np.unique(groups[first][by][1:][same])
+
+    n = int(groups.max()) + 1
+    (rows, n_rows, row_clash), (columns, n_columns, column_clash) = best(i, j), best(j, i)
+    wide = n_rows <= n_columns
+    clash = np.zeros(n, bool)
+    clash[row_clash[wide[row_clash]]] = True
+    clash[column_clash[~wide[column_clash]]] = True
+    take = lambda x, side: x[side[groups[x]] & ~clash[groups[x]]]
+    return np.concatenate([take(rows, wide), take(columns, ~wide)]), np.flatnonzero(clash)
+
+
 def matched(pair_table: DataFrame, group: str, greedy: bool = False) -> DataFrame:
     """The pairs of a least-cost one-to-one assignment in each group (or closest first); ties to low indices.
 
@@ -64,7 +87,9 @@ def matched(pair_table: DataFrame, group: str, greedy: bool = False) -> DataFram
             ends = np.append(starts[1:], len(rows))
             whole = len(starts) if b is None else len(starts) - 1  # the last group may go on in the next batch
             i, j, costs = (rows[c].to_numpy() for c in ("i", "j", "cost"))
-            chosen = [a + k for a, z in zip(starts[:whole], ends[:whole]) for k in solve(i[a:z], j[a:z], costs[a:z])]
+            last = ends[whole - 1] if whole else 0
+            chosen, hard = uncontested(np.repeat(np.arange(whole), (ends - starts)[:whole]), i[:last], j[:last], costs[:last])
+            chosen = [*chosen, *(starts[g] + k for g in hard for k in solve(i[starts[g] : ends[g]], j[starts[g] : ends[g]], costs[starts[g] : ends[g]]))]
             held = rows.iloc[starts[-1] :] if whole < len(starts) else None
             yield rows.iloc[chosen]
 

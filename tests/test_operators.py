@@ -29,6 +29,20 @@ def test_assignment_is_optimal_and_no_worse_than_greedy(n, m, seed):
     assert total(N.closest_first(cost)) >= best - 1e-9
 
 
+def test_uncontested_groups_are_optimal():
+    rng = np.random.default_rng(2)
+    for _ in range(100):
+        shapes = [tuple(map(int, rng.integers(1, 5, 2))) for _ in range(4)]
+        costs = [rng.integers(0, 9, s).astype(float) for s in shapes]
+        rows = [(g, a, b, costs[g][a, b]) for g, s in enumerate(shapes) for a in range(s[0]) for b in range(s[1])]
+        g, i, j, c = (np.array(x) for x in zip(*rows))
+        chosen, left = match.uncontested(g, i, j, c)
+        for k in set(range(4)) - set(left.tolist()):
+            got = [(i[x], j[x]) for x in chosen if g[x] == k]
+            assert len(got) == min(shapes[k]) == len({a for a, _ in got}) == len({b for _, b in got})
+            assert sum(costs[k][p] for p in got) == sum(costs[k][p] for p in N.assignment(costs[k]))
+
+
 def test_tail_probabilities():
     assert N.binomial_p_value(43, 51) == pytest.approx(6.867e-07, rel=1e-3)
     assert N.beta_cdf(0.3, 2, 3) == pytest.approx(0.3483)
