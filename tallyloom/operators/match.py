@@ -97,18 +97,27 @@ def matched(pair_table: DataFrame, group: str, greedy: bool = False) -> DataFram
 
 
 def labels(curated: DataFrame, extracted: DataFrame, assigned: DataFrame, group: str, index: str, accept: float = P.ACCEPT) -> DataFrame:
-    """(group, verdict, i, j, penalty, reason, wrong): TP, MISMATCH, FN and FP of the groups that were extracted."""
-    empty = F.array().cast("array<string>")
-    good = F.col("gate") & (F.col("penalty") < accept)
-    met = assigned.select(group, F.when(good, "TP").otherwise("MISMATCH").alias("verdict"), "i", "j", F.round("penalty", 4).alias("penalty"), F.when(good, F.lit(None)).when(~F.col("gate"), "names differ").otherwise("numbers differ").alias("reason"), "wrong")
-    seen = extracted.select(group).distinct()
-    left = curated.join(seen, group, "left_semi").select(group, F.col(index).alias("i")).join(assigned.select(group, "i"), [group, "i"], "left_anti")
-    right = extracted.select(group, F.col(index).alias("j")).join(assigned.select(group, "j"), [group, "j"], "left_anti")
+    """(group, verdict, i, j, penalty, reason, wrong): TP, MISMATCH, FN and FP of the groups that were extracted.
+
+    Records and both sides of each pair meet in one grouping by (group, side, position), so the matching runs once.
+    """
+    kind = "struct<gate:boolean,penalty:double,j:bigint,wrong:array<string>>"
+    info = F.struct("gate", "penalty", F.col("j").cast("long").alias("j"), "wrong")
+    side = lambda name, place, what: F.struct(F.lit(name).alias("side"), F.col(place).cast("long").alias("place"), what.cast(kind).alias("info"))
     none = F.lit(None)
-    fn = left.select(group, F.lit("FN").alias("verdict"), "i", none.cast("long").alias("j"), none.cast("double").alias("penalty"), F.lit("no counterpart").alias("reason"), empty.alias("wrong"))
-    fp = right.select(group, F.lit("FP").alias("verdict"), none.cast("long").alias("i"), "j", none.cast("double").alias("penalty"), F.lit("no counterpart").alias("reason"), empty.alias("wrong"))
-    met = met.withColumns({"i": F.col("i").cast("long"), "j": F.col("j").cast("long")})
-    return met.unionByName(fn.withColumn("i", F.col("i").cast("long"))).unionByName(fp.withColumn("j", F.col("j").cast("long")))
+    met = assigned.select(group, F.explode(F.array(side("i", "i", info), side("j", "j", none))).alias("m")).select(group, "m.*", F.lit(True).alias("met"))
+    seen = extracted.select(group).distinct()
+    left = curated.join(seen, group, "left_semi").select(group, side("i", index, none).alias("m")).select(group, "m.*", F.lit(False).alias("met"))
+    right = extracted.select(group, side("j", index, none).alias("m")).select(group, "m.*", F.lit(False).alias("met"))
+    rows = met.unionByName(left).unionByName(right).groupBy(group, "side", "place").agg(F.first("info", ignorenulls=True).alias("info"), F.max("met").alias("met"))
+    first, pair = F.col("side") == "i", F.col("info")
+    good = pair["gate"] & (pair["penalty"] < accept)
+    verdict = F.when(~F.col("met"), F.when(first, "FN").otherwise("FP")).when(good, "TP").otherwise("MISMATCH")
+    reason = F.when(~F.col("met"), "no counterpart").when(good, none).when(~pair["gate"], "names differ").otherwise("numbers differ")
+    return rows.filter(first | ~F.col("met")).select(
+        group, verdict.alias("verdict"), F.when(first, F.col("place")).alias("i"), F.when(first, pair["j"]).otherwise(F.col("place")).alias("j"),
+        F.round(pair["penalty"], 4).alias("penalty"), reason.alias("reason"), F.coalesce(pair["wrong"], F.array().cast("array<string>")).alias("wrong"),
+    )
 
 
 def totals(label_table: DataFrame, *by: str) -> DataFrame:
