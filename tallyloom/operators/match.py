@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,24 +76,24 @@ def matched(pair_table: DataFrame, group: str, greedy: bool = False) -> DataFram
         cost[at_row, at_column], place[at_row, at_column] = costs, np.arange(len(i))
         return [place[x] for x in (closest_first if greedy else assignment)(cost) if place[x] >= 0]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for b in chain(batches, [None]):
-            rows = b if held is None else held if b is None else pd.concat([held, b], ignore_index=True)
-            if rows is None or not len(rows):
+            table = pa.Table.from_batches(held if b is None else [*held, b]) if held or b is not None else None
+            if table is None or not len(table):
                 continue
-            keys = rows[group].to_numpy()
+            rows = table.combine_chunks().to_batches()[0]
+            keys, i, j, costs = (rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in (group, "i", "j", "cost"))
             starts = np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1)
-            ends = np.append(starts[1:], len(rows))
+            ends = np.append(starts[1:], len(keys))
             whole = len(starts) if b is None else len(starts) - 1  # the last group may go on in the next batch
-            i, j, costs = (rows[c].to_numpy() for c in ("i", "j", "cost"))
             last = ends[whole - 1] if whole else 0
             chosen, hard = uncontested(np.repeat(np.arange(whole), (ends - starts)[:whole]), i[:last], j[:last], costs[:last])
             chosen = [*chosen, *(starts[g] + k for g in hard for k in solve(i[starts[g] : ends[g]], j[starts[g] : ends[g]], costs[starts[g] : ends[g]]))]
-            held = rows.iloc[starts[-1] :] if whole < len(starts) else None
-            yield rows.iloc[chosen]
+            held = [rows.slice(starts[-1])] if whole < len(starts) else []
+            yield rows.take(pa.array(chosen, pa.int64()))
 
-    return pair_table.filter(F.col(group).isNotNull()).repartition(group).sortWithinPartitions(group, "i", "j").mapInPandas(run, fields)
+    return pair_table.filter(F.col(group).isNotNull()).repartition(group).sortWithinPartitions(group, "i", "j").mapInArrow(run, fields)
 
 
 def labels(curated: DataFrame, extracted: DataFrame, assigned: DataFrame, group: str, index: str, accept: float = P.ACCEPT) -> DataFrame:
