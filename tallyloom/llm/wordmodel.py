@@ -1,0 +1,96 @@
+"""A word n-gram model of the corpus, as Spark jobs: distinct word trigrams, and scores by a join of hashed words.
+
+The model is interpolated modified Kneser-Ney at the orders whose counts are continuation counts: a bigram counts
+once for each distinct word before it, a word once for each distinct word before it.  Copies of a text add no
+trigram, so they do not make it likely; a gram with one such neighbour is scored as the rest would.  Words carry
+no language: a text that mixes languages finds the words of both.
+
+All tables (trigrams, bigrams, words, grams of each text) grow with the input; none is brought to the driver or
+broadcast.  Words are 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from . import _text as T
+from ._io import stored
+
+#: Stands for the places before a text.
+START = np.uint64(0x243F6A8885A308D3)
+
+
+def word_triples(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The word at each place of a slice with the two before it (3 x words), and the text of each."""
+    w = T.words_of(texts)
+    out = np.full((3, len(w.hashes)), START, np.uint64)
+    out[2] = w.hashes
+    for j in (1, 2):
+        same = w.text[j:] == w.text[:-j]
+        out[2 - j, j:][same] = w.hashes[:-j][same]
+    return out, w.text
+
+
+def trigrams(docs: DataFrame) -> DataFrame:
+    """The distinct (a, b, c) of all texts of ``docs`` (_text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch["_text"].to_pylist()
+            for s in T.slices(texts):
+                triples, _ = word_triples(texts[s])
+                key = T.mix(triples[0])
+                for row in triples[1:]:
+                    key = T.mix(key * np.uint64(0x9E3779B97F4A7C15) + row)
+                _, first = np.unique(key, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(row[first].view(np.int64)) for row in triples], ["a", "b", "c"])
+
+    return docs.select("_text").mapInArrow(run, "a long, b long, c long").distinct()
+
+
+def _cut(counts: DataFrame) -> Column:
+    """The discount of a count n, from the counts of counts of all rows."""
+    got = counts.agg(*(F.count_if(F.col("n") == i) for i in (1, 2, 3, 4))).first()
+    y = got[0] / (got[0] + 2 * got[1]) if got[0] else 0.0
+    d = [min(max(i - (i + 1) * y * got[i] / got[i - 1] if got[i - 1] else i / 2, 0.1), i - 0.1) for i in (1, 2, 3)]
+    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+
+
+def model(docs: DataFrame) -> DataFrame:
+    """(b, c, p1, p2): log probabilities of the word c, by itself and after b, for each bigram of the corpus."""
+    pairs = stored(trigrams(docs).groupBy("b", "c").agg(F.count(F.lit(1)).alias("n")))
+    words = stored(pairs.groupBy("c").agg(F.count(F.lit(1)).alias("n")))
+    words = words.withColumn("cut", _cut(words))
+    all_ = words.agg(F.sum("n").alias("n"), F.sum("cut").alias("cut"), F.count(F.lit(1)).alias("size")).first()
+    total = float(all_["n"] or 1)
+    rest = (all_["cut"] or 0.0) / total / (all_["size"] + 1)
+    words = words.select("c", F.when(F.col("n") > 1, (F.col("n") - F.col("cut")) / total + rest).otherwise(F.lit(rest)).alias("q"), ((F.col("n") - F.col("cut")) / total + rest).alias("p"))
+    pairs = pairs.withColumn("cut", _cut(pairs))
+    contexts = pairs.groupBy("b").agg(F.sum("n").alias("all"), (F.sum("cut") / F.sum("n")).alias("weight"))
+    rows = pairs.join(contexts, "b").join(words, "c")
+    seen = (F.col("n") - F.col("cut")) / F.col("all") + F.col("weight") * F.col("p")
+    apart = F.when(F.col("n") > 1, seen).when(F.col("all") > 1, F.col("weight") * F.col("q")).otherwise(F.col("q"))
+    return rows.select("b", "c", F.log("q").cast("float").alias("p1"), F.log(apart).cast("float").alias("p2"))
+
+
+def log_p(docs: DataFrame) -> DataFrame:
+    """(rid, words_p, bigrams_p): sums of log probabilities over the words of each text of ``docs`` (rid, _text) with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, rids = batch["_text"].to_pylist(), batch["rid"].to_numpy()
+            for s in T.slices(texts):
+                (_, b, c), text = word_triples(texts[s])
+                key = T.mix(T.mix(T.mix(b) * np.uint64(0x9E3779B97F4A7C15) + c) + text.astype(np.uint64))
+                _, first, n = np.unique(key, return_index=True, return_counts=True)
+                first, n = first[order := np.argsort(first)], n[order]
+                yield pa.RecordBatch.from_arrays([pa.array(rids[s][text[first]]), pa.array(b[first].view(np.int64)), pa.array(c[first].view(np.int64)), pa.array(n.astype(np.int32))], ["rid", "b", "c", "n"])
+
+    own = docs.select("rid", "_text").mapInArrow(run, "rid long, b long, c long, n int")
+    found = own.select("rid", F.xxhash64("b", "c").alias("k"), "n").join(model(docs).select(F.xxhash64("b", "c").alias("k"), "p1", "p2"), "k")
+    return stored(found.groupBy("rid").agg(F.sum(F.col("n") * F.col("p1")).alias("words_p"), F.sum(F.col("n") * F.col("p2")).alias("bigrams_p")))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyloom.llm import ann, bpe, html_extract, jaccard, langid, packing, pii, quality, suffix, tokencount
+from tallyloom.llm import ann, bpe, html_extract, jaccard, langid, packing, pii, quality, suffix, tokencount, wordmodel
 from tallyloom.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -230,6 +230,20 @@ def test_quality_counts_and_model(spark, odd, monkeypatch):
     assert quality.keep(docs).columns == docs.columns and quality.keep(docs).count() == sum(r["kept"] for r in rows.values())
 
 
+def test_word_model_sees_order_and_grows(spark):
+    texts = [" ".join(prose(30 + i, 200)) for i in range(6)] + [None, "", "one"]
+    words = [WORD.findall(t or "") for t in texts]
+    want = {x for w in words for x in zip([None, None, *w], [None, *w], w)}
+    docs = lambda x: spark.createDataFrame(list(enumerate(t or "" for t in x)), "rid long, _text string")
+    assert wordmodel.trigrams(docs(texts)).count() == len(want)
+    before = collections.Counter((b, c) for _, b, c in want)
+    pairs = wordmodel.model(docs(texts)).toPandas()
+    assert len(pairs) == len(before) and (pairs.p1 < 0).all() and (pairs.p2 < 0).all()
+    cycle = "a b c d e f g h"
+    got = {r["rid"]: r for r in wordmodel.log_p(docs([f"{p} {cycle}" for p in "klmnopqr"] + [f"{p} h c f a e b g d" for p in "st"])).collect()}
+    assert got[0]["bigrams_p"] > got[8]["bigrams_p"] + 1 and set(got) == set(range(10))
+
+
 def test_model_is_a_distribution(spark):
     grams = quality.gram_counts(table(spark, [" ".join(prose(3, 200)), "ab abc abd b"]).select("lang", "text"))
     model = quality.SortedModel.by_language(quality.kneser_ney(grams, leave_out=False))["en"]
