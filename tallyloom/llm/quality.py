@@ -1,6 +1,10 @@
-"""Quality rules: fixed counts, and bands on the perplexity of a character n-gram model.
+"""Quality rules: fixed counts, and bands on the perplexity of a word n-gram and a character n-gram model.
 
-The model is an interpolated modified Kneser-Ney model of character four-grams inside words (the end of a word
+The word model (``wordmodel``) scores each text by its words and by its words in order.  Its bands lie ``WORD_WIDTHS``
+robust deviations from the median of the scores of the texts of a language that pass the fixed rules, wider for short
+texts.  A language with fewer than ``SPREAD_TEXTS`` such texts shows no spread, so its texts get no verdict from it.
+
+The character model is an interpolated modified Kneser-Ney model of character four-grams inside words (the end of a word
 is predicted too), one for each ``lang`` (null counts as a language of its own, ``""``).  Spark counts the
 four-grams of *all* texts; lower orders use continuation counts, and each order and language has the three
 discounts of its own counts of counts.  The probabilities are kept as arrays sorted by the gram's 64-bit hash
@@ -10,11 +14,12 @@ A text's score is its mean negative log probability a symbol; a four-gram that n
 is scored as the rest of the corpus would, else odd texts would be judged by what they taught.  For each language the bands lie ``WIDTH``
 robust deviations from the median of the scores of all texts that pass the fixed rules, but never nearer than a
 factor of ``FACTOR`` in perplexity, which spares clean texts in even corpora; they are wider for short texts,
-whose means vary more.  A text outside is rejected.
+whose means vary more.  A text outside any band is rejected.
 
 Defined results: a null text counts as empty (no words, so it fails the fixed rules); texts that fail them get
 no verdict from the model; repeated rows and ids are judged one by one; an empty table gives an empty result;
-columns other than id, text and lang are passed on by ``keep`` and not read.
+columns other than id, text and lang are passed on by ``keep`` and not read.  The rows of ``docs`` are read more than
+once and numbered as read, so ``docs`` should be a table or a stored step, whose rows come in the same partitions each time.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from . import wordmodel
 from ._arrow import with_columns
 from ._grams import distinct_words, gram_counts
 from ._io import stored, text_column
@@ -38,6 +44,11 @@ REPEAT_PERCENT = 20
 WIDTH = 8.0
 FACTOR = 3.0
 SHORT = 300.0  # symbols at which the band is sqrt(2) times as wide
+#: Deviations of the word model's bands, by column; words at which they are sqrt(2) times as wide; the least deviation.
+WORD_WIDTHS = {"words": 5.0, "bigrams": 6.0}
+SHORT_WORDS = 50.0
+LEAST_SPREAD = 0.05
+SPREAD_TEXTS = 20
 #: Model rows up to which the sorted arrays are broadcast (16 bytes each); beyond, scores come from a join.
 BROADCAST_ROWS = 4_000_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)  # odd: a bijection of 64-bit integers
@@ -203,7 +214,7 @@ def _base_failed() -> F.Column:
 def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(scored, bands): every row's id, carried columns, counts and score, lazily; and the bands of each language, stored."""
     spark = docs.sparkSession
-    read = docs.select(docs[id].alias("_id"), text_column(docs, text).alias("_text"), F.coalesce(docs[lang].cast("string"), F.lit("")).alias("_lang"), *(docs[c].alias(f"_c{i}") for i, c in enumerate(carry)))
+    read = docs.select(F.monotonically_increasing_id().alias("rid"), docs[id].alias("_id"), text_column(docs, text).alias("_text"), F.coalesce(docs[lang].cast("string"), F.lit("")).alias("_lang"), *(docs[c].alias(f"_c{i}") for i, c in enumerate(carry)))
     grams = gram_counts(read.select(F.col("_lang").alias("lang"), F.col("_text").alias("text")))
     model = stored(kneser_ney(grams))
     rows = read.withColumn("lang_key", F.col("_lang"))
@@ -212,12 +223,20 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
         made = lambda r: _annotated(r, shared)
     else:
         made = lambda r: _joined(r, model)
-    scored = made(rows).withColumn("score", F.when(F.col("symbols") > 0, -F.col("log_p") / F.col("symbols")))
-    slim = made(rows.select("_text", "_lang", "lang_key"))
-    slim = slim.withColumn("score", F.when(F.col("symbols") > 0, -F.col("log_p") / F.col("symbols"))).filter(~_base_failed())
-    q = slim.groupBy("lang_key").agg(F.percentile_approx("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10_000)).alias("q"))
-    unit = (F.col("q")[2] - F.col("q")[0]) / 1.349 + 1e-3
-    bands = stored(q.select("lang_key", F.col("q")[1].alias("middle"), unit.alias("unit")))
+    by_words = wordmodel.log_p(read.select("rid", "_text"))
+
+    def with_scores(r: DataFrame) -> DataFrame:
+        r = made(r).join(by_words, "rid", "left").drop("rid")
+        by_word = {c: F.when(F.col("n_words") > 0, -F.col(f"{c}_p") / F.col("n_words")) for c in WORD_WIDTHS}
+        return r.withColumns({"score": F.when(F.col("symbols") > 0, -F.col("log_p") / F.col("symbols")), **by_word})
+
+    scored = with_scores(rows)
+    slim = with_scores(rows.select("rid", "_text", "_lang", "lang_key")).filter(~_base_failed())
+    quartiles = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10_000)).alias(c) for c in ("score", *WORD_WIDTHS)]
+    q = slim.groupBy("lang_key").agg(F.count(F.lit(1)).alias("texts"), *quartiles)
+    spread = lambda c: (F.col(c)[2] - F.col(c)[0]) / 1.349
+    by_word = [x for c in WORD_WIDTHS for x in (F.col(c)[1].alias(f"{c}_middle"), F.greatest(spread(c), F.lit(LEAST_SPREAD)).alias(f"{c}_unit"))]
+    bands = stored(q.select("lang_key", "texts", F.col("score")[1].alias("middle"), (spread("score") + 1e-3).alias("unit"), *by_word))
     return scored, bands
 
 
@@ -249,13 +268,18 @@ def _kept(bands: DataFrame, scored: DataFrame) -> DataFrame:
     reach = F.greatest(WIDTH * F.col("unit"), F.log(F.lit(FACTOR))) * F.sqrt(1 + SHORT / F.greatest(F.col("symbols"), F.lit(1)))
     rows = rows.withColumn("lower_band", F.col("middle") - reach).withColumn("upper_band", F.col("middle") + reach).withColumn("base_failed", _base_failed())
     inside = F.coalesce(F.col("score").between(F.col("lower_band"), F.col("upper_band")), F.lit(False))
+    for c, width in WORD_WIDTHS.items():
+        reach = F.when(F.col("texts") >= SPREAD_TEXTS, width * F.col(f"{c}_unit") * F.sqrt(1 + SHORT_WORDS / F.greatest(F.col("n_words"), F.lit(1))))
+        rows = rows.withColumns({f"{c}_lower": F.col(f"{c}_middle") - reach, f"{c}_upper": F.col(f"{c}_middle") + reach})
+        inside &= F.coalesce(F.col(c).between(F.col(f"{c}_lower"), F.col(f"{c}_upper")), F.lit(True))
     return rows.withColumn("kept", ~F.col("base_failed") & inside)
 
 
 def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """A verdict for every row: id, the fixed counts, base_failed, kept, perplexity, and the bands it was held to."""
     scored, bands = scores(docs, id, text, lang)
-    return _kept(bands, scored).select(F.col("_id").alias(id), *BASE, "base_failed", "kept", F.exp("score").alias("perplexity"), F.exp("lower_band").alias("lower_band"), F.exp("upper_band").alias("upper_band"))
+    by_word = [F.exp(c + end).alias(c + (end or "_perplexity")) for c in WORD_WIDTHS for end in ("", "_lower", "_upper")]
+    return _kept(bands, scored).select(F.col("_id").alias(id), *BASE, "base_failed", "kept", F.exp("score").alias("perplexity"), F.exp("lower_band").alias("lower_band"), F.exp("upper_band").alias("upper_band"), *by_word)
 
 
 def keep(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -230,6 +230,16 @@ def test_quality_counts_and_model(spark, odd, monkeypatch):
     assert quality.keep(docs).columns == docs.columns and quality.keep(docs).count() == sum(r["kept"] for r in rows.values())
 
 
+def test_planted_junk_is_rejected(spark):
+    """Words of the corpus with symbols after them, as the character model lets through; mixed and copied texts are clean."""
+    one, two = prose(21, 9000, 900), [w.upper() for w in prose(22, 9000, 900)]
+    clean = [" ".join(words[100 * i : 100 * i + 100]) for words in (one, two) for i in range(90)]
+    clean += [" ".join(one[:60] + two[:60]), *[clean[3]] * 5]
+    junk = [" ".join(w + ("***", "###", "&&&", "%%%")[j % 4] for j, w in enumerate(one[100 * i : 100 * i + 100])) for i in range(4)]
+    rows = {r["doc_id"]: r for r in quality.judge(table(spark, clean + junk, (["aa"] * 90 + ["bb"] * 90 + ["aa"] * 10))).collect()}
+    assert all(rows[i]["kept"] for i in range(len(clean))) and not any(rows[i]["kept"] or rows[i]["base_failed"] for i in range(len(clean), len(rows)))
+
+
 def test_word_model_sees_order_and_grows(spark):
     texts = [" ".join(prose(30 + i, 200)) for i in range(6)] + [None, "", "one"]
     words = [WORD.findall(t or "") for t in texts]
