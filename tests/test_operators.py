@@ -191,6 +191,14 @@ def test_bundles_chunks_and_audit(spark, tmp_path):
     assert [(r["kind"], r["text"]) for r in markup.blocks(page, "k", "h").collect()] == [("heading", "T"), ("text", "a b"), ("table", "| x\\|y |  |\n| --- | --- |\n| 1 | 2 |")]
 
 
+def test_tables_keep_all_their_text(spark):
+    page = lambda h: [(r["kind"], r["text"]) for r in markup.blocks(spark.createDataFrame([(1, h)], "k int, h string"), "k", "h").orderBy("pos").collect()]
+    assert page("<table><caption>Cap</caption><tr><td>1</td></tr>loose<tr><td>2</td></tr></table>") == [("heading", "Cap"), ("text", "loose"), ("table", "| 1 |\n| --- |\n| 2 |")]
+    assert page("<p>a</p><table><tr><td>1</td><td>2 <p>after") == [("text", "a"), ("table", "| 1 | 2 after |\n| --- | --- |")]
+    assert page("<table><tr><td>1</td></tr><p>later") == [("text", "later"), ("table", "| 1 |\n| --- |")]
+    assert page("<table><tr><td>x<table><tr><td>in</td></tr></table>y</td><td>z</td></tr></table>") == [("table", "| in |\n| --- |"), ("table", "| xy | z |\n| --- | --- |")]
+
+
 def test_sinks_metrics_and_resume(spark, tmp_path):
     df = spark.createDataFrame([(1, ["a", "b"], None), (2, [], "x")], "id int, tags array<string>, s string")
     assert sinks.digest(df.repartition(3)).first() == sinks.digest(df.orderBy(F.desc("id"))).first()
