@@ -298,6 +298,15 @@ def test_near_duplicates(spark, monkeypatch):
     assert jaccard.first_of_each(df).columns == df.columns
 
 
+def test_a_large_component_is_verified_by_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    sets = spark.range(640).select(F.lit(0).cast("long").alias("comp"), F.col("id").alias("rid"), (F.col("id") % 40).alias("block"), F.lit(40).cast("long").alias("blocks"), F.lit(b"").alias("shingles"))
+    small = spark.range(700, 740).select(F.col("id").alias("comp"), F.col("id").alias("rid"), F.lit(0).cast("long").alias("block"), F.lit(1).cast("long").alias("blocks"), F.lit(b"").alias("shingles"))
+    slots = jaccard._dealt(sets.union(small)).groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("comp", "i", "j").alias("pairs"), F.min("comp").alias("comp")).toPandas()
+    large = slots[slots.comp == 0]
+    assert len(large) == 40 * 41 // 2 and large.n.max() == 32 and (large.pairs == 1).all() and slots[slots.comp > 0].n.sum() == 40 and len(slots) <= len(large) + 2
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer, models
 
