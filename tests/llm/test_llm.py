@@ -358,18 +358,33 @@ def test_token_counts(spark):
     assert rows[0]["n_tokens"] == rows[1]["n_tokens"] == counts["a"] + counts["hello"] and rows[2]["n_tokens"] == 0
 
 
-def test_repeated_passages(spark):
-    shared, other = prose(9, 120), prose(10, 49)
-    texts = [" ".join(prose(11, 80) + shared), "\n".join(shared + prose(12, 30)), " ".join(prose(13, 20) + shared[30:100] + prose(14, 20)), " ".join(prose(15, 10) + other), " ".join(other + prose(16, 10)), " ".join(shared), "w " * 200, None, "", " ".join(shared[:49])]
-    df = table(spark, texts)
-    got, seen = {r["doc_id"]: r for r in suffix.deduplicated(df).collect()}, set()
-    for i, t in enumerate(texts):
+def _covered(texts):
+    """Words of each text in a 50-word window that occurred before."""
+    seen, out = set(), []
+    for t in texts:
         w, cover = WORD.findall(t or ""), set()
         for s in range(len(w) - 49):
             key = tuple(w[s : s + 50])
             cover |= set(range(s, s + 50)) if key in seen else set()
             seen.add(key)
-        r = got[i]
+        out.append(cover)
+    return out
+
+
+@pytest.mark.parametrize("group", [20_000, 3])  # the second settles crowded keys window by window
+def test_repeated_passages(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix, "GROUP", group)
+    shared, other = prose(9, 120), prose(10, 49)
+    texts = [" ".join(prose(11, 80) + shared), "\n".join(shared + prose(12, 30)), " ".join(prose(13, 20) + shared[30:100] + prose(14, 20)), " ".join(prose(15, 10) + other), " ".join(other + prose(16, 10)), " ".join(shared), "w " * 200, None, "", " ".join(shared)]
+    rng = np.random.default_rng(1)
+    for i in range(60):  # passages of 30 to 90 words of two sources, in any surroundings
+        source, n = (shared, prose(17, 150))[i % 2], int(rng.integers(30, 90))
+        a = int(rng.integers(0, len(source) - min(n, len(source)) + 1))
+        texts.append(" ".join(prose(100 + i, int(rng.integers(0, 30))) + source[a : a + n] + prose(200 + i, int(rng.integers(0, 30)))))
+    texts += [" ".join(prose(300 + i, 5) + other + prose(400 + i, 5)) for i in range(30)]
+    got = {r["doc_id"]: r for r in suffix.deduplicated(table(spark, texts)).collect()}
+    for i, (t, cover) in enumerate(zip(texts, _covered(texts))):
+        w, r = WORD.findall(t or ""), got[i]
         assert {x for a, z in r["spans"] for x in range(a, z)} == cover and r["n_removed"] == len(cover)
         assert WORD.findall(r["text"] or "") == [x for j, x in enumerate(w) if j not in cover]
         if not cover:
