@@ -2,17 +2,25 @@
 
 Each kind has a pattern and a validity test (Luhn for cards, mod 97 for IBANs, octets, area numbers, calendar).
 A valid value is permuted by a keyed Feistel network within its format, so the same value gets the same
-pseudonym in every document and two values never share one:
+pseudonym in every document and two values of a kind never share one:
 
-* cards: the digits between the first and the last; the last is the new Luhn digit;
+* cards: the digits between the first and the last; the last is the new Luhn digit.  Of digits that run on after a
+  card, the longest start that ends with a group of digits and passes the test is the card;
 * social security numbers: over valid areas and the digits after them; phone numbers: the digits after the first;
 * IPv4 addresses: 32 bits; IBANs: the account part, with new check digits;
-* dates from 1900 to 2099: their 73,049 days, written as the value was;
+* dates from 1900 to 2099: their 73,049 days, written as the value was (order, separators, with or without leading
+  zeros).  A date with slashes is month first if it can be; those that cannot are permuted among themselves, by
+  walking the cycle until the day is over 12 again, so the two readings never meet;
 * e-mail addresses (all but the last label) and secrets: each letter and digit within its own class.
 
-The round function is SHA-256 of key, kind, round and the other half.  Values that fail the test stay.
+The round function is SHA-256 of key, kind, round and the other half.  The key is ``spark.tallyloom.pseudonymKey`` of
+the session; the one in the source serves tests only, as anyone can undo it.  Kinds are tried in the order of
+``KINDS`` over what is still original text: a value that was replaced is never read again, so where matches overlap
+the earlier kind has it.  Values that fail the test stay.
+
 Defined results: a null text stays null with no values found, an empty one empty; every row is kept, repeated or
-not; a column of the table that shares a helper's name is not touched (helpers carry a random suffix).
+not; a column of the table that shares a helper's name is not touched (helpers carry a random suffix), one that is
+named like the count is replaced by it.
 """
 
 from __future__ import annotations
@@ -24,7 +32,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = "tallyloom"
+KEY_CONF = "spark.tallyloom.pseudonymKey"
 ROUNDS = 8
+#: Steps of a walk along a cycle; each ends it with a probability over a half.
+WALK = 64
 #: Days from 1900-01-01 to 2099-12-31 as a product, for a Feistel network of unequal halves.
 DAYS = (17, 4297)
 FIRST_DAY = "1900-01-01"
@@ -120,13 +131,22 @@ def mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), step)
 
 
+def _card_of(m: Column) -> Column:
+    """The longest start of ``m`` of 13 to 19 digits which ends where a group of digits ends and passes the test; null if none."""
+    def start(n: int) -> Column:
+        found = F.regexp_extract(m, rf"^\d(?:[ -]?\d){{{n - 1}}}(?!\d)", 0)
+        return _let(found, lambda c: F.when((c != "") & (luhn_sum(_digits(c), 1) % 10 == 0), c))
+
+    return F.coalesce(*(start(n) for n in range(19, 12, -1)))
+
+
 def _card(m: Column, key: str) -> Column:
-    def made(d: Column) -> Column:
+    def made(d: Column, card: Column) -> Column:
         body = lambda d: F.concat(d.substr(F.lit(1), F.lit(1)), permuted_digits(d.substr(F.lit(2), F.length(d) - 2), key, "card"))
         whole = _let(body(d), lambda b: F.concat(b, F.pmod(-luhn_sum(b, 0), F.lit(10)).cast("string")))
-        return _let(whole, lambda w: _written(w, m, "[0-9]"))
+        return F.concat(_let(whole, lambda w: _written(w, card, "[0-9]")), m.substr(F.length(card) + 1, F.length(m)))
 
-    return _let(_digits(m), made)
+    return _let(_card_of(m), lambda card: _let(_digits(card), lambda d: made(d, card)))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -162,24 +182,38 @@ def _iban(m: Column, key: str) -> Column:
     return _let(F.replace(m, F.lit(" "), F.lit("")), made)
 
 
-#: How dates are written: pattern of the text and format.
-_DATES = (("^\\d{4}-", "yyyy-MM-dd"), ("^\\d{1,2}\\.", "dd.MM.yyyy"), ("^(?:0?[1-9]|1[0-2])/", "MM/dd/yyyy"), ("/", "dd/MM/yyyy"))
+#: How dates are written: pattern of the text, format, format without leading zeros.
+_DATES = ((r"^\d{4}-", "yyyy-MM-dd", "yyyy-M-d"), (r"^\d{1,2}\.", "dd.MM.yyyy", "d.M.yyyy"), (r"^(?:0?[1-9]|1[0-2])/", "MM/dd/yyyy", "M/d/yyyy"), ("/", "dd/MM/yyyy", "d/M/yyyy"))
+_DAY_FIRST = r"^(?!(?:0?[1-9]|1[0-2])/)\d{1,2}/"
 
 
 def _padded(m: Column) -> Column:
-    return F.regexp_replace(m, "(?<!\\d)(\\d)(?!\\d)", "0$1")
+    return F.regexp_replace(m, r"(?<!\d)(\d)(?!\d)", "0$1")
 
 
 def _day(m: Column) -> Column:
-    found = F.coalesce(*(F.when(m.rlike(p), F.to_date(F.try_to_timestamp(_padded(m), F.lit(f)))) for p, f in _DATES))
+    found = F.coalesce(*(F.when(m.rlike(p), F.to_date(F.try_to_timestamp(_padded(m), F.lit(f)))) for p, f, _ in _DATES))
     return F.datediff(found, F.lit(FIRST_DAY).cast("date"))
 
 
+def _date_of(day: Column) -> Column:
+    return F.date_add(F.lit(FIRST_DAY).cast("date"), day.cast("int"))
+
+
 def _date(m: Column, key: str) -> Column:
-    pair = _let(_day(m).cast("long"), lambda d: permuted_pair(F.floor(d / DAYS[1]), d % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), key, "date"))
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), _let(pair, lambda p: (p["high"] * DAYS[1] + p["low"]).cast("int")))
-    readable = [F.when(m.rlike(p) & F.try_to_timestamp(_padded(m), F.lit(f)).isNotNull(), F.date_format(new, f)) for p, f in _DATES]
-    return F.coalesce(*readable)
+    def permuted(d: Column) -> Column:
+        pair = permuted_pair(F.floor(d / DAYS[1]), d % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), key, "date")
+        return _let(pair, lambda p: p["high"] * DAYS[1] + p["low"])
+
+    def walked(d: Column) -> Column:
+        step = lambda s, _: F.when((s >= 0) & (F.dayofmonth(_date_of(s)) > 12), s).otherwise(permuted(F.when(s < 0, -1 - s).otherwise(s)))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), -1 - d, step)  # negative: not yet moved
+
+    def written(day: Column) -> Column:
+        bare = m.rlike(r"(?<!\d)\d(?!\d)")
+        return F.coalesce(*(F.when(m.rlike(p), F.when(bare, F.date_format(_date_of(day), short)).otherwise(F.date_format(_date_of(day), long))) for p, long, short in _DATES))
+
+    return _let(_day(m).cast("long"), lambda d: _let(F.when(m.rlike(_DAY_FIRST), walked(d)).otherwise(permuted(d)), written))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -202,30 +236,54 @@ def _always(m: Column) -> Column:
     return F.lit(True)
 
 
+def _is_secret(m: Column) -> Column:
+    """A password may be any word; the value of a token or key holds a digit, else it is prose."""
+    return m.rlike("(?i)^(?:password|passwd|pwd)") | F.regexp_extract(m, _NAMED, 2).rlike("[0-9]")
+
+
 #: name: (pattern, validity, replacement), applied in this order.
 KINDS: dict[str, tuple[str, Callable, Callable]] = {
-    "secret": ("(?i)(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\\s*[=:]\\s*[\"']?[^\\s\"']{6,}", _always, _named_secret),
+    "secret": ("(?i)(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\\s*[=:]\\s*[\"']?[^\\s\"']{6,}", _is_secret, _named_secret),
     "access_key": ("(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])", _always, _access_key),
     "email": ("(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])", _always, _email),
     "iban": ("(?<![A-Z0-9])[A-Z]{2}\\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])", lambda m: _let(F.replace(m, F.lit(" "), F.lit("")), lambda v: F.length(v).between(15, 34) & (mod97(F.concat(v.substr(F.lit(5), F.length(v)), v.substr(F.lit(1), F.lit(4)))) == 1)), _iban),
     "ip": ("(?<![\\d.])\\d{1,3}(?:\\.\\d{1,3}){3}(?![\\d]|\\.\\d)", lambda m: F.forall(F.split(m, "\\."), lambda o: (o.cast("int") <= 255) & ((F.length(o) == 1) | ~o.startswith("0"))), _ip),
-    "card": ("(?<![\\d.-])\\d(?:[ -]?\\d){12,18}(?![\\d]|[.-]\\d)", lambda m: _let(_digits(m), lambda d: luhn_sum(d, 1) % 10 == 0), _card),
+    "card": ("(?<![\\d.-])\\d(?:[ -]?\\d){12,18}(?![\\d]|[.-]\\d)", lambda m: _card_of(m).isNotNull(), _card),
     "ssn": ("(?<![\\d-])\\d{3}-\\d{2}-\\d{4}(?![\\d-])", lambda m: ~m.substr(1, 3).isin("000", "666") & (m.substr(1, 1) != "9") & (m.substr(5, 2) != "00") & (m.substr(8, 4) != "0000"), _ssn),
     "phone": ("(?<![\\d+])(?:\\+\\d{1,3}[ .-]?(?:\\(\\d{1,4}\\)[ .-]?)?\\d{1,4}(?:[ .-]?\\d{2,4}){1,4}|(?:\\(\\d{3}\\) ?|(?<![\\d.-])\\d{3}[ .-])\\d{3}[ .-]\\d{4})(?![\\d]|[-]\\d)", lambda m: F.length(_digits(m)).between(8, 15), _phone),
     "date": ("(?<![\\d./-])(?:(?:19|20)\\d{2}-\\d{1,2}-\\d{1,2}|\\d{1,2}/\\d{1,2}/(?:19|20)\\d{2}|\\d{1,2}\\.\\d{1,2}\\.(?:19|20)\\d{2})(?![\\d/-]|\\.\\d)", lambda m: F.coalesce(_day(m).between(0, DAYS[0] * DAYS[1] - 1), F.lit(False)), _date),
 }
 
 
-def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY, counts: str | None = "n_replaced") -> DataFrame:
+def _swapped(text: Column, pattern: str, valid: Callable, made: Callable, key: str) -> Column:
+    """``text`` as parts (t, done): valid matches of the pattern replaced and done, what lies between them as it was."""
+    none = F.array().cast("array<struct<t:string,done:boolean>>")
+    part = lambda t, done: F.array(F.struct(t.alias("t"), F.lit(done).alias("done")))
+
+    def step(s: Column, x: Column) -> Column:
+        before, m = F.concat(s["open"], x["before"]), x["m"]
+        made_ = F.when(m.isNotNull() & valid(m), made(m, key))
+        return _let(made_, lambda new: F.struct(
+            F.when(new.isNull(), s["parts"]).otherwise(F.concat(s["parts"], part(before, False), part(new, True))).alias("parts"),
+            F.when(new.isNull(), F.concat(before, F.coalesce(m, F.lit("")))).otherwise(F.lit("")).alias("open"),
+        ))
+
+    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda b, m: F.struct(b.alias("before"), m.alias("m")))
+    return F.aggregate(pieces, F.struct(none.alias("parts"), F.lit("").alias("open")), step, lambda s: F.concat(s["parts"], part(s["open"], False)))
+
+
+def pseudonymised(docs: DataFrame, text: str = "text", key: str | None = None, counts: str | None = "n_replaced") -> DataFrame:
     """``docs`` with pseudonyms in the text column and, if asked for, the number of values replaced."""
-    tag = uuid.uuid4().hex[:8]
-    found, pieces, done, count = (f"_{n}_{tag}" for n in ("found", "pieces", "done", "count"))
-    out = docs.withColumns({done: F.col(text).cast("string"), count: F.lit(0).cast("long")})
-    for pattern, valid, made in KINDS.values():
-        out = out.withColumn(found, F.regexp_extract_all(done, F.lit(pattern), F.lit(0)))
-        swapped = F.transform(F.col(found), lambda m: F.when(valid(m), made(m, key)))  # noqa: B023
-        out = out.withColumn(pieces, F.when(F.size(found) > 0, swapped))
-        joined = F.array_join(F.zip_with(F.split(done, pattern, -1), F.zip_with(found, pieces, lambda m, s: F.coalesce(s, m)), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-        out = out.withColumns({done: F.when(F.size(pieces) > 0, joined).otherwise(F.col(done)), count: F.col(count) + F.coalesce(F.size(F.filter(pieces, lambda s: s.isNotNull())), F.lit(0)).cast("long") * (F.coalesce(F.size(found), F.lit(0)) > 0).cast("long")})
-    columns = [F.col(done).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*columns, *([F.col(count).alias(counts)] if counts else []))
+    key = key or docs.sparkSession.conf.get(KEY_CONF, KEY)
+    parts = f"_parts_{uuid.uuid4().hex[:8]}"
+    whole = F.struct(F.col(f"`{text}`").cast("string").alias("t"), F.lit(False).alias("done"))
+    out = docs.withColumn(parts, F.array(whole))
+
+    def split_by(pattern: str, valid: Callable, made: Callable) -> Callable[[Column], Column]:
+        return lambda s: F.when(~s["done"] & s["t"].rlike(pattern), _swapped(s["t"], pattern, valid, made, key)).otherwise(F.array(s))
+
+    for kind in KINDS.values():
+        out = out.withColumn(parts, F.flatten(F.transform(parts, split_by(*kind))))
+    done = F.when(F.col(f"`{text}`").isNotNull(), F.array_join(F.transform(parts, lambda s: s["t"]), ""))
+    columns = [done.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != counts]
+    return out.select(*columns, *([F.size(F.filter(parts, lambda s: s["done"])).cast("long").alias(counts)] if counts else []))

@@ -166,6 +166,113 @@ def test_pseudonyms(spark):
     assert re.fullmatch(r"mail [a-z]{3}\.[a-z]@[a-z]{2}\.org!", got[8][0]) and got[8][0] != texts[8]
 
 
+def _round(key, kind, r, x):
+    return hashlib.sha256(f"{key}|{kind}|{r}|{x}".encode()).hexdigest()
+
+
+def _pair(high, low, a, b, kind, key=pii.KEY):
+    for r in range(pii.ROUNDS):
+        if r % 2 == 0:
+            high = (high + int(_round(key, kind, r, low)[:12], 16)) % a
+        else:
+            low = (low + int(_round(key, kind, r, high)[:12], 16)) % b
+    return high, low
+
+
+def _digit_text(d, kind):
+    h = len(d) // 2
+    a, b = _pair(int(d[:h]), int(d[h:]), 10**h, 10 ** (len(d) - h), kind)
+    return f"{a:0{h}d}{b:0{len(d) - h}d}"
+
+
+def _letters(value, kind):
+    h = len(value) // 2
+    high, low = value[:h], value[h:]
+
+    def shifted(half, digest):
+        out = ""
+        for i, c in enumerate(half):
+            by = int(digest[2 * (i % 32) : 2 * (i % 32) + 2], 16)
+            base, size = (97, 26) if "a" <= c <= "z" else (65, 26) if "A" <= c <= "Z" else (48, 10) if "0" <= c <= "9" else (0, 0)
+            out += chr(base + (ord(c) - base + by) % size) if size else c
+        return out
+
+    for r in range(pii.ROUNDS):
+        if r % 2 == 0:
+            high = shifted(high, _round(pii.KEY, kind, r, low))
+        else:
+            low = shifted(low, _round(pii.KEY, kind, r, high))
+    return high + low
+
+
+def _over(shape, digits):
+    it = iter(digits)
+    return "".join(next(it) if c.isdigit() else c for c in shape)
+
+
+def _card(card):
+    d = re.sub(r"\D", "", card)
+    body = d[0] + _digit_text(d[1:-1], "card")
+    return _over(card, body + next(c for c in "0123456789" if _valid(body + c)))
+
+
+def _moved(day):
+    a, b = _pair(day // pii.DAYS[1], day % pii.DAYS[1], *pii.DAYS, "date")
+    return a * pii.DAYS[1] + b
+
+
+FIRST = datetime.date(1900, 1, 1)
+
+
+def test_pseudonyms_against_plain_python(spark):
+    """Every kind written out in Python, overlaps, cards that run on, both orders of dates, clashing names."""
+    day = lambda y, m, d: (datetime.date(y, m, d) - FIRST).days
+    to = lambda n: FIRST + datetime.timedelta(n)
+    late = _moved(day(1999, 12, 31))
+    while to(late).day <= 12:
+        late = _moved(late)
+    a, b = to(_moved(day(2001, 2, 28))), to(_moved(day(2001, 1, 5)))
+    ip = [10 * 256 + 20, 30 * 256 + 40]
+    ip = _pair(*ip, 65536, 65536, "ip")
+    area, rest = 123 - 1, 44 * 9999 + 6789 - 1
+    area, rest = _pair(area, rest, 898, 99 * 9999, "ssn")
+    ssn = f"{area + (2 if area >= 665 else 1):03d}-{rest // 9999 + 1:02d}-{rest % 9999 + 1:04d}"
+    account = _letters("370400440532013000", "iban")
+    check = 98 - int("".join(str(int(c, 36)) for c in account + "DE00")) % 97
+    iban = f"DE{check:02d}{account}"
+    phone = "1" + _digit_text("2125550199", "phone")
+    want = {
+        "pay 4111 1111 1111 1111 12/27 now": f"pay {_card('4111 1111 1111 1111')} 12/27 now",
+        "on 2001-02-28.": f"on {a.isoformat()}.",
+        "31/12/1999 it was": f"{to(late):%d/%m/%Y} it was",
+        "1/5/2001": f"{b.month}/{b.day}/{b.year}",
+        "05.01.2001": f"{b:%d.%m.%Y}",
+        "ip 10.20.30.40": f"ip {ip[0] // 256}.{ip[0] % 256}.{ip[1] // 256}.{ip[1] % 256}",
+        "ssn 123-45-6789": f"ssn {ssn}",
+        "DE89 3704 0044 0532 0130 00": " ".join(iban[i : i + 4] for i in range(0, 22, 4)),
+        "+1 (212) 555-0199": _over("+1 (212) 555-0199", phone),
+        "token: everybody": "token: everybody", "token: a1b2c3d4": "token: " + _letters("a1b2c3d4", "secret"), "password: everybody": "password: " + _letters("everybody", "secret"),
+        "bob@ex.org": _letters("bob@ex", "email") + ".org",
+    }
+    df = table(spark, list(want)).withColumn("n_replaced", F.lit("old"))
+    got = pii.pseudonymised(df)
+    assert got.columns == [c for c in df.columns if c != "n_replaced"] + ["n_replaced"]
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == dict(enumerate(want.values()))
+
+
+def test_dates_and_ibans_keep_apart(spark):
+    days = spark.range(73049).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d")).filter("id % 9 = 0")
+    texts = days.select(F.date_format("d", "MM/dd/yyyy").alias("text")).union(days.filter("day(d) > 12").select(F.date_format("d", "dd/MM/yyyy")))
+    got = pii.pseudonymised(texts)
+    assert got.filter("n_replaced <> 1").isEmpty() and got.select("text").distinct().count() == texts.count()
+    ibans = spark.range(300).select(F.format_string("DE%02d 3704 0044 0532 %04d 00", F.lit(0), F.col("id").cast("int")).alias("t"))
+    plain = F.replace(F.col("t"), F.lit(" "), F.lit(""))
+    right = ibans.select(F.concat(F.lit("DE"), F.lpad((98 - pii.mod97(F.concat(plain.substr(5, 18), F.lit("DE00")))).cast("string"), 2, "0"), F.col("t").substr(5, 40)).alias("text"))
+    for r in pii.pseudonymised(right).collect():
+        v = r["text"].replace(" ", "")
+        assert r["n_replaced"] == 1 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+
 def test_feistel_networks_are_permutations(spark):
     days = spark.range(17 * 101).select(pii.permuted_pair(F.floor(F.col("id") / 101), F.col("id") % 101, F.lit(17), F.lit(101), "k", "t").alias("p"))
     assert days.select("p.high", "p.low").distinct().count() == 17 * 101 and days.filter("p.high not between 0 and 16 or p.low not between 0 and 100").count() == 0
