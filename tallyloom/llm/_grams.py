@@ -22,13 +22,13 @@ def distinct_words(texts: list[str], letters: bool = False) -> tuple[T.Words, np
     return w, first, inverse, counts
 
 
-def slice_grams(texts: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
+def slice_grams(texts: list[str], letters: bool, order: int = 4, bits: int = 16) -> tuple[np.ndarray, np.ndarray]:
     w, first, _, counts = distinct_words(texts, letters)
-    grams, word = T.char_grams(w.codes, w.starts[first], w.ends[first])
+    grams, word = T.char_grams(w.codes, w.starts[first], w.ends[first], order, bits)
     return T.sums_by(grams, counts[word].astype(np.int64))
 
 
-def gram_counts(docs: DataFrame, letters: bool = False) -> DataFrame:
+def gram_counts(docs: DataFrame, letters: bool = False, order: int = 4, bits: int = 16) -> DataFrame:
     """(lang, gram, n) over all texts of ``docs`` (lang, text; neither null)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -44,7 +44,7 @@ def gram_counts(docs: DataFrame, letters: bool = False) -> DataFrame:
             for lang, group in b.groupby("lang"):
                 texts = group["text"].tolist()
                 for s in T.slices(texts):
-                    part = slice_grams(texts[s], letters)
+                    part = slice_grams(texts[s], letters, order, bits)
                     parts = held.setdefault(lang, [])
                     parts.append(part)
                     size += len(part[0])

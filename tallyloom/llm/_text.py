@@ -135,19 +135,21 @@ def windows_of(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, hashes[at]
 
 
-def fold16(codes: np.ndarray) -> np.ndarray:
-    """Code points as 16 bits: those beyond the first plane are hashed into its private-use area."""
-    high = codes > 0xFFFF
+def folded(codes: np.ndarray, bits: int) -> np.ndarray:
+    """Code points in ``bits`` bits: all but the last eighth are themselves, those beyond are hashed into it."""
+    room = 1 << bits - 3
+    own = np.uint64((1 << bits) - room)
     out = codes.astype(np.uint64)
+    high = out >= own
     if high.any():
-        out[high] = ((out[high] * np.uint64(2654435761)) >> np.uint64(16)) % np.uint64(0x1900) + np.uint64(0xE000)
+        out[high] = own + ((out[high] * np.uint64(2654435761)) >> np.uint64(16)) % np.uint64(room)
     return out
 
 
-def char_grams(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Four-grams of characters inside words, the end of the word included: (packed gram, index of the word).
+def char_grams(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: int = 4, bits: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams of characters inside words, the end of the word included: (packed gram, index of the word).
 
-    A gram is four 16-bit characters, oldest highest; places before the word hold ``BOUNDARY``.
+    A gram is ``order`` characters of ``bits`` bits, oldest highest; places before the word hold ``BOUNDARY``.
     """
     lengths = ends - starts + 1
     total = int(lengths.sum())
@@ -155,14 +157,14 @@ def char_grams(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     place = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     at = place + starts[word]
     last = place == lengths[word] - 1
-    char = fold16(codes[np.minimum(at, len(codes) - 1)])
+    char = folded(codes[np.minimum(at, len(codes) - 1)], bits)
     char[last] = BOUNDARY
     gram = char.copy()
-    for j in (1, 2, 3):
+    for j in range(1, order):
         earlier = np.full(total, BOUNDARY, np.uint64)
         inside = place >= j
         earlier[inside] = char[np.flatnonzero(inside) - j]
-        gram |= earlier << np.uint64(16 * j)
+        gram |= earlier << np.uint64(bits * j)
     return gram, word
 
 

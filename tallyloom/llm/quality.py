@@ -1,56 +1,49 @@
-"""Quality rules: fixed counts, and bands on the perplexity of a word n-gram and a character n-gram model.
+"""Quality rules: fixed counts, and perplexity bands for each language under a character n-gram model.
 
-The word model (``wordmodel``) scores each text by its words and by its words in order.  Its bands lie ``WORD_WIDTHS``
-robust deviations from the median of the scores of the texts of a language that pass the fixed rules, wider for short
-texts.  A language with fewer than ``SPREAD_TEXTS`` such texts shows no spread, so its texts get no verdict from it.
+The model is an interpolated modified Kneser-Ney model of character five-grams inside words (the end of a word is
+predicted too).  Spark counts the five-grams of *all* texts; lower orders use continuation counts, and each order
+has the three discounts of its own counts of counts.  One model serves all languages, so that a text which mixes them
+is not odd; the bands are those of its ``lang`` (null counts as a language of its own, ``""``).  A five-gram that occurs
+once in the corpus is scored as the rest of the corpus would, so that no text is judged by what only it has taught.
 
-The character model is an interpolated modified Kneser-Ney model of character four-grams inside words (the end of a word
-is predicted too), one for each ``lang`` (null counts as a language of its own, ``""``).  Spark counts the
-four-grams of *all* texts; lower orders use continuation counts, and each order and language has the three
-discounts of its own counts of counts.  The probabilities are kept as arrays sorted by the gram's 64-bit hash
-(a bijection, so equal hash means equal gram) and looked up by binary search.
+Every five-gram of the texts was counted, so its log probability is all that scoring needs.  These are kept as arrays
+sorted by the gram's 64-bit hash (a bijection, so equal hash means equal gram) and looked up by binary search.  They
+reach the tasks in blocks of about ``BLOCK`` grams, each in a pass of its own over the texts, whose partial sums Spark adds:
+no task, and not the driver, ever holds more than a block (16 bytes a gram), however large the model grows.
 
-A text's score is its mean negative log probability a symbol; a four-gram that no other place of the corpus has
-is scored as the rest of the corpus would, else odd texts would be judged by what they taught.  For each language the bands lie ``WIDTH``
-robust deviations from the median of the scores of all texts that pass the fixed rules, but never nearer than a
-factor of ``FACTOR`` in perplexity, which spares clean texts in even corpora; they are wider for short texts,
-whose means vary more.  A text outside any band is rejected.
+A text has two perplexities: for each symbol and for each word.  Symbols stuck to words make words dear;
+lists of words between separators make words cheap and symbols dear.  The bands of a language lie the deviations in
+``BANDS`` below and above the median over all its texts that pass the fixed rules; the deviation is the one observed
+(from quartiles), wider for short texts, whose means vary more.  A text outside any band is rejected.
 
 Defined results: a null text counts as empty (no words, so it fails the fixed rules); texts that fail them get
-no verdict from the model; repeated rows and ids are judged one by one; an empty table gives an empty result;
-columns other than id, text and lang are passed on by ``keep`` and not read.  The rows of ``docs`` are read more than
-once and numbered as read, so ``docs`` should be a table or a stored step, whose rows come in the same partitions each time.
+no verdict from the model; a language with fewer than ``SPREAD_TEXTS`` other texts shows no spread, so its bands are null
+and reject nothing; repeated rows and ids are judged one by one; an empty table gives an empty result; other columns are
+passed on by ``keep`` and not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from . import wordmodel
 from ._arrow import with_columns
 from ._grams import distinct_words, gram_counts
-from ._io import stored, text_column
+from ._io import numbered, release, stored, text_column
 
-ORDER = 4
+ORDER, BITS = 5, 12
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
-WIDTH = 8.0
-FACTOR = 3.0
-SHORT = 300.0  # symbols at which the band is sqrt(2) times as wide
-#: Deviations of the word model's bands, by column; words at which they are sqrt(2) times as wide; the least deviation.
-WORD_WIDTHS = {"words": 5.0, "bigrams": 6.0}
-SHORT_WORDS = 50.0
-LEAST_SPREAD = 0.05
+#: Deviations from the median to the lower and upper band of each perplexity.
+BANDS = {"symbol": (6.0, 3.5), "word": (3.5, 6.0)}
+SHORT_WORDS = 50.0  # words at which the bands are sqrt(2) times as wide
+LEAST_SPREAD = 1e-3
 SPREAD_TEXTS = 20
-#: Model rows up to which the sorted arrays are broadcast (16 bytes each); beyond, scores come from a join.
-BROADCAST_ROWS = 4_000_000
+#: Grams of the model that are held at once.
+BLOCK = 4_000_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)  # odd: a bijection of 64-bit integers
 _SYMBOLS = np.zeros(128, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -91,198 +84,137 @@ def base_counts(w: T.Words) -> dict[str, np.ndarray]:
 
 
 def _low(key: F.Column, order: int) -> F.Column:
-    return key.bitwiseAND(F.lit((1 << 16 * order) - 1))
+    return key.bitwiseAND(F.lit((1 << BITS * order) - 1))
+
+
+def _discount(counts: DataFrame) -> F.Column:
+    """What is taken off a count n, from the counts of counts of all rows."""
+    got = counts.agg(*(F.count_if(F.col("n") == i) for i in (1, 2, 3, 4))).first()
+    y = got[0] / (got[0] + 2 * got[1]) if got[0] else 0.0
+    d = [min(max(i - (i + 1) * y * got[i] / got[i - 1] if got[i - 1] else i / 2, 0.1), i - 0.1) for i in (1, 2, 3)]
+    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
 
 
 def kneser_ney(grams: DataFrame, leave_out: bool = True) -> DataFrame:
-    """(lang, order, context, key, value): log probabilities of grams, and log back-off weights of contexts.
+    """(key, value), stored: the log probability of the last character of each gram of ``grams`` (key, n) after the others.
 
-    With ``leave_out`` a four-gram that occurs once in the corpus gets the probability that the rest of the corpus
-    gives it, so that a text is not judged by what only it has taught the model.
+    With ``leave_out`` a gram that occurs once in the corpus gets the probability that the rest of the corpus gives it.
     """
-    counts = {ORDER: stored(grams.select("lang", F.col("gram").alias("key"), "n"))}
+    counts = {ORDER: stored(grams.select("key", "n"))}
     for o in range(ORDER - 1, 0, -1):
-        counts[o] = counts[o + 1].groupBy("lang", _low(F.col("key"), o).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    below, tables = None, []
+        counts[o] = stored(counts[o + 1].groupBy(_low(F.col("key"), o).alias("key")).agg(F.count(F.lit(1)).alias("n")))
+    below = None
     for o in range(1, ORDER + 1):
-        of = [F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
-        y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-        d = [F.least(F.greatest(F.coalesce(i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(i / 2)), F.lit(0.1)), F.lit(i - 0.1)) for i in (1, 2, 3)]
-        discounts = counts[o].groupBy("lang").agg(*of, F.count(F.lit(1)).alias("size")).select("lang", "size", *(d[i].alias(f"d{i + 1}") for i in range(3)))
-        rows = counts[o].join(F.broadcast(discounts), "lang")  # one row a language
-        rows = rows.withColumn("ctx", F.shiftrightunsigned("key", 16)).withColumn("cut", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        sums = rows.groupBy("lang", "ctx").agg(F.sum("n").alias("all"), F.sum("cut").alias("freed"))
-        rows = rows.join(sums, ["lang", "ctx"])
-        weight = F.col("freed") / F.col("all")
-        if o == 1:
-            rows = rows.withColumn("p_low", 1.0 / (F.col("size") + 1)).withColumn("q_low", F.col("p_low"))
+        rows = counts[o].withColumns({"ctx": F.shiftrightunsigned("key", BITS), "cut": _discount(counts[o])})
+        sums = rows.groupBy("ctx").agg(F.sum("n").alias("all"), F.sum("cut").alias("freed"))
+        rows = rows.join(sums, "ctx")
+        if below is None:
+            rows = rows.withColumns({"p_low": F.lit(1.0 / (counts[o].count() + 1)), "q_low": F.lit(1.0 / (counts[o].count() + 1))})
         else:
-            rows = rows.withColumn("low", _low(F.col("key"), o - 1)).join(below.select("lang", F.col("key").alias("low"), F.exp("value").alias("p_low"), F.exp("apart").alias("q_low")), ["lang", "low"])
-        value = (F.col("n") - F.col("cut")) / F.col("all") + weight * F.col("p_low")
-        apart = F.when(F.col("n") > 1, value).when(F.col("all") > 1, weight * F.col("q_low")).otherwise(F.col("q_low"))
-        p = stored(rows.select("lang", "key", "ctx", F.log(value).alias("value"), F.log(apart).alias("apart"), F.log(weight).alias("back")))
-        below = p
-        said = F.col("apart" if o == ORDER and leave_out else "value").alias("value")
-        tables.append(p.select("lang", F.lit(o).alias("order"), F.lit(False).alias("context"), "key", said))
-        tables.append(p.groupBy("lang", F.col("ctx").alias("key")).agg(F.first("back").alias("value")).select("lang", F.lit(o).alias("order"), F.lit(True).alias("context"), "key", "value"))
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
+            rows = rows.withColumn("low", _low(F.col("key"), o - 1)).join(below.select(F.col("key").alias("low"), F.col("p").alias("p_low"), F.col("q").alias("q_low")), "low")
+        weight = F.col("freed") / F.col("all")
+        p = (F.col("n") - F.col("cut")) / F.col("all") + weight * F.col("p_low")
+        q = F.when(F.col("n") > 1, p).when(F.col("all") > 1, weight * F.col("q_low")).otherwise(F.col("q_low"))
+        before, below = below, stored(rows.select("key", p.alias("p"), q.alias("q")))
+        release(*([before] if before is not None else []), counts[o])
+    return below.select("key", F.log("q" if leave_out else "p").alias("value"))
 
 
-class SortedModel:
-    """Log probabilities of one language in arrays sorted by hash; grams that were never seen back off."""
+class SortedBlock:
+    """Log probabilities of a block of grams in arrays sorted by hash; other grams count as 0."""
 
-    def __init__(self, kinds: np.ndarray, keys: np.ndarray, values: np.ndarray):
-        """``kinds``: twice the order, and one more for the back-off weights of contexts."""
-        self.arrays = {}
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
         hashes = keys.view(np.uint64) * _SPREAD
-        for kind in np.unique(kinds):
-            own = np.flatnonzero(kinds == kind)
-            own = own[np.argsort(hashes[own])]
-            self.arrays[int(kind) // 2, bool(kind % 2)] = hashes[own], values[own]
-
-    @staticmethod
-    def by_language(model: DataFrame) -> dict[str, SortedModel]:
-        """The models in a table of ``kneser_ney``, brought to the driver as Arrow arrays."""
-        rows = model.select("lang", (2 * F.col("order") + F.col("context").cast("int")).cast("byte").alias("kind"), "key", F.col("value").cast("float").alias("value")).toArrow()
-        langs = rows["lang"].combine_chunks().dictionary_encode()
-        codes, columns = langs.indices.to_numpy(), [rows[c].to_numpy() for c in ("kind", "key", "value")]
-        return {lang: SortedModel(*(c[codes == i] for c in columns)) for i, lang in enumerate(langs.dictionary.to_pylist())}
-
-    def find(self, order: int, context: bool, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if (order, context) not in self.arrays:
-            return np.zeros(len(keys), bool), np.zeros(len(keys))
-        have, values = self.arrays[order, context]
-        hashes = keys * _SPREAD
-        at = np.minimum(np.searchsorted(have, hashes), len(have) - 1)
-        return have[at] == hashes, values[at]
-
-    def log_p(self, grams: np.ndarray, order: int = ORDER) -> np.ndarray:
-        hit, value = self.find(order, False, grams)
-        if hit.all():
-            return value
-        miss = ~hit
-        rest = grams[miss]
-        seen, back = self.find(order, True, rest >> np.uint64(16))
-        lower = self.log_p(rest & np.uint64((1 << 16 * (order - 1)) - 1), order - 1) if order > 1 else np.full(len(rest), -np.log(1 << 16))
-        value = value.copy()
-        value[miss] = np.where(seen, back, 0.0) + lower
-        return value
-
-
-def _scored(texts: list[str], model: SortedModel | None) -> dict[str, np.ndarray]:
-    """Fixed counts, sum of log probabilities and symbols of each text of a slice."""
+        order = np.argsort(hashes)
+        self.hashes, self.values = hashes[order], values[order]
+
+    def log_p(self, grams: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(grams))
+        hashes = grams * _SPREAD
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.values[at], 0.0)
+
+
+def _scored(texts: list[str], block: SortedBlock, counted: bool) -> dict[str, np.ndarray]:
+    """Sum of the log probabilities of a block and, in the first pass, fixed counts and symbols of each text of a slice."""
     w, first, inverse, _ = distinct_words(texts)
-    out = base_counts(w)
-    lengths = w.ends[first] - w.starts[first] + 1
-    n = len(texts)
-    out["symbols"] = np.bincount(w.text, w.ends - w.starts + 1, n).astype(np.int64)
-    if model is None or not len(first):
-        out["log_p"] = np.zeros(n)
-        return out
-    grams, _ = T.char_grams(w.codes, w.starts[first], w.ends[first])
-    by_word = np.add.reduceat(model.log_p(grams), np.cumsum(lengths) - lengths)
-    out["log_p"] = np.bincount(w.text, by_word[inverse], n)
+    n, lengths = len(texts), w.ends[first] - w.starts[first] + 1
+    out = base_counts(w) | {"symbols": np.bincount(w.text, w.ends - w.starts + 1, n).astype(np.int64)} if counted else {}
+    out["log_p"] = np.zeros(n)
+    if len(first):
+        grams, _ = T.char_grams(w.codes, w.starts[first], w.ends[first], ORDER, BITS)
+        by_word = np.add.reduceat(block.log_p(grams), np.cumsum(lengths) - lengths)
+        out["log_p"] = np.bincount(w.text, by_word[inverse], n)
     return out
 
 
-def _annotated(docs: DataFrame, model) -> DataFrame:
-    """``docs`` (with _text and _lang) and the columns of _scored; ``model`` is a broadcast of models or None."""
-    names = [*BASE, "symbols", "log_p"]
+def _pass(rows: DataFrame, block: SortedBlock, counted: bool) -> DataFrame:
+    """``rows`` with what ``_scored`` says of _text instead of it, stored."""
+    shared = rows.sparkSession.sparkContext.broadcast(block)
 
     def make(b: pa.RecordBatch) -> dict:
-        models = model.value if model is not None else {}
-        found = {k: np.zeros(b.num_rows, np.float64 if k == "log_p" else np.int64) for k in names}
-        langs, texts = np.array(b["_lang"].to_pylist(), object), b["_text"].to_pylist()
-        for lang in dict.fromkeys(langs):
-            rows = np.flatnonzero(langs == lang)
-            own = [texts[i] for i in rows]
-            for s in T.slices(own):
-                for k, v in _scored(own[s], models.get(lang)).items():
-                    found[k][rows[s]] = v
-        return found
+        texts = b["_text"].to_pylist()
+        parts = [_scored(texts[s], shared.value, counted) for s in T.slices(texts)]
+        return {k: np.concatenate([p[k] for p in parts]) if parts else [] for k in (*BASE, "symbols", "log_p")[0 if counted else -1 :]}
 
-    return with_columns(docs, ("_text", "_lang"), ADDED, make)
+    out = stored(with_columns(rows, ("_text",), ADDED if counted else "log_p double", make))
+    shared.destroy()
+    return out
 
 
 def _base_failed() -> F.Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
-def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(scored, bands): every row's id, carried columns, counts and score, lazily; and the bands of each language, stored."""
-    spark = docs.sparkSession
-    read = docs.select(F.monotonically_increasing_id().alias("rid"), docs[id].alias("_id"), text_column(docs, text).alias("_text"), F.coalesce(docs[lang].cast("string"), F.lit("")).alias("_lang"), *(docs[c].alias(f"_c{i}") for i, c in enumerate(carry)))
-    grams = gram_counts(read.select(F.col("_lang").alias("lang"), F.col("_text").alias("text")))
-    model = stored(kneser_ney(grams))
-    rows = read.withColumn("lang_key", F.col("_lang"))
-    if model.count() <= BROADCAST_ROWS:
-        shared = spark.sparkContext.broadcast(SortedModel.by_language(model))
-        made = lambda r: _annotated(r, shared)
-    else:
-        made = lambda r: _joined(r, model)
-    by_words = wordmodel.log_p(read.select("rid", "_text"))
-
-    def with_scores(r: DataFrame) -> DataFrame:
-        r = made(r).join(by_words, "rid", "left").drop("rid")
-        by_word = {c: F.when(F.col("n_words") > 0, -F.col(f"{c}_p") / F.col("n_words")) for c in WORD_WIDTHS}
-        return r.withColumns({"score": F.when(F.col("symbols") > 0, -F.col("log_p") / F.col("symbols")), **by_word})
-
-    scored = with_scores(rows)
-    slim = with_scores(rows.select("rid", "_text", "_lang", "lang_key")).filter(~_base_failed())
-    quartiles = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10_000)).alias(c) for c in ("score", *WORD_WIDTHS)]
-    q = slim.groupBy("lang_key").agg(F.count(F.lit(1)).alias("texts"), *quartiles)
-    spread = lambda c: (F.col(c)[2] - F.col(c)[0]) / 1.349
-    by_word = [x for c in WORD_WIDTHS for x in (F.col(c)[1].alias(f"{c}_middle"), F.greatest(spread(c), F.lit(LEAST_SPREAD)).alias(f"{c}_unit"))]
-    bands = stored(q.select("lang_key", "texts", F.col("score")[1].alias("middle"), (spread("score") + 1e-3).alias("unit"), *by_word))
-    return scored, bands
-
-
-def _joined(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """The same columns when the model is too large to broadcast: grams of each text are joined with it.
-
-    Every gram of the texts was counted, so each finds its probability and none backs off.
-    """
-    rows = stored(rows).withColumn("_row", F.monotonically_increasing_id())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for row, lang, text in zip(b["_row"], b["_lang"], b["_text"]):
-                w, first, _, counts = distinct_words([text])
-                grams, word = T.char_grams(w.codes, w.starts[first], w.ends[first])
-                grams, n = T.sums_by(grams, counts[word].astype(np.int64))
-                yield pd.DataFrame({"_row": row, "lang": lang, "key": grams.view(np.int64), "n": n})
-
-    own = rows.select("_row", "_lang", "_text").mapInPandas(run, "_row long, lang string, key long, n long")
-    top = model.filter((F.col("order") == ORDER) & ~F.col("context")).select("lang", "key", "value")
-    sums = own.join(top, ["lang", "key"]).groupBy("_row").agg(F.sum(F.col("n") * F.col("value")).alias("sum_p"))
-    out = _annotated(rows, None).join(sums, "_row", "left").withColumn("log_p", F.coalesce("sum_p", F.lit(0.0)))
-    return out.drop("_row", "sum_p")
-
-
-def _kept(bands: DataFrame, scored: DataFrame) -> DataFrame:
-    """One row a language: ``bands`` is joined by broadcast if Spark finds it small."""
-    rows = scored.join(bands, "lang_key", "left")
-    reach = F.greatest(WIDTH * F.col("unit"), F.log(F.lit(FACTOR))) * F.sqrt(1 + SHORT / F.greatest(F.col("symbols"), F.lit(1)))
-    rows = rows.withColumn("lower_band", F.col("middle") - reach).withColumn("upper_band", F.col("middle") + reach).withColumn("base_failed", _base_failed())
-    inside = F.coalesce(F.col("score").between(F.col("lower_band"), F.col("upper_band")), F.lit(False))
-    for c, width in WORD_WIDTHS.items():
-        reach = F.when(F.col("texts") >= SPREAD_TEXTS, width * F.col(f"{c}_unit") * F.sqrt(1 + SHORT_WORDS / F.greatest(F.col("n_words"), F.lit(1))))
-        rows = rows.withColumns({f"{c}_lower": F.col(f"{c}_middle") - reach, f"{c}_upper": F.col(f"{c}_middle") + reach})
+def scores(rows: DataFrame) -> DataFrame:
+    """rid, _id, _lang, the counts, and symbol and word (negative mean log probabilities) of ``rows`` (rid, _id, _text, _lang), stored."""
+    counted = gram_counts(rows.select(F.lit("").alias("lang"), F.col("_text").alias("text")), order=ORDER, bits=BITS)
+    model = kneser_ney(counted.select(F.col("gram").alias("key"), "n"))
+    blocks = max(1, -(-model.count() // BLOCK))
+    made = []
+    for i in range(blocks):
+        part = model.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).toArrow()  # a block at a time
+        of = rows.select("rid", "_text", *([] if made else ["_id", "_lang"]))
+        made.append(_pass(of, SortedBlock(part["key"].to_numpy(), part["value"].to_numpy()), not made))
+    sums = made[0].select("rid", "log_p")
+    for more in made[1:]:
+        sums = sums.unionByName(more)
+    sums = sums.groupBy("rid").agg(F.sum("log_p").alias("log_p"))
+    out = made[0].drop("log_p").join(sums, "rid")
+    out = stored(out.withColumns({"symbol": F.when(F.col("symbols") > 0, -F.col("log_p") / F.col("symbols")), "word": F.when(F.col("n_words") > 0, -F.col("log_p") / F.col("n_words"))}))
+    release(*made)
+    return out
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """``scores`` of ``rows`` with base_failed, kept and the bands (logarithms) each text is held to."""
+    scored = scores(rows)
+    fit = scored.filter(~_base_failed())
+    quartiles = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10_000)).alias(c) for c in BANDS]
+    fit = fit.groupBy("_lang").agg(F.count(F.lit(1)).alias("texts"), *quartiles).filter(F.col("texts") >= SPREAD_TEXTS)
+    unit = lambda c: F.greatest((F.col(c)[2] - F.col(c)[0]) / 1.349, F.lit(LEAST_SPREAD))
+    bands = stored(fit.select("_lang", *(x for c in BANDS for x in (F.col(c)[1].alias(f"{c}_middle"), unit(c).alias(f"{c}_unit")))))
+    out, inside = scored.join(bands, "_lang", "left").withColumn("base_failed", F.coalesce(_base_failed(), F.lit(True))), F.lit(True)
+    wider = F.sqrt(1 + SHORT_WORDS / F.greatest(F.col("n_words"), F.lit(1)))
+    for c, (below, above) in BANDS.items():
+        out = out.withColumns({f"{c}_lower": F.col(f"{c}_middle") - below * F.col(f"{c}_unit") * wider, f"{c}_upper": F.col(f"{c}_middle") + above * F.col(f"{c}_unit") * wider})
         inside &= F.coalesce(F.col(c).between(F.col(f"{c}_lower"), F.col(f"{c}_upper")), F.lit(True))
-    return rows.withColumn("kept", ~F.col("base_failed") & inside)
+    return out.withColumn("kept", ~F.col("base_failed") & inside)
 
 
 def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """A verdict for every row: id, the fixed counts, base_failed, kept, perplexity, and the bands it was held to."""
-    scored, bands = scores(docs, id, text, lang)
-    by_word = [F.exp(c + end).alias(c + (end or "_perplexity")) for c in WORD_WIDTHS for end in ("", "_lower", "_upper")]
-    return _kept(bands, scored).select(F.col("_id").alias(id), *BASE, "base_failed", "kept", F.exp("score").alias("perplexity"), F.exp("lower_band").alias("lower_band"), F.exp("upper_band").alias("upper_band"), *by_word)
+    """A verdict for every row: id, the fixed counts, base_failed, kept, both perplexities, and the bands they were held to."""
+    rows = numbered(docs, docs[id].alias("_id"), text_column(docs, text).alias("_text"), F.coalesce(docs[lang].cast("string"), F.lit("")).alias("_lang"))
+    said = [F.exp(c + end).alias(c + (end or "_perplexity")) for c in BANDS for end in ("", "_lower", "_upper")]
+    out = judged(rows).select(F.col("_id").alias(id), *BASE, "base_failed", "kept", *said)
+    release(rows)
+    return out
 
 
 def keep(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns."""
-    scored, bands = scores(docs, id, text, lang, tuple(docs.columns))
-    return _kept(bands, scored).filter("kept").select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    rows = numbered(docs, *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)))
+    own = {c: F.col(f"_c{i}") for i, c in enumerate(docs.columns)}
+    read = rows.select("rid", own[id].alias("_id"), F.coalesce(own[text].cast("string"), F.lit("")).alias("_text"), F.coalesce(own[lang].cast("string"), F.lit("")).alias("_lang"))
+    return rows.join(judged(read).filter("kept").select("rid"), "rid", "left_semi").select(*(x.alias(c) for c, x in own.items()))

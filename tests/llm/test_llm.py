@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyloom.llm import ann, bpe, html_extract, jaccard, langid, packing, pii, quality, suffix, tokencount, wordmodel
+from tallyloom.llm import ann, bpe, html_extract, jaccard, langid, packing, pii, quality, suffix, tokencount
 from tallyloom.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -330,45 +330,69 @@ def test_quality_counts_and_model(spark, odd, monkeypatch):
     words = prose(3, 1800)
     docs = table(spark, [" ".join(words[60 * i : 60 * i + 60]) for i in range(30)] + ["q%x$ zz!! kk## vv~~ ww^^ jj== yy++ uu@@ ee// rr?? tt;; oo::"], ["aa"] * 31)
     rows = {r["doc_id"]: r for r in quality.judge(docs).collect()}
-    assert all(rows[i]["kept"] for i in range(30)) and rows[30]["perplexity"] > max(rows[i]["perplexity"] for i in range(30))
-    monkeypatch.setattr(quality, "BROADCAST_ROWS", 0)
-    joined = {r["doc_id"]: r["perplexity"] for r in quality.judge(docs).collect()}
-    assert all(joined[i] == pytest.approx(rows[i]["perplexity"], rel=1e-4) for i in rows)
+    assert all(rows[i]["kept"] for i in range(30)) and rows[30]["symbol_perplexity"] > max(rows[i]["symbol_perplexity"] for i in range(30)) and not rows[30]["kept"]
+    monkeypatch.setattr(quality, "BLOCK", 100)
+    blocks = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    assert all(blocks[i]["kept"] == rows[i]["kept"] and blocks[i]["word_perplexity"] == pytest.approx(rows[i]["word_perplexity"], rel=1e-9) for i in rows)
     assert quality.keep(docs).columns == docs.columns and quality.keep(docs).count() == sum(r["kept"] for r in rows.values())
 
 
 def test_planted_junk_is_rejected(spark):
-    """Words of the corpus with symbols after them, as the character model lets through; mixed and copied texts are clean."""
-    one, two = prose(21, 9000, 900), [w.upper() for w in prose(22, 9000, 900)]
-    clean = [" ".join(words[100 * i : 100 * i + 100]) for words in (one, two) for i in range(90)]
-    clean += [" ".join(one[:60] + two[:60]), *[clean[3]] * 5]
-    junk = [" ".join(w + ("***", "###", "&&&", "%%%")[j % 4] for j, w in enumerate(one[100 * i : 100 * i + 100])) for i in range(4)]
-    rows = {r["doc_id"]: r for r in quality.judge(table(spark, clean + junk, (["aa"] * 90 + ["bb"] * 90 + ["aa"] * 10))).collect()}
-    assert all(rows[i]["kept"] for i in range(len(clean))) and not any(rows[i]["kept"] or rows[i]["base_failed"] for i in range(len(clean), len(rows)))
-
-
-def test_word_model_sees_order_and_grows(spark):
-    texts = [" ".join(prose(30 + i, 200)) for i in range(6)] + [None, "", "one"]
+    """Symbols after words, and lists of words between separators, in each of four languages; mixed and copied texts are clean."""
+    tongues = [[x.translate(str.maketrans("abcdefghij", letters)) for x in prose(21 + k, 9000, 900)] for k, letters in enumerate(("abcdefghij", "klmnopqrst", "éàèçùâêîôû", "äöüßqwzvpy"))]
+    clean = [" ".join(words[100 * i : 100 * i + 100]) for words in tongues for i in range(80)]
+    clean += [" ".join(tongues[0][:60] + tongues[1][:60]), *[clean[3]] * 5]
+    langs = [lang for lang in ("aa", "bb", "cc", "dd") for _ in range(80)] + ["aa"] * 6
+    junk = [" ".join(w + ("***", "###", "&&&", "%%%")[(i + j) % 4] for j, w in enumerate(words[100 * i : 100 * i + 100])) for words in tongues for i in range(3)]
+    junk += [" | ".join(words[-40 * i - 60 : -40 * i - 1]) for words in tongues for i in range(2)]
+    rows = {r["doc_id"]: r for r in quality.judge(table(spark, clean + junk, langs + [x for x in ("aa", "bb", "cc", "dd") for _ in range(3)] + [x for x in ("aa", "bb", "cc", "dd") for _ in range(2)])).collect()}
+    assert sum(rows[i]["kept"] for i in range(len(clean))) >= 0.95 * len(clean)
+    assert not any(rows[i]["kept"] or rows[i]["base_failed"] for i in range(len(clean), len(rows)))
+
+
+def _kneser_ney(tokens, leave_out):
+    """Log probability of each five-gram by the definition, from dictionaries."""
+    counts = {quality.ORDER: collections.Counter(tokens)}
+    for o in range(quality.ORDER - 1, 0, -1):
+        counts[o] = collections.Counter(g[1:] for g in counts[o + 1])
+    p = q = {(): 1 / (len(counts[1]) + 1)}
+    for o in range(1, quality.ORDER + 1):
+        n = collections.Counter(counts[o].values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        d = {i: min(max(i - (i + 1) * y * n[i + 1] / n[i] if n[i] else i / 2, 0.1), i - 0.1) for i in (1, 2, 3)}
+        total, freed = collections.Counter(), collections.Counter()
+        for g, c in counts[o].items():
+            total[g[:-1]] += c
+            freed[g[:-1]] += d[min(c, 3)]
+        new_p, new_q = {}, {}
+        for g, c in counts[o].items():
+            weight = freed[g[:-1]] / total[g[:-1]]
+            new_p[g] = (c - d[min(c, 3)]) / total[g[:-1]] + weight * p[g[1:]]
+            new_q[g] = new_p[g] if c > 1 else weight * q[g[1:]] if total[g[:-1]] > 1 else q[g[1:]]
+        p, q = new_p, new_q
+    return {g: np.log(x) for g, x in (q if leave_out else p).items()}
+
+
+def test_perplexity_equals_the_definition(spark):
+    texts = [" ".join(prose(50 + i, 60, 80)) for i in range(25)] + ["ab abc abd b", None, "Ünï → code"]
+    grams = lambda w: [tuple((" " * 4 + w + " ")[i : i + 5]) for i in range(len(w) + 1)]
     words = [WORD.findall(t or "") for t in texts]
-    want = {x for w in words for x in zip([None, None, *w], [None, *w], w)}
-    docs = lambda x: spark.createDataFrame(list(enumerate(t or "" for t in x)), "rid long, _text string")
-    assert wordmodel.trigrams(docs(texts)).count() == len(want)
-    before = collections.Counter((b, c) for _, b, c in want)
-    pairs = wordmodel.model(docs(texts)).toPandas()
-    assert len(pairs) == len(before) and (pairs.p1 < 0).all() and (pairs.p2 < 0).all()
-    cycle = "a b c d e f g h"
-    got = {r["rid"]: r for r in wordmodel.log_p(docs([f"{p} {cycle}" for p in "klmnopqr"] + [f"{p} h c f a e b g d" for p in "st"])).collect()}
-    assert got[0]["bigrams_p"] > got[8]["bigrams_p"] + 1 and set(got) == set(range(10))
-
-
-def test_model_is_a_distribution(spark):
-    grams = quality.gram_counts(table(spark, [" ".join(prose(3, 200)), "ab abc abd b"]).select("lang", "text"))
-    model = quality.SortedModel.by_language(quality.kneser_ney(grams, leave_out=False))["en"]
-    letters = [*map(ord, "abcdefghij"), 0x20]
-    for context in ("  a", "xyz", " ab"):
-        c = sum(ord(x) << (16 * (3 - i)) for i, x in enumerate(context))
-        total = np.exp(model.log_p(np.array([c | x for x in letters], np.uint64))).sum()
-        assert 0.9 < total <= 1.0 + 1e-6  # the rest is left to symbols that were never seen
+    tokens = [g for ws in words for w in ws for g in grams(w)]
+    rows = {r["doc_id"]: r for r in quality.judge(table(spark, texts)).collect()}
+    want = _kneser_ney(tokens, True)
+    for i, ws in enumerate(words):
+        if ws:
+            assert rows[i]["word_perplexity"] == pytest.approx(np.exp(-sum(want[g] for w in ws for g in grams(w)) / len(ws)))
+            assert rows[i]["symbol_perplexity"] == pytest.approx(np.exp(-sum(want[g] for w in ws for g in grams(w)) / sum(len(w) + 1 for w in ws)))
+    fit = [r for i, r in rows.items() if not r["base_failed"]]
+    q = np.sort([np.log(r["word_perplexity"]) for r in fit])
+    at = lambda x: q[int(np.ceil(x * len(q))) - 1]
+    r = rows[0]
+    reach = (at(0.75) - at(0.25)) / 1.349 * np.sqrt(1 + 50 / r["n_words"])
+    assert np.log([r["word_lower"], r["word_upper"]]) == pytest.approx([at(0.5) - 3.5 * reach, at(0.5) + 6 * reach])
+    whole = _kneser_ney(tokens, False)
+    for context in {g[:-1] for g in tokens}:
+        assert sum(np.exp(v) for g, v in whole.items() if g[:-1] == context) <= 1 + 1e-9  # the rest is left to what was never seen
 
 
 def _links(texts):
