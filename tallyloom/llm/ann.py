@@ -4,10 +4,12 @@ Vectors are projected to ``M`` dimensions with Gaussian (2-stable) entries: the
 the squared distance is chi-square with M degrees of freedom.  The top levels of a kd-tree over the projected
 space, fitted to a sample of at most ``SAMPLE`` vectors, deal *all* vectors into cells; inside a cell a kd-tree
 of small leaves is built.  A query takes leaves by increasing projected distance and verifies their vectors by
-exact distance, until the next leaf is so far, against the distance of the k-th vector found, that a nearer
-vector there has a projected distance this large with probability at most 1 - ``CONFIDENCE``.  So each true
-neighbour is found with that probability.  A query searches its own cell first, and then only those cells which
-the test does not rule out under the distance it has found.
+exact distance, nearest in projection first, until the next one is so far, against the distance of the k-th vector
+found, that a nearer vector has a projected distance this large with probability at most 1 - ``CONFIDENCE``.  So each
+true neighbour is found with that probability.  A query searches its own cell first, and then only those cells which
+the test does not rule out under the distance it has found.  ``n_verified`` and ``n_cells`` say what a query has cost:
+little where vectors lie in clusters; where all distances are alike, as for directions drawn at random, no test on
+projections can rule much out.
 
 Equal vectors are one class with its k + 1 smallest ids, which is all that any answer can hold, so hot vectors
 cost no more than others; the same holds for equal query vectors.
@@ -28,10 +30,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._io import stored
+from ._io import release, stored
 
 M = 8
-CONFIDENCE = 0.97
+CONFIDENCE = 0.95
 SEED = 7
 SAMPLE = 20_000
 CELL = 8_192
@@ -105,7 +107,8 @@ class Tree:
     """The kd-tree of one cell: leaves with their boxes."""
 
     def __init__(self, vectors: np.ndarray, matrix: np.ndarray):
-        self.vectors, points = vectors, vectors @ matrix
+        self.vectors, self.points = vectors, vectors @ matrix
+        points = self.points
         self.leaves, todo = [], [np.arange(len(points))]
         while todo:
             rows = todo.pop()
@@ -118,22 +121,30 @@ class Tree:
         self.low = np.array([points[r].min(0) for r in self.leaves])
         self.high = np.array([points[r].max(0) for r in self.leaves])
 
-    def nearest(self, vector: np.ndarray, point: np.ndarray, k: int, bound: float, stop: float) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, squared distances) of the nearest ``k`` found; ``bound``: a squared distance known to hold k."""
+    def nearest(self, vector: np.ndarray, point: np.ndarray, k: int, bound: float, stop: float) -> tuple[np.ndarray, np.ndarray, int]:
+        """(rows, squared distances, number verified) of the nearest ``k`` found; ``bound``: a squared distance known to hold k."""
         gaps = (np.maximum(0, np.maximum(self.low - point, point - self.high)) ** 2).sum(1)
         order = np.argsort(gaps)
-        rows, far, at, step = np.empty(0, np.int64), np.empty(0), 0, 2
+        rows, far, at, step, seen = np.empty(0, np.int64), np.empty(0), 0, 2, 0
         while at < len(order) and gaps[order[at]] <= stop * bound:
             some = np.concatenate([self.leaves[i] for i in order[at : at + step]])
-            rows = np.concatenate([rows, some])
-            far = np.concatenate([far, ((self.vectors[some] - vector) ** 2).sum(1)])
-            if len(far) > k:
-                best = np.argpartition(far, k - 1)[: k]
-                rows, far = rows[best], far[best]
-            if len(far) >= k:
-                bound = min(bound, float(far.max()))
+            projected = ((self.points[some] - point) ** 2).sum(1)
+            some = some[np.argsort(projected)][: np.count_nonzero(projected <= stop * bound)]
+            for low in range(0, len(some), 2 * LEAF):  # the bound falls while nearer ones are verified
+                own = some[low : low + 2 * LEAF]
+                own = own[((self.points[own] - point) ** 2).sum(1) <= stop * bound]
+                if not len(own):
+                    break
+                seen += len(own)
+                rows = np.concatenate([rows, own])
+                far = np.concatenate([far, ((self.vectors[own] - vector) ** 2).sum(1)])
+                if len(far) > k:
+                    best = np.argpartition(far, k - 1)[:k]
+                    rows, far = rows[best], far[best]
+                if len(far) >= k:
+                    bound = min(bound, float(far.max()))
             at, step = at + step, min(16, 2 * step)
-        return rows, far
+        return rows, far, seen
 
 
 def usable(vector: str | Column) -> Column:
@@ -143,7 +154,7 @@ def usable(vector: str | Column) -> Column:
 
 
 def nearest(rows: DataFrame, asks: Column, k: int = 10, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank, the id and the score (Euclidean distance) of the k nearest found of each row where ``asks`` holds."""
+    """query_id, rank, the id and the score (Euclidean distance) of the k nearest found of each row where ``asks`` holds, n_verified, n_cells."""
     spark = rows.sparkSession
     all_rows = rows.filter(usable(rows[vector]) & rows[id].isNotNull()).select(rows[id].cast("long").alias("id"), rows[vector].cast("array<double>").alias("v"), F.coalesce(asks, F.lit(False)).alias("asks")).dropDuplicates(["id", "v"])
     all_rows = stored(all_rows)
@@ -167,29 +178,32 @@ def nearest(rows: DataFrame, asks: Column, k: int = 10, id: str = "vec_id", vect
     # a cell that the sample misjudged is split by hash, so a group stays near CELL vectors
     placed = classes.mapInPandas(dealt, "v array<double>, ids array<long>, rep long, dim int, cell long")
     placed = stored(placed)
+    release(classes)
     parts = stored(placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(2 * CELL)).cast("long").alias("parts")))
-    placed = stored(placed.join(parts, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))))
+    whole, placed = placed, stored(placed.join(parts, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))))
+    release(whole)
 
     def search(keys, cell: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(cell) or not len(asked):
-            return pd.DataFrame(columns=["q", "ids", "far"])
+            return pd.DataFrame(columns=["q", "ids", "far", "seen"])
         vectors, matrix = np.stack(cell["v"].to_numpy()), projection(int(keys[0]))
         tree, ids, out = Tree(vectors, matrix), cell["ids"].to_numpy(), []
         for q, v, bound in zip(asked["q"], asked["v"], asked["bound"]):
-            found, far = tree.nearest(v, v @ matrix, k + 1, bound, stop)
-            out += [(q, ids[r], d) for r, d in zip(found, far)]
-        return pd.DataFrame(out, columns=["q", "ids", "far"])
+            found, far, seen = tree.nearest(v, v @ matrix, k + 1, bound, stop)
+            out += [(q, ids[r], d, 0) for r, d in zip(found, far)] + [(q, None, None, seen)]
+        return pd.DataFrame(out, columns=["q", "ids", "far", "seen"])
 
     def searched(asked: DataFrame) -> DataFrame:
         groups = asked.join(parts, ["dim", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         on = ["dim", "cell", "part"]
-        return placed.groupBy(*on).cogroup(groups.groupBy(*on)).applyInPandas(search, "q long, ids array<long>, far double")
+        return placed.groupBy(*on).cogroup(groups.groupBy(*on)).applyInPandas(search, "q long, ids array<long>, far double, seen long")
 
     fields = "q long, v array<double>, dim int, cell long, bound double"
     home = queries.mapInPandas(lambda bs: (g[["q", "v", "dim", "cell"]].assign(bound=np.inf) for g in dealt(bs)), fields)
     top = Window.partitionBy("q").orderBy("far", F.col("ids")[0])
     best = lambda df: df.withColumn("n", F.row_number().over(top)).filter(F.col("n") <= k + 1).drop("n")
-    first = stored(best(searched(home)))
+    own_cell = stored(searched(home))
+    first = stored(best(own_cell.filter("ids is not null")))
     bounds = first.groupBy("q").agg(F.when(F.count(F.lit(1)) > k, F.max("far")).otherwise(F.lit(float("inf"))).alias("bound"))
 
     def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,10 +217,12 @@ def nearest(rows: DataFrame, asks: Column, k: int = 10, id: str = "vec_id", vect
                 out += [(q, v, dim, c, bound) for c in np.flatnonzero(near) if c != own]
             yield pd.DataFrame(out, columns=["q", "v", "dim", "cell", "bound"])
 
-    second = searched(queries.join(bounds, "q", "left").fillna(float("inf"), ["bound"]).mapInPandas(others, fields))
-    found = best(first.unionByName(second)).select("q", "far", F.explode("ids").alias("id"))
+    other_cells = stored(searched(queries.join(bounds, "q", "left").fillna(float("inf"), ["bound"]).mapInPandas(others, fields)))
+    cost = own_cell.unionByName(other_cells).filter("ids is null").groupBy("q").agg(F.sum("seen").alias("n_verified"), F.count(F.lit(1)).alias("n_cells"))
+    found = best(first.unionByName(other_cells.filter("ids is not null"))).select("q", "far", F.explode("ids").alias("id"))
     found = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("far", "id"))).filter(F.col("n") <= k + 1)
-    lists = found.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("far", "id"))).alias("all"))
+    lists = found.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("far", "id"))).alias("all")).join(cost, "q")
     asked = all_rows.filter("asks").join(queries.select("v", "q"), "v").select(F.col("id").alias("query_id"), "q")
-    near = asked.join(lists, "q").select("query_id", F.posexplode(F.slice(F.filter("all", lambda x: x["id"] != F.col("query_id")), 1, k)).alias("place", "one"))
-    return near.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("one.id").alias(id), F.sqrt("one.far").alias("score"))
+    release(placed, parts)
+    near = asked.join(lists, "q").select("query_id", "n_verified", "n_cells", F.posexplode(F.slice(F.filter("all", lambda x: x["id"] != F.col("query_id")), 1, k)).alias("place", "one"))
+    return near.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("one.id").alias(id), F.sqrt("one.far").alias("score"), "n_verified", "n_cells")

@@ -311,6 +311,22 @@ def test_neighbours(spark):
     assert x == pytest.approx(15.507, abs=1e-3)
 
 
+def test_clusters_are_searched_in_part(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL", 250)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 32)) * 4
+    v = centres[np.arange(6000) % 60] + rng.normal(size=(6000, 32)) * 0.3
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df["vec_id"] % 100 == 0).toPandas()
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        d = ((v - v[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(set(np.argsort(d)[:10]) & set(g.vec_id))
+    cost = got.groupby("query_id").first()
+    assert hit >= 0.9 * 600 and cost.n_verified.mean() < 0.3 * 6000 and cost.n_cells.mean() < 0.3 * 24
+
+
 def _base(t):
     w = WORD.findall(t)
     windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
