@@ -1,21 +1,27 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page's markup is split into blocks (text between block-level tags).  A fixed linear classifier scores each
-block from its ancestors, their class and id words, its length, punctuation and share of linked text; the score
-becomes the capacity of the block's edge to the source (content) or to the sink (boilerplate).  Neighbouring
-blocks, and blocks of one parent, are tied by smoothness edges, stronger the more of the DOM path they share.
+A page's markup is split into blocks (text between block-level tags).  A fixed linear classifier scores each block by
+where it is (the landmark element it lies in, containers that look like boilerplate), and by what it is (length,
+punctuation, share of linked text, kind of element); the score becomes the capacity of the block's edge to the source
+(content) or to the sink (boilerplate).  Neighbouring blocks, and blocks of one parent, are tied by smoothness edges as
+strong as many scores, stronger the more of the DOM path they share, weaker across the border of a container.
 The minimum cut is the labelling of least total cost; blocks on the source side are the main text.
 
+Class and id words inform and do not veto: a container that holds the page's heading, its article, or nearly all its
+text is not boilerplate whatever it is called; a form, an aside or a footer is judged in the same way.  A short heading
+such as "3 comments" makes the rest of its parent reader comments.  There are no labelled pages to fit weights on, so
+they are set by hand (``WEIGHTS``).  Every step is linear in the length of the page, however deep its tags are nested.
+
 Defined results: null or empty html, and pages without content, give empty text; markup may be malformed (a
-paragraph ends where the next begins, an end tag closes what is open inside it, unknown end tags are ignored);
-every row gives one row, repeated or not; other columns are not read.
+paragraph ends where the next begins, an end tag closes what is open inside it, unknown end tags are ignored, a slash
+at the end of a tag does not close it); every row gives one row, repeated or not; other columns are not read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -26,12 +32,15 @@ from ._arrow import with_columns
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
-NEVER = frozenset("head script style title textarea noscript template iframe svg math object canvas form button select option datalist nav footer aside menu dialog".split())
+NEVER = frozenset("head script style title textarea noscript template iframe svg math object canvas button select option datalist".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav noscript ol optgroup option p pre script section select style summary table tbody td template textarea tfoot th thead title tr ul".split()
 )
 ENDS_PARAGRAPH = BLOCKS - {"option", "optgroup"}
+SCOPES = frozenset("article body div li main section table td".split())
+KINDS = frozenset("p li td th dt dd h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role that mark boilerplate, and those that mark the main text.
 BOILER_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr header "
@@ -39,9 +48,18 @@ BOILER_WORDS = frozenset(
     "share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets complementary contentinfo".split()
 )
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
+#: First words of names that say what a page has or lacks, not what the element is.
+ABOUT_WORDS = frozenset("no not has have with without is tag category".split())
+#: Headings over reader comments, numbers left out.
+COMMENT_HEADINGS = frozenset(("comment", "comments", "reader comments", "leave a comment", "leave a reply", "reply", "replies", "responses", "kommentar", "kommentare", "commentaire", "commentaires", "comentario", "comentarios"))
+#: Scores of the landmark element that is nearest, and of containers.
+LANDMARKS = {"article": 1.5, "main": 1.5, "nav": -3.0, "menu": -3.0, "aside": -2.5, "footer": -2.5, "dialog": -2.5, "header": -2.0}
+BOXES = {"form": -3.0, "fieldset": -1.5}
 #: Weights of the classifier: positive for content.
-WEIGHTS = {"bias": -0.6, "main": 4.0, "content_word": 1.5, "boiler_word": -12.0, "page_header": -12.0, "paragraph": 0.8, "heading": 0.3, "item": -0.6, "words": 0.06, "most_words": 40, "sentence": 0.5, "linked": -3.0}
-ADJACENT, SIBLINGS = 0.6, 0.4
+WEIGHTS = {"bias": -0.6, "boiler_word": -3.0, "comments": -3.0, "content_word": 0.8, "words": 0.04, "most_words": 40, "sentence": 0.5, "linked": -2.5, "p": 0.4, "h1": 0.8, "heading": 0.2, "item": -0.2}
+ADJACENT, SIBLINGS, BORDER = 1.2, 0.6, 0.25
+#: Share of a page's text beyond which a container is the page.
+WHOLE = 0.8
 HARD = 1e9
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!?\?[^>]*>|<![^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -49,15 +67,25 @@ _NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     tag: str
     parent: Node | None
-    depth: int
-    never: bool
-    boiler: bool
-    main: bool
-    content: bool
+    depth: int = 0
+    never: bool = False
+    linked: bool = False
+    holder: Node | None = None  # nearest block-level element, itself included
+    paragraph: Node | None = None  # the open paragraph that a block-level tag ends
+    kind: str = ""
+    boiler: bool = False
+    content: bool = False
+    comments: bool = False
+    size: int = 0
+    titled: bool = False  # holds a first-level heading
+    main: bool = False  # holds, or is, an article or main element
+    land: float = 0.0
+    box: float = 0.0
+    good: float = 0.0
 
 
 @dataclass
@@ -65,50 +93,67 @@ class Block:
     node: Node
     parts: list[str] = field(default_factory=list)
     linked: int = 0
-
-    def text(self) -> str:
-        return " ".join("".join(self.parts).split())
+    text: str = ""
 
 
-def _node(tag: str, attributes: str, parent: Node | None) -> Node:
-    words = {w for m in _NAMES.finditer(attributes) for w in _CAMEL.split(m[2] or m[3] or m[4] or "")} if "=" in attributes else ()
-    words = {w.lower() for w in words}
-    inside = parent is not None and parent.main
-    marks = BOILER_WORDS - {"header"} if inside else BOILER_WORDS  # an article's own header holds its title
-    boiler = not marks.isdisjoint(words) and tag not in ("html", "body") or tag == "header" and not inside
-    return Node(
-        tag, parent, parent.depth + 1 if parent else 0, tag in NEVER or bool(parent and parent.never),
-        boiler or bool(parent and parent.boiler), inside or tag in ("article", "main") or "main" in words, not CONTENT_WORDS.isdisjoint(words) or bool(parent and parent.content),
-    )
-
-
-def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page in order, those without text left out."""
-    root = node = Node("", None, 0, False, False, False, False)
-    out: list[Block] = []
+def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
+    """(boilerplate, content) by the names of an element."""
+    boiler = content = False
+    for m in _NAMES.finditer(attributes):
+        for name in (m[2] or m[3] or m[4] or "").split():
+            words = [w.lower() for w in _CAMEL.split(name) if w]
+            if not words or words[0] in ABOUT_WORDS:
+                continue
+            said = [w for w in words if w in BOILER_WORDS]
+            if tag in ("article", "main"):  # such names list what the page has as well
+                boiler |= len(words) == 1 and bool(said)
+            elif tag not in ("html", "body"):
+                boiler |= words[-1] in BOILER_WORDS or words[0] in BOILER_WORDS and CONTENT_WORDS.isdisjoint(words)
+            content |= not said and not CONTENT_WORDS.isdisjoint(words)
+    return boiler, content
+
+
+def _node(tag: str, attributes: str, parent: Node) -> Node:
+    n = Node(tag, parent, parent.depth + 1, tag in NEVER or parent.never, tag == "a" or parent.linked and tag not in BLOCKS)
+    n.holder = n if tag in BLOCKS else parent.holder
+    n.paragraph = n if tag == "p" else None if tag in SCOPES else parent.paragraph
+    n.kind = tag if tag in KINDS else parent.kind
+    n.comments = parent.comments
+    if "=" in attributes:
+        n.boiler, n.content = _marks(tag, attributes)
+    return n
+
+
+def parsed(page: str) -> tuple[list[Block], list[Node]]:
+    """The blocks of a page in order, those without text left out, and its elements, parents before children."""
+    root = node = Node("", None)
+    root.holder = root
+    nodes, out, open_tags = [root], [], Counter()
     block, at, size = Block(root), 0, len(page)
 
-    def holder(n: Node) -> Node:
-        while n.parent is not None and n.tag not in BLOCKS:
-            n = n.parent
-        return n
+    def leave(to: Node) -> None:
+        nonlocal node
+        while node is not to:
+            open_tags[node.tag] -= 1
+            node = node.parent
 
     def close() -> None:
         nonlocal block
-        if block.parts:
+        block.text = " ".join("".join(block.parts).split())
+        if block.text:
             out.append(block)
-        block = Block(holder(node))
+            up = block.node.parent
+            if block.node.tag in HEADINGS and up is not None:
+                title = " ".join(re.findall(r"[^\W\d_]+", block.text.lower()))
+                up.comments = title in COMMENT_HEADINGS or up.comments and up.parent is not None and up.parent.comments
+        block = Block(node.holder)
 
     def add(raw: str) -> None:
         if raw:
             text = entities.unescape(raw)
             block.parts.append(text)
-            up = node
-            while up.parent is not None and up.tag not in BLOCKS:
-                if up.tag == "a":
-                    block.linked += len(text.strip())
-                    break
-                up = up.parent
+            if node.linked:
+                block.linked += len(text.strip())
 
     while at < size:
         m = _TOKEN.search(page, at)
@@ -122,55 +167,78 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if not end:
-            if tag in ENDS_PARAGRAPH:
-                up = node
-                while up.parent is not None and up.tag not in ("p", "article", "body", "div", "li", "main", "section", "table", "td"):
-                    up = up.parent
-                if up.tag == "p":
-                    node = up.parent
+            if tag in BLOCKS:
+                close()
+            if tag in ENDS_PARAGRAPH and node.paragraph is not None:
+                leave(node.paragraph.parent)
             if tag == "li" and node.tag == "li":
-                node = node.parent
+                leave(node.parent)
             if tag == "br":
                 block.parts.append(" ")
             if tag in RAW:
                 stop = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
                 at = stop.end() if stop else size
-                if tag in BLOCKS:
-                    close()
                 continue
-            if tag not in VOID and not attributes.endswith("/"):
+            if tag not in VOID:
                 node = _node(tag, attributes, node)
+                nodes.append(node)
+                open_tags[tag] += 1
             if tag in BLOCKS:
-                close()
-        else:
-            up = node
-            while up.parent is not None and up.tag != tag:
-                up = up.parent
-            if up.tag == tag and up.parent is not None:
-                node = up.parent
+                block = Block(node.holder)
+        elif open_tags[tag]:
             if tag in BLOCKS:
                 close()
+            while node.tag != tag:
+                leave(node.parent)
+            leave(node.parent)
+            if tag in BLOCKS:
+                block = Block(node.holder)
+        elif tag in BLOCKS:
+            close()
     close()
-    return [b for b in out if b.text()]
-
-
-def score(block: Block, text: str) -> float:
+    return out, nodes
+
+
+def _judge(nodes: list[Node], blocks: list[Block]) -> None:
+    """Sizes from the leaves up, then scores of landmarks and containers from the root down."""
+    for b in blocks:
+        b.node.size += len(b.text)
+    for n in reversed(nodes):
+        n.titled |= n.tag == "h1"
+        n.main |= n.tag in ("article", "main") and not n.boiler
+        if n.parent is not None:
+            n.parent.size += n.size
+            n.parent.titled |= n.titled
+            n.parent.main |= n.main
+    whole = nodes[0].size
+    for n in nodes[1:]:
+        up, page = n.parent, n.size > WHOLE * whole
+        n.land, n.box, n.good = up.land, up.box, max(up.good, WEIGHTS["content_word"] * n.content)
+        if n.tag in ("article", "main"):
+            n.land = LANDMARKS[n.tag] if not n.boiler else up.land
+        elif n.tag == "header":
+            n.land = up.land if up.land > 0 or n.main else LANDMARKS[n.tag]  # an article's own header holds its title
+        elif n.tag in LANDMARKS and not (n.main or page):
+            n.land = LANDMARKS[n.tag]
+        own = min(BOXES.get(n.tag, 0.0), WEIGHTS["boiler_word"] * n.boiler)
+        if own and not (n.titled or page or n.main and n.tag not in ("article", "main")):
+            n.box = min(n.box, own)
+        if n.comments:
+            n.box = min(n.box, WEIGHTS["comments"])
+
+
+def score(block: Block) -> float:
     """Positive for content, negative for boilerplate; HARD where the markup alone decides."""
-    n, w = block.node, WEIGHTS
+    n, w, text = block.node, WEIGHTS, block.text
     if n.never:
         return -HARD
-    words = text.count(" ") + 1
-    value = w["bias"] + w["words"] * min(words, w["most_words"]) + w["linked"] * min(1.0, block.linked / len(text))
-    value += w["main"] * n.main + w["content_word"] * n.content + w["boiler_word"] * n.boiler
-    value += w["sentence"] * (text[-1] in ".!?…:;")
-    up = n
-    while up.parent is not None and up.tag not in ("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6"):
-        up = up.parent
-    return value + (w["paragraph"] if up.tag == "p" else w["item"] if up.tag in ("li", "td") else w["heading"] if up.tag else 0)
+    value = w["bias"] + n.land + n.box + n.good
+    value += w["words"] * min(text.count(" ") + 1, w["most_words"]) + w["linked"] * min(1.0, block.linked / len(text)) + w["sentence"] * (text[-1] in ".!?…:;")
+    return value + (w[n.kind] if n.kind in ("p", "h1") else w["heading"] if n.kind in HEADINGS else w["item"] if n.kind else 0.0)
 
 
 def proximity(a: Node, b: Node) -> float:
-    """Share of the longer DOM path that two nodes have in common."""
+    """Share of the longer DOM path that two nodes have in common; costs the steps between them."""
     longest = max(a.depth, b.depth)
     while a is not b:
         if a.depth >= b.depth and a.parent is not None:
@@ -180,6 +248,20 @@ def proximity(a: Node, b: Node) -> float:
     return a.depth / longest if longest else 1.0
 
 
+def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
+    edges, last = [], {}
+    border = lambda a, b: 1.0 if (a.land, a.box) == (b.land, b.box) else BORDER
+    for i, b in enumerate(blocks):
+        if i:
+            a = blocks[i - 1].node
+            edges.append((i - 1, i, ADJACENT * proximity(a, b.node) * border(a, b.node)))
+        j = last.get(b.node.parent, i - 1)
+        if j != i - 1:
+            edges.append((j, i, SIBLINGS * border(blocks[j].node, b.node)))
+        last[b.node.parent] = i
+    return edges
+
+
 def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Labels (True: source side) of least cost: scores of the wrong sign and edges between labels.
 
@@ -239,20 +321,18 @@ def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> lis
     return [bool(x) for x in label]
 
 
+def labelled(page: str | None) -> tuple[list[Block], list[float], list[bool]]:
+    """The blocks of a page, their scores, and whether the cut leaves them on the side of the content."""
+    blocks, nodes = parsed(page or "")
+    _judge(nodes, blocks)
+    scores = [score(b) for b in blocks]
+    return blocks, scores, minimum_cut(scores, smoothness(blocks))
+
+
 def main_text(page: str | None) -> tuple[str, int, int]:
     """(text, blocks, blocks of content) of a page."""
-    blocks = blocks_of(page or "")
-    texts = [b.text() for b in blocks]
-    edges, last = [], {}
-    for i, b in enumerate(blocks):
-        if i:
-            edges.append((i - 1, i, ADJACENT * proximity(blocks[i - 1].node, b.node)))
-        parent = id(b.node.parent)
-        if last.get(parent, i - 1) != i - 1:
-            edges.append((last[parent], i, SIBLINGS))
-        last[parent] = i
-    keep = minimum_cut([score(b, t) for b, t in zip(blocks, texts)], edges)
-    return " ".join(t for t, k in zip(texts, keep) if k), len(blocks), sum(keep)
+    blocks, _, keep = labelled(page)
+    return " ".join(b.text for b, k in zip(blocks, keep) if k), len(blocks), sum(keep)
 
 
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

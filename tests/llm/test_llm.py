@@ -122,6 +122,41 @@ def test_html():
     assert html_extract.main_text(None)[0] == html_extract.main_text("<p>") [0] == "" and html_extract.main_text("a < b & c")[0] in ("", "a < b & c")
 
 
+STORY = "The council met on Monday, and for the first time in years it agreed on something. It was a short meeting, as meetings go, but one that people will remember."
+BARE = f"""<body><div class="top"><a href="/">Home</a> <a href="/n">News</a> <a href="/s">Sport</a></div>
+<div class="story-wrap"><h1>Council agrees</h1><p>{STORY}</p><p>Why now?</p><ul><li>Money</li><li>Time</li></ul><p>{STORY}</p></div>
+<div><h3>2 Comments</h3><ul><li>Jane: I was there, and it was not like that at all, whatever the paper says.</li><li>Joe: So was I, and I think that it was.</li></ul></div>
+<div class="foot"><a href="/a">About</a> <a href="/c">Contact</a></div></body>"""
+BARE_TEXT = f"Council agrees {STORY} Why now? Money Time {STORY}"
+
+
+@pytest.mark.parametrize("wrap", ["{}", '<div class="content-sidebar-wrap">{}</div>', '<div class="no-sidebar"><div class="has-ads">{}</div></div>', '<form action="/x" id="aspnetForm">{}</form>', '<div class="sidebar">{}</div>', "<form><div class='widget'>{}</div></form>"])
+def test_pages_without_an_article_element(wrap):
+    body = re.search(r"<body>(.*)</body>", BARE, re.S)[1]
+    assert html_extract.main_text(f"<html><body>{wrap.format(body)}</body></html>")[0] == BARE_TEXT
+
+
+def test_the_cut_mends_labels():
+    page = BARE.replace("story-wrap", "x7").replace("Why now?", "Why now").replace("Money", "More money than before").replace("<li>Time</li>", "")
+    blocks, scores, keep = html_extract.labelled(page)
+    want = [b.text in f"Council agrees {STORY} Why now More money than before" for b in blocks]
+    changed = [i for i, (s, k) in enumerate(zip(scores, keep)) if (s > 0) != k]
+    assert keep == want and changed and all(want[i] == keep[i] for i in changed)
+    for article in ("<article class='post comments-open tag-notice'>", "<article data-u=/a/b/>"):
+        assert html_extract.main_text(f"{article}<h1>Title</h1><p>{STORY}</p><p>Short.</p></article><aside><p>Read these: {STORY}</p></aside>")[0] == f"Title {STORY} Short."
+    comment = f"<article><h1>T</h1><p>{STORY}</p></article><section id='comments'><article class='comment'><p>{STORY}</p></article></section>"
+    assert html_extract.main_text(comment)[0] == f"T {STORY}"
+
+
+def test_deep_and_hostile_markup_is_linear():
+    import time
+
+    start = time.perf_counter()
+    for page in ("<div>x " * 100_000, "<b>" * 100_000 + "text " + "</i>" * 100_000, "<b>x" * 100_000 + "<p>y", ("<div><p>" * 50_000) + "</table>" * 50_000, "<p>a<ul><li>b" * 30_000):
+        html_extract.main_text(page)
+    assert time.perf_counter() - start < 60
+
+
 def test_minimum_cut_is_minimal():
     rng = np.random.default_rng(3)
     for _ in range(200):
