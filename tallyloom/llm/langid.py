@@ -1,10 +1,10 @@
 """Language identification by bit-sliced Bloom filters of character n-grams.
 
-Learning: Spark counts the four-grams of letters inside words for each language; a language keeps the grams
-that make up at least ``SHARE`` of its own, so never more than ``1 / SHARE`` of them: that bounds what reaches
-the driver and what is broadcast, whatever the corpus.  All languages share one table of 64-bit slots: the slot
-at each of a gram's ``HASHES`` hashes has the bit of every language that keeps it, so one probe of a gram, the
-AND of its slots, gives the mask of all languages that hold it.
+Learning: a filter holds *every* four-gram of letters inside words that occurs in a language.  All languages share one
+table of ``SLOTS`` slots of eight bits (a plane for each eight languages): the slot at each of a gram's ``HASHES`` hashes
+has the bit of every language that has it, so one probe of a gram, the AND of its slots, gives the mask of all languages
+that hold it.  Spark finds the distinct grams, tasks set their bits, and Spark ORs the set words of the table, so
+the driver gets the table, whose size is fixed, and no grams.  More grams fill it further; none is left out.
 
 Deciding: a text's grams are counted by language over the masks.  If a share f of a language's slots is set, a
 gram it lacks still hits with probability f ** HASHES; the hits are corrected to the share of grams that the
@@ -17,6 +17,8 @@ are predicted one by one; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,34 +27,29 @@ from pyspark.sql import functions as F
 from . import _text as T
 from ._arrow import with_columns
 from ._grams import distinct_words, gram_counts
-from ._io import text_column
+from ._io import release, stored, text_column
 
-SHARE = 2e-5
+ORDER, BITS = 4, 16
 HASHES = 4
-SLOTS_PER_GRAM = 16
+SLOTS = 1 << 24
+
+
+def slots_of(grams: np.ndarray, k: int, slots: int) -> np.ndarray:
+    """The slot of each gram by the k-th hash; ``slots`` is a power of two."""
+    return (T.mix(grams ^ np.uint64(0xA0761D6478BD642F * (k + 1) % (1 << 64))) >> np.uint64(64 - (slots.bit_length() - 1))).astype(np.int64)
 
 
 class MaskFilter:
-    """Bit-sliced Bloom filters of up to 64 languages a plane: ``table[plane, slot]`` holds a bit a language."""
-
-    def __init__(self, grams: dict[str, np.ndarray]):
-        self.langs = sorted(grams)
-        most = max((len(g) for g in grams.values()), default=1)
-        self.bits = max(10, int(np.ceil(np.log2(max(1, most) * SLOTS_PER_GRAM))))
-        self.table = np.zeros((max(1, -(-len(self.langs) // 64)), 1 << self.bits), np.uint64)
-        fill = []
-        for i, lang in enumerate(self.langs):
-            slots = np.unique(np.concatenate([self.slots(grams[lang], k) for k in range(HASHES)]))
-            self.table[i // 64, slots] |= np.uint64(1 << (i % 64))
-            fill.append(len(slots) / (1 << self.bits))
-        self.false_hits = np.array(fill) ** HASHES
+    """Bit-sliced Bloom filters: ``table[plane, slot]`` holds a bit for each of eight languages."""
 
-    def slots(self, grams: np.ndarray, k: int) -> np.ndarray:
-        return (T.mix(grams ^ np.uint64(0xA0761D6478BD642F * (k + 1) % (1 << 64))) >> np.uint64(64 - self.bits)).astype(np.int64)
+    def __init__(self, langs: list[str], table: np.ndarray):
+        self.langs, self.table = langs, table
+        fill = [np.count_nonzero(table[i // 8] >> (i % 8) & 1) / table.shape[1] for i in range(len(langs))]
+        self.false_hits = np.array(fill) ** HASHES
 
     def masks(self, grams: np.ndarray) -> np.ndarray:
         """For each plane, the mask of languages that hold each gram."""
-        slots = [self.slots(grams, k) for k in range(HASHES)]
+        slots = [slots_of(grams, k, self.table.shape[1]) for k in range(HASHES)]
         return np.stack([np.bitwise_and.reduce([plane[s] for s in slots]) for plane in self.table])
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -62,13 +59,13 @@ class MaskFilter:
         n = np.bincount(w.text, w.ends - w.starts + 1, len(texts))
         if not len(first):
             return ["und"] * len(texts), np.zeros(len(texts))
-        grams, _ = T.char_grams(w.codes, w.starts[first], w.ends[first])
+        grams, _ = T.char_grams(w.codes, w.starts[first], w.ends[first], ORDER, BITS)
         lengths = w.ends[first] - w.starts[first] + 1
         begin = np.cumsum(lengths) - lengths
         masks = self.masks(grams)
         share = np.empty((len(self.langs), len(texts)))
         for i, fp in enumerate(self.false_hits):
-            bit = (masks[i // 64] >> np.uint64(i % 64)) & np.uint64(1)
+            bit = masks[i // 8] >> (i % 8) & 1
             hits = np.bincount(w.text, np.add.reduceat(bit.astype(np.int64), begin)[inverse], len(texts))
             share[i] = (hits - n * fp) / np.maximum(n * (1 - fp), 1e-9)
         best = share.argmax(0)
@@ -76,15 +73,29 @@ class MaskFilter:
         return [self.langs[b] if k else "und" for b, k in zip(best, n)], score
 
 
-def learn(rows: DataFrame, lang: str = "lang", text: str = "text") -> MaskFilter:
+def learn(rows: DataFrame, lang: str = "lang", text: str = "text", slots: int = SLOTS) -> MaskFilter:
     """The filters of the languages in ``rows``; null texts and languages teach nothing."""
     read = rows.select(rows[lang].cast("string").alias("lang"), rows[text].cast("string").alias("text")).dropna()
-    counts = gram_counts(read, letters=True)
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = counts.join(totals, "lang").filter(F.col("n") >= SHARE * F.col("total")).select("lang", "gram")
-    found = kept.toArrow()  # at most 1 / SHARE rows a language
-    langs, grams = found["lang"].combine_chunks().dictionary_encode(), found["gram"].to_numpy().view(np.uint64)
-    return MaskFilter({lang: grams[langs.indices.to_numpy() == i] for i, lang in enumerate(langs.dictionary.to_pylist())})
+    grams = stored(gram_counts(read, letters=True, order=ORDER, bits=BITS).select("lang", "gram"))
+    langs = [r["lang"] for r in grams.select("lang").distinct().orderBy("lang").collect()]  # one row a language
+    number = {lang: i for i, lang in enumerate(langs)}
+
+    def set_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = np.array([number[x] for x in b["lang"].to_pylist()], np.int64)
+            keys = b["gram"].to_numpy().view(np.uint64)
+            at = np.concatenate([(own // 8) * slots + slots_of(keys, k, slots) for k in range(HASHES)])
+            bits = np.tile(np.uint64(1) << (own % 8).astype(np.uint64), HASHES) << (at % 8 * 8).astype(np.uint64)
+            order = np.argsort(at // 8, kind="stable")
+            words, bits = (at // 8)[order], bits[order]
+            first = np.flatnonzero(np.append(True, words[1:] != words[:-1])) if len(words) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(words[first]), pa.array((np.bitwise_or.reduceat(bits, first) if len(words) else bits).view(np.int64))], ["word", "bits"])
+
+    words = grams.mapInArrow(set_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most the table
+    table = np.zeros(max(1, -(-len(langs) // 8)) * slots // 8, np.uint64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    release(grams)
+    return MaskFilter(langs, table.view(np.uint8).reshape(-1, slots))
 
 
 def predict(docs: DataFrame, filters: MaskFilter, text: str = "text") -> DataFrame:
