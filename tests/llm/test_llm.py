@@ -507,7 +507,7 @@ def test_templates_that_are_not_alike_cost_few_verifications(spark):
     template, n = prose(40, 154), 1500
     texts = [" ".join(template + prose(1000 + i, 50)) for i in range(n)]
     rows = spark.createDataFrame(list(enumerate(texts)), "rid long, _text string")
-    classes = jaccard.signatures(rows, jaccard.matched_depth()).withColumnRenamed("rid", "rep")
+    classes = jaccard.signatures(rows, jaccard.matched_depth()).withColumnRenamed("rid", "rep").persist()
     edges = jaccard.forest_edges(classes)
     assert edges.count() < 10 * n and edges.filter("star").isEmpty()
 
