@@ -73,12 +73,20 @@ def bare_name(name: Column) -> Column:
     """A compound's name without water of crystallisation, qualifiers and wrapping brackets."""
     text = F.regexp_replace(F.regexp_replace(F.lower(name.cast("string")), HYDRATE, " "), QUALIFIERS, " ")
     text = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"^[ .,;:-]+|[ .,;:-]+$", "")
-    return F.when(text.rlike(r"^\[[^\[\]]*\]$"), F.substring(text, 2, 10_000)).otherwise(text).try_cast("string")
+    return F.when(text.rlike(r"(?s)^\[[^\[]*\]$"), F.trim(F.regexp_replace(text, r"^\[|\]$", ""))).otherwise(text)
 
 
 def coerced_number(value: Column) -> Column:
-    """``"190 C"`` as 190.0: digits, points and signs kept; null if that is no number."""
-    return F.regexp_replace(value.cast("string"), r"[^0-9.\-]", "").try_cast("double")
+    """A number as it is, ``"1.5e-05"`` too; ``"190 C"`` as 190.0: digits, points and signs kept; null if that is no number."""
+    text = F.trim(value.cast("string"))
+    plain = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
+    return F.coalesce(plain, F.regexp_replace(text, r"[^0-9.\-]", "").try_cast("double"))
+
+
+def decided(passes: Iterable[tuple[str, Column, str, str]], default: tuple[str, str, str]) -> Column:
+    """struct(label, reason, decided_by) of the first pass (decided_by, test, label, reason) whose test holds."""
+    made = lambda label, reason, by: F.struct(F.lit(label).alias("label"), F.lit(reason).alias("reason"), F.lit(by).alias("decided_by"))
+    return F.coalesce(*(F.when(test, made(label, reason, by)) for by, test, label, reason in passes), made(*default))
 
 
 def ratio(a: Column, b: Column, digits: int | None = None) -> Column:

@@ -92,3 +92,17 @@ def reconciled(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """(key, before, after, change) of two count tables, a missing one being 0."""
     both = a.select(key, F.col("n").alias("before")).join(b.select(key, F.col("n").alias("after")), key, "full_outer").na.fill(0, ["before", "after"])
     return both.withColumn("change", F.col("after") - F.col("before"))
+
+
+def pooled_tail(df: DataFrame, value: str, most: int) -> DataFrame:
+    """(value, n): rows by a whole number, all from ``most`` on pooled there."""
+    return df.filter(F.col(value).isNotNull()).groupBy(F.least(F.col(value).cast("long"), F.lit(most)).alias(value)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def clipped_bins(df: DataFrame, value: str, bins: int, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """(bin, n): equal bins between two percentiles of the values, what lies outside counted in the outermost ones."""
+    v = F.col(value).cast("double")
+    edges = df.agg(F.percentile(v, F.lit(low)).alias("a"), F.percentile(v, F.lit(high)).alias("b"))
+    place = F.floor(F.try_divide((v - F.col("a")) * bins, F.col("b") - F.col("a")))
+    at = F.least(F.greatest(F.coalesce(place, F.lit(0)), F.lit(0)), F.lit(bins - 1)).cast("long")
+    return df.filter(v.isNotNull()).crossJoin(F.broadcast(edges)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))  # edges: one row

@@ -96,9 +96,11 @@ def matched(pair_table: DataFrame, group: str, greedy: bool = False) -> DataFram
     return pair_table.filter(F.col(group).isNotNull()).repartition(group).sortWithinPartitions(group, "i", "j").mapInArrow(run, fields)
 
 
-def labels(curated: DataFrame, extracted: DataFrame, assigned: DataFrame, group: str, index: str, accept: float = P.ACCEPT) -> DataFrame:
+def labels(curated: DataFrame, extracted: DataFrame, assigned: DataFrame, group: str, index: str, accept: float = P.ACCEPT, documents: DataFrame | None = None) -> DataFrame:
     """(group, verdict, i, j, penalty, reason, wrong): TP, MISMATCH, FN and FP of the groups that were extracted.
 
+    ``documents``: the groups that were extracted, those without any record included, whose curated records are all FN;
+    without it a group counts as extracted if it has a record.
     Records and both sides of each pair meet in one grouping by (group, side, position), so the matching runs once.
     """
     kind = "struct<gate:boolean,penalty:double,j:bigint,wrong:array<string>>"
@@ -106,7 +108,7 @@ def labels(curated: DataFrame, extracted: DataFrame, assigned: DataFrame, group:
     side = lambda name, place, what: F.struct(F.lit(name).alias("side"), F.col(place).cast("long").alias("place"), what.cast(kind).alias("info"))
     none = F.lit(None)
     met = assigned.select(group, F.explode(F.array(side("i", "i", info), side("j", "j", none))).alias("m")).select(group, "m.*", F.lit(True).alias("met"))
-    seen = extracted.select(group).distinct()
+    seen = (extracted if documents is None else documents).select(group).distinct()
     left = curated.join(seen, group, "left_semi").select(group, side("i", index, none).alias("m")).select(group, "m.*", F.lit(False).alias("met"))
     right = extracted.select(group, side("j", index, none).alias("m")).select(group, "m.*", F.lit(False).alias("met"))
     rows = met.unionByName(left).unionByName(right).groupBy(group, "side", "place").agg(F.first("info", ignorenulls=True).alias("info"), F.max("met").alias("met"))
@@ -132,10 +134,10 @@ def totals(label_table: DataFrame, *by: str) -> DataFrame:
     })
 
 
-def evaluate(curated: DataFrame, extracted: DataFrame, group: str, index: str, name: str, numbers: Sequence[str], names: Sequence[str] = (), accept: float = P.ACCEPT, **how) -> DataFrame:
+def evaluate(curated: DataFrame, extracted: DataFrame, group: str, index: str, name: str, numbers: Sequence[str], names: Sequence[str] = (), accept: float = P.ACCEPT, documents: DataFrame | None = None, **how) -> DataFrame:
     """Labels of an extraction: pairs, assignment and leftovers in one."""
     made = matched(pairs(curated, extracted, group, index, name, numbers, names, **how), group)
-    return labels(curated, extracted, made, group, index, accept)
+    return labels(curated, extracted, made, group, index, accept, documents)
 
 
 def field_errors(label_table: DataFrame) -> DataFrame:
@@ -143,9 +145,11 @@ def field_errors(label_table: DataFrame) -> DataFrame:
     return label_table.filter("verdict = 'TP'").select(F.explode("wrong").alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
 
 
-def sweep(pair_table: DataFrame, thresholds: DataFrame, threshold: str) -> DataFrame:
-    """Pairs under each threshold of a small table: the penalties are computed once."""
-    return pair_table.join(F.broadcast(thresholds), F.col("gate") & (F.col("penalty") < F.col(threshold)), "inner").groupBy(threshold).agg(F.count(F.lit(1)).alias("accepted"), F.avg("penalty").alias("mean_penalty"))
+def sweep(pair_table: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """(threshold, accepted, mean_penalty): pairs under each threshold, all in one pass; thresholds that accept none are left out."""
+    under = lambda t: F.col("gate") & (F.col("penalty") < t)
+    cells = [F.struct(F.lit(float(t)).alias("threshold"), F.count_if(under(t)).alias("accepted"), F.avg(F.when(under(t), F.col("penalty"))).alias("mean_penalty")) for t in thresholds]
+    return pair_table.agg(F.array(*cells).alias("a")).select(F.inline("a")).filter("accepted > 0")
 
 
 def within_slack(left: Column, right: Column, slack: float) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,14 +15,15 @@ def flags(rules: Mapping[str, Column]) -> Column:
 
 def record_rules(yield_="yield_percent", conversion="conversion_percent", selectivity="selectivity_percent", temperature="temperature_c", mass="PET_amount_g", catalyst="catalyst_amount_g") -> dict[str, Column]:
     """The rules of the release table: percentages in range, no more yield than conversion, plausible amounts."""
+    # The flags as they are published.
     rules: dict[str, Column] = {}
     for name, c in (("yield", yield_), ("conversion", conversion), ("selectivity", selectivity)):
         rules[f"{name} above 100%"] = F.col(c) > 100
         rules[f"{name} negative"] = F.col(c) < 0
     rules["yield above conversion"] = F.col(yield_) > F.col(conversion) + 1.0
-    rules["temperature too high"] = F.col(temperature) > 350
-    rules["mass beyond pilot scale"] = F.col(mass) > 1000
-    rules["more catalyst than reactant"] = F.try_divide(F.col(catalyst), F.col(mass)) > 1
+    rules["temperature above 350C -- pyrolysis, not solvolysis"] = F.col(temperature) > 350
+    rules["PET mass beyond bench or pilot scale"] = F.col(mass) > 1000
+    rules["more catalyst than PET"] = (F.col(mass) > 0) & (F.try_divide(F.col(catalyst), F.col(mass)) > 1)
     return rules
 
 
@@ -34,8 +35,12 @@ def report(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 
 def first_of_duplicates(df: DataFrame, keys: Sequence[str | Column], order: str, name: str = "duplicate_of") -> DataFrame:
     """The ``order`` value of the first row with equal keys (nulls equal); null for the first row itself."""
-    first = F.min(order).over(Window.partitionBy(*keys))
-    return df.withColumn(name, F.when(first < F.col(order), first))
+    keyed = df.withColumns({f"__key{i}": F.col(k) if isinstance(k, str) else k for i, k in enumerate(keys)})
+    names = [f"__key{i}" for i in range(len(keys))]
+    firsts = keyed.groupBy(*names).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__first", *(F.col(n).alias(f"{n}_") for n in names))
+    same = [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names]
+    out = keyed.join(firsts, same, "left").withColumn(name, F.when(F.col("__first") < F.col(order), F.col("__first")))
+    return out.select(*(c for c in df.columns if c != name), name)
 
 
 def duplicate_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -70,3 +75,40 @@ def release_split(df: DataFrame, order: str, keys: Sequence[str], exclusions: Ma
     kept = F.col("excluded_because").isNull()
     out = first_of_duplicates(out, [*keys, kept], order)
     return out.withColumns({"duplicate_of": F.when(kept, F.col("duplicate_of")), "quality_flags": F.when(kept, F.array_join(flags(rules), "; "))})
+
+
+def screened(df: DataFrame, rules: Mapping[str, Column], passed: str = "keep") -> DataFrame:
+    """``df`` with ``keep`` and ``reason``: the first rule, in order, that holds turns a row away; the others have the reason ``passed``."""
+    reason = F.coalesce(*(F.when(test, F.lit(name)) for name, test in rules.items()), F.lit(passed))
+    return df.withColumn("reason", reason).withColumn("keep", F.coalesce(*(F.when(test, F.lit(False)) for test in rules.values()), F.lit(True)))
+
+
+def mechanical(df: DataFrame, key: Sequence[str], outcomes: Sequence[str], needed: Sequence[str], absurd: Mapping[str, float], part: str, whole: str, hot: str, most: float = 350.0) -> DataFrame:
+    """(check, n, total) of what is wrong on its face: repeated rows, no outcome, too little to model, shares over 100, yields
+    above conversions (the first two outcomes), absurd amounts, more of ``part`` than of ``whole``, temperatures over ``most``."""
+    per = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    known = lambda cs: F.greatest(*(F.col(c).isNotNull().cast("int") for c in cs)) if len(cs) > 1 else F.col(cs[0]).isNotNull().cast("int")
+    any_of = lambda tests: F.greatest(*(F.coalesce(t.cast("int"), F.lit(0)) for t in tests), F.lit(0)) == 1
+    share = F.when(F.col(whole) > 0, F.try_divide(F.col(part), F.col(whole)))
+    tests = {
+        "no outcome": (known(outcomes) == 0, F.lit(True)),
+        "incomplete": (any_of([F.col(c).isNull() for c in needed]), F.lit(True)),
+        "above 100%": (any_of([F.col(c) > 100 for c in outcomes]), F.lit(True)),
+        "yield above conversion": (F.col(outcomes[0]) > F.col(outcomes[1]) + 1.0, F.col(outcomes[0]).isNotNull() & F.col(outcomes[1]).isNotNull()),
+        "absurd amounts": (any_of([F.col(c) > v for c, v in absurd.items()]), F.lit(True)),
+        "part outweighs whole": (share > 1, share.isNotNull()),
+        "too hot": (F.col(hot) > most, F.col(hot).isNotNull()),
+    }
+    cells = [F.struct(F.lit(k).alias("check"), F.count_if(t).alias("n"), F.count_if(of).alias("total")) for k, (t, of) in tests.items()]
+    twice = per.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    return df.agg(F.array(*cells).alias("a")).select(F.inline("a")).unionByName(twice.select(F.lit("repeated").alias("check"), "n", "total"))
+
+
+def built(df: DataFrame, phase: Column, keep: Sequence[str], part: str, whole: str, several: Column, structures: Sequence[str], basis: DataFrame, on: str) -> DataFrame:
+    """The rows of a release: those of the phases in ``keep``, with loading (rounded to four places; null for a whole of zero),
+    the ``basis`` of their document (blank is null), single_component, and the structure blanked where a cell names several."""
+    out = df.withColumn("phase", phase).filter(F.col("phase").isin(*keep))
+    out = out.withColumns({"loading": F.round(F.try_divide(F.col(part), F.nullif(F.col(whole), F.lit(0.0))), 4), "single_component": ~F.coalesce(several, F.lit(False))})
+    out = out.withColumns({c: F.when(F.col("single_component"), F.col(c)) for c in structures})
+    extra = [c for c in basis.columns if c != on]
+    return out.join(basis.select(on, *(F.nullif(F.col(c), F.lit("")).alias(c) for c in extra)), on, "left")

@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .match import within_slack
+from ..functions.penalties import SAME_NUMBER
+from ..functions.rules import normalised
 
 
 def paired_by_name(runs: DataFrame, run: str, pattern: str = r"^judge_(.+)_on_(.+)$") -> DataFrame:
@@ -58,24 +59,31 @@ def parity(pairs: DataFrame, fields: Sequence[str], left: str, right: str, point
     return out.withColumn("close_share", F.col("close") / F.col("n"))
 
 
-def field_agreement(pairs: DataFrame, fields: Sequence[str], left: str, right: str, slack: float = 0.02) -> DataFrame:
-    """(field, n, agree): share within the slack where both are known."""
-    long = pairs.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), within_slack(F.col(left + f).cast("double"), F.col(right + f).cast("double"), slack).alias("ok")) for f in fields))).alias("x")).select("x.*").dropna()
+def field_agreement(pairs: DataFrame, fields: Sequence[str], left: str, right: str, texts: Sequence[str] = (), apart: float = SAME_NUMBER) -> DataFrame:
+    """(field, n, agree): share of the pairs with both known that agree: numbers at most ``apart``, ``texts`` by normalised equality."""
+    number = lambda f: F.abs(F.col(left + f).cast("double") - F.col(right + f).cast("double")) <= apart
+    text = lambda f: F.when(F.col(left + f).isNotNull() & F.col(right + f).isNotNull(), normalised(F.col(left + f)) == normalised(F.col(right + f)))
+    cells = [F.struct(F.lit(f).alias("field"), test(f).alias("ok")) for test, own in ((number, fields), (text, texts)) for f in own]
+    long = pairs.select(F.explode(F.array(*cells)).alias("x")).select("x.*").dropna()
     return long.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("ok").cast("double")).alias("agree"))
 
 
 def conditions(df: DataFrame, x: str, y: str, log: Sequence[str] = ()) -> DataFrame:
-    """(x, y) of rows where both are known and positive, listed axes as log10."""
+    """(x, y) of rows where both are known; axes in ``log`` as log10, of positive values only."""
     axis = lambda c: (F.log10(c) if c in log else F.col(c)).alias(c)
-    return df.filter((F.col(x) > 0) & (F.col(y) > 0)).select(axis(x), axis(y))
+    shown = lambda c: F.col(c) > 0 if c in log else F.col(c).isNotNull()
+    return df.filter(shown(x) & shown(y)).select(axis(x), axis(y))
 
 
-def runner_up(df: DataFrame, arm: str, value: str) -> DataFrame:
-    """(best, second, margin): worst result of the best arm by mean against the best result of the next one."""
-    per = df.groupBy(arm).agg(F.avg(value).alias("mean"), F.min(value).alias("worst"), F.max(value).alias("top"))
+def runner_up(df: DataFrame, arm: str, value: str, setting: Column | None = None) -> DataFrame:
+    """(best, second, meet): of the runs at one setting, where the worst of the best arm by mean meets the best of the next one.
+
+    ``meet`` is the smaller of the two.
+    """
+    per = (df if setting is None else df.filter(setting)).groupBy(arm).agg(F.avg(value).alias("mean"), F.min(value).alias("worst"), F.max(value).alias("top"))
     top = per.orderBy(F.desc("mean"), arm).limit(2).withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean"), arm)))
     at = lambda c, p: F.max(F.when(F.col("place") == p, F.col(c)))
-    return top.agg(at(arm, 1).alias("best"), at(arm, 2).alias("second"), (at("worst", 1) - at("top", 2)).alias("margin"))
+    return top.agg(at(arm, 1).alias("best"), at(arm, 2).alias("second"), F.least(at("worst", 1), at("top", 2)).alias("meet"))
 
 
 def artifact_digest(files: DataFrame) -> DataFrame:

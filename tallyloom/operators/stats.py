@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,25 +114,29 @@ def anova(df: DataFrame, arm: str, value: str) -> dict:
     return {"f": f, "p": N.f_p_value(f, len(rows) - 1, n - len(rows))}
 
 
-def bootstrap(df: DataFrame, value: Column, resamples: int = 1000, seed: int = 0, parts: int = 200) -> dict:
-    """Mean and its 95 % percentile interval over resampled parts.
+#: Distribution function of the Poisson law of mean 1, whose draws are how often a row is in a resample.
+POISSON = tuple(float(sum(math.exp(-1) / math.factorial(j) for j in range(i + 1))) for i in range(12))
 
-    Rows are reduced to (part, n, sum) first, so resampling costs the same for any number of rows: the parts are
-    resampled, which needs rows dealt to parts at random.
+
+def paired_bootstrap(df: DataFrame, key: Column, before: Column, after: Column, resamples: int = 10_000, seed: int = 0) -> DataFrame:
+    """(n, shift, low, high): the mean of after - before over rows with both, and its 95 % percentile interval.
+
+    Each row is in each resample as often as a Poisson draw says, which MD5 of seed, key and resample decides; sums are
+    combined in tasks, so a row costs ``resamples`` draws and a task holds ``resamples`` sums.
     """
-    rows = df.select(F.pmod(F.xxhash64(F.lit(seed), value, F.monotonically_increasing_id()), F.lit(parts)).alias("part"), value.cast("double").alias("v")).dropna()
-    table = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s")).orderBy("part").toPandas()
-    draws = np.random.default_rng(seed).integers(0, len(table), (resamples, len(table)))
-    n, s = table["n"].to_numpy(float), table["s"].to_numpy(float)
-    means = s[draws].sum(1) / n[draws].sum(1)
-    return {"mean": float(s.sum() / n.sum()), "low": float(np.quantile(means, 0.025)), "high": float(np.quantile(means, 0.975))}
+    rows = df.select(key.cast("string").alias("k"), (after.cast("double") - before.cast("double")).alias("d")).filter("d is not null and k is not null")
+    drawn = rows.select("k", "d", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("k"), F.col("r").cast("string"))), 1, 8), 16, 10).cast("double") / 2.0**32
+    times = sum(((u >= p).cast("int") for p in POISSON), F.lit(0))
+    means = drawn.select("r", "d", times.alias("w")).groupBy("r").agg(F.try_divide(F.sum(F.col("d") * F.col("w")), F.sum("w")).alias("m"))
+    edges = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("shift")).crossJoin(F.broadcast(edges))  # one row each
 
 
 def rolling_median(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, window: int) -> DataFrame:
-    """The centred rolling median of each row; null with fewer than half a window of rows."""
-    k = window // 2
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-k, k)
-    return df.withColumn("rolling_median", F.when(F.count(value).over(w) >= max(1, k), F.percentile(value, F.lit(0.5)).over(w)))
+    """The centred rolling median over ``window`` rows, one more before than after if even; null with fewer than half of them."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(window // 2), (window - 1) // 2)
+    return df.withColumn("rolling_median", F.when(F.count(value).over(w) >= max(1, window // 2), F.percentile(value, F.lit(0.5)).over(w)))
 
 
 def noise_flag(df: DataFrame, side: Column, hit: Column) -> DataFrame:

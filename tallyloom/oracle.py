@@ -106,4 +106,17 @@ SQL = {
         select "constraint", n, caught, round(caught / n, 6) as recall from c""",
     "run_states": "select case when c_custkey in (select o_custkey from orders where o_orderstatus = 'P') then 'evaluated' when c_custkey in (select o_custkey from orders where o_orderstatus = 'F') then 'extracted' else 'planned' end as state, count(*) as n from customer group by 1",
     "rescued_rows": "select distinct p_name, p_brand from part a where p_partkey % 2 = 1 and not exists (select 1 from part b where b.p_partkey % 2 = 0 and b.p_name = a.p_name and b.p_brand = a.p_brand)",
+    "bootstrap_shift": "with l as (select doc_id, (toxic = 0)::INT::DOUBLE - (quality = 1)::INT::DOUBLE as d from labels where doc_id % 4 = 0 and toxic is not null and quality is not null), x as (select r, d, ('0x' || substr(md5('3|' || doc_id || '|' || r), 1, 8))::BIGINT / 4294967296.0::DOUBLE as u from l, range(60) t(r)), m as (select r, sum(d * ((u >= 0.36787944117144233)::INT + (u >= 0.7357588823428847)::INT + (u >= 0.9196986029286058)::INT + (u >= 0.9810118431238463)::INT + (u >= 0.9963401531726563)::INT + (u >= 0.9994058151824183)::INT + (u >= 0.999916758850712)::INT + (u >= 0.9999897508033254)::INT + (u >= 0.999998874797402)::INT + (u >= 0.9999998885745217)::INT + (u >= 0.9999999899522337)::INT + (u >= 0.9999999991683893)::INT)) / sum((u >= 0.36787944117144233)::INT + (u >= 0.7357588823428847)::INT + (u >= 0.9196986029286058)::INT + (u >= 0.9810118431238463)::INT + (u >= 0.9963401531726563)::INT + (u >= 0.9994058151824183)::INT + (u >= 0.999916758850712)::INT + (u >= 0.9999897508033254)::INT + (u >= 0.999998874797402)::INT + (u >= 0.9999998885745217)::INT + (u >= 0.9999999899522337)::INT + (u >= 0.9999999991683893)::INT) as m from x group by r) select (select count(*) from l) as n, round((select avg(d) from l), 6) as shift, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high from m",
+    "even_rolling_median": 'select event_id, round(case when count(value) over w >= 10 then quantile_cont(value, 0.5) over w end, 6) as rolling_median from events window w as (partition by event_type order by ts, event_id rows between 10 preceding and 9 following)',
+    "coerced_numbers": "select p_partkey, case p_partkey % 5 when 0 then p_size::DOUBLE when 1 then cast(p_size || 'e-05' as DOUBLE) when 2 then -(p_size + 0.5::DOUBLE) when 3 then null else p_size::DOUBLE end as value, case p_partkey % 5 when 0 then p_size || ' c' when 1 then p_size || 'e-05' when 2 then p_size || '.5 g' when 3 then 'none' else p_size::VARCHAR end as name from part",
+    "field_agreement": "select 'q' as field, count(*) as n, round(avg((abs(l_quantity - (l_quantity + (l_suppkey % 3) * 0.004::DOUBLE)) <= 0.01)::INT), 6) as agree from lineitem union all select 'f', count(*), round(avg((l_linestatus = 'O')::INT), 6) from lineitem where l_partkey % 7 <> 0",
+    "condition_points": 'select p_size - 25 as x, count(*) as n, round(avg(log10(y)), 6) as y from (select p_size, p_retailprice - p_partkey % 3 * 1000 as y from part) where y > 0 group by p_size',
+    "runner_up": "with a as (select o_orderpriority as arm, avg(o_totalprice) as m, min(o_totalprice) as lo, max(o_totalprice) as hi from orders where o_orderstatus = 'F' group by 1), t as (select *, row_number() over (order by m desc, arm) as p from a) select max(case when p = 1 then arm end) as best, max(case when p = 2 then arm end) as second, round(least(max(case when p = 1 then lo end), max(case when p = 2 then hi end)), 6) as meet from t where p <= 2",
+    "resolved_names": "with v(i, value, origin, mappable, tier) as (values (0, 'CC(=O)[O-].[Zn+2]', 'lookup', 'not yet mapped', 'LLM written'), (1, 'Cl[Zn]Cl', 'lookup', 'not yet mapped', 'confirmed'), (2, 'Cl[Zn]Cl.[Na+].[OH-]', 'mixture', 'not yet mapped', 'LLM written'), (3, '[Mg+2].[O-2]', 'lookup: an oxide', 'not yet mapped', 'LLM written'), (4, null, 'unmappable: a material', 'no structure', 'impossible'), (5, null, 'unknown', 'not yet mapped', 'unclear'), (6, null, 'unknown', 'no structure', 'impossible'), (7, null, 'not reported', 'nothing to map', 'not reported')) select p_partkey, value, origin, mappable, tier from part join v on p_partkey % 8 = i",
+    "phase_cascade": "select label, reason, decided_by, count(*) as n from (select unnest(case when p_size = 1 then {'label': 'uncatalysed', 'reason': 'none reported', 'decided_by': 'tier'} when p_name in ('red bolt', 'blue ring') then {'label': 'heterogeneous', 'reason': 'decided by hand', 'decided_by': 'curated'} when regexp_matches(p_name, 'bolt|nut') then {'label': 'heterogeneous', 'reason': 'a solid', 'decided_by': 'solid'} when p_name like '%ring%' then {'label': 'homogeneous', 'reason': 'dissolves', 'decided_by': 'soluble'} else {'label': 'unknown', 'reason': 'no rule matched', 'decided_by': 'none'} end) from part) group by 1, 2, 3",
+    "release_build": "select p_partkey, case when regexp_matches(p_brand, '[13]$') then 'homogeneous' else 'uncatalysed' end as phase, case when p_partkey % 4 <> 0 then p_name end as p_name, case when p_partkey % 9 <> 0 then round(p_size / p_retailprice, 4) end as loading, p_partkey % 4 <> 0 as single_component, case when length(p_type) % 2 <> 0 then 'molar' end as basis from part where regexp_matches(p_brand, '[135]$')",
+    "mechanical_checks": "with l as (select l_partkey, l_suppkey, case when l_quantity < 48 then l_quantity * 2.2::DOUBLE end as y, case when l_tax > 0.01 then l_tax * 1300 end as c, l_discount as part, l_quantity - 1 as whole, l_extendedprice / 200 as heat from lineitem) select 'no outcome' as check, count(*) filter (y is null and c is null) as n, count(*) as total from l union all select 'incomplete', count(*) filter (y is null or heat is null), count(*) from l union all select 'above 100%', count(*) filter (y > 100 or c > 100), count(*) from l union all select 'yield above conversion', count(*) filter (y > c + 1), count(*) filter (y is not null and c is not null) from l union all select 'absurd amounts', count(*) filter (y > 105 or part > 0.095), count(*) from l union all select 'part outweighs whole', count(*) filter (whole > 0 and part / whole > 1), count(*) filter (whole > 0 and part is not null) from l union all select 'too hot', count(*) filter (heat > 350), count(heat) from l union all select 'repeated', count(*) - (select count(*) from (select distinct l_partkey, l_suppkey from l)), count(*) from l",
+    "screen_reasons": "select coalesce(reason is null, true) as keep, coalesce(reason, 'keep') as reason, count(*) as n from (select case when coalesce(length(text), 0) = 0 then 'no text' when n_chars < 300 then 'short' when lang <> 'en' then 'other language' end as reason from documents) group by 1, 2",
+    "pooled_tail": 'select least(l_quantity::BIGINT, 40) as l_quantity, count(*) as n from lineitem where l_quantity is not null group by 1',
+    "clipped_bins": 'select greatest(least(coalesce(floor((p_retailprice - a) * 20 / (b - a)), 0), 19), 0)::BIGINT as bin, count(*) as n from part, (select quantile_cont(p_retailprice, 0.05) as a, quantile_cont(p_retailprice, 0.95) as b from part) group by 1',
 }

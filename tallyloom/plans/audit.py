@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.rules import SOLVENT_ALIASES, aliased
+from ..functions.rules import SOLVENT_ALIASES, aliased, normalised
 from ..operators import match, quality, review
 
 
 def scored(curated: DataFrame, records: DataFrame) -> DataFrame:
-    """Labels of the records against the key, solvents compared by their canonical names."""
-    same = lambda df: df.withColumn("solvent", aliased(F.col("solvent"), SOLVENT_ALIASES))
+    """Labels of the records against the key, solvents compared by their canonical names without spaces and hyphens."""
+    same = lambda df: df.withColumn("solvent", normalised(aliased(F.col("solvent"), SOLVENT_ALIASES)))
     return match.evaluate(same(curated), same(records), "doi", "index", "catalyst", [f for f in S.SCORED if f in S.NUMBER_FIELDS], ["solvent"])
 
 

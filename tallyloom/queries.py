@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import ids, penalties, rules
 from .functions import numerics as N
 from .operators import aggregates as A
-from .operators import match, quality, review, runs, stats
+from .operators import match, names, quality, review, runs, stats
 from .oracle import SQL
 from .sources import markup, text
 
@@ -129,8 +129,7 @@ def pareto_frontier(spark, d):
 
 def threshold_sweep(spark, d):
     o = _t(spark, d, "orders", "o_totalprice", "o_orderkey").select((F.col("o_orderkey") % 3 != 0).alias("gate"), penalties.numeric(F.col("o_totalprice"), F.lit(250000.0), 1.0).alias("penalty"))
-    params = spark.createDataFrame([(0.1,), (0.2,), (0.3,), (0.5,), (1.0,)], "threshold double")
-    return match.sweep(o, params, "threshold").withColumn("mean_penalty", F.round("mean_penalty", 6))
+    return match.sweep(o, (0.1, 0.2, 0.3, 0.5, 1.0)).withColumn("mean_penalty", F.round("mean_penalty", 6))
 
 
 def largest_remainder(spark, d):
@@ -327,8 +326,89 @@ def string_ratio(spark, d):
 
 
 def bootstrap_shift(spark, d):
-    got = stats.bootstrap(_t(spark, d, "lineitem", "l_discount"), F.col("l_discount"))
-    return spark.createDataFrame([(got["mean"], got["low"], got["high"])], "mean double, low double, high double")
+    labels = _t(spark, d, "labels").filter("doc_id % 4 = 0")
+    out = stats.paired_bootstrap(labels, F.col("doc_id"), F.col("quality") == 1, F.col("toxic") == 0, 60, 3)
+    return out.select("n", *(F.round(c, 6).alias(c) for c in ("shift", "low", "high")))
+
+
+def even_rolling_median(spark, d):
+    return stats.rolling_median(_t(spark, d, "events", "event_id", "event_type", "ts", "value"), ["event_type"], ["ts", "event_id"], "value", 20).select("event_id", F.round("rolling_median", 6).alias("rolling_median"))
+
+
+def coerced_numbers(spark, d):
+    size = F.col("p_size").cast("string")
+    text = F.when(F.col("p_partkey") % 5 == 0, F.concat(size, F.lit(" C"))).when(F.col("p_partkey") % 5 == 1, F.concat(size, F.lit("e-05"))).when(F.col("p_partkey") % 5 == 2, F.concat(F.lit("-"), size, F.lit(".5 g"))).when(F.col("p_partkey") % 5 == 3, "none").otherwise(F.concat(F.lit("["), size, F.lit("]")))
+    return _t(spark, d, "part", "p_partkey", "p_size").select("p_partkey", rules.coerced_number(text).alias("value"), rules.bare_name(text).alias("name"))
+
+
+def field_agreement(spark, d):
+    li = _t(spark, d, "lineitem", "l_quantity", "l_suppkey", "l_partkey", "l_returnflag", "l_linestatus")
+    pairs = li.select(F.col("l_quantity").alias("a_q"), (F.col("l_quantity") + (F.col("l_suppkey") % 3) * 0.004).alias("b_q"), F.concat(F.lit("Flag-"), "l_returnflag").alias("a_f"), F.when(F.col("l_partkey") % 7 != 0, F.concat(F.lit("flag "), F.when(F.col("l_linestatus") == "O", F.col("l_returnflag")).otherwise("x"))).alias("b_f"))
+    return runs.field_agreement(pairs, ["q"], "a_", "b_", ["f"]).withColumn("agree", F.round("agree", 6))
+
+
+def condition_points(spark, d):
+    p = _t(spark, d, "part", "p_size", "p_retailprice", "p_partkey").select((F.col("p_size") - 25).alias("x"), F.nullif(F.col("p_retailprice") - F.col("p_partkey") % 3 * 1000, F.lit(0.0)).alias("y"))
+    return runs.conditions(p, "x", "y", ["y"]).groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 6).alias("y"))
+
+
+def runner_up(spark, d):
+    out = runs.runner_up(_t(spark, d, "orders", "o_orderpriority", "o_totalprice", "o_orderstatus"), "o_orderpriority", "o_totalprice", F.col("o_orderstatus") == "F")
+    return out.withColumn("meet", F.round("meet", 6))
+
+
+CURATED_NAMES = (("catalyst", "zinc acetate", "CC(=O)[O-].[Zn+2]", None), ("catalyst", "ZnCl2", "Cl[Zn]Cl", None), ("catalyst", "NaOH", "[Na+].[OH-]", None), ("oxide", "MgO", "[Mg+2].[O-2]", None), ("catalyst", "zeolite", None, "a material"), ("solvent", "water", "O", None))
+GIVEN_NAMES = ("Zinc acetate dihydrate", "[ZnCl2]", "ZnCl2/NaOH", "MgO", "zeolite (dry)", "ZnCl2/water", "steel", " ")
+
+
+def resolved_names(spark, d):
+    """Made-up spellings, one for each part, resolved against a small curated table."""
+    table = spark.createDataFrame(CURATED_NAMES, "kind string, name string, value string, note string")
+    given = F.element_at(F.array(*map(F.lit, GIVEN_NAMES)), (F.col("p_partkey") % 8 + 1).cast("int"))
+    parts = _t(spark, d, "part", "p_partkey").select("p_partkey", given.alias("name"))
+    out = names.resolved(parts, "name", F.lit("catalyst"), table, "/", ("catalyst", "oxide", "lookup: an oxide"))
+    mappable = names.mappability(F.col("name"), ["none"], "(?i)zeolite|steel")
+    derived = F.when(F.col("name") == "[ZnCl2]", "Cl[Zn]Cl")
+    return out.select("p_partkey", "value", "origin", mappable.alias("mappable"), names.tier(F.col("origin"), F.col("value"), derived, mappable).alias("tier"))
+
+
+def phase_cascade(spark, d):
+    name = F.col("p_name")
+    passes = (
+        ("tier", F.col("p_size") == 1, "uncatalysed", "none reported"), ("curated", name.isin("red bolt", "blue ring"), "heterogeneous", "decided by hand"),
+        ("solid", name.rlike("bolt|nut"), "heterogeneous", "a solid"), ("soluble", name.rlike("ring"), "homogeneous", "dissolves"),
+    )
+    said = _t(spark, d, "part", "p_name", "p_size").select(rules.decided(passes, ("unknown", "no rule matched", "none")).alias("s")).select("s.*")
+    return A.counted(said, "label", "reason", "decided_by")
+
+
+def release_build(spark, d):
+    p = _t(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+    basis = p.groupBy("p_type").agg(F.when(F.length("p_type") % 2 == 0, "").otherwise("molar").alias("basis"))
+    phase = rules.cascade(F.col("p_brand"), (("homogeneous", "[13]$"), ("uncatalysed", "5$")), "heterogeneous")
+    out = quality.built(p.withColumn("mass", F.when(F.col("p_partkey") % 9 == 0, 0.0).otherwise(F.col("p_retailprice"))), phase, ["homogeneous", "uncatalysed"], "p_size", "mass", F.col("p_partkey") % 4 == 0, ["p_name"], basis, "p_type")
+    return out.select("p_partkey", "phase", "p_name", "loading", "single_component", "basis")
+
+
+def mechanical_checks(spark, d):
+    li = _t(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice").select(
+        "l_partkey", "l_suppkey", F.when(F.col("l_quantity") < 48, F.col("l_quantity") * 2.2).alias("yield"), F.when(F.col("l_tax") > 0.01, F.col("l_tax") * 1300).alias("conversion"),
+        F.col("l_discount").alias("part"), (F.col("l_quantity") - 1).alias("whole"), (F.col("l_extendedprice") / 200).alias("heat"),
+    )
+    return quality.mechanical(li, ["l_partkey", "l_suppkey"], ["yield", "conversion"], ["yield", "heat"], {"yield": 105.0, "part": 0.095}, "part", "whole", "heat")
+
+
+def screen_reasons(spark, d):
+    rules_ = {"no text": F.coalesce(F.length("text"), F.lit(0)) == 0, "short": F.col("n_chars") < 300, "other language": F.col("lang") != "en"}
+    return A.counted(quality.screened(_t(spark, d, "documents", "text", "n_chars", "lang"), rules_), "keep", "reason")
+
+
+def pooled_tail(spark, d):
+    return A.pooled_tail(_t(spark, d, "lineitem", "l_quantity"), "l_quantity", 40)
+
+
+def clipped_bins(spark, d):
+    return A.clipped_bins(_t(spark, d, "part", "p_retailprice"), "p_retailprice", 20, 0.05, 0.95)
 
 
 def exact_tests(spark, d):
@@ -343,7 +423,7 @@ def exact_tests(spark, d):
     return spark.createDataFrame(rows, "name string, value double")
 
 
-ROWS_ONLY = (assignment_match, assignment_score, greedy_match, string_ratio, bootstrap_shift, exact_tests, chunk_documents, page_blocks)
+ROWS_ONLY = (assignment_match, assignment_score, greedy_match, string_ratio, exact_tests, chunk_documents, page_blocks)
 QUERIES = (
     route_cascade_counts, canonical_alias_counts, rules_fired_ambiguous, quality_flags_lineitem, quality_report_lineitem, duplicate_of_first, duplicate_rows,
     fill_rate_by_group, within_group_spearman, pooled_vs_within, numeric_penalty_bands, tolerance_band_join, semi_anti_resume, key_overlap, agreement_kappa,
@@ -351,6 +431,8 @@ QUERIES = (
     left_closed_bins, crosstab_pivot, hash_stratified_sample, fingerprint_sample_id, chunk_sentences, chunk_ids, citation_resolution, apply_fixes_overlay,
     fixes_changelog, first_active_answer, modal_label_group, topk_concentration, rolling_median, funnel, pairwise_votes, reconciled_counts,
     noise_between_groups, release_digest, verified_decisions, grown_policies, rescued_rows, parity_by_field, constraint_recall, run_states,
+    bootstrap_shift, even_rolling_median, coerced_numbers, field_agreement, condition_points, runner_up, resolved_names, phase_cascade, release_build, mechanical_checks,
+    screen_reasons, pooled_tail, clipped_bins,
 )
 
 

@@ -76,7 +76,11 @@ def test_matching_degenerate_sides_and_the_gate(spark):
     at = spark.createDataFrame([("a", 0, "x", 100.0)], key.schema)
     edge = match.evaluate(at, spark.createDataFrame([("a", 0, "x", 88.0)], key.schema), "doc", "index", "name", ["v"], accept=0.3)
     assert edge.first()["verdict"] == "MISMATCH"  # (0 + 0.6) / 2 is not below 0.3
-    assert match.evaluate(key, got.limit(0), "doc", "index", "name", ["v"]).count() == 0
+    assert match.evaluate(key, got.limit(0), "doc", "index", "name", ["v"]).count() == 0  # nothing says that a document was read
+    read = spark.createDataFrame([("a",), ("none",)], "doc string")
+    empty = match.evaluate(key, got.limit(0), "doc", "index", "name", ["v"], documents=read)
+    assert {(r["doc"], r["i"], r["verdict"]) for r in empty.collect()} == {("a", 0, "FN"), ("a", 1, "FN"), ("none", 0, "FN")}
+    assert match.totals(empty).first()["fn"] == 3
 
 
 def test_rules(spark):
@@ -84,6 +88,11 @@ def test_rules(spark):
     assert [r[0] for r in df.select(rules.route_of(F.col("s"))).collect()] == ["glycolysis", "hydrolysis", "other/unclear", "methanolysis", "other/unclear", "other/unclear"]
     v = spark.createDataFrame([("190 C",), ("-3.5",), ("none",), (None,)], "s string").select(rules.coerced_number(F.col("s"))).collect()
     assert [r[0] for r in v] == [190.0, -3.5, None, None]
+    v = spark.createDataFrame([("1.5e-05",), ("2E3",), (" 7 ",), ("a-b",)], "s string").select(rules.coerced_number(F.col("s"))).collect()
+    assert [r[0] for r in v] == [1.5e-05, 2000.0, 7.0, None]
+    long = "[" + "x" * 12_000 + "]"
+    b = spark.createDataFrame([("[ZnCl2]",), ("[a][b]",), (long,)], "s string").select(rules.bare_name(F.col("s"))).collect()
+    assert [r[0] for r in b] == ["zncl2", "[a][b]", long[1:-1]]
     j = ['```json\n{"a": 1,}\n```', 'so: {"u": "http://x", "b": [1, 2,],} // done', "nothing", None, '{"a": ']
     got = [r[0] for r in spark.createDataFrame([(x,) for x in j], "s string").select(rules.salvaged_json(F.col("s"))).collect()]
     assert got == ['{"a": 1}', '{"b": [1, 2], "u": "http://x"}', None, None, None]
@@ -103,7 +112,7 @@ def test_flags_duplicates_and_split(spark):
     rows = [("d", 0, "c", 100.0, 99.0, 20.0), ("d", 1, "c", 101.0, None, None), ("d", 2, None, 50.0, 49.0, 400.0), ("d", 3, None, 50.0, 49.0, 400.0), ("e", 4, None, None, None, None)]
     df = spark.createDataFrame(rows, "doi string, id int, catalyst string, yield_percent double, conversion_percent double, temperature_c double").withColumns({"selectivity_percent": F.lit(None).cast("double"), "PET_amount_g": F.lit(0.0), "catalyst_amount_g": F.lit(1.0)})
     got = {r["id"]: r for r in quality.release_split(df, "id", ["doi", "catalyst", "yield_percent", "temperature_c"], {"no outcome": F.col("yield_percent").isNull()}, quality.record_rules()).collect()}
-    assert got[0]["quality_flags"] == "" and got[1]["quality_flags"] == "yield above 100%" and got[2]["quality_flags"] == "temperature too high"
+    assert got[0]["quality_flags"] == "" and got[1]["quality_flags"] == "yield above 100%" and got[2]["quality_flags"] == "temperature above 350C -- pyrolysis, not solvolysis"
     assert got[3]["duplicate_of"] == 2 and got[2]["duplicate_of"] is None and got[4]["excluded_because"] == "no outcome" and got[4]["quality_flags"] is None
     n = quality.duplicate_counts(df, ["doi", "catalyst", "yield_percent"]).first()
     assert (n["extra"], n["involved"]) == (1, 2)
