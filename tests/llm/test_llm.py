@@ -610,14 +610,72 @@ def test_repeated_passages(spark, monkeypatch, group):
     assert got[5]["text"] == ""
 
 
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150)
+def _verdicts(rows):
+    """ids kept by the quality rules, from the definition."""
+    grams = lambda w: [tuple((" " * 4 + w + " ")[i : i + 5]) for i in range(len(w) + 1)]
+    words = {i: WORD.findall(t or "") for i, t, _ in rows}
+    by_word = {w: grams(w) for ws in words.values() for w in ws}
+    log_p = _kneser_ney([g for ws in words.values() for w in ws for g in by_word[w]], True)
+    cost = {w: -sum(log_p[g] for g in gs) for w, gs in by_word.items()}
+    passed = {i for i, t, _ in rows for n, _, _, _, again in [_base(t or "")] if n >= 10 and 100 * again <= 20 * n}
+    said = {i: {"word": sum(cost[w] for w in words[i]) / len(words[i]), "symbol": sum(cost[w] for w in words[i]) / sum(len(w) + 1 for w in words[i])} for i in passed}
+    kept = set(passed)
+    for lang in {x for _, _, x in rows}:
+        own = [i for i, _, x in rows if x == lang and i in passed]
+        for c, (below, above) in quality.BANDS.items():
+            q = sorted(said[i][c] for i in own)
+            if len(q) < quality.SPREAD_TEXTS:
+                continue
+            at = lambda x, q=q: q[int(np.ceil(x * len(q))) - 1]
+            unit = max((at(0.75) - at(0.25)) / 1.349, quality.LEAST_SPREAD)
+            for i in own:
+                wide = unit * np.sqrt(1 + quality.SHORT_WORDS / len(words[i]))
+                if not at(0.5) - below * wide <= said[i][c] <= at(0.5) + above * wide:
+                    kept.discard(i)
+    return kept
+
+
+def test_pipeline_against_brute_force(spark):
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = {}
     for name, stage in corpus_pipeline.STAGES:
         before = docs
         docs = stage(spark, docs, SF).cache()
         if name != "best_fit_packing":
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() <= before.count()
-    assert docs.count() and 4 <= len(corpus_pipeline.STAGES) <= 5
+        seen[name] = docs.collect()
+    rows = [(r["doc_id"], r["text"], r["lang"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    texts = {i: t for i, t, _ in rows}
+    kept = _verdicts(rows)
+    assert {r["doc_id"] for r in seen["quality_rules"]} == kept
+    links, _ = _links({i: texts[i] for i in kept})
+    root = {i: i for i in kept}
+    for a, b in sorted(links):
+        ra, rb = root[a], root[b]
+        root = {i: min(ra, rb) if r in (ra, rb) else r for i, r in root.items()}
+    firsts = {r["doc_id"] for r in seen["near_duplicates"]}
+    assert len(firsts & set(root.values())) >= 0.99 * len(set(root.values())) and len(firsts) <= 1.01 * len(set(root.values()))
+    left = {r["doc_id"]: r["text"] for r in seen["repeated_passages"]}
+    assert set(left) == firsts and all(r["n_chars"] == len(r["text"]) for r in seen["repeated_passages"])
+    assert not any(_covered(list(left.values()))) and any(left[i] != texts[i] for i in left)
+    windows = {tuple(w[s : s + 50]) for i in firsts for w in [WORD.findall(texts[i])] for s in range(len(w) - 49)}
+    have = {tuple(w[s : s + 50]) for t in left.values() for w in [WORD.findall(t)] for s in range(len(w) - 49)}
+    in_cut = {g for i in firsts if left[i] != texts[i] for w in [WORD.findall(texts[i])] for s in range(len(w) - 49) for g in [tuple(w[s : s + 50])]}
+    assert windows - have <= in_cut  # what is gone stood beside a passage that went
+    safe = {r["doc_id"]: r["text"] for r in seen["personal_data"]}
+    emails = re.compile(r"[\w.+-]+@[\w-]+\.[a-z]+")
+    assert set(safe) == firsts and all(len(safe[i].split()) == len(left[i].split()) for i in left)
+    assert not any(set(emails.findall(left[i])) & set(emails.findall(safe[i])) for i in left)
+    library = Tokenizer.from_file(BYTE)
+    sizes = collections.Counter()
+    for r in seen["best_fit_packing"]:
+        sizes[r["doc_id"]] += r["length"]
+    assert sizes == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in safe.items()}
+    for stage in (x for n, x in corpus_pipeline.STAGES if n != "best_fit_packing"):  # nulls, repeated rows, empty tables
+        odd = spark.createDataFrame([(1, None, None, None, None), (1, None, None, None, None), (None, "one two", "en", "s", 7)], "doc_id long, text string, lang string, source string, n_chars long")
+        assert stage(spark, odd, SF).columns == odd.columns and stage(spark, odd.limit(0), SF).count() == 0
 
 
 def test_round_trip_digests(spark):
