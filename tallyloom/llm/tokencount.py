@@ -42,7 +42,8 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 class Unigram:
     def __init__(self, scores: dict[str, float], byte_score: float):
         self.scores, self.byte_score = scores, byte_score
-        self.longest = max(map(len, scores), default=1)
+        self.ends: dict[str, float | None] = {p[i:]: None for p in scores for i in range(1, len(p))}  # the ends of pieces
+        self.ends.update(scores)
         self.known: dict[str, int] = {}
 
     @staticmethod
@@ -59,7 +60,7 @@ class Unigram:
 
         The list is the walk's own stack, to be read before the next word; a byte fallback is the complement of its start.
         """
-        get, longest, byte_score = self.scores.get, self.longest, self.byte_score
+        get, byte_score = self.ends.get, self.byte_score
         best, count, back, path = [0.0], [0], [0], ""
         for word in sorted(words):
             token = "▁" + word
@@ -70,8 +71,10 @@ class Unigram:
             for end in range(shared + 1, len(token) + 1):
                 n_bytes = len(token[end - 1].encode("utf-8", "surrogatepass"))
                 top, fewest, last = best[end - 1] + n_bytes * byte_score, count[end - 1] + n_bytes, -end
-                for start in range(max(0, end - longest), end):
-                    score = get(token[start:end])
+                for start in range(end - 1, -1, -1):
+                    score = get(token[start:end], False)
+                    if score is False:  # no piece ends like this, so no longer one does
+                        break
                     if score is not None:
                         score += best[start]
                         if score > top or score == top and count[start] + 1 < fewest:
