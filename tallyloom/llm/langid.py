@@ -1,9 +1,11 @@
 """Language identification by bit-sliced Bloom filters of character n-grams.
 
-Learning: a filter holds *every* four-gram of letters inside words that occurs in a language.  All languages share one
+Learning: Spark counts the four-grams of letters inside words of each language.  A language has a gram if the gram's share of
+its grams is at least ``1 / NOISE`` of the largest share that it has in any language, so a few foreign words in texts of a language
+do not teach it theirs, whatever the size of the corpus; every gram is in some filter.  All languages share one
 table of ``SLOTS`` slots of eight bits (a plane for each eight languages): the slot at each of a gram's ``HASHES`` hashes
 has the bit of every language that has it, so one probe of a gram, the AND of its slots, gives the mask of all languages
-that hold it.  Spark finds the distinct grams, tasks set their bits, and Spark ORs the set words of the table, so
+that hold it.  Tasks set the bits of the grams that Spark finds, and Spark ORs the set words of the table, so
 the driver gets the table, whose size is fixed, and no grams.  More grams fill it further; none is left out.
 
 Deciding: a text's grams are counted by language over the masks.  If a share f of a language's slots is set, a
@@ -31,6 +33,7 @@ from ._io import release, stored, text_column
 
 ORDER, BITS = 4, 16
 HASHES = 4
+NOISE = 10.0
 SLOTS = 1 << 24
 
 
@@ -76,8 +79,12 @@ class MaskFilter:
 def learn(rows: DataFrame, lang: str = "lang", text: str = "text", slots: int = SLOTS) -> MaskFilter:
     """The filters of the languages in ``rows``; null texts and languages teach nothing."""
     read = rows.select(rows[lang].cast("string").alias("lang"), rows[text].cast("string").alias("text")).dropna()
-    grams = stored(gram_counts(read, letters=True, order=ORDER, bits=BITS).select("lang", "gram"))
-    langs = [r["lang"] for r in grams.select("lang").distinct().orderBy("lang").collect()]  # one row a language
+    counts = stored(gram_counts(read, letters=True, order=ORDER, bits=BITS))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    langs = [r["lang"] for r in totals.orderBy("lang").collect()]  # one row a language
+    shares = stored(counts.join(totals, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share")))
+    most = shares.groupBy("gram").agg(F.max("share").alias("most"))
+    grams = shares.join(most, "gram").filter(F.col("share") * NOISE >= F.col("most")).select("lang", "gram")
     number = {lang: i for i, lang in enumerate(langs)}
 
     def set_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +101,7 @@ def learn(rows: DataFrame, lang: str = "lang", text: str = "text", slots: int =
     words = grams.mapInArrow(set_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most the table
     table = np.zeros(max(1, -(-len(langs) // 8)) * slots // 8, np.uint64)
     table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    release(grams)
+    release(counts, shares)
     return MaskFilter(langs, table.view(np.uint8).reshape(-1, slots))
 
 
