@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -13,6 +14,8 @@ from .rules import normalised
 #: Thresholds of the scorer: a pair counts below ACCEPT, names agree from GATE, numbers are wrong TOLERANCE off.
 ACCEPT, GATE, TOLERANCE = 0.30, 0.60, 0.20
 SAME_NUMBER = 0.01
+#: Pairs of names whose ratio a task remembers.
+REMEMBERED = 100_000
 
 
 def numeric(a: Column, b: Column, tolerance: Column | float = TOLERANCE) -> Column:
@@ -31,17 +34,24 @@ def equality(a: Column, b: Column) -> Column:
 
 
 def with_string_ratio(pairs: DataFrame, left: str, right: str, name: str = "ratio") -> DataFrame:
-    """``pairs`` with the similarity of two names, computed once for each distinct pair of normalised names.
+    """``pairs`` with the similarity of two normalised names, computed once for each distinct pair that a task remembers.
 
     The ratio of ordered matching blocks depends on the order of its arguments, and has no SQL form.  Two empty
-    names have ratio 1, one empty name ratio 0.
+    names have ratio 1, one empty name ratio 0.  Nothing is shuffled; a task forgets after ``REMEMBERED`` pairs.
     """
-    a, b = f"__{name}_a", f"__{name}_b"
 
     @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, p, q).ratio() if p and q else float(p == q) for p, q in zip(x, y)])
-
-    keyed = pairs.withColumns({a: normalised(F.col(left)), b: normalised(F.col(right))})
-    scored = keyed.select(a, b).distinct().withColumn(name, ratio(a, b))
-    return keyed.join(scored, [a, b]).drop(a, b)
+    def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known: dict[tuple[str, str], float] = {}
+        for x, y in batches:
+            out = []
+            for pair in zip(x, y):
+                if pair not in known:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    p, q = pair
+                    known[pair] = 1.0 if p == q else SequenceMatcher(None, p, q).ratio() if p and q else 0.0
+                out.append(known[pair])
+            yield pd.Series(out, dtype="float64")
+
+    return pairs.withColumn(name, ratio(normalised(F.col(left)), normalised(F.col(right))))

@@ -7,7 +7,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import penalties as P
@@ -65,7 +65,8 @@ def uncontested(groups: np.ndarray, i: np.ndarray, j: np.ndarray, costs: np.ndar
 def matched(pair_table: DataFrame, group: str, greedy: bool = False) -> DataFrame:
     """The pairs of a least-cost one-to-one assignment in each group (or closest first); ties to low indices.
 
-    Pairs are dealt to tasks by group and stream through sorted, so a task holds one group and one batch.
+    A window deals pairs to tasks by group and sorts them (after a join on the group they are where they belong, and
+    are not shuffled again); they stream through, so a task holds one group and one batch.
     """
     fields = pair_table.schema
 
@@ -91,9 +92,10 @@ def matched(pair_table: DataFrame, group: str, greedy: bool = False) -> DataFram
             chosen, hard = uncontested(np.repeat(np.arange(whole), (ends - starts)[:whole]), i[:last], j[:last], costs[:last])
             chosen = [*chosen, *(starts[g] + k for g in hard for k in solve(i[starts[g] : ends[g]], j[starts[g] : ends[g]], costs[starts[g] : ends[g]]))]
             held = [rows.slice(starts[-1])] if whole < len(starts) else []
-            yield rows.take(pa.array(chosen, pa.int64()))
+            yield rows.take(pa.array(chosen, pa.int64())).select(fields.names)
 
-    return pair_table.filter(F.col(group).isNotNull()).repartition(group).sortWithinPartitions(group, "i", "j").mapInArrow(run, fields)
+    place = F.row_number().over(Window.partitionBy(group).orderBy("i", "j"))
+    return pair_table.filter(F.col(group).isNotNull()).withColumn("__place", place).mapInArrow(run, fields)
 
 
 def labels(curated: DataFrame, extracted: DataFrame, assigned: DataFrame, group: str, index: str, accept: float = P.ACCEPT, documents: DataFrame | None = None) -> DataFrame:
@@ -181,8 +183,6 @@ def verified_join(rows: DataFrame, decisions: DataFrame, on: Sequence[str], cont
 
 def one_to_one(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """A join that fails while running if a key of either side is repeated."""
-    from pyspark.sql import Window
-
     for side in ("left", "right"):
         df = left if side == "left" else right
         n = F.count(F.lit(1)).over(Window.partitionBy(*on))
