@@ -61,5 +61,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: All pairs of distinct shingle sets that share a shingle, and what they tie together.
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) < 5 THEN CASE WHEN len(w) = 0 THEN [] ELSE [array_to_string(w, ' ')] END
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM words
+), classes AS MATERIALIZED (
+  SELECT s, min(doc_id) AS rep, count(*) AS n, len(s) AS size FROM sets WHERE len(s) > 0 GROUP BY s
+), shingles AS MATERIALIZED (
+  SELECT rep, size, unnest(s) AS shingle FROM classes
+), links AS MATERIALIZED (
+  SELECT a.rep AS a, b.rep AS b FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep, a.size, b.size HAVING count(*) >= 0.8 * (a.size + b.size - count(*)) - 1e-9
+), reach(rep, other) AS (
+  SELECT rep, rep FROM classes UNION SELECT r.rep, l.b FROM reach r JOIN links l ON l.a = r.other
+), roots AS (
+  SELECT rep, min(other) AS class_id FROM reach GROUP BY rep
+)
+SELECT t.doc_id, coalesce(c.rep, t.doc_id) AS copy_of, coalesce(c.n, 1) AS n_copies, (SELECT count(*) FROM links l WHERE l.a = c.rep) AS n_links,
+  coalesce(r.class_id, t.doc_id) AS class_id, coalesce(r.class_id, t.doc_id) = t.doc_id AS kept
+FROM sets t LEFT JOIN classes c ON c.s = t.s AND len(t.s) > 0 LEFT JOIN roots r ON r.rep = c.rep
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_ngram_jaccard_join": NEAR_DUPLICATES}

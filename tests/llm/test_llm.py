@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from oracle_check import compare
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -504,6 +505,11 @@ def test_near_duplicates(spark, monkeypatch):
     assert jaccard.first_of_each(df).columns == df.columns
 
 
+@pytest.mark.parametrize("name", list(Q.oracle_sql()))
+def test_sql_twins(spark, name):
+    assert compare(spark, "/root/testdata/sf0.01", name, Q.queries()[name], Q.oracle_sql()[name]) == ""
+
+
 def test_templates_that_are_not_alike_cost_few_verifications(spark):
     """Texts of one template at similarity 0.6: no link, and few candidates."""
     template, n = prose(40, 154), 1500
