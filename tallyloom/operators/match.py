@@ -65,8 +65,9 @@ def uncontested(groups: np.ndarray, i: np.ndarray, j: np.ndarray, costs: np.ndar
 def matched(pair_table: DataFrame, group: str, greedy: bool = False) -> DataFrame:
     """The pairs of a least-cost one-to-one assignment in each group (or closest first); ties to low indices.
 
-    A window deals pairs to tasks by group and sorts them (after a join on the group they are where they belong, and
-    are not shuffled again); they stream through, so a task holds one group and one batch.
+    A window deals pairs to tasks by group and sorts them; they stream through, so a task holds one group and one batch.
+    Pairs that come straight from a join on the group stay where they are; after the string ratio, which runs in
+    Python, Spark no longer knows where they are and shuffles them once.
     """
     fields = pair_table.schema
 

@@ -267,3 +267,20 @@ def test_runs(spark):
     assert runs.conditions(spark.createDataFrame([(100.0, 1.0), (0.0, 1.0)], "x double, y double"), "x", "y", ["x"]).first()["x"] == 2.0
     agree = runs.field_agreement(spark.createDataFrame([(1.0, 1.005), (1.0, 2.0), (None, 1.0)], "a_v double, b_v double"), ["v"], "a_", "b_").first()
     assert (agree["n"], agree["agree"]) == (2, 0.5)
+
+
+def test_names_are_scored_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(penalties, "REMEMBERED", 2)
+    rows = [("Zinc oxide", "zinc-oxide"), ("", None), (None, "x"), ("abcd", "bcde"), ("bcde", "abcd"), ("abcd", "bcde"), ("ab", "cd")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string")
+    scored = penalties.with_string_ratio(df, "a", "b")
+    assert [r["ratio"] for r in scored.orderBy("i").collect()] == [1.0, 1.0, 0.0, 0.75, 0.75, 0.75, 0.0]
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matcher_takes_pairs_where_the_join_left_them(spark):
+    left = spark.createDataFrame([(g, i, f"n{i}", float(i)) for g in range(40) for i in range(3)], "g int, i long, name string, x double")
+    for ratio, exchanges in ((False, 2), (True, 3)):  # Spark forgets the partitioning after Python
+        made = match.matched(match.pairs(left.hint("merge"), left, "g", "i", "name", ["x"], ratio=ratio), "g")
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == exchanges
+        assert made.filter("i = j and gate and penalty = 0").count() == made.count() == 120
