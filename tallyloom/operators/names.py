@@ -40,6 +40,17 @@ def resolved(df: DataFrame, name: str, kind: Column, table: DataFrame, separator
     return df.withColumn("__kind_", kind).join(done, F.col("__kind_").eqNullSafe(F.col("__kind")) & F.col(name).eqNullSafe(F.col("__name")), "left").drop("__kind", "__name", "__kind_")
 
 
+def tolerant_join(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``df`` with the columns of ``table`` (one row a key) found by the key as written, else by the key in lower case."""
+    extra = [c for c in table.columns if c != key]
+    at = lambda k, row: table.select(F.col(key).alias(k), F.struct(*extra).alias(row))
+    out = df.join(at("__key", "__row"), F.col(key) == F.col("__key"), "left").drop("__key")
+    out = out.withColumn("__folded", F.when(F.col("__row").isNull(), F.lower(key)))
+    out = out.join(at("__low", "__second"), F.col("__folded") == F.col("__low"), "left")
+    found = F.coalesce("__row", "__second")
+    return out.select(*(F.col(c) for c in df.columns), *(found[c].alias(c) for c in extra))
+
+
 def mappability(name: Column, nothing: list[str], material: str) -> Column:
     """"nothing to map", "no structure" where the pattern finds a material or preparation, else "not yet mapped"."""
     text = F.trim(F.coalesce(name.cast("string"), F.lit("")))

@@ -55,6 +55,19 @@ def fill_rates(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) ->
     return wide.unpivot(list(by), list(columns), "field", "filled")
 
 
+def reach(units: DataFrame, rows: str, by: str) -> DataFrame:
+    """(by, units, yielding, rows, percent): how many units have any row, by kind; units of no known kind are left out."""
+    n = F.coalesce(F.col(rows), F.lit(0))
+    out = units.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("units"), F.count_if(n > 0).alias("yielding"), F.sum(n).alias("rows"))
+    return out.withColumn("percent", F.rint(F.try_divide(100 * F.col("yielding"), "units")))
+
+
+def pass_rates(df: DataFrame, changed: Column, by: str) -> DataFrame:
+    """(by, records, changed, pass_rate): percent of the records that need no change, by kind; a null test is no change."""
+    out = df.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("records"), F.count_if(changed).alias("changed"))
+    return out.withColumn("pass_rate", F.round(100 - F.try_divide(100 * F.col("changed"), "records"), 1))
+
+
 def filled_fields(columns: Sequence[str]) -> Column:
     return sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))
 

@@ -81,6 +81,20 @@ def settled_answers(answers: DataFrame, key: Sequence[str], who: str, answer: st
     return out.select(*key, F.when(F.col("__n") == 1, F.col("__a")).alias(answer), (F.col("__n") > 1).alias("conflict"), "deciders")
 
 
+def annotator_overlap(first: DataFrame, second: DataFrame, key: Sequence[str], answer: str, carried: str) -> DataFrame:
+    """(total, shared, carried_by_both, independent, agreement) of two annotators' decisions, one a key: a decision carried
+    over by neither is independent; ``agreement`` is the share of shared keys with equal answers (nulls equal), null if none."""
+    side = lambda df, s: df.select(*key, F.struct(F.col(answer).alias("answer"), F.coalesce(F.col(carried), F.lit(False)).alias("carried")).alias(s))
+    a, b = F.col("__a"), F.col("__b")
+    both = side(first, "__a").join(side(second, "__b"), list(key), "full_outer")
+    shared = a.isNotNull() & b.isNotNull()
+    out = both.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(shared).alias("shared"), F.count_if(shared & a["carried"] & b["carried"]).alias("carried_by_both"),
+        F.count_if(shared & ~a["carried"] & ~b["carried"]).alias("independent"), F.count_if(shared & a["answer"].eqNullSafe(b["answer"])).alias("__same"),
+    )
+    return out.withColumn("agreement", F.try_divide("__same", "shared")).drop("__same")
+
+
 def resolved_citations(cited: DataFrame, own: DataFrame, examples: DataFrame, doc: str, chunk: str) -> DataFrame:
     """``cited`` (doc, chunk) with ``found``: own, example or unknown; documents without chunks are left out.
 

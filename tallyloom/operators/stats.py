@@ -79,6 +79,14 @@ def agreement(df: DataFrame, a: Column, b: Column, weight: Column | None = None)
     return c.select("yy", "yn", "ny", "nn", agree.alias("agree"), F.try_divide(agree - chance, 1 - chance).alias("kappa"))
 
 
+def evaluable_agreement(df: DataFrame, a: Column, b: Column, evaluable: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Records, how often two answers agree over all and over those that ``evaluable`` holds for, and a split whose three
+    parts sum to the records: agree, disagree (both evaluable), no counterpart.  A null answer agrees with nothing."""
+    rows = df.select(*by, F.coalesce(a == b, F.lit(False)).alias("s"), F.coalesce(evaluable, F.lit(False)).alias("e"))
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("records"), F.count_if("s").alias("__same"), F.count_if("e").alias("evaluable"), F.count_if(F.col("s") & F.col("e")).alias("agree"))
+    return out.withColumns({"agreement": F.try_divide("__same", "records"), "agreement_evaluable": F.try_divide("agree", "evaluable"), "disagree": F.col("evaluable") - F.col("agree"), "no_counterpart": F.col("records") - F.col("evaluable")}).drop("__same")
+
+
 def weighted_scores(df: DataFrame, said: Column, truth: Column, weight: Column, by: Sequence[str] = ()) -> DataFrame:
     """Weighted precision, recall and F1 of ``said`` against ``truth``."""
     rows = df.select(*by, said.alias("s"), truth.alias("t"), weight.alias("w"))

@@ -119,4 +119,16 @@ SQL = {
     "screen_reasons": "select coalesce(reason is null, true) as keep, coalesce(reason, 'keep') as reason, count(*) as n from (select case when coalesce(length(text), 0) = 0 then 'no text' when n_chars < 300 then 'short' when lang <> 'en' then 'other language' end as reason from documents) group by 1, 2",
     "pooled_tail": 'select least(l_quantity::BIGINT, 40) as l_quantity, count(*) as n from lineitem where l_quantity is not null group by 1',
     "clipped_bins": 'select greatest(least(coalesce(floor((p_retailprice - a) * 20 / (b - a)), 0), 19), 0)::BIGINT as bin, count(*) as n from part, (select quantile_cont(p_retailprice, 0.05) as a, quantile_cont(p_retailprice, 0.95) as b from part) group by 1',
+    "evaluable_agreement": """with l as (select doc_id % 4 as bucket, coalesce((quality = 1) = (toxic = 0), false) as s, doc_id % 3 <> 0 as e from labels)
+        select bucket, count(*) as records, count_if(e) as evaluable, count_if(s and e) as agree, round(count_if(s) / count(*), 6) as agreement, round(count_if(s and e) / nullif(count_if(e), 0), 6) as agreement_evaluable,
+            count_if(e and not s) as disagree, count_if(not e) as no_counterpart from l group by 1""",
+    "annotator_overlap": """with a as (select o_orderkey as k, o_orderstatus as h, o_custkey % 3 = 0 as c from orders where o_orderkey % 2 = 0), b as (select o_orderkey as k, case when o_orderkey % 5 = 0 then 'F' else o_orderstatus end as h, o_custkey % 2 = 0 as c from orders where o_orderkey % 3 = 0),
+        s as (select a.h is not distinct from b.h as same, a.c as ac, b.c as bc from a join b using (k))
+        select (select count(*) from orders where o_orderkey % 2 = 0 or o_orderkey % 3 = 0) as total, count(*) as shared, count_if(ac and bc) as carried_by_both, count_if(not ac and not bc) as independent, round(count_if(same) / count(*), 6) as agreement from s""",
+    "reach_by_kind": """with n as (select c_mktsegment, c_custkey, count(o_orderkey) as n from customer left join orders on o_custkey = c_custkey group by all)
+        select c_mktsegment, count(*) as units, count_if(n > 0) as yielding, sum(n)::bigint as rows, round_even(100.0 * count_if(n > 0) / count(*), 0)::double as percent from n group by 1""",
+    "pass_rates_by_kind": "select o_orderpriority, count(*) as records, count_if(o_orderstatus = 'F') as changed, round(100 - 100 * count_if(o_orderstatus = 'F') / count(*), 1) as pass_rate from orders group by 1",
+    "case_tolerant_keys": """with t as (select lower(p_type) as kind, count(*) as n from part group by 1), u as (select * from t union all select upper(kind), -n from t where n % 2 = 0),
+        g as (select p_partkey, case p_size % 3 when 0 then upper(p_type) when 1 then p_type || '?' else lower(p_type) end as kind from part)
+        select p_partkey, g.kind, coalesce(a.n, b.n) as n from g left join u a on g.kind = a.kind left join u b on lower(g.kind) = b.kind""",
 }

@@ -403,6 +403,36 @@ def screen_reasons(spark, d):
     return A.counted(quality.screened(_t(spark, d, "documents", "text", "n_chars", "lang"), rules_), "keep", "reason")
 
 
+def evaluable_agreement(spark, d):
+    rows = _t(spark, d, "labels").withColumn("bucket", F.col("doc_id") % 4)
+    out = stats.evaluable_agreement(rows, F.col("quality") == 1, F.col("toxic") == 0, F.col("doc_id") % 3 != 0, ["bucket"])
+    return out.withColumns({c: F.round(c, 6) for c in ("agreement", "agreement_evaluable")})
+
+
+def annotator_overlap(spark, d):
+    o = _t(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    first = o.filter("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_orderstatus").alias("human"), (F.col("o_custkey") % 3 == 0).alias("carried"))
+    second = o.filter("o_orderkey % 3 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, "F").otherwise(F.col("o_orderstatus")).alias("human"), (F.col("o_custkey") % 2 == 0).alias("carried"))
+    return review.annotator_overlap(first, second, ["o_orderkey"], "human", "carried").withColumn("agreement", F.round("agreement", 6))
+
+
+def reach_by_kind(spark, d):
+    n = _t(spark, d, "orders", "o_custkey").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
+    return quality.reach(_t(spark, d, "customer", "c_custkey", "c_mktsegment").join(n, "c_custkey", "left"), "n", "c_mktsegment")
+
+
+def pass_rates_by_kind(spark, d):
+    return quality.pass_rates(_t(spark, d, "orders", "o_orderpriority", "o_orderstatus"), F.col("o_orderstatus") == "F", "o_orderpriority")
+
+
+def case_tolerant_keys(spark, d):
+    p = _t(spark, d, "part", "p_partkey", "p_type", "p_size")
+    table = p.groupBy(F.lower("p_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    table = table.unionByName(table.filter("n % 2 = 0").select(F.upper("kind").alias("kind"), (-F.col("n")).alias("n")))
+    given = p.select("p_partkey", F.when(F.col("p_size") % 3 == 0, F.upper("p_type")).when(F.col("p_size") % 3 == 1, F.concat("p_type", F.lit("?"))).otherwise(F.lower("p_type")).alias("kind"))
+    return names.tolerant_join(given, table, "kind")
+
+
 def pooled_tail(spark, d):
     return A.pooled_tail(_t(spark, d, "lineitem", "l_quantity"), "l_quantity", 40)
 
@@ -432,7 +462,7 @@ QUERIES = (
     fixes_changelog, first_active_answer, modal_label_group, topk_concentration, rolling_median, funnel, pairwise_votes, reconciled_counts,
     noise_between_groups, release_digest, verified_decisions, grown_policies, rescued_rows, parity_by_field, constraint_recall, run_states,
     bootstrap_shift, even_rolling_median, coerced_numbers, field_agreement, condition_points, runner_up, resolved_names, phase_cascade, release_build, mechanical_checks,
-    screen_reasons, pooled_tail, clipped_bins,
+    screen_reasons, pooled_tail, clipped_bins, evaluable_agreement, annotator_overlap, reach_by_kind, pass_rates_by_kind, case_tolerant_keys,
 )
 
 

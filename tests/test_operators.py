@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyloom import schemas
 from tallyloom.functions import ids, penalties, rules
 from tallyloom.functions import numerics as N
-from tallyloom.operators import aggregates, calls, match, quality, review, runs, stats
+from tallyloom.operators import aggregates, calls, match, names, quality, review, runs, stats
 from tallyloom.plans import audit, metrics
 from tallyloom.sources import bundles, markup, sinks, text
 from tallyloom.streaming import incremental
@@ -284,3 +284,21 @@ def test_matcher_takes_pairs_where_the_join_left_them(spark):
         made = match.matched(match.pairs(left.hint("merge"), left, "g", "i", "name", ["x"], ratio=ratio), "g")
         assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == exchanges
         assert made.filter("i = j and gate and penalty = 0").count() == made.count() == 120
+
+
+def test_overlap_reach_and_keys_with_nulls_and_without_rows(spark):
+    rows = spark.createDataFrame([(1, "a", True), (2, None, None), (3, "b", False)], "k int, human string, carried boolean")
+    other = spark.createDataFrame([(1, "b", True), (2, None, False), (4, "b", False)], "k int, human string, carried boolean")
+    got = review.annotator_overlap(rows, other, ["k"], "human", "carried").first()
+    assert (got["total"], got["shared"], got["carried_by_both"], got["independent"], got["agreement"]) == (4, 2, 1, 1, 0.5)
+    none = review.annotator_overlap(rows, other.limit(0), ["k"], "human", "carried").first()
+    assert (none["total"], none["shared"], none["agreement"]) == (3, 0, None)
+    units = spark.createDataFrame([("xml", 0), ("xml", 3), ("pdf", None), (None, 7)], "kind string, n int")
+    assert {tuple(r) for r in quality.reach(units, "n", "kind").collect()} == {("xml", 2, 1, 3, 50.0), ("pdf", 1, 0, 0, 0.0)}
+    rates = {r["kind"]: r["pass_rate"] for r in quality.pass_rates(units, F.col("n") > 0, "kind").collect()}
+    assert rates == {"xml": 50.0, "pdf": 100.0}
+    split = stats.evaluable_agreement(units, F.col("kind"), F.lit("xml"), F.col("n") > 0).first()
+    assert (split["records"], split["agree"], split["disagree"], split["no_counterpart"]) == (4, 1, 1, 2)
+    table = spark.createDataFrame([("10.1/ab", 1), ("10.1/CD", 2), ("10.1/cd", 3)], "doi string, v int")
+    keys = spark.createDataFrame([("10.1/AB",), ("10.1/CD",), ("x",), (None,)], "doi string")
+    assert {tuple(r) for r in names.tolerant_join(keys, table, "doi").collect()} == {("10.1/AB", 1), ("10.1/CD", 2), ("x", None), (None, None)}
