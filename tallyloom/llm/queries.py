@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html_extract, jaccard, langid, packing, pii, quality, suffix, tokencount
+from . import ann, bpe, divergence, html_extract, jaccard, langid, mixing, packing, pii, quality, spelling, suffix, tokencount
 from ._io import table
 
 
@@ -56,8 +56,20 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_extraction, op2_pii_pseudonyms, op3_language_id, op4_nearest_neighbours, op5_quality_rules, op6_best_fit_packing, op7_ngram_jaccard_join, op8_token_counts, op9_suffix_array_dedup, op10_bpe_round_trip)
+    found = (op1_html_extraction, op2_pii_pseudonyms, op3_language_id, op4_nearest_neighbours, op5_quality_rules, op6_best_fit_packing, op7_ngram_jaccard_join, op8_token_counts, op9_suffix_array_dedup, op10_bpe_round_trip, op11_spelling_variants, op12_source_divergence, op13_source_mixing)
     return {f.__name__: f for f in found}
 
 
@@ -86,5 +98,56 @@ FROM sets t LEFT JOIN classes c ON c.s = t.s AND len(t.s) > 0 LEFT JOIN roots r
 """
 
 
+#: All terms of a language by all its groups, and every pair of groups over them.
+DIVERGENCE = r"""
+WITH rows AS MATERIALIZED (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), counts AS MATERIALIZED (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT doc) AS docs FROM (SELECT lang, source, doc, unnest(terms) AS term FROM rows) GROUP BY ALL
+), kept AS MATERIALIZED (
+  SELECT lang, term, sum(n) AS n FROM counts GROUP BY ALL HAVING sum(docs) >= 10
+), langs AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY ALL
+), groups AS MATERIALIZED (
+  SELECT g.lang, g.source, coalesce(sum(k.cn), 0) AS total FROM (SELECT DISTINCT lang, source FROM rows) g
+  LEFT JOIN (SELECT c.lang, c.source, c.n AS cn FROM counts c JOIN kept k USING (lang, term)) k USING (lang, source) GROUP BY ALL
+), shares AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + ((coalesce(c.n, 0) + 2)::HUGEINT * 1000000000 // (g.total + 2 * l.v)::HUGEINT)::BIGINT AS p, 1 + ((k.n + 2)::HUGEINT * 1000000000 // (l.total + 2 * l.v)::HUGEINT)::BIGINT AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source AS a, y.source AS b, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+    ON s.lang = a.lang AND s.a = a.source AND s.b = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM found) WHERE part = 'pair' OR rank <= 10
+"""
+
+#: The same order by hash, summed from the start.
+MIXING = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, source, n AS size, ('0x' || substr(md5('13|' || coalesce(doc_id::VARCHAR, '') || '|' || n), 1, 15))::BIGINT AS h
+  FROM (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n FROM documents)
+), w AS (
+  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source
+), f AS (
+  SELECT *, 3 * source_size / w AS full_at, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b, 0) AS left_size, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS left_w
+  FROM w WINDOW b AS (ORDER BY 3 * source_size / w, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (
+  SELECT left_size::DOUBLE AS left_size, left_w::DOUBLE AS left_w FROM f WHERE left_size::DOUBLE / left_w <= full_at ORDER BY full_at, source NULLS FIRST LIMIT 1
+), t AS (
+  SELECT source, source_size, least(w * l.left_size / l.left_w, (3 * source_size)::DOUBLE) AS target FROM f, l
+), b AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS times FROM t
+), c AS (
+  SELECT d.*, b.source_size, target, times, target - times * b.source_size AS budget, sum(size) OVER (PARTITION BY d.source ORDER BY h) AS upto FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, size, source_size, target, (size * (times + (budget > 0 AND (upto < budget OR upto - size < budget AND upto - budget <= budget - (upto - size)))::INT))::BIGINT AS taken FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_ngram_jaccard_join": NEAR_DUPLICATES}
+    return {"op7_ngram_jaccard_join": NEAR_DUPLICATES, "op12_source_divergence": DIVERGENCE, "op13_source_mixing": MIXING}
