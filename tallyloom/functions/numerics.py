@@ -141,19 +141,13 @@ def power_table(differences: list[float], sizes: list[int], spread: float, draws
     return out
 
 
-def posterior_recall(strata: list[dict], draws: int = 20_000, seed: int = 0) -> tuple[float, float, float]:
-    """(median, low, high) of weighted recall: a Jeffreys posterior of the true share for each stratum.
+def posterior_recall(caught: float, census_wrong: float, drawn: int, drawn_wrong: int, pool: float, draws: int = 20_000, seed: int = 0) -> tuple[float, float]:
+    """95 % interval of recall by simulation: censused strata are exact, the sampled one's rate is drawn from its posterior.
 
-    ``strata``: dicts of ``n`` rows judged, ``k`` true ones, ``size`` rows in all and whether they are ``found``.
+    ``stats.grader_table`` has the interval that this comes to with ever more draws.
     """
-    rng = np.random.default_rng(seed)
-    hit, every = np.zeros(draws), np.zeros(draws)
-    for s in strata:
-        true = s["size"] * rng.beta(s["k"] + 0.5, s["n"] - s["k"] + 0.5, draws)
-        every += true
-        hit += true * bool(s["found"])
-    share = hit / np.maximum(every, 1e-12)
-    return float(np.median(share)), float(np.quantile(share, 0.025)), float(np.quantile(share, 0.975))
+    rate = np.random.default_rng(seed).beta(drawn_wrong + 0.5, drawn - drawn_wrong + 0.5, draws)
+    return tuple(float(x) for x in np.quantile(caught / np.maximum(census_wrong + rate * round(pool), 1e-9), (0.025, 0.975)))
 
 
 def rule_of_three(n: int) -> float:

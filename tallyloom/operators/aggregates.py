@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def counted(df: DataFrame, *by: str | Column) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
@@ -41,15 +43,16 @@ def concentration(df: DataFrame, key: str, ks: Sequence[int]) -> DataFrame:
 def percentages(df: DataFrame, value: str, digits: int = 1) -> DataFrame:
     """(label, n, percent): shares rounded by largest remainder, so that they sum to exactly 100.
 
-    The values are counted first; the windows run over one row a value.
+    The values are counted first; those with the largest remainders are found by places in ranges, not by one sort.
     """
     unit = 10**digits
     per = counted(df, value)
-    exact = F.col("n") * (100 * unit) / F.sum("n").over(Window.partitionBy())
-    cut = per.withColumns({"floor": F.floor(exact), "left": exact - F.floor(exact)})
-    short = F.lit(100 * unit) - F.sum("floor").over(Window.partitionBy())
-    place = F.row_number().over(Window.orderBy(F.desc(F.round("left", 9)), F.desc("n"), value))
-    return cut.select(F.col(value).alias("label"), "n", ((F.col("floor") + (place <= short).cast("int")) / unit).alias("percent"))
+    total = per.agg(F.sum("n").alias("__total"))
+    exact = F.col("n") * (100 * unit) / F.col("__total")
+    cut = per.crossJoin(F.broadcast(total)).withColumns({"__floor": F.floor(exact), "__left": F.round(exact - F.floor(exact), 9)})  # total: one row
+    short = cut.agg((F.lit(100 * unit) - F.sum("__floor")).alias("__short"))
+    placed = scan.positions(cut.withColumn("__less", -F.col("n")), (), ["__left", "__less", value], "__place", descending=True).crossJoin(F.broadcast(short))  # one row
+    return placed.select(F.col(value).alias("label"), "n", ((F.col("__floor") + (F.col("__place") < F.col("__short")).cast("int")) / unit).alias("percent"))
 
 
 def binned(value: Column, edges: Sequence[float], closed: str = "right") -> Column:
@@ -76,11 +79,20 @@ def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str]) -> Dat
 def pareto(df: DataFrame, cost: str, gain: str) -> DataFrame:
     """Distinct points that no point of at most the cost and at least the gain dominates.
 
-    Reduced to the best gain of each cost, then to a running maximum, whose windows see one row a cost.
+    Reduced to the best gain of each cost, then to a running maximum over ranges of costs.
     """
     best = df.groupBy(cost).agg(F.max(gain).alias(gain))
-    before = F.max(gain).over(Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))
-    return best.withColumn("__before", before).filter(F.col("__before").isNull() | (F.col(gain) > F.col("__before"))).drop("__before")
+    before = scan.running(best, (), [cost], gain, "__before", "max")
+    return before.filter(F.col(gain).isNotNull() & (F.col("__before").isNull() | (F.col(gain) > F.col("__before")))).select(cost, gain)
+
+
+def frontier(runs: DataFrame, arm: Sequence[str], cost: str, gain: str, repeats: int = 3) -> DataFrame:
+    """(arm, gain, spread, cost, repeats, on_frontier): arms with at least ``repeats`` runs of known cost, and whether no other
+    such arm costs no more and gains no less, one of them strictly.  Equal arms do not beat each other."""
+    arms = runs.filter(F.col(cost).isNotNull()).groupBy(*arm).agg(F.avg(gain).alias(gain), F.stddev_samp(gain).alias("spread"), F.avg(cost).alias(cost), F.count(gain).alias("repeats")).filter(F.col("repeats") >= repeats)
+    front = pareto(arms, cost, gain).select(F.col(cost).alias("__cost"), F.col(gain).alias("__gain"))
+    met = arms.join(front, (F.col(cost) == F.col("__cost")) & (F.col(gain) == F.col("__gain")), "left")
+    return met.withColumn("on_frontier", F.col("__cost").isNotNull()).drop("__cost", "__gain")
 
 
 def reindexed(df: DataFrame, key: str, order: DataFrame, fills: dict) -> DataFrame:
@@ -94,15 +106,34 @@ def reconciled(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return both.withColumn("change", F.col("after") - F.col("before"))
 
 
-def pooled_tail(df: DataFrame, value: str, most: int) -> DataFrame:
-    """(value, n): rows by a whole number, all from ``most`` on pooled there."""
-    return df.filter(F.col(value).isNotNull()).groupBy(F.least(F.col(value).cast("long"), F.lit(most)).alias(value)).agg(F.count(F.lit(1)).alias("n"))
+def thin_records(df: DataFrame, fields: Sequence[str], side: str, thin: int = 7) -> DataFrame:
+    """(side, band, place, n, records, share): how many of ``fields`` a record carries, all below ``thin`` in one band at the
+    end; every band of every side has a row, sides being those that occur."""
+    held = sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0))
+    per = df.groupBy(side).agg(F.count(F.lit(1)).alias("records"), *(F.count_if(held == b).alias(f"b{b}") for b in range(thin, len(fields) + 1)), F.count_if(held < thin).alias("few"))
+    bands = [(str(b), len(fields) - b, f"b{b}") for b in range(len(fields), thin - 1, -1)] + [(f"{thin - 1} or fewer", len(fields) - thin + 1, "few")]
+    cells = F.explode(F.array(*(F.struct(F.lit(label).alias("band"), F.lit(place).alias("place"), F.col(c).alias("n")) for label, place, c in bands))).alias("c")
+    return per.select(side, "records", cells).select(side, "c.*", "records", F.try_divide("c.n", "records").alias("share"))
 
 
-def clipped_bins(df: DataFrame, value: str, bins: int, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """(bin, n): equal bins between two percentiles of the values, what lies outside counted in the outermost ones."""
-    v = F.col(value).cast("double")
-    edges = df.agg(F.percentile(v, F.lit(low)).alias("a"), F.percentile(v, F.lit(high)).alias("b"))
-    place = F.floor(F.try_divide((v - F.col("a")) * bins, F.col("b") - F.col("a")))
-    at = F.least(F.greatest(F.coalesce(place, F.lit(0)), F.lit(0)), F.lit(bins - 1)).cast("long")
-    return df.filter(v.isNotNull()).crossJoin(F.broadcast(edges)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))  # edges: one row
+def clipped_histogram(df: DataFrame, value: str, bins: int = 30, clip: float | None = None, log: bool = False, split: str | None = None) -> DataFrame:
+    """(split, bin, low, high, n): ``bins`` edges over the values, so one bin fewer; only bins that hold rows.
+
+    ``clip``: rows above this percentile are dropped; ``log``: edges are equal steps of the logarithm and only values above
+    zero count.  A bin holds its lower edge, the last one both.  Percentiles are exact and no task holds the values.
+    """
+    rows = df.select(*([split] if split else []), F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    if clip is not None:
+        ceiling = scan.percentiles(rows, "v", (clip,)).select(F.col("p0").alias("__ceiling"))
+        rows = rows.crossJoin(F.broadcast(ceiling)).filter("v <= __ceiling").drop("__ceiling")  # one row
+    if log:
+        rows = rows.filter("v > 0")
+    axis = (lambda c: F.log10(c)) if log else (lambda c: c)
+    back = (lambda c: F.pow(F.lit(10.0), c)) if log else (lambda c: c)
+    ends = rows.agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    step = (axis(F.col("b")) - axis(F.col("a"))) / (bins - 1)
+    inner = F.transform(F.sequence(F.lit(1), F.lit(bins - 2)), lambda i: back(axis(F.col("a")) + i * step)) if bins > 2 else F.array().cast("array<double>")
+    edges = ends.select(F.concat(F.array("a"), inner, F.array("b")).alias("__edges"))
+    at = F.least(F.size(F.filter("__edges", lambda e: e <= F.col("v"))), F.lit(bins - 1))
+    dealt = rows.crossJoin(F.broadcast(edges)).withColumns({"bin": at - 1, "low": F.get("__edges", at - 1), "high": F.get("__edges", at)})  # edges: one row
+    return dealt.groupBy(*([split] if split else []), "bin", "low", "high").agg(F.count(F.lit(1)).alias("n"))

@@ -1,20 +1,15 @@
-"""Rank correlation, agreement and weighted scores as aggregates; tests on what the aggregates leave."""
+"""Rank correlation, agreement, weighted scores, tests and intervals, all as plans: nothing runs while they are built."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import numerics as N
-
-
-def average_rank(value: str, *by: str) -> Column:
-    """The rank of a value with ties at their mean."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2.0
+from ..functions import special
+from . import scan
 
 
 def correlation(x: str, y: str) -> Column:
@@ -22,33 +17,38 @@ def correlation(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), rows: int = 5, distinct: int = 3) -> DataFrame:
-    """(by, n, rho) over groups of at least ``rows`` pairs with ``distinct`` values of each."""
-    known = df.select(*by, x, y).dropna(subset=[x, y])
-    if by:
-        fit = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(x).alias("dx"), F.countDistinct(y).alias("dy")).filter((F.col("n") >= rows) & (F.col("dx") >= distinct) & (F.col("dy") >= distinct))
-        known = known.join(fit.select(*by), list(by), "left_semi")
-        ranked = known.select(*by, average_rank(x, *by).alias("rx"), average_rank(y, *by).alias("ry"))
-    else:  # one global order would be one task: ranks come from counts of the distinct values
-        ranked = known
-        for c, r in ((x, "rx"), (y, "ry")):
-            ranked = ranked.join(value_ranks(known, c).select(c, F.col("rank").alias(r)), c)
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation("rx", "ry").alias("rho"))
+def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), weight: Column | None = None, ranges: int = scan.RANGES) -> DataFrame:
+    """(by, value, n, index, rank): average ranks of all rows of a group by value, from counts of its distinct values."""
+    out = scan.value_counts(df, value, by, weight, ranges)
+    return out.select(*by, value, "n", "index", (F.col("below") + (F.col("n") + 1) / 2.0).alias("rank"))
+
 
+def _ranked(df: DataFrame, c: str, by: Sequence[str], rank: str, weight: Column | None = None) -> DataFrame:
+    """``df`` with the rank of ``c`` in its group and, as ``<rank>_index``, how many values are smaller."""
+    right = value_ranks(df, c, by, weight).select(*(F.col(k).alias(f"__b_{k}") for k in (*by, c)), F.col("rank").alias(rank), F.col("index").alias(f"{rank}_index"))
+    same = F.lit(True)
+    for k in (*by, c):
+        same = same & F.col(k).eqNullSafe(F.col(f"__b_{k}"))
+    return df.join(right, same).drop(*(f"__b_{k}" for k in (*by, c)))
 
-def value_ranks(df: DataFrame, value: str, buckets: int = 100) -> DataFrame:
-    """(value, n, rank): average ranks of all rows by value without one global sort.
 
-    Values are counted, dealt to ranges by approximate quantiles, summed by range, and ordered inside ranges.
+def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), rows: int = 5, distinct: int = 3) -> DataFrame:
+    """(by, n, rho) over groups of at least ``rows`` pairs with ``distinct`` values of each; without ``by`` of all rows.
+
+    Equal pairs are counted first and ranks come from counts of values, so a group of any size spreads over its values.
     """
-    per = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    edges = per.agg(F.percentile_approx(F.col(value).cast("double"), F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(100_000)).alias("e"))
-    over = F.size(F.filter("e", lambda e: F.col(value).cast("double") > e))
-    dealt = per.crossJoin(F.broadcast(edges)).withColumn("range", over).drop("e")
-    sums = dealt.groupBy("range").agg(F.sum("n").alias("in_range"))
-    below = sums.withColumn("below", F.coalesce(F.sum("in_range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return dealt.join(F.broadcast(below.select("range", "below")), "range").select(value, "n", (F.col("below") + inside + (F.col("n") + 1) / 2.0).alias("rank"))
+    pairs = df.select(*by, x, y).dropna(subset=[x, y]).groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("__m"))
+    ranked = _ranked(_ranked(pairs, x, by, "rx", F.col("__m")), y, by, "ry", F.col("__m"))
+    m = F.col("__m").cast("double")
+    sums = ranked.groupBy(*by).agg(
+        F.sum("__m").alias("n"), F.max("rx_index").alias("dx"), F.max("ry_index").alias("dy"),
+        *(F.sum(m * F.col(a) * F.col(b)).alias(k) for k, a, b in (("xx", "rx", "rx"), ("yy", "ry", "ry"), ("xy", "rx", "ry"))),
+    )
+    if by:
+        sums = sums.filter((F.col("n") >= rows) & (F.col("dx") + 1 >= distinct) & (F.col("dy") + 1 >= distinct))
+    n = F.col("n").cast("double")
+    middle = n * (n + 1) * (n + 1) / 4  # n times the square of the mean rank
+    return sums.select(*by, "n", F.try_divide(F.col("xy") - middle, F.sqrt((F.col("xx") - middle) * (F.col("yy") - middle))).alias("rho"))
 
 
 def sign_summary(groups: DataFrame, rho: str, expected: int) -> DataFrame:
@@ -57,14 +57,14 @@ def sign_summary(groups: DataFrame, rho: str, expected: int) -> DataFrame:
     return known.agg(F.count(F.lit(1)).alias("groups"), F.median(rho).alias("median_rho"), F.avg((F.signum(rho) == expected).cast("double")).alias("as_expected"))
 
 
-def signed_rank(df: DataFrame, value: str) -> dict:
-    """Wilcoxon's test against zero, zeros dropped: W by windows over ranges of values, p on the driver (over 8 values)."""
-    known = df.filter(F.col(value).isNotNull() & (F.col(value) != 0)).select(F.abs(value).alias("size"), (F.col(value) > 0).alias("up"))
-    ranks = value_ranks(known, "size", 50)
-    got = known.join(ranks, "size").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("up"), F.col("rank")).otherwise(0.0)).alias("w")).first()
-    ties = ranks.agg(F.coalesce(F.sum(F.pow("n", F.lit(3)) - F.col("n")), F.lit(0)).alias("t")).first()["t"]
-    n, w = got["n"], got["w"] or 0.0
-    return {"n": n, "w": w, "p": N.signed_rank_p_value(w, n, float(ties)) if n > 8 else math.nan}
+def signed_rank(df: DataFrame, value: str, by: Sequence[str] = (), least: int = 9) -> DataFrame:
+    """(by, n, w, p): Wilcoxon's test of each group against zero, zeros dropped; p is null under ``least`` values."""
+    known = df.filter(F.col(value).isNotNull() & (F.col(value) != 0)).select(*by, F.abs(value).alias("__size"), (F.col(value) > 0).alias("__up"))
+    ups = known.groupBy(*by, "__size").agg(F.count(F.lit(1)).alias("__m"), F.count_if("__up").alias("__ups"))
+    ranked = _ranked(ups, "__size", by, "__rank", F.col("__m"))
+    m = F.col("__m").cast("double")
+    out = ranked.groupBy(*by).agg(F.coalesce(F.sum("__m"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("__ups") * F.col("__rank")), F.lit(0.0)).alias("w"), F.coalesce(F.sum(m * m * m - m), F.lit(0.0)).alias("__ties"))
+    return out.select(*by, "n", "w", special.signed_rank_p(F.col("w"), F.col("n"), F.col("__ties"), least=least).alias("p"))
 
 
 def agreement(df: DataFrame, a: Column, b: Column, weight: Column | None = None) -> DataFrame:
@@ -95,56 +95,123 @@ def weighted_scores(df: DataFrame, said: Column, truth: Column, weight: Column,
     return sums.withColumns({"precision": F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), F.lit(0.0)), "recall": F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fn")), F.lit(0.0)), "f1": F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))})
 
 
-def arms_tests(df: DataFrame, arm: str, value: str) -> list[dict]:
-    """Pairwise equal-variance t-tests of all arms with Bonferroni's correction; one row an arm reaches the driver."""
-    rows = df.groupBy(arm).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v")).orderBy(arm).collect()
-    out = []
-    for i, a in enumerate(rows):
-        for b in rows[i + 1 :]:
-            df_ = a["n"] + b["n"] - 2
-            if min(a["n"], b["n"]) < 2:
-                continue
-            pooled = ((a["n"] - 1) * a["v"] + (b["n"] - 1) * b["v"]) / df_
-            t = (a["m"] - b["m"]) / math.sqrt(pooled * (1 / a["n"] + 1 / b["n"])) if pooled else math.inf
-            out.append({"a": a[arm], "b": b[arm], "difference": a["m"] - b["m"], "p": N.t_p_value(t, df_) if math.isfinite(t) else 0.0})
-    for r in out:
-        r["p_corrected"] = min(1.0, r["p"] * len(out))
-    return out
-
-
-def anova(df: DataFrame, arm: str, value: str) -> dict:
-    """One-way analysis of variance from per-arm sums."""
-    rows = df.groupBy(arm).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("v")).filter("n > 0").collect()
-    n = sum(r["n"] for r in rows)
-    mean = sum(r["n"] * r["m"] for r in rows) / n
-    between, within = sum(r["n"] * (r["m"] - mean) ** 2 for r in rows), sum((r["n"] - 1) * r["v"] for r in rows)
-    f = (between / (len(rows) - 1)) / (within / (n - len(rows)))
-    return {"f": f, "p": N.f_p_value(f, len(rows) - 1, n - len(rows))}
-
-
-#: Distribution function of the Poisson law of mean 1, whose draws are how often a row is in a resample.
-POISSON = tuple(float(sum(math.exp(-1) / math.factorial(j) for j in range(i + 1))) for i in range(12))
-
-
-def paired_bootstrap(df: DataFrame, key: Column, before: Column, after: Column, resamples: int = 10_000, seed: int = 0) -> DataFrame:
-    """(n, shift, low, high): the mean of after - before over rows with both, and its 95 % percentile interval.
-
-    Each row is in each resample as often as a Poisson draw says, which MD5 of seed, key and resample decides; sums are
-    combined in tasks, so a row costs ``resamples`` draws and a task holds ``resamples`` sums.
+def arms_tests(df: DataFrame, arm: str, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, a, b, difference, t, dof, p, p_corrected): equal-variance t-tests of every two arms of a group, with Bonferroni's
+    correction over the group's tests.  Arms of fewer than two values take part in none; p is null where both arms are the
+    same constant."""
+    per = df.filter(F.col(value).isNotNull()).groupBy(*by, arm).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v")).filter("n > 1")
+    arms = per.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(arm).alias("arm"), "n", "m", "v"))).alias("arms"))  # a row an arm
+    pairs = F.flatten(F.transform("arms", lambda a, i: F.transform(F.slice("arms", i + 2, F.size("arms")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    rows = arms.select(*by, pairs.alias("pairs")).select(*by, F.size("pairs").alias("__tests"), F.explode("pairs").alias("q")).select(*by, "__tests", "q.a", "q.b")
+    dof = F.col("a.n") + F.col("b.n") - 2
+    pooled = ((F.col("a.n") - 1) * F.col("a.v") + (F.col("b.n") - 1) * F.col("b.v")) / dof
+    difference = F.col("a.m") - F.col("b.m")
+    t = F.when(pooled > 0, difference / F.sqrt(pooled * (1 / F.col("a.n") + 1 / F.col("b.n")))).when(difference != 0, F.signum(difference) * math.inf)
+    made = rows.select(*by, F.col("a.arm").alias("a"), F.col("b.arm").alias("b"), difference.alias("difference"), t.alias("t"), dof.alias("dof"), "__tests")
+    made = made.withColumn("p", special.t_two_sided(F.col("t"), F.col("dof")))
+    return made.withColumn("p_corrected", F.least(F.lit(1.0), F.col("p") * F.col("__tests"))).drop("__tests")
+
+
+def anova(df: DataFrame, arm: str, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, arms, n, f, p): one-way analysis of variance of each group from sums of its arms; null where it has no spread
+    inside arms or only one arm."""
+    per = df.filter(F.col(value).isNotNull()).groupBy(*by, arm).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("v"))
+    sums = per.groupBy(*by).agg(F.count(F.lit(1)).alias("arms"), F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"), F.collect_list(F.struct("n", "m", "v")).alias("a"))  # a row an arm
+    between = F.aggregate("a", F.lit(0.0), lambda s, x: s + x["n"] * F.pow(x["m"] - F.col("mean"), F.lit(2)))
+    within = F.aggregate("a", F.lit(0.0), lambda s, x: s + (x["n"] - 1) * x["v"])
+    f = F.when((F.col("arms") > 1) & (within > 0), F.try_divide(between / (F.col("arms") - 1), within / (F.col("total") - F.col("arms"))))
+    out = sums.select(*by, "arms", F.col("total").alias("n"), f.alias("f"))
+    return out.withColumn("p", special.f_upper(F.col("f"), F.col("arms") - 1, F.col("n") - F.col("arms")))
+
+
+def mcnemar(df: DataFrame, a: Column, b: Column, truth: Column, by: Sequence[str] = ()) -> DataFrame:
+    """(by, pairs, only_a, only_b, p): rows where exactly one of two answers is the true one, and the exact test of whether
+    either wins more often; p is null without such rows."""
+    rows = df.select(*by, (a == truth).alias("a"), (b == truth).alias("b"))
+    out = rows.groupBy(*by).agg(F.count_if(F.col("a") & ~F.col("b")).alias("only_a"), F.count_if(F.col("b") & ~F.col("a")).alias("only_b"))
+    return out.select(*by, (F.col("only_a") + F.col("only_b")).alias("pairs"), "only_a", "only_b", special.even_binomial_two_sided(F.col("only_a"), F.col("only_a") + F.col("only_b")).alias("p"))
+
+
+def proportions(df: DataFrame, hit: Column, by: Sequence[str] = (), level: float = 0.95) -> DataFrame:
+    """(by, n, hits, share, low, high): the share of rows that ``hit`` holds for, with Jeffreys' interval."""
+    out = df.select(*by, hit.alias("__h")).filter("__h is not null").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if("__h").alias("hits"))
+    low, high = special.jeffreys(F.col("hits"), F.col("n"), level)
+    return out.withColumns({"share": F.try_divide("hits", "n"), "low": low, "high": high})
+
+
+def grader_table(decisions: DataFrame, graders: Mapping[str, Column], wrong: Column, weight: Column, sampled: Column, by: Sequence[str] = (), level: float = 0.95) -> DataFrame:
+    """One row a grader: how its flags stand against human decisions.
+
+    (by, grader, flagged, right, precision, precision_low, precision_high, recall, recall_low, recall_high, f1, kappa, raw, weighted).
+    Flags are censused, so precision counts rows.  Recall, kappa and ``weighted`` agreement weigh them.  Recall's interval
+    keeps censused strata exact: only the rate of wrong rows in the ``sampled`` stratum is unknown, and recall falls as it
+    rises, so the ends are the recall at the ends of that rate's posterior (what drawing from it would come to).
+    """
+    rows = decisions.select(*by, F.coalesce(wrong, F.lit(False)).alias("w"), weight.cast("double").alias("m"), F.coalesce(sampled, F.lit(False)).alias("s"), F.explode(F.array(*(F.struct(F.lit(k).alias("grader"), F.coalesce(v, F.lit(False)).alias("f")) for k, v in graders.items()))).alias("g")).select(*by, "w", "m", "s", "g.*")
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("m"))), F.lit(0.0))
+    w, f, s = F.col("w"), F.col("f"), F.col("s")
+    c = rows.groupBy(*by, "grader").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("m").alias("all"), F.count_if(f).alias("flagged"), F.count_if(f & w).alias("right"), F.count_if(f == w).alias("same"), total(f == w).alias("same_w"),
+        total(f & w).alias("a"), total(f & ~w).alias("b"), total(~f & w).alias("c"), total(~f & ~w).alias("d"), total(s).alias("pool"), F.count_if(s).alias("drawn"), F.count_if(s & w).alias("drawn_wrong"),
+        total(~s & w).alias("census_wrong"), total(~s & w & f).alias("caught"),
+    )
+    low, high = special.jeffreys(F.col("right"), F.col("flagged"), level)
+    rate_low, rate_high = special.jeffreys(F.col("drawn_wrong"), F.col("drawn"), level)
+    at = lambda rate: F.col("caught") / F.greatest(F.col("census_wrong") + rate * F.round("pool"), F.lit(1e-9))
+    c = c.withColumns({"precision": F.try_divide("right", "flagged"), "precision_low": low, "precision_high": high, "recall": F.try_divide("a", F.col("a") + F.col("c")), "recall_low": at(rate_high), "recall_high": at(rate_low)})
+    f1 = F.when((F.col("precision") > 0) & (F.col("recall") > 0), 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
+    chance = ((F.col("a") + F.col("b")) * (F.col("a") + F.col("c")) + (F.col("c") + F.col("d")) * (F.col("b") + F.col("d"))) / (F.col("all") * F.col("all"))
+    kappa = F.when(chance < 1, ((F.col("a") + F.col("d")) / F.col("all") - chance) / (1 - chance))
+    c = c.withColumns({"f1": f1, "kappa": kappa, "raw": F.try_divide("same", "n"), "weighted": F.try_divide("same_w", "all")})
+    return c.select(*by, "grader", "flagged", "right", "precision", "precision_low", "precision_high", "recall", "recall_low", "recall_high", "f1", "kappa", "raw", "weighted")
+
+
+#: Largest mean whose Poisson law is summed term by term; above it the law's expansion around the normal one is used.
+SUMMED = 64
+
+
+def poisson(mean: Column, u: Column, v: Column) -> Column:
+    """A Poisson draw of whole number from two uniform numbers: by inverse up to ``SUMMED``, else by the normal law of Box
+    and Muller with the first correction for skewness."""
+    m = F.greatest(mean.cast("double"), F.lit(1e-12))
+    steps = (m + 12 * F.sqrt(m) + 20).cast("int")
+    start = F.struct(F.exp(-m).alias("p"), F.exp(-m).alias("sum"), F.lit(0).alias("k"))
+    more = lambda s, i: F.when(s["sum"] > u, s).otherwise(F.struct((s["p"] * m / i).alias("p"), (s["sum"] + s["p"] * m / i).alias("sum"), (s["k"] + 1).alias("k")))
+    summed = F.aggregate(F.sequence(F.lit(1), steps), start, more, lambda s: s["k"].cast("long"))
+    z = F.sqrt(-2 * F.ln(F.greatest(u, F.lit(1e-300)))) * F.cos(2 * math.pi * v)
+    return F.when(m <= SUMMED, summed).otherwise(F.greatest(F.lit(0), F.floor(m + F.sqrt(m) * z + (z * z - 1) / 6 + 0.5)))
+
+
+def settled(value: Column, digits: int) -> Column:
+    """Rounded half up, where anything within a thousandth of the last digit counts as the half: engines agree on ties."""
+    return F.round(value + 10.0 ** -(digits + 3), digits)
+
+
+def paired_bootstrap(df: DataFrame, before: Column, after: Column, resamples: int = 10_000, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """(n, shift, low, high): the mean of after - before over rows with both, and its percentile interval over resamples.
+
+    Rows of one difference are alike, so each difference is drawn as often as a Poisson law with its count as mean says
+    (two numbers from the MD5 of seed, difference and resample); the cost is differences times resamples, whatever the rows.
     """
-    rows = df.select(key.cast("string").alias("k"), (after.cast("double") - before.cast("double")).alias("d")).filter("d is not null and k is not null")
-    drawn = rows.select("k", "d", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("k"), F.col("r").cast("string"))), 1, 8), 16, 10).cast("double") / 2.0**32
-    times = sum(((u >= p).cast("int") for p in POISSON), F.lit(0))
-    means = drawn.select("r", "d", times.alias("w")).groupBy("r").agg(F.try_divide(F.sum(F.col("d") * F.col("w")), F.sum("w")).alias("m"))
-    edges = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("shift")).crossJoin(F.broadcast(edges))  # one row each
+    rows = df.select((after.cast("double") - before.cast("double")).alias("d")).filter("d is not null")
+    kinds = rows.groupBy("d").agg(F.count(F.lit(1)).alias("m"))
+    drawn = kinds.select("d", "m", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
+    hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.format_string("%.6f", "d"), F.col("r").cast("string")))
+    part = lambda at: F.conv(F.substring(hashed, at, 12), 16, 10).cast("double") / 2.0**48
+    means = drawn.withColumns({"u": part(1), "v": part(13)}).groupBy("r").agg(F.sum(poisson(F.col("m"), F.col("u"), F.col("v"))).alias("w"), F.sum(F.col("d") * poisson(F.col("m"), F.col("u"), F.col("v"))).alias("s"))
+    tail = (1 - level) / 2
+    edges = scan.percentiles(means.select(F.try_divide("s", "w").alias("mean")), "mean", (tail, 1 - tail)).select(F.col("p0").alias("low"), F.col("p1").alias("high"))
+    whole = kinds.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.try_divide(F.sum(F.col("d") * F.col("m")), F.sum("m")).alias("shift"))
+    return whole.crossJoin(F.broadcast(edges))  # one row each
 
 
 def rolling_median(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, window: int) -> DataFrame:
-    """The centred rolling median over ``window`` rows, one more before than after if even; null with fewer than half of them."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(window // 2), (window - 1) // 2)
-    return df.withColumn("rolling_median", F.when(F.count(value).over(w) >= max(1, window // 2), F.percentile(value, F.lit(0.5)).over(w)))
+    """The centred rolling median over ``window`` rows, one more before than after if even; null with fewer than half of them.
+
+    Groups are cut into blocks of equal numbers of rows with the neighbours' borders (``scan.framed``).
+    """
+    median = lambda w: {"rolling_median": F.when(F.count(value).over(w) >= max(1, window // 2), F.percentile(value, F.lit(0.5)).over(w))}
+    return scan.framed(df, by, order, window // 2, (window - 1) // 2, median)
 
 
 def noise_flag(df: DataFrame, side: Column, hit: Column) -> DataFrame:

@@ -21,6 +21,72 @@ _FLAGS = "concat_ws('; ', case when l_discount >= 0.1 then 'top discount' end, c
 _FIXED = """select event_id, case when event_id % 6 = 0 then 'fixed' else event_type end as event_type,
     case when event_id % 3 = 0 then try_cast(json_extract_string(props, '$.k') as double) else value end as value from events"""
 
+
+def _beta(x: str, a: str, b: str, steps: int = 2000) -> str:
+    """The regularised incomplete beta function by Simpson's rule over the angle whose squared sine is x."""
+    at = f"(i * asin(sqrt({x})) / {steps})"
+    log = f"(2 * ({a}) - 1) * ln(greatest(sin({at}), 1e-300)) + (2 * ({b}) - 1) * ln(greatest(cos({at}), 1e-300)) - (lgamma({a}) + lgamma({b}) - lgamma(({a}) + ({b})))"
+    return f"(2 * list_sum(list_transform(range(0, {steps + 1}), lambda i: (case when i = 0 or i = {steps} then 1 when i % 2 = 1 then 4 else 2 end) * exp({log}))) * asin(sqrt({x})) / {3 * steps})"
+
+
+def _normal(z: str, steps: int = 2000) -> str:
+    """Both tails of the normal law by Simpson's rule."""
+    at = f"(i * abs({z}) / {steps})"
+    return f"(1 - sqrt(2 / pi()) * list_sum(list_transform(range(0, {steps + 1}), lambda i: (case when i = 0 or i = {steps} then 1 when i % 2 = 1 then 4 else 2 end) * exp(-{at} * {at} / 2))) * abs({z}) / {3 * steps})"
+
+
+def _quantiles(ask: str, steps: int = 400) -> str:
+    """CTEs after one named ``ask`` (id, p, a, b): ``got`` (id, x) with beta_cdf(x) = p, by halving."""
+    return f"""ask as materialized ({ask}), halves as (select id, p, a, b, 0.0::double as low, 1.0::double as high, 0 as i from ask
+        union all select id, p, a, b, case when below < p then (low + high) / 2 else low end, case when below < p then high else (low + high) / 2 end, i + 1 from (select *, {_beta("(low + high) / 2", "a", "b", steps)} as below from halves where i < 40)),
+        got as (select id, (low + high) / 2 as x from halves where i = 40)"""
+
+
+_T = "case when pooled > 0 then difference / sqrt(pooled * (1.0::double / na + 1.0::double / nb)) when difference <> 0 then sign(difference) * 'infinity'::double end"
+
+
+def _arm_pairs(table: str, arm: str, value: str, by: str) -> str:
+    keep = f"{by} as k" if by else "0 as k"
+    return f"""arms as (select {keep}, {arm} as arm, count(*)::double as n, avg({value}) as m, var_samp({value}) as v from {table} group by all having count(*) > 1),
+        pairs as (select a.k, a.arm as a, b.arm as b, a.m - b.m as difference, a.n + b.n - 2 as dof, ((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) as pooled, a.n as na, b.n as nb, count(*) over (partition by a.k) as tests from arms a join arms b on a.k = b.k and a.arm < b.arm),
+        tested as (select *, {_T} as t from pairs)"""
+
+
+def _anova(table: str, arm: str, value: str, by: str) -> str:
+    keep = f"{by} as k" if by else "0 as k"
+    return f"""per as (select {keep}, {arm} as arm, count(*)::double as n, avg({value}) as m, coalesce(var_samp({value}), 0) as v from {table} group by all),
+        mid as (select *, sum(n * m) over (partition by k) / sum(n) over (partition by k) as mean from per),
+        f as (select k, count(*) as arms, sum(n)::bigint as n, (sum(n * pow(m - mean, 2)) / (count(*) - 1)) / (sum((n - 1) * v) / (sum(n) - count(*))) as f from mid group by k)"""
+
+
+def _signed(table: str, value: str, by: str) -> str:
+    keep = f"{by} as k" if by else "0 as k"
+    return f"""known as (select {keep}, abs({value}) as size, ({value}) > 0 as up from {table} where {value} is not null and ({value}) <> 0),
+        ranked as (select *, {_rank('size', 'k')} as r, count(*) over (partition by k, size)::double as ties from known),
+        w as (select k, count(*) as n, sum(case when up then r else 0 end)::double as w, sum(ties * ties - 1) as tie from ranked group by k),
+        z as (select *, (w - n * (n + 1) / 4.0::double) / sqrt(n * (n + 1.0::double) * (2 * n + 1) / 24 - tie / 48) as z from w)"""
+
+
+_GRADED = """g as (select doc_id % 3 as bucket, quality = 0 as w, toxic = 1 as metric, doc_id % 7 = 0 as judge, toxic <> 1 and doc_id % 7 <> 0 as s, case when toxic <> 1 and doc_id % 7 <> 0 then 4.0::double else 1.0::double end as m from labels),
+    r as (select bucket, w, s, m, 'metric' as grader, metric as f from g union all select bucket, w, s, m, 'judge', judge from g),
+    c as materialized (select bucket, grader, count(*) as n, sum(m) as everything, count_if(f) as flagged, count_if(f and w) as hits, count_if(f = w) as same, coalesce(sum(m) filter (f = w), 0) as same_w, coalesce(sum(m) filter (f and w), 0) as a, coalesce(sum(m) filter (f and not w), 0) as b,
+        coalesce(sum(m) filter (not f and w), 0) as c, coalesce(sum(m) filter (not f and not w), 0) as d, round(coalesce(sum(m) filter (s), 0)) as pool, count_if(s) as drawn, count_if(s and w) as drawn_wrong, coalesce(sum(m) filter (not s and w), 0) as census_wrong, coalesce(sum(m) filter (not s and w and f), 0) as caught from r group by all)"""
+_GRADED_ASK = "select 'pl' || bucket || grader as id, 0.025 as p, hits + 0.5 as a, flagged - hits + 0.5 as b from c union all select 'ph' || bucket || grader, 0.975, hits + 0.5, flagged - hits + 0.5 from c union all select 'rl' || bucket || grader, 0.025, drawn_wrong + 0.5, drawn - drawn_wrong + 0.5 from c union all select 'rh' || bucket || grader, 0.975, drawn_wrong + 0.5, drawn - drawn_wrong + 0.5 from c"
+_BINOMIAL = "case when 2 * least({k}, {n} - {k}) >= {n} then 1 else least(1, 2 * list_sum(list_transform(range(0, (least({k}, {n} - {k}) + 1)::bigint), lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - {n} * ln(2))))) end"
+
+
+def _edges(log: bool, bins: int) -> str:
+    if log:
+        return f"list_concat([a], list_transform(range(1, {bins - 1}), lambda i: pow(10, log10(a) + i * ((log10(b) - log10(a)) / {bins - 1}))), [b])"
+    return f"list_concat([a], list_transform(range(1, {bins - 1}), lambda i: a + i * ((b - a) / {bins - 1})), [b])"
+
+
+def _histogram(table: str, value: str, bins: int, clip: float, log: bool, split: str = "") -> str:
+    keep = f"{split}, " if split else ""
+    return f"""with v as (select {keep}{value}::double as v from {table} where {value} is not null), c as (select * from v where v <= (select quantile_cont(v, {clip}) from v) {'and v > 0' if log else ''}), e as (select min(v) as a, max(v) as b from c), g as (select {_edges(log, bins)} as e from e),
+        p as (select {keep}least(len(list_filter(e, lambda x: x <= v)), {bins - 1}) as place, e from c, g) select {keep}place - 1 as bin, round(e[place], 4) as low, round(e[place + 1], 4) as high, count(*) as n from p group by all"""
+
+
 SQL = {
     "route_cascade_counts": f"select {PART_CASE} as label, count(*) as n, 'part' as of from part group by 1 union all select case when source = 'src0' then 'main' when regexp_matches(source, '^src1[0-9]$') then 'teens' else 'other' end, count(*), 'document' from documents group by 1",
     "canonical_alias_counts": "select case lower(c_mktsegment) when 'automobile' then 'vehicle' when 'machinery' then 'industry' when 'building' then 'industry' else lower(c_mktsegment) end as name, count(*) as n, count(distinct c_mktsegment) as spellings, count(distinct c_nationkey) as nations from customer group by 1",
@@ -106,7 +172,42 @@ SQL = {
         select "constraint", n, caught, round(caught / n, 6) as recall from c""",
     "run_states": "select case when c_custkey in (select o_custkey from orders where o_orderstatus = 'P') then 'evaluated' when c_custkey in (select o_custkey from orders where o_orderstatus = 'F') then 'extracted' else 'planned' end as state, count(*) as n from customer group by 1",
     "rescued_rows": "select distinct p_name, p_brand from part a where p_partkey % 2 = 1 and not exists (select 1 from part b where b.p_partkey % 2 = 0 and b.p_name = a.p_name and b.p_brand = a.p_brand)",
-    "bootstrap_shift": "with l as (select doc_id, (toxic = 0)::INT::DOUBLE - (quality = 1)::INT::DOUBLE as d from labels where doc_id % 4 = 0 and toxic is not null and quality is not null), x as (select r, d, ('0x' || substr(md5('3|' || doc_id || '|' || r), 1, 8))::BIGINT / 4294967296.0::DOUBLE as u from l, range(60) t(r)), m as (select r, sum(d * ((u >= 0.36787944117144233)::INT + (u >= 0.7357588823428847)::INT + (u >= 0.9196986029286058)::INT + (u >= 0.9810118431238463)::INT + (u >= 0.9963401531726563)::INT + (u >= 0.9994058151824183)::INT + (u >= 0.999916758850712)::INT + (u >= 0.9999897508033254)::INT + (u >= 0.999998874797402)::INT + (u >= 0.9999998885745217)::INT + (u >= 0.9999999899522337)::INT + (u >= 0.9999999991683893)::INT)) / sum((u >= 0.36787944117144233)::INT + (u >= 0.7357588823428847)::INT + (u >= 0.9196986029286058)::INT + (u >= 0.9810118431238463)::INT + (u >= 0.9963401531726563)::INT + (u >= 0.9994058151824183)::INT + (u >= 0.999916758850712)::INT + (u >= 0.9999897508033254)::INT + (u >= 0.999998874797402)::INT + (u >= 0.9999998885745217)::INT + (u >= 0.9999999899522337)::INT + (u >= 0.9999999991683893)::INT) as m from x group by r) select (select count(*) from l) as n, round((select avg(d) from l), 6) as shift, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high from m",
+    "bootstrap_shift": """with kinds as (select (toxic = 0)::int::double - (quality = 1)::int::double as d, count(*)::double as m from labels where doc_id % 4 = 0 group by 1),
+        h as (select d, m, r, md5('3|' || printf('%.6f', d) || '|' || r) as h from kinds, range(10000) t(r)), u as (select d, m, r, ('0x' || substr(h, 1, 12))::bigint / 281474976710656.0::double as u, ('0x' || substr(h, 13, 12))::bigint / 281474976710656.0::double as v from h),
+        z as (select *, sqrt(-2 * ln(greatest(u, 1e-300))) * cos(2 * pi() * v) as z from u),
+        w as (select d, r, case when m <= 64 then list_sum(list_transform(range(0, (m + 12 * sqrt(m) + 20)::int), lambda i: (list_sum(list_transform(range(0, i + 1), lambda j: exp(j * ln(m) - m - lgamma(j + 1)))) <= u)::int))
+            else greatest(0, floor(m + sqrt(m) * z + (z * z - 1) / 6 + 0.5)) end as w from z),
+        x as (select sum(d * w) / sum(w) as x from w group by r)
+        select (select sum(m)::bigint from kinds) as n, round((select sum(d * m) / sum(m) from kinds) + 1e-9, 6) as shift, round(quantile_cont(x, 0.025) + 1e-9, 6) as low, round(quantile_cont(x, 0.975) + 1e-9, 6) as high from x""",
+    "thin_records": """with h as (select p_brand, (p_name is not null)::int + (p_size % 4 <> 0)::int + (p_retailprice > 950)::int + (p_partkey % 3 <> 1)::int + (p_partkey % 5 <> 2)::int as held from part),
+        s as (select p_brand, count(*) as records from h group by 1), b(band, place, least_, most) as (values ('5', 0, 5, 5), ('4', 1, 4, 4), ('3', 2, 3, 3), ('2 or fewer', 3, 0, 2))
+        select p_brand, band, place, count(held) as n, records, round(count(held) / records, 6) as share from s cross join b left join h on h.p_brand = s.p_brand and held between least_ and most group by s.p_brand, band, place, records""".replace("select p_brand, band", "select s.p_brand, band"),
+    "clipped_histogram": _histogram("lineitem", "l_extendedprice", 20, 0.9, False, "l_returnflag"),
+    "log_histogram": _histogram("events", "value", 15, 0.99, True),
+    "grouped_percentiles": "select l_returnflag, count(*) as n, round(quantile_cont(l_extendedprice, 0), 4) as p0, round(quantile_cont(l_extendedprice, 0.25), 4) as p1, round(quantile_cont(l_extendedprice, 0.5), 4) as p2, round(quantile_cont(l_extendedprice, 0.9), 4) as p3, round(quantile_cont(l_extendedprice, 1), 4) as p4 from lineitem group by 1",
+    "running_totals": """with o as (select *, round(o_totalprice * 100)::bigint as cents from orders)
+        select o_orderkey, (sum(cents) over (partition by o_custkey order by o_orderdate, o_orderkey rows between unbounded preceding and 1 preceding))::bigint as before, (sum(cents) over (order by o_orderkey rows between unbounded preceding and 1 preceding))::bigint as before_all from o""",
+    "frontier_arms": """with a as (select l_suppkey, avg(l_quantity) as g, stddev_samp(l_quantity) as spread, avg(l_extendedprice) as c, count(*) as repeats from lineitem group by 1 having count(*) >= 3)
+        select l_suppkey, round(g, 6) as l_quantity, round(spread, 6) as spread, round(c, 6) as l_extendedprice, repeats, not exists (select 1 from a b where b.c <= a.c and b.g >= a.g and (b.c < a.c or b.g > a.g)) as on_frontier from a""",
+    "arm_tests": f"""with {_arm_pairs('lineitem', 'l_returnflag', 'l_quantity', 'l_suppkey')}, p as (select *, {_beta('dof / (dof + t * t)', 'dof / 2', '0.5')} as p from tested)
+        select k as l_suppkey, a, b, dof::bigint as dof, round(difference, 6) as difference, round(t, 6) as t, round(p, 6) as p, round(least(1, p * tests), 6) as p_corrected from p""",
+    "arm_anova": f"with {_anova('lineitem', 'l_returnflag', 'l_extendedprice', 'l_suppkey')} select k as l_suppkey, arms, n, round(f, 6) as f, round({_beta('(n - arms) / ((n - arms) + (arms - 1) * f)', '(n - arms) / 2.0', '(arms - 1) / 2.0')}, 6) as p from f",
+    "grouped_signed_rank": f"with {_signed('lineitem', 'l_quantity - 26', 'l_suppkey')} select k as l_suppkey, n, round(w, 6) as w, case when n > 8 then round({_normal('z')}, 6) end as p from z",
+    "proportion_intervals": f"""with recursive c as (select event_type, user_id % 10 as bucket, count(*) as n, count_if(value > 60) as hits from events where value is not null group by all),
+        {_quantiles("select 'l' || event_type || bucket as id, 0.025 as p, hits + 0.5 as a, n - hits + 0.5 as b from c union all select 'h' || event_type || bucket, 0.975, hits + 0.5, n - hits + 0.5 from c")}
+        select event_type, bucket, n, hits, round(hits / n, 6) as share, round(l.x, 6) as low, round(h.x, 6) as high from c join got l on l.id = 'l' || event_type || bucket join got h on h.id = 'h' || event_type || bucket""",
+    "answers_apart": f"""with r as (select doc_id % 5 as bucket, (toxic = 1) = (quality = 0) as a, (doc_id % 7 = 0) = (quality = 0) as b from labels), c as (select bucket, count_if(a <> b) as pairs, count_if(a and not b) as only_a, count_if(b and not a) as only_b from r group by 1)
+        select bucket, pairs, only_a, only_b, case when pairs > 0 then round({_BINOMIAL.format(k='only_a', n='pairs')}, 6) end as p from c""",
+    "grader_table": f"""with recursive {_GRADED}, {_quantiles(_GRADED_ASK)},
+        t as (select c.*, hits / nullif(flagged, 0) as precision, a / nullif(a + c, 0) as recall, ((a + b) * (a + c) + (c + d) * (b + d)) / (everything * everything) as chance, pl.x as pl, ph.x as ph, rl.x as rl, rh.x as rh from c
+            join got pl on pl.id = 'pl' || bucket || grader join got ph on ph.id = 'ph' || bucket || grader join got rl on rl.id = 'rl' || bucket || grader join got rh on rh.id = 'rh' || bucket || grader)
+        select bucket, grader, flagged, hits as "right", round(precision, 6) as precision, case when flagged > 0 then round(pl, 6) end as precision_low, case when flagged > 0 then round(ph, 6) end as precision_high, round(recall, 6) as recall,
+            case when drawn > 0 then round(caught / greatest(census_wrong + rh * pool, 1e-9), 6) end as recall_low, case when drawn > 0 then round(caught / greatest(census_wrong + rl * pool, 1e-9), 6) end as recall_high,
+            case when precision > 0 and recall > 0 then round(2 * precision * recall / (precision + recall), 6) end as f1, case when chance < 1 then round(((a + d) / everything - chance) / (1 - chance), 6) end as kappa, round(same / n, 6) as raw, round(same_w / everything, 6) as weighted from t""",
+    "exact_tests": f"""with recursive {_arm_pairs('events', 'event_type', 'value', '')}, {_anova('events', 'event_type', 'value', '')}, {_signed('events', 'value - 30', '')},
+        e as materialized (select count_if(event_type = 'error') as hits, count(*) as n from events where event_type in ('error', 'click')), {_quantiles("select 'jeffreys low' as id, 0.025 as p, hits + 0.5 as a, n - hits + 0.5 as b from e union all select 'jeffreys high', 0.975, hits + 0.5, n - hits + 0.5 from e", 6000)}
+        select a || ' vs ' || b as name, round(least(1, tests * {_beta('dof / (dof + t * t)', 'dof / 2', '0.5', 12000)}), 6) as value from tested union all select 'anova', round({_beta('(n - arms) / ((n - arms) + (arms - 1) * f)', '(n - arms) / 2.0', '(arms - 1) / 2.0', 12000)}, 6) from f
+        union all select 'signed rank', round({_normal('z')}, 6) from z union all select 'binomial', round({_BINOMIAL.format(k='hits', n='n')}, 6) from e union all select id, round(x, 6) from got""",
     "even_rolling_median": 'select event_id, round(case when count(value) over w >= 10 then quantile_cont(value, 0.5) over w end, 6) as rolling_median from events window w as (partition by event_type order by ts, event_id rows between 10 preceding and 9 following)',
     "coerced_numbers": "select p_partkey, case p_partkey % 5 when 0 then p_size::DOUBLE when 1 then cast(p_size || 'e-05' as DOUBLE) when 2 then -(p_size + 0.5::DOUBLE) when 3 then null else p_size::DOUBLE end as value, case p_partkey % 5 when 0 then p_size || ' c' when 1 then p_size || 'e-05' when 2 then p_size || '.5 g' when 3 then 'none' else p_size::VARCHAR end as name from part",
     "field_agreement": "select 'q' as field, count(*) as n, round(avg((abs(l_quantity - (l_quantity + (l_suppkey % 3) * 0.004::DOUBLE)) <= 0.01)::INT), 6) as agree from lineitem union all select 'f', count(*), round(avg((l_linestatus = 'O')::INT), 6) from lineitem where l_partkey % 7 <> 0",
@@ -117,8 +218,6 @@ SQL = {
     "release_build": "select p_partkey, case when regexp_matches(p_brand, '[13]$') then 'homogeneous' else 'uncatalysed' end as phase, case when p_partkey % 4 <> 0 then p_name end as p_name, case when p_partkey % 9 <> 0 then round(p_size / p_retailprice, 4) end as loading, p_partkey % 4 <> 0 as single_component, case when length(p_type) % 2 <> 0 then 'molar' end as basis from part where regexp_matches(p_brand, '[135]$')",
     "mechanical_checks": "with l as (select l_partkey, l_suppkey, case when l_quantity < 48 then l_quantity * 2.2::DOUBLE end as y, case when l_tax > 0.01 then l_tax * 1300 end as c, l_discount as part, l_quantity - 1 as whole, l_extendedprice / 200 as heat from lineitem) select 'no outcome' as check, count(*) filter (y is null and c is null) as n, count(*) as total from l union all select 'incomplete', count(*) filter (y is null or heat is null), count(*) from l union all select 'above 100%', count(*) filter (y > 100 or c > 100), count(*) from l union all select 'yield above conversion', count(*) filter (y > c + 1), count(*) filter (y is not null and c is not null) from l union all select 'absurd amounts', count(*) filter (y > 105 or part > 0.095), count(*) from l union all select 'part outweighs whole', count(*) filter (whole > 0 and part / whole > 1), count(*) filter (whole > 0 and part is not null) from l union all select 'too hot', count(*) filter (heat > 350), count(heat) from l union all select 'repeated', count(*) - (select count(*) from (select distinct l_partkey, l_suppkey from l)), count(*) from l",
     "screen_reasons": "select coalesce(reason is null, true) as keep, coalesce(reason, 'keep') as reason, count(*) as n from (select case when coalesce(length(text), 0) = 0 then 'no text' when n_chars < 300 then 'short' when lang <> 'en' then 'other language' end as reason from documents) group by 1, 2",
-    "pooled_tail": 'select least(l_quantity::BIGINT, 40) as l_quantity, count(*) as n from lineitem where l_quantity is not null group by 1',
-    "clipped_bins": 'select greatest(least(coalesce(floor((p_retailprice - a) * 20 / (b - a)), 0), 19), 0)::BIGINT as bin, count(*) as n from part, (select quantile_cont(p_retailprice, 0.05) as a, quantile_cont(p_retailprice, 0.95) as b from part) group by 1',
     "evaluable_agreement": """with l as (select doc_id % 4 as bucket, coalesce((quality = 1) = (toxic = 0), false) as s, doc_id % 3 <> 0 as e from labels)
         select bucket, count(*) as records, count_if(e) as evaluable, count_if(s and e) as agree, round(count_if(s) / count(*), 6) as agreement, round(count_if(s and e) / nullif(count_if(e), 0), 6) as agreement_evaluable,
             count_if(e and not s) as disagree, count_if(not e) as no_counterpart from l group by 1""",

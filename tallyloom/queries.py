@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import ids, penalties, rules
-from .functions import numerics as N
+from .functions import ids, penalties, rules, special
 from .operators import aggregates as A
-from .operators import match, names, quality, review, runs, stats
+from .operators import match, names, quality, review, runs, scan, stats
 from .oracle import SQL
 from .sources import markup, text
 
@@ -327,8 +327,8 @@ def string_ratio(spark, d):
 
 def bootstrap_shift(spark, d):
     labels = _t(spark, d, "labels").filter("doc_id % 4 = 0")
-    out = stats.paired_bootstrap(labels, F.col("doc_id"), F.col("quality") == 1, F.col("toxic") == 0, 60, 3)
-    return out.select("n", *(F.round(c, 6).alias(c) for c in ("shift", "low", "high")))
+    out = stats.paired_bootstrap(labels, F.col("quality") == 1, F.col("toxic") == 0, 10_000, 3)
+    return out.select("n", *(stats.settled(F.col(c), 6).alias(c) for c in ("shift", "low", "high")))
 
 
 def even_rolling_median(spark, d):
@@ -433,27 +433,93 @@ def case_tolerant_keys(spark, d):
     return names.tolerant_join(given, table, "kind")
 
 
-def pooled_tail(spark, d):
-    return A.pooled_tail(_t(spark, d, "lineitem", "l_quantity"), "l_quantity", 40)
+def thin_records(spark, d):
+    p = _t(spark, d, "part").select("p_brand", "p_name", F.nullif(F.col("p_size") % 4, F.lit(0)).alias("size"), F.when(F.col("p_retailprice") > 950, F.col("p_retailprice")).alias("price"), F.nullif(F.col("p_partkey") % 3, F.lit(1)).alias("third"), F.nullif(F.col("p_partkey") % 5, F.lit(2)).alias("fifth"))
+    return A.thin_records(p, ["p_name", "size", "price", "third", "fifth"], "p_brand", 3).withColumn("share", F.round("share", 6))
 
 
-def clipped_bins(spark, d):
-    return A.clipped_bins(_t(spark, d, "part", "p_retailprice"), "p_retailprice", 20, 0.05, 0.95)
+def clipped_histogram(spark, d):
+    out = A.clipped_histogram(_t(spark, d, "lineitem", "l_extendedprice", "l_returnflag"), "l_extendedprice", 20, 0.9, split="l_returnflag")
+    return out.withColumns({c: F.round(c, 4) for c in ("low", "high")})
 
 
-def exact_tests(spark, d):
-    """Tests on per-arm aggregates of events: arms pairwise, analysis of variance, signed ranks and a binomial."""
-    e = _t(spark, d, "events", "event_type", "value")
-    rows = [(f"{r['a']} vs {r['b']}", r["p_corrected"]) for r in stats.arms_tests(e, "event_type", "value")]
-    rows.append(("anova", stats.anova(e, "event_type", "value")["p"]))
-    rows.append(("signed rank", stats.signed_rank(e.select((F.col("value") - 30.0).alias("v")), "v")["p"]))
-    c = e.agg(F.count_if(F.col("event_type") == "error").alias("k"), F.count_if(F.col("event_type").isin("error", "click")).alias("n")).first()
-    rows.append(("binomial", N.binomial_p_value(c["k"], c["n"])))
-    rows += [("jeffreys low", N.jeffreys(c["k"], c["n"])[0]), ("jeffreys high", N.jeffreys(c["k"], c["n"])[1])]
-    return spark.createDataFrame(rows, "name string, value double")
+def log_histogram(spark, d):
+    out = A.clipped_histogram(_t(spark, d, "events", "value"), "value", 15, 0.99, log=True)
+    return out.withColumns({c: F.round(c, 4) for c in ("low", "high")})
+
+
+def grouped_percentiles(spark, d):
+    out = scan.percentiles(_t(spark, d, "lineitem", "l_returnflag", "l_extendedprice"), "l_extendedprice", (0.0, 0.25, 0.5, 0.9, 1.0), ["l_returnflag"])
+    return out.select("l_returnflag", "n", *(F.round(f"p{i}", 4).alias(f"p{i}") for i in range(5)))
+
+
+def running_totals(spark, d):
+    """What each customer had ordered before each order, and how much of everything came before it."""
+    o = _t(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("long"))
+    mine = scan.running(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "cents", "before")
+    return scan.running(mine, (), ["o_orderkey"], "cents", "before_all").select("o_orderkey", "before", "before_all")
+
+
+def frontier_arms(spark, d):
+    out = A.frontier(_t(spark, d, "lineitem", "l_suppkey", "l_extendedprice", "l_quantity"), ["l_suppkey"], "l_extendedprice", "l_quantity", 3)
+    return out.withColumns({c: F.round(c, 6) for c in ("l_extendedprice", "l_quantity", "spread")})
+
+
+def arm_tests(spark, d):
+    """Every two return flags of each supplier, by quantity."""
+    out = stats.arms_tests(_t(spark, d, "lineitem", "l_suppkey", "l_returnflag", "l_quantity"), "l_returnflag", "l_quantity", ["l_suppkey"])
+    return out.select("l_suppkey", "a", "b", "dof", *(F.round(c, 6).alias(c) for c in ("difference", "t", "p", "p_corrected")))
+
 
+def arm_anova(spark, d):
+    out = stats.anova(_t(spark, d, "lineitem", "l_suppkey", "l_returnflag", "l_extendedprice"), "l_returnflag", "l_extendedprice", ["l_suppkey"])
+    return out.select("l_suppkey", "arms", "n", F.round("f", 6).alias("f"), F.round("p", 6).alias("p"))
 
-ROWS_ONLY = (assignment_match, assignment_score, greedy_match, string_ratio, exact_tests, chunk_documents, page_blocks)
+
+def grouped_signed_rank(spark, d):
+    li = _t(spark, d, "lineitem", "l_suppkey", "l_quantity").select("l_suppkey", (F.col("l_quantity") - 26).alias("v"))
+    out = stats.signed_rank(li, "v", ["l_suppkey"])
+    return out.withColumns({c: F.round(c, 6) for c in ("w", "p")})
+
+
+def proportion_intervals(spark, d):
+    e = _t(spark, d, "events", "event_type", "user_id", "value").withColumn("bucket", F.col("user_id") % 10)
+    out = stats.proportions(e, F.col("value") > 60, ["event_type", "bucket"])
+    return out.withColumns({c: F.round(c, 6) for c in ("share", "low", "high")})
+
+
+def answers_apart(spark, d):
+    """McNemar's test of two answers on labels, by bucket."""
+    rows = _t(spark, d, "labels").withColumn("bucket", F.col("doc_id") % 5)
+    out = stats.mcnemar(rows, F.col("toxic") == 1, F.col("doc_id") % 7 == 0, F.col("quality") == 0, ["bucket"])
+    return out.withColumn("p", F.round("p", 6))
+
+
+def grader_table(spark, d):
+    """Two graders against the labels: rows that neither flags are a sample, which stands for four rows each."""
+    rows = _t(spark, d, "labels").withColumn("bucket", F.col("doc_id") % 3)
+    metric, judge = F.col("toxic") == 1, F.col("doc_id") % 7 == 0
+    drawn = ~metric & ~judge
+    out = stats.grader_table(rows, {"metric": metric, "judge": judge}, F.col("quality") == 0, F.when(drawn, 4.0).otherwise(1.0), drawn, ["bucket"])
+    return out.select("bucket", "grader", "flagged", "right", *(F.round(c, 6).alias(c) for c in out.columns[4:]))
+
+
+def exact_tests(spark, d):
+    """Tests on events: arms pairwise, analysis of variance, signed ranks and a binomial with its interval; one lazy plan."""
+    e = _t(spark, d, "events", "event_type", "value")
+    errors = stats.proportions(e.filter(F.col("event_type").isin("error", "click")), F.col("event_type") == "error")
+    row = lambda df, name, value: df.select(name.alias("name"), value.alias("value"))
+    parts = [
+        row(stats.arms_tests(e, "event_type", "value"), F.concat_ws(" vs ", "a", "b"), F.col("p_corrected")),
+        row(stats.anova(e, "event_type", "value"), F.lit("anova"), F.col("p")),
+        row(stats.signed_rank(e.select((F.col("value") - 30.0).alias("v")), "v"), F.lit("signed rank"), F.col("p")),
+        row(errors, F.lit("binomial"), special.even_binomial_two_sided(F.col("hits"), F.col("n"))),
+        row(errors, F.lit("jeffreys low"), F.col("low")), row(errors, F.lit("jeffreys high"), F.col("high")),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts).withColumn("value", F.round("value", 6))
+
+
+ROWS_ONLY = (assignment_match, assignment_score, greedy_match, string_ratio, chunk_documents, page_blocks)
 QUERIES = (
     route_cascade_counts, canonical_alias_counts, rules_fired_ambiguous, quality_flags_lineitem, quality_report_lineitem, duplicate_of_first, duplicate_rows,
     fill_rate_by_group, within_group_spearman, pooled_vs_within, numeric_penalty_bands, tolerance_band_join, semi_anti_resume, key_overlap, agreement_kappa,
@@ -462,7 +528,8 @@ QUERIES = (
     fixes_changelog, first_active_answer, modal_label_group, topk_concentration, rolling_median, funnel, pairwise_votes, reconciled_counts,
     noise_between_groups, release_digest, verified_decisions, grown_policies, rescued_rows, parity_by_field, constraint_recall, run_states,
     bootstrap_shift, even_rolling_median, coerced_numbers, field_agreement, condition_points, runner_up, resolved_names, phase_cascade, release_build, mechanical_checks,
-    screen_reasons, pooled_tail, clipped_bins, evaluable_agreement, annotator_overlap, reach_by_kind, pass_rates_by_kind, case_tolerant_keys,
+    screen_reasons, thin_records, clipped_histogram, log_histogram, grouped_percentiles, running_totals, frontier_arms, arm_tests, arm_anova, grouped_signed_rank,
+    proportion_intervals, answers_apart, grader_table, exact_tests, evaluable_agreement, annotator_overlap, reach_by_kind, pass_rates_by_kind, case_tolerant_keys,
 )
 
 
