@@ -31,7 +31,7 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = 13
 #: Bits of the hash that a histogram goes by, and bits of each of the two hashes.
-BITS, HASH_BITS = 15, 60
+BITS, HASH_BITS = 10, 60
 
 
 def size_of(text: Column) -> Column:

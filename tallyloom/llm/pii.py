@@ -6,12 +6,14 @@ pseudonym in every document and two values of a kind never share one:
 
 * cards: the digits between the first and the last; the last is the new Luhn digit.  Of digits that run on after a
   card, the longest start that ends with a group of digits and passes the test is the card;
-* social security numbers: over valid areas and the digits after them; phone numbers: the digits after the first;
+* social security numbers: over valid areas and the digits after them; phone numbers: the digits after the country code
+  of an international number, after the first digit of others;
 * IPv4 addresses: 32 bits; IBANs: the account part, with new check digits;
 * dates from 1900 to 2099: their 73,049 days, written as the value was (order, separators, with or without leading
   zeros).  A date with slashes is month first if it can be; those that cannot are permuted among themselves, by
   walking the cycle until the day is over 12 again, so the two readings never meet;
-* e-mail addresses (all but the last label) and secrets: each letter and digit within its own class.
+* e-mail addresses: local part and domain apart (all but the last label), each with case folded and put back, so an address
+  is linked whatever its case and a domain across its mailboxes; secrets: each letter and digit within its own class.
 
 The round function is SHA-256 of key, kind, round and the other half.  The key is ``spark.tallyloom.pseudonymKey`` of
 the session; the one in the source serves tests only, as anyone can undo it.  Kinds are tried in the order of
@@ -161,9 +163,16 @@ def _ssn(m: Column, key: str) -> Column:
     return _let(permuted_pair(index, serial, F.lit(898), F.lit(99 * 9_999), key, "ssn"), back)
 
 
+#: Country calling codes by their leading digits: one digit, two, else three (fixed values).
+_COUNTRY = "^(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+
 def _phone(m: Column, key: str) -> Column:
-    new = _let(_digits(m), lambda d: F.concat(d.substr(F.lit(1), F.lit(1)), permuted_digits(d.substr(F.lit(2), F.length(d) - 1), key, "phone")))
-    return _let(new, lambda d: _written(d, m, "[0-9]"))
+    def new(d: Column) -> Column:
+        head = F.when(m.startswith("+"), F.regexp_extract(d, _COUNTRY, 0)).otherwise(d.substr(1, 1))
+        return _let(head, lambda h: F.concat(h, permuted_digits(d.substr(F.length(h) + 1, F.length(d)), key, "phone")))
+
+    return _let(_let(_digits(m), new), lambda d: _written(d, m, "[0-9]"))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -216,9 +225,18 @@ def _date(m: Column, key: str) -> Column:
     return _let(_day(m).cast("long"), lambda d: _let(F.when(m.rlike(_DAY_FIRST), walked(d)).otherwise(permuted(d)), written))
 
 
+def _folded(value: Column, key: str, kind: str) -> Column:
+    """``value`` permuted without regard to case, each letter in the case of its place."""
+    made = permuted_text(F.lower(value), key, kind)
+    cased = lambda p: F.array_join(F.zip_with(F.split(p, ""), F.split(value, ""), lambda c, o: F.when(o.between("A", "Z"), F.upper(c)).otherwise(c)), "")
+    return _let(made, cased)
+
+
 def _email(m: Column, key: str) -> Column:
     last = F.regexp_extract(m, "\\.[A-Za-z]+$", 0)
-    return F.concat(permuted_text(m.substr(F.lit(1), F.length(m) - F.length(last)), key, "email"), last)
+    at = F.instr(m, "@")
+    local, domain = m.substr(F.lit(1), at - 1), m.substr(at + 1, F.length(m) - F.length(last) - at)
+    return F.concat(_folded(local, key, "email"), F.lit("@"), _folded(domain, key, "domain"), last)
 
 
 _NAMED = "(?is)^(.*?[=:]\\s*[\"']?)(\\S.*)$"

@@ -288,7 +288,10 @@ def test_pseudonyms_against_plain_python(spark):
         "DE89 3704 0044 0532 0130 00": " ".join(iban[i : i + 4] for i in range(0, 22, 4)),
         "+1 (212) 555-0199": _over("+1 (212) 555-0199", phone),
         "token: everybody": "token: everybody", "token: a1b2c3d4": "token: " + _letters("a1b2c3d4", "secret"), "password: everybody": "password: " + _letters("everybody", "secret"),
-        "bob@ex.org": _letters("bob@ex", "email") + ".org",
+        "bob@ex.org": _letters("bob", "email") + "@" + _letters("ex", "domain") + ".org", "BOB@ex.org": _letters("bob", "email").upper() + "@" + _letters("ex", "domain") + ".org",
+        "a@EX.org": _letters("a", "email") + "@" + _letters("ex", "domain").upper() + ".org", "b@x": "b@x",
+        "+49 30 1234567": _over("+49 30 1234567", "49" + _digit_text("301234567", "phone")), "+358 40 123 4567": _over("+358 40 123 4567", "358" + _digit_text("401234567", "phone")),
+        "212-555-0199": _over("212-555-0199", "2" + _digit_text("125550199", "phone")),
     }
     df = table(spark, list(want)).withColumn("n_replaced", F.lit("old"))
     got = pii.pseudonymised(df)
