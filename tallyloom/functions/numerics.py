@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import math
 
 import numpy as np
@@ -40,6 +42,65 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(owner[c]) - 1, c - 1) for c in range(1, m + 1) if owner[c])
 
 
+def sparse_assignment(rows: np.ndarray, columns: np.ndarray, costs: np.ndarray, skip: float) -> list[int]:
+    """Places of the pairs of a least-cost one-to-one matching, where a row without a pair costs ``skip``.
+
+    Only the given pairs are held.  Each row starts a search by reduced cost from its pairs (Dijkstra's, with potentials)
+    that ends at a free column, or at a row of the tree that had better stay alone.
+    """
+    names, r = np.unique(rows, return_inverse=True)
+    _, c = np.unique(columns, return_inverse=True)
+    order = np.lexsort((c, r))
+    starts = np.searchsorted(r[order], np.arange(len(names) + 1)).tolist()
+    places, c, costs = order.tolist(), c[order].tolist(), costs[order].tolist()
+    owner: dict[int, int] = {}  # column: row
+    by: dict[int, int] = {}  # row: its place among the ordered pairs
+    down: dict[int, float] = {}  # potential of a column, never above 0
+    up = [0.0] * len(names)
+    for root in range(len(names)):
+        least: dict[int, float] = {}
+        came: dict[int, int] = {}
+        done: dict[int, float] = {}
+        reached, heap, row, base = {root: 0.0}, [], root, 0.0
+        best_end, best_row = skip - up[root], root
+        while True:
+            for k in range(starts[row], starts[row + 1]):
+                column = c[k]
+                if column not in done:
+                    far = base + costs[k] - up[row] - down.get(column, 0.0)
+                    if far < least.get(column, math.inf):
+                        least[column], came[column] = far, k
+                        heapq.heappush(heap, (far, column))
+            while heap and (heap[0][1] in done or heap[0][0] > least[heap[0][1]]):
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= best_end:
+                end, column = best_end, None
+                break
+            base, column = heapq.heappop(heap)
+            if column not in owner:
+                end = base
+                break
+            done[column] = base
+            row = owner[column]
+            reached[row] = base
+            if base + skip - up[row] < best_end:
+                best_end, best_row = base + skip - up[row], row
+        for x, far in reached.items():
+            up[x] += end - far
+        for x, far in done.items():
+            down[x] = down.get(x, 0.0) - (end - far)
+        if column is None:  # the row that stays alone gives its column away
+            row = best_row
+            column = c[by.pop(row)] if row in by and row != root else None
+        while column is not None:
+            k = came[column]
+            row = bisect.bisect_right(starts, k) - 1
+            given = c[by[row]] if row in by else None
+            owner[column], by[row] = row, k
+            column = given if row != root else None
+    return sorted(places[k] for k in by.values())
+
+
 def closest_first(cost: np.ndarray) -> list[tuple[int, int]]:
     """Greedy pairs: the cheapest first, each row and column once, ties by row and column."""
     rows, columns, out = set(), set(), []

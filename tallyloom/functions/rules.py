@@ -23,6 +23,14 @@ SOLVENT_ROUTES = (
     ("hydrolysis", r"water|aqueous|\bnaoh\b|\bkoh\b|h2so4|h3po4|acid solution|steam"),
 )
 OTHER_ROUTE = "other/unclear"
+# Names of one substance that spelling rules do not bring together.
+SAME_SUBSTANCE = {
+    "1,3-dimethylimidazolium acetate": "[DMIM]Ac", "[TMG]Cl/ZnCl2": "[TMG]ZnCl3", "[C6 TMG]Cl/2ZnCl2": "[C6TMG](ZnCl3)2",
+    "Cu(OAc)2-[Bmim][OAc]": "[BMIM]Cu(Ac)3", "Zn(OAc)2-[Bmim][OAc]": "[BMIM]Zn(Ac)3",
+}
+# The product of a route, and what a name says about itself.
+ROUTE_PRODUCTS = {"glycolysis": "bhet", "methanolysis": "dmt", "hydrolysis": "tpa"}
+NAME_KINDS = (("mixture of two", r"/|\+|(?i: and )"), ("supported on a carrier", "@"), ("code the paper coined", "(?i)^(?:pil|cat-|il-|des)"))
 # What is stripped from a compound's name before it is looked up.
 HYDRATE = r"(?i)\s*[.·‧*]\s*\d*\s*h2o\b|\s*\b(?:mono|di|tri|tetra|penta|hexa|hepta)?hydrate\b"
 QUALIFIERS = r"(?i)\(.*?\)|\b\d+(?:\.\d+)?\s*(?:m|mm|wt\.?%|vol\.?%|%|v/v|w/w|mol/l)\b|\b\d+\s*:\s*\d+\b|\baqueous\b|\bsolution\b|\bsoln\b|\banhydrous\b|\bdry\b"
@@ -76,6 +84,32 @@ def bare_name(name: Column) -> Column:
     return F.when(text.rlike(r"(?s)^\[[^\[]*\]$"), F.trim(F.regexp_replace(text, r"^\[|\]$", ""))).otherwise(text)
 
 
+def canonical_name(name: Column) -> Column:
+    """A compound's name in one spelling: solvent aliases, no square brackets or spaces, acetates written one way."""
+    text = F.translate(aliased(name, SOLVENT_ALIASES), "[] ", "")
+    for a, b in (("(ac)", "(oac)"), ("ac", "oac"), ("ooac", "oac")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def substance(name: Column, same: Mapping[str, str] = SAME_SUBSTANCE) -> Column:
+    """``canonical_name`` folded further, so that two data sets' spellings of one substance meet; null is empty."""
+    table = F.create_map(*(F.lit(x) for kv in same.items() for x in kv))
+    text = F.translate(canonical_name(F.coalesce(F.try_element_at(table, F.trim(name)), name)), "()", "")
+    return F.when(name.isNull(), "").otherwise(F.replace(F.replace(text, F.lit("dimim"), F.lit("dmim")), F.lit("m-o"), F.lit("o")))
+
+
+def name_kind(name: Column) -> Column:
+    """Whether anything could look a name up: a mixture, a supported material, a code of the paper's own, or a plain name."""
+    return cascade(F.coalesce(name.cast("string"), F.lit("None")), NAME_KINDS, "plain chemical name")
+
+
+def product_of(route: Column) -> Column:
+    """The monomer that a route yields, in capitals; null for other routes."""
+    table = F.create_map(*(F.lit(x) for kv in ROUTE_PRODUCTS.items() for x in kv))
+    return F.upper(F.try_element_at(table, F.lower(F.trim(route))))
+
+
 def coerced_number(value: Column) -> Column:
     """A number as it is, ``"1.5e-05"`` too; ``"190 C"`` as 190.0: digits, points and signs kept; null if that is no number."""
     text = F.trim(value.cast("string"))

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import penalties as P
-from ..functions.numerics import assignment, closest_first
+from ..functions.numerics import assignment, closest_first, sparse_assignment
+from . import scan
+from .graph import components
 
 #: Cost of a pair whose names do not agree: finite, so that every record can be assigned.
 GATE_COST = 10.0
@@ -62,22 +64,13 @@ def uncontested(groups: np.ndarray, i: np.ndarray, j: np.ndarray, costs: np.ndar
     return np.concatenate([take(rows, wide), take(columns, ~wide)]), np.flatnonzero(clash)
 
 
-def matched(pair_table: DataFrame, group: str, greedy: bool = False) -> DataFrame:
-    """The pairs of a least-cost one-to-one assignment in each group (or closest first); ties to low indices.
+def _chosen(pair_table: DataFrame, keys: Sequence[str], solve) -> DataFrame:
+    """The rows of ``pair_table`` that ``solve`` (i, j, costs → places) chooses for each value of ``keys``.
 
-    A window deals pairs to tasks by group and sorts them; they stream through, so a task holds one group and one batch.
-    Pairs that come straight from a join on the group stay where they are; after the string ratio, which runs in
-    Python, Spark no longer knows where they are and shuffles them once.
+    A window deals pairs to tasks by the keys and sorts them; they stream through, so a task holds one group and one batch.
     """
     fields = pair_table.schema
 
-    def solve(i: np.ndarray, j: np.ndarray, costs: np.ndarray) -> list[int]:
-        rows, columns = np.unique(i), np.unique(j)
-        at_row, at_column = np.searchsorted(rows, i), np.searchsorted(columns, j)
-        cost, place = np.full((len(rows), len(columns)), GATE_COST), np.full((len(rows), len(columns)), -1)
-        cost[at_row, at_column], place[at_row, at_column] = costs, np.arange(len(i))
-        return [place[x] for x in (closest_first if greedy else assignment)(cost) if place[x] >= 0]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for b in chain(batches, [None]):
@@ -85,9 +78,14 @@ def matched(pair_table: DataFrame, group: str, greedy: bool = False) -> DataFram
             if table is None or not len(table):
                 continue
             rows = table.combine_chunks().to_batches()[0]
-            keys, i, j, costs = (rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in (group, "i", "j", "cost"))
-            starts = np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1)
-            ends = np.append(starts[1:], len(keys))
+            column = lambda c: rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            i, j, costs = (column(c) for c in ("i", "j", "cost"))
+            new = np.zeros(len(i) - 1, bool)
+            for c in keys:
+                own = column(c)
+                new |= own[1:] != own[:-1]
+            starts = np.append(0, np.flatnonzero(new) + 1)
+            ends = np.append(starts[1:], len(i))
             whole = len(starts) if b is None else len(starts) - 1  # the last group may go on in the next batch
             last = ends[whole - 1] if whole else 0
             chosen, hard = uncontested(np.repeat(np.arange(whole), (ends - starts)[:whole]), i[:last], j[:last], costs[:last])
@@ -95,8 +93,66 @@ def matched(pair_table: DataFrame, group: str, greedy: bool = False) -> DataFram
             held = [rows.slice(starts[-1])] if whole < len(starts) else []
             yield rows.take(pa.array(chosen, pa.int64())).select(fields.names)
 
-    place = F.row_number().over(Window.partitionBy(group).orderBy("i", "j"))
-    return pair_table.filter(F.col(group).isNotNull()).withColumn("__place", place).mapInArrow(run, fields)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("i", "j"))
+    return pair_table.withColumn("__place", place).mapInArrow(run, fields)
+
+
+def matched(pair_table: DataFrame, group: str, greedy: bool = False) -> DataFrame:
+    """The pairs of a least-cost one-to-one assignment in each group (or closest first); ties to low indices.
+
+    Pairs that come straight from a join on the group stay where they are; after the string ratio, which runs in
+    Python, Spark no longer knows where they are and shuffles them once.  A group is held as a matrix of all its records;
+    ``sparse_matched`` holds only pairs that are given.
+    """
+
+    def solve(i: np.ndarray, j: np.ndarray, costs: np.ndarray) -> list[int]:
+        rows, columns = np.unique(i), np.unique(j)
+        at_row, at_column = np.searchsorted(rows, i), np.searchsorted(columns, j)
+        cost, place = np.full((len(rows), len(columns)), GATE_COST), np.full((len(rows), len(columns)), -1)
+        cost[at_row, at_column], place[at_row, at_column] = costs, np.arange(len(i))
+        return [place[x] for x in (closest_first if greedy else assignment)(cost) if place[x] >= 0]
+
+    return _chosen(pair_table.filter(F.col(group).isNotNull()), [group], solve)
+
+
+def gated_pairs(curated: DataFrame, extracted: DataFrame, group: str, index: str, name: str, numbers: Sequence[str], tolerance: float = P.TOLERANCE) -> DataFrame:
+    """(group, i, j, penalty, cost): the pairs of a group whose names are equal (nulls too), by a join on both, with the mean
+    penalty over the name and ``numbers``.  Records of other names never meet."""
+    left = curated.select(group, F.col(index).alias("i"), F.col(name).alias("__name"), *(F.col(c).alias(f"c_{c}") for c in numbers))
+    right = extracted.select(F.col(group).alias("__group"), F.col(index).alias("j"), F.col(name).alias("__other"), *(F.col(c).alias(f"e_{c}") for c in numbers))
+    met = left.join(right, (F.col(group) == F.col("__group")) & F.col("__name").eqNullSafe(F.col("__other")))
+    mean = sum((P.numeric(F.col(f"c_{c}"), F.col(f"e_{c}"), tolerance) for c in numbers), F.lit(0.0)) / (len(numbers) + 1)
+    return met.select(group, "i", "j", mean.alias("penalty")).withColumn("cost", F.col("penalty"))
+
+
+def sparse_matched(gated: DataFrame, group: str, split: bool = False, skip: float = GATE_COST) -> DataFrame:
+    """The rows of ``gated`` (group, i, j, cost, ...; each pair once) in a least-cost one-to-one matching of each group, where
+    records that are left over cost ``skip``: what ``matched`` finds with all other pairs at that cost, without holding them.
+
+    ``split``: connected parts of a group are found by Spark first and solved apart, so a group with most of the pairs
+    spreads over tasks; without it a group is one task, which holds its given pairs.
+    """
+    known = gated.filter(F.col(group).isNotNull())
+
+    def solve(i: np.ndarray, j: np.ndarray, costs: np.ndarray) -> list[int]:
+        return sparse_assignment(i, j, costs, skip)
+
+    if not split:
+        return _chosen(known, [group], solve)
+    # two nodes of one hash would only join two parts, which is solved right as well
+    node = lambda side, at: F.xxhash64(F.col(group), F.lit(side), F.col(at))
+    parts = components(known.select(node("i", "i").alias("a"), node("j", "j").alias("b"))).withColumnRenamed("part", "__part")
+    dealt = known.withColumn("__node", node("i", "i")).join(parts.withColumnRenamed("node", "__node"), "__node").drop("__node")
+    return _chosen(dealt, ["__part", group], solve).drop("__part")
+
+
+def paired_rest(curated: DataFrame, extracted: DataFrame, assigned: DataFrame, group: str, index: str) -> DataFrame:
+    """(group, i, j): records that ``assigned`` leaves over on both sides of a group, paired in the order of their indices."""
+    def left_over(df: DataFrame, at: str) -> DataFrame:
+        rest = df.select(group, F.col(index).alias(at)).join(assigned.select(group, at), [group, at], "left_anti")
+        return scan.positions(rest, [group], [at], "__k")
+
+    return left_over(curated, "i").join(left_over(extracted, "j"), [group, "__k"]).drop("__k")
 
 
 def labels(curated: DataFrame, extracted: DataFrame, assigned: DataFrame, group: str, index: str, accept: float = P.ACCEPT, documents: DataFrame | None = None) -> DataFrame:

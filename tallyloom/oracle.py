@@ -87,6 +87,23 @@ def _histogram(table: str, value: str, bins: int, clip: float, log: bool, split:
         p as (select {keep}least(len(list_filter(e, lambda x: x <= v)), {bins - 1}) as place, e from c, g) select {keep}place - 1 as bin, round(e[place], 4) as low, round(e[place + 1], 4) as high, count(*) as n from p group by all"""
 
 
+#: The key and the extraction of ``queries.extraction``.
+_EXTRACTION = """keys as materialized (select l_orderkey, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount) - 1 as index, p_name, l_quantity, l_extendedprice, l_discount, l_partkey, l_suppkey from lineitem join part on l_partkey = p_partkey),
+    found as materialized (select l_orderkey, index * 7 % 1000 as index, case when l_partkey % 5 = 0 then p_name || 's' when l_partkey % 13 = 0 then 'unknown' else p_name end as p_name, case when l_suppkey % 3 = 0 then l_quantity * 1.5::double else l_quantity end as l_quantity,
+        l_extendedprice * 1.001::double as l_extendedprice, case when l_partkey % 4 <> 0 then l_discount end as l_discount from keys where l_suppkey % 11 <> 0)"""
+
+
+def _penalty(c: str) -> str:
+    return f"case when a.{c} is null and b.{c} is null then 0 when a.{c} is null or b.{c} is null then 1 when abs(a.{c} - b.{c}) <= 0.01 then 0 else least(abs(a.{c} - b.{c}) / greatest(abs(a.{c}), abs(b.{c})) / 0.2::double, 1) end::double"
+
+
+#: All matchings of the pairs of each order, row by row, of which the cheapest counts; a row alone costs 10.
+_MATCHINGS = f"""pairs as materialized (select a.l_orderkey as k, a.index as i, b.index // 7 as j, ({_penalty('l_quantity')} + {_penalty('l_extendedprice')} + {_penalty('l_discount')}) / 4 as c from keys a join found b on a.l_orderkey = b.l_orderkey and a.p_name = b.p_name),
+    rows as materialized (select k, i, row_number() over (partition by k order by i) as r, count(*) over (partition by k) as n from (select distinct k, i from pairs)),
+    made as (select distinct k, 0::bigint as r, 0::bigint as used, 0::bigint as m, 0::double as cost, n from rows
+        union all select s.k, s.r + 1, case when o.j is null then s.used else s.used | (1::bigint << o.j) end, s.m + (o.j is not null)::int, s.cost + coalesce(o.c, 10), s.n from made s join rows t on t.k = s.k and t.r = s.r + 1
+            join (select k, i, j, c from pairs union all select distinct k, i, null, null from pairs) o on o.k = s.k and o.i = t.i and (o.j is null or (s.used >> o.j) & 1 = 0))"""
+
 SQL = {
     "route_cascade_counts": f"select {PART_CASE} as label, count(*) as n, 'part' as of from part group by 1 union all select case when source = 'src0' then 'main' when regexp_matches(source, '^src1[0-9]$') then 'teens' else 'other' end, count(*), 'document' from documents group by 1",
     "canonical_alias_counts": "select case lower(c_mktsegment) when 'automobile' then 'vehicle' when 'machinery' then 'industry' when 'building' then 'industry' else lower(c_mktsegment) end as name, count(*) as n, count(distinct c_mktsegment) as spellings, count(distinct c_nationkey) as nations from customer group by 1",
@@ -208,6 +225,23 @@ SQL = {
         e as materialized (select count_if(event_type = 'error') as hits, count(*) as n from events where event_type in ('error', 'click')), {_quantiles("select 'jeffreys low' as id, 0.025 as p, hits + 0.5 as a, n - hits + 0.5 as b from e union all select 'jeffreys high', 0.975, hits + 0.5, n - hits + 0.5 from e", 6000)}
         select a || ' vs ' || b as name, round(least(1, tests * {_beta('dof / (dof + t * t)', 'dof / 2', '0.5', 12000)}), 6) as value from tested union all select 'anova', round({_beta('(n - arms) / ((n - arms) + (arms - 1) * f)', '(n - arms) / 2.0', '(arms - 1) / 2.0', 12000)}, 6) from f
         union all select 'signed rank', round({_normal('z')}, 6) from z union all select 'binomial', round({_BINOMIAL.format(k='hits', n='n')}, 6) from e union all select id, round(x, 6) from got""",
+    "gap_reasons": """with g as (select l_orderkey, l_linenumber, min({'l_partkey': l_partkey, 'l_suppkey': l_suppkey, 'l_quantity': l_quantity, 'l_extendedprice': l_extendedprice, 'l_discount': l_discount}) as s from lineitem group by all), u as (select l_orderkey, l_linenumber, unnest(s) from g),
+        l as (select *, l_partkey + l_linenumber as n, nullif(floor(l_quantity / 5) * 10, 0)::double as heat from u),
+        m as (select *, case when n % 7 <> 0 then round(l_extendedprice / 20000) * 10 end as mass from l),
+        r as (select l_orderkey * 1000 + l_linenumber as record, {'paper': l_suppkey, 'category': case n % 3 when 0 then 'both' when 1 then 'ours' else 'theirs' end, 'ours': 'zn' || l_partkey % 11, 'theirs': case when n % 13 <> 0 then 'zn' || l_partkey % 11 else '' end, 'oh': heat, 'th': heat * (1 + (n % 5) * 0.01::double), 'om': mass, 'tm': case when n % 2 = 0 then mass end, 'os': case when n % 5 <> 0 then round(l_discount * 50) end, 'ts': round(l_discount * 50)} as s from m),
+        t as materialized (select record, unnest(s) from r), o as (select * from t where category = 'ours'), x as (select * from t where category <> 'ours'),
+        near as (select o.record, x.category <> 'both' and abs(x.ts - o.os) <= 0.02 * greatest(abs(x.ts), abs(o.os), 1e-9) as listed from o join x on o.paper = x.paper and o.ours = x.theirs
+            where (o.oh is not null and x.th is not null or o.om is not null and x.tm is not null) and coalesce(abs(o.oh - x.th) <= 0.02 * greatest(abs(o.oh), abs(x.th), 1e-9), true) and coalesce(abs(o.om - x.tm) <= 0.02 * greatest(abs(o.om), abs(x.tm), 1e-9), true)),
+        f as (select record, coalesce(bool_or(listed), false) as listed from near group by 1),
+        z as (select o.*, case when ours = 'zn3' then 'an excluded name'
+            when exists (select 1 from t where t.category in ('both', 'ours') and t.record <> o.record and t.paper = o.paper and t.ours = o.ours and t.oh is not distinct from o.oh and t.om is not distinct from o.om and t.os is not distinct from o.os and (o.oh is not null or o.om is not null or o.os is not null)) then case when paper % 2 = 0 then 'a repeat of a run curated once' else 'the same run tabulated twice' end
+            when not exists (select 1 from x where x.paper = o.paper and x.theirs = o.ours) then 'a name not curated' when f.listed then 'the same run, missed by the matcher' when f.record is not null then 'a repeat of a run curated once' else 'a condition not curated' end as reason from o left join f using (record))
+        select paper, reason, count(*) as n, sum(record)::bigint as records from z group by 1, 2""",
+    "sparse_assignment": f"""with recursive {_EXTRACTION}, {_MATCHINGS}, best as (select k, arg_min(m, cost) as m, min(cost) as cost, any_value(n) as n from made where r = n group by k)
+        select k as l_orderkey, m as pairs, round(cost - 10 * (n - m), 6) as cost from best where m > 0""",
+    "paired_rest": f"""with recursive {_EXTRACTION}, pairs as materialized (select a.l_orderkey as k, a.index as i, b.index // 7 as j, {_penalty('l_quantity')} / 2 as c from keys a join found b on a.l_orderkey = b.l_orderkey and a.p_name = b.p_name),
+        {_MATCHINGS[_MATCHINGS.index('rows as materialized'):]}, best as (select k, arg_min(m, cost) as m from made where r = n group by k), a as (select l_orderkey, count(*) as a from keys group by 1), b as (select l_orderkey, count(*) as b from found group by 1)
+        select l_orderkey, least(a, b) - coalesce(m, 0) as pairs from a join b using (l_orderkey) left join best on k = l_orderkey where least(a, b) > coalesce(m, 0)""",
     "even_rolling_median": 'select event_id, round(case when count(value) over w >= 10 then quantile_cont(value, 0.5) over w end, 6) as rolling_median from events window w as (partition by event_type order by ts, event_id rows between 10 preceding and 9 following)',
     "coerced_numbers": "select p_partkey, case p_partkey % 5 when 0 then p_size::DOUBLE when 1 then cast(p_size || 'e-05' as DOUBLE) when 2 then -(p_size + 0.5::DOUBLE) when 3 then null else p_size::DOUBLE end as value, case p_partkey % 5 when 0 then p_size || ' c' when 1 then p_size || 'e-05' when 2 then p_size || '.5 g' when 3 then 'none' else p_size::VARCHAR end as name from part",
     "field_agreement": "select 'q' as field, count(*) as n, round(avg((abs(l_quantity - (l_quantity + (l_suppkey % 3) * 0.004::DOUBLE)) <= 0.01)::INT), 6) as agree from lineitem union all select 'f', count(*), round(avg((l_linestatus = 'O')::INT), 6) from lineitem where l_partkey % 7 <> 0",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import ids, penalties, rules, special
 from .operators import aggregates as A
-from .operators import match, names, quality, review, runs, scan, stats
+from .operators import match, names, overlap, quality, review, runs, scan, stats
 from .oracle import SQL
 from .sources import markup, text
 
@@ -314,6 +314,21 @@ def assignment_score(spark, d):
     return match.totals(assignment_match(spark, d))
 
 
+def sparse_assignment(spark, d):
+    """Least-cost matchings of pairs with equal names only, connected parts apart: pairs and cost of each order."""
+    key, found = extraction(spark, d)
+    pairs = match.gated_pairs(key, found, "l_orderkey", "index", "p_name", ["l_quantity", "l_extendedprice", "l_discount"])
+    return match.sparse_matched(pairs, "l_orderkey", split=True).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("cost"), 6).alias("cost"))
+
+
+def paired_rest(spark, d):
+    """How many records of each order are left over after closest pairs of equal names and pair up in order."""
+    key, found = extraction(spark, d)
+    pairs = match.gated_pairs(key, found, "l_orderkey", "index", "p_name", ["l_quantity"])
+    rest = match.paired_rest(key, found, match.sparse_matched(pairs, "l_orderkey"), "l_orderkey", "index")
+    return rest.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("pairs"))
+
+
 def greedy_match(spark, d):
     key, found = extraction(spark, d)
     return match.matched(match.pairs(key, found, "l_orderkey", "index", "p_name", ["l_quantity", "l_extendedprice", "l_discount"]), "l_orderkey", greedy=True).drop("wrong")
@@ -504,6 +519,28 @@ def grader_table(spark, d):
     return out.select("bucket", "grader", "flagged", "right", *(F.round(c, 6).alias(c) for c in out.columns[4:]))
 
 
+def _overlap(spark, d):
+    """Lines as two data sets' records of one run: the other side rounds, renames, leaves blanks and misses some."""
+    li = _t(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
+    li = li.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")).alias("r")).select("l_orderkey", "l_linenumber", "r.*")  # the pair is not a key
+    n = F.col("l_partkey") + F.col("l_linenumber")
+    heat, mass = F.nullif(F.floor(F.col("l_quantity") / 5) * 10, F.lit(0)).cast("double"), F.when(n % 7 != 0, F.round(F.col("l_extendedprice") / 20000) * 10)
+    share = F.when(n % 5 != 0, F.round(F.col("l_discount") * 50))
+    return li.select(
+        (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("record"), F.col("l_suppkey").alias("paper"), F.when(n % 3 == 0, "both").when(n % 3 == 1, "ours").otherwise("theirs").alias("category"),
+        F.concat(F.lit("[Zn] "), (F.col("l_partkey") % 11).cast("string")).alias("ours_name"), F.when(n % 13 != 0, F.concat(F.lit("zn"), (F.col("l_partkey") % 11).cast("string"))).alias("theirs_name"),
+        heat.alias("ours_heat"), (heat * (1 + (n % 5) * 0.01)).alias("theirs_heat"), mass.alias("ours_mass"), F.when(n % 2 == 0, mass).alias("theirs_mass"), share.alias("ours_share"), F.round(F.col("l_discount") * 50).alias("theirs_share"),
+    )
+
+
+def gap_reasons(spark, d):
+    """Why lines of ours are missing from the other side, counted by reason and paper."""
+    df = _overlap(spark, d)
+    names_ = (rules.canonical_name(F.col("theirs_name")), rules.canonical_name(F.col("ours_name")))
+    out = overlap.gap_reasons(df, "record", "paper", "category", names_, ["heat", "mass"], ["share"], F.col("ours_name") == "[Zn] 3", F.col("paper") % 2 == 0)
+    return out.groupBy("paper", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("record").alias("records"))
+
+
 def exact_tests(spark, d):
     """Tests on events: arms pairwise, analysis of variance, signed ranks and a binomial with its interval; one lazy plan."""
     e = _t(spark, d, "events", "event_type", "value")
@@ -529,7 +566,7 @@ QUERIES = (
     noise_between_groups, release_digest, verified_decisions, grown_policies, rescued_rows, parity_by_field, constraint_recall, run_states,
     bootstrap_shift, even_rolling_median, coerced_numbers, field_agreement, condition_points, runner_up, resolved_names, phase_cascade, release_build, mechanical_checks,
     screen_reasons, thin_records, clipped_histogram, log_histogram, grouped_percentiles, running_totals, frontier_arms, arm_tests, arm_anova, grouped_signed_rank,
-    proportion_intervals, answers_apart, grader_table, exact_tests, evaluable_agreement, annotator_overlap, reach_by_kind, pass_rates_by_kind, case_tolerant_keys,
+    proportion_intervals, answers_apart, grader_table, exact_tests, gap_reasons, sparse_assignment, paired_rest, evaluable_agreement, annotator_overlap, reach_by_kind, pass_rates_by_kind, case_tolerant_keys,
 )
 
 
