@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import seeded_order
@@ -51,26 +51,36 @@ def stratified_sample(df: DataFrame, stratum: str, key: Sequence[str], n: int, s
     return drawn.join(F.broadcast(sizes), stratum).withColumn("weight", F.col("__all") / F.least(F.col("__all"), F.lit(n))).drop("__order", "__place", "__all")
 
 
+def quotas(sizes: DataFrame, field: str, n: str, size: int) -> DataFrame:
+    """(field, quota): ``size`` shared equally over fields of ``n`` rows; what a field cannot use goes to the others, and what
+    does not divide evenly goes one each to the largest (ties to the smaller name).
+
+    The shares are a water level, found by windows over one row a field: the smallest fields are full, and the first that
+    is not sets the level.
+    """
+    everything = Window.partitionBy()
+    by_size = Window.orderBy(n, field)
+    before = by_size.rowsBetween(Window.unboundedPreceding, -1)
+    rows = sizes.select(field, F.col(n).cast("long").alias("n")).withColumns({"full": F.coalesce(F.sum("n").over(before), F.lit(0)), "open": F.count(F.lit(1)).over(everything) - F.row_number().over(by_size) + 1})
+    rows = rows.withColumn("level", F.floor((F.lit(size) - F.col("full")) / F.col("open")))
+    rows = rows.withColumn("level", F.min(F.when(F.col("level") < F.col("n"), F.struct("n", F.col(field), "level"))).over(everything)["level"])
+    taken = F.coalesce(F.least("n", "level"), F.col("n"))
+    rest = F.lit(size) - F.sum(taken).over(everything)
+    place = F.row_number().over(Window.orderBy(F.desc("n"), field))
+    return rows.select(field, (taken + F.coalesce((place <= rest) & (F.col("n") > F.col("level")), F.lit(False)).cast("long")).alias("quota"))
+
+
 def equal_shares(df: DataFrame, field: str, key: Sequence[str], size: int, seed: int, filled: str | None = None) -> DataFrame:
-    """About ``size`` rows with equal shares of each field's pool; what a small pool cannot use goes to the others.
+    """``size`` rows (all, if there are fewer) with equal shares of each field's pool; see ``quotas``.
 
-    Inside a field the fullest records come first, then hash order.  The quotas are found from one count a field.
+    Inside a field the fullest records come first, then hash order.  A task keeps ``size`` rows of a field before it
+    shuffles, and nothing is gathered.
     """
-    counts = {r[field]: r["count"] for r in df.groupBy(field).count().collect()}
-    quota, left, open_ = dict.fromkeys(counts, 0), size, {f for f in counts}
-    while left > 0 and open_:
-        share, before = max(1, left // len(open_)), left
-        for f in sorted(open_, key=str):
-            take = min(share, counts[f] - quota[f], left)
-            quota[f] += take
-            left -= take
-        open_ = {f for f in open_ if quota[f] < counts[f]}
-        if left == before:
-            break
-    most = F.create_map(*(F.lit(x) for kv in quota.items() for x in kv)) if quota else F.create_map().cast("map<string,int>")
     order = [F.desc(filled)] if filled else []
     place = F.row_number().over(Window.partitionBy(field).orderBy(*order, seeded_order(seed, *(F.col(k) for k in key)), *key))
-    return df.withColumn("__place", place).filter(F.col("__place") <= F.try_element_at(most, F.col(field))).drop("__place")
+    drawn = df.withColumn("__place", place).filter(F.col("__place") <= size)
+    most = quotas(df.groupBy(field).agg(F.count(F.lit(1)).alias("n")), field, "n", size).withColumnRenamed(field, "__field")
+    return drawn.join(most, F.col(field).eqNullSafe(F.col("__field"))).filter(F.col("__place") <= F.col("quota")).drop("__place", "__field", "quota")
 
 
 def settled_answers(answers: DataFrame, key: Sequence[str], who: str, answer: str, active: str) -> DataFrame:
@@ -133,3 +143,24 @@ def pending(wanted: DataFrame, done: DataFrame, key: str | Sequence[str]) -> Dat
 def seconded(runs: DataFrame, key: Sequence[str], judge: str) -> DataFrame:
     """(key, votes): how many judges name a record."""
     return runs.groupBy(*key).agg(F.countDistinct(judge).alias("votes"))
+
+
+def eligible(records: DataFrame, fields: Sequence[str], least: int, rules: Sequence[Column] = ()) -> DataFrame:
+    """Records worth a reviewer's screen, with ``filled``: at least ``least`` of ``fields`` known and every rule true (null is not)."""
+    filled = sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0))
+    out = records.withColumn("filled", filled).filter(F.col("filled") >= least)
+    for rule in rules:
+        out = out.filter(F.coalesce(rule, F.lit(False)))
+    return out
+
+
+def decided_fresh(decisions: DataFrame, annotators: DataFrame, key: Sequence[str], deciders: str, who: str, carried: str) -> DataFrame:
+    """``decisions`` with ``fresh``: false where all deciders that have an answer of their own only carried it over.
+
+    ``annotators`` (key, who, carried): each annotator's answers; a null flag was not carried over, the last of repeated
+    answers cannot be told, so one that was made anew counts.
+    """
+    flags = annotators.groupBy(*key, who).agg(F.min(F.coalesce(F.col(carried), F.lit(False)).cast("int")).alias("__carried"))
+    asked = decisions.select(*key, F.explode(F.array_distinct(deciders)).alias(who)).distinct()
+    seen = asked.join(flags, [*key, who]).groupBy(*key).agg(F.min("__carried").alias("__all"))
+    return decisions.join(seen, list(key), "left").withColumn("fresh", F.coalesce(F.col("__all"), F.lit(0)) == 0).drop("__all")

@@ -94,17 +94,17 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), weight: Colu
     return out.select(*by, value, "n", (F.col("__i") + zero("__index")).alias("index"), (zero("__b") + zero("__below")).alias("below"))
 
 
-def percentiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
-    """(by, n, p0, p1, ...): exact percentiles with linear interpolation between neighbours, without holding a group's values."""
-    known = df.select(*by, value).filter(F.col(value).isNotNull())
-    total = known.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    met = _joined_on(value_counts(known, value, by, ranges=ranges), total, by)
+def percentiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = (), weight: Column | None = None, ranges: int = RANGES) -> DataFrame:
+    """(by, n, p0, p1, ...): exact percentiles with linear interpolation between neighbours, without holding a group's values;
+    with ``weight`` (whole numbers) each row stands for so many."""
+    known = df.select(*by, value, (F.lit(1) if weight is None else weight).alias("__w")).filter(F.col(value).isNotNull())
+    total = known.groupBy(*by).agg(F.sum("__w").alias("__n"))
+    met = _joined_on(value_counts(known, value, by, F.col("__w"), ranges), total, by)
     picks = []
     for i, p in enumerate(shares):
         at = (F.col("__n") - 1) * F.lit(float(p))
-        low, high = F.floor(at), F.ceil(at)
-        hit = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("n")), F.col(value).cast("double")))  # noqa: E731, B023
-        picks += [hit(low).alias(f"__low{i}"), hit(high).alias(f"__high{i}"), F.max(at - low).alias(f"__part{i}")]
+        hit = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("n")), F.col(value).cast("double")))
+        picks += [hit(F.floor(at)).alias(f"__low{i}"), hit(F.ceil(at)).alias(f"__high{i}"), F.max(at - F.floor(at)).alias(f"__part{i}")]
     out = met.groupBy(*by).agg(F.max("__n").alias("n"), *picks)
     return out.select(*by, "n", *((F.col(f"__low{i}") + (F.col(f"__high{i}") - F.col(f"__low{i}")) * F.col(f"__part{i}")).alias(f"p{i}") for i in range(len(shares))))
 

@@ -242,6 +242,24 @@ SQL = {
     "paired_rest": f"""with recursive {_EXTRACTION}, pairs as materialized (select a.l_orderkey as k, a.index as i, b.index // 7 as j, {_penalty('l_quantity')} / 2 as c from keys a join found b on a.l_orderkey = b.l_orderkey and a.p_name = b.p_name),
         {_MATCHINGS[_MATCHINGS.index('rows as materialized'):]}, best as (select k, arg_min(m, cost) as m from made where r = n group by k), a as (select l_orderkey, count(*) as a from keys group by 1), b as (select l_orderkey, count(*) as b from found group by 1)
         select l_orderkey, least(a, b) - coalesce(m, 0) as pairs from a join b using (l_orderkey) left join best on k = l_orderkey where least(a, b) > coalesce(m, 0)""",
+    "equal_shares": """with o as (select o_orderkey, least(o_custkey % 40, 12) as field, (o_totalprice > 150000)::int as filled from orders), s as (select field, count(*) as n from o group by 1),
+        lv as (select max(l) as l from range(0, 778) t(l) where (select sum(least(n, l)) from s) <= 777), q as (select field, n, least(n, l) + (n > l and row_number() over (order by n desc, field) <= 777 - sum(least(n, l)) over ())::int as quota from s, lv),
+        r as (select *, row_number() over (partition by field order by filled desc, md5('5|' || o_orderkey), o_orderkey) as place from o)
+        select field, count(*) as n, sum(o_orderkey)::bigint as orders, sum(r.filled)::bigint as filled from r join q using (field) where place <= quota group by 1""",
+    "density_plane": """with c as materialized (select l_returnflag as f, floor(l_quantity * 20 / 60)::bigint as i, floor(l_extendedprice * 20 / 120000)::bigint as j, count(*) as n from lineitem group by all),
+        m as (select l_returnflag as f, count(*) as t, var_samp(l_quantity) * pow(count(*), -1.0/3) as xx, var_samp(l_extendedprice) * pow(count(*), -1.0/3) as yy, covar_samp(l_quantity, l_extendedprice) * pow(count(*), -1.0/3) as xy from lineitem group by 1),
+        e as (select f, i, j from (select f, min(i) - ceil(6 * sqrt(any_value(xx)) / 3)::bigint as i0, max(i) + ceil(6 * sqrt(any_value(xx)) / 3)::bigint as i1, min(j) - ceil(6 * sqrt(any_value(yy)) / 6000)::bigint as j0, max(j) + ceil(6 * sqrt(any_value(yy)) / 6000)::bigint as j1 from c join m using (f) group by f), range(-200, 200) a(i), range(-200, 200) b(j) where i between i0 and i1 and j between j0 and j1),
+        w as (select e.f, e.i, e.j, c.n, (yy * pow((e.i - c.i) * 3, 2) - 2 * xy * (e.i - c.i) * 3 * (e.j - c.j) * 6000 + xx * pow((e.j - c.j) * 6000, 2)) / (xx * yy - xy * xy) as q, 2 * pi() * sqrt(xx * yy - xy * xy) * t as norm from e join c on e.f = c.f join m on m.f = c.f),
+        d as materialized (select f, i, j, sum(n * exp(-q / 2) / norm) as density from w where q <= 36 group by all), p as (select d.*, coalesce(c.n, 0) as n from d left join c using (f, i, j)),
+        l as (select f, quantile_cont(density, 0.1) as level from (select f, density, unnest(range(n)) from p where n > 0) group by f)
+        select f as l_returnflag, i, j, n, round(density * 1e6, 6) as density, density >= level as inside from p join l using (f)""",
+    "density_curve": """with v as (select event_type as t, value as v from events where value between 0 and 100), c as (select t, least(floor(v * 50 / 100), 49)::bigint as i, count(*) as n from v group by all), m as (select t, count(*) as a, sqrt(var_samp(v)) * pow(count(*), -0.2) as s from v group by 1 having var_samp(v) > 0)
+        select t as event_type, g.i, 0.0 + (g.i + 0.5) * 2.0::double as at, round(sum(n * exp(-pow((g.i - c.i) * 2 / s, 2) / 2) / (sqrt(2 * pi()) * s * a)), 8) as density from c join m using (t), range(50) g(i) where abs(g.i - c.i) <= least(ceil(6 * s / 2), 50) group by all""",
+    "eligible_records": """with l as (select l_returnflag, (l_quantity > 5)::int + (l_discount <> 0)::int + (l_tax <> 0)::int as filled from lineitem where l_returnflag <> 'R' and l_linenumber <> 3 and l_linenumber < 6) select filled, l_returnflag, count(*) as n from l where filled >= 2 group by all""",
+    "decided_fresh": """with c as (select conv_id, role || turn % 2 as who, case when turn % 3 = 1 then null else turn % 3 = 0 end as carried from conversations), d as (select conv_id, case when conv_id % 4 <> 0 then list_sort(list(distinct who))[1:2] end as deciders from c group by 1),
+        a as (select conv_id, who, bool_and(coalesce(carried, false)) as carried from c group by all), s as (select d.conv_id, bool_and(a.carried) as every from d join a on a.conv_id = d.conv_id and list_contains(d.deciders, a.who) group by 1)
+        select conv_id, not coalesce(every, false) as fresh from d left join s using (conv_id)""",
+    "name_kinds": """select case p_partkey % 5 when 0 then 'mixture of two' when 1 then 'code the paper coined' when 2 then 'supported on a carrier' else 'plain chemical name' end as kind, translate(replace(replace(lower(p_type), 'ac', 'oac'), 'ooac', 'oac'), ' []()', '') || 'oac' as substance, count(*) as n from part group by all""",
     "even_rolling_median": 'select event_id, round(case when count(value) over w >= 10 then quantile_cont(value, 0.5) over w end, 6) as rolling_median from events window w as (partition by event_type order by ts, event_id rows between 10 preceding and 9 following)',
     "coerced_numbers": "select p_partkey, case p_partkey % 5 when 0 then p_size::DOUBLE when 1 then cast(p_size || 'e-05' as DOUBLE) when 2 then -(p_size + 0.5::DOUBLE) when 3 then null else p_size::DOUBLE end as value, case p_partkey % 5 when 0 then p_size || ' c' when 1 then p_size || 'e-05' when 2 then p_size || '.5 g' when 3 then 'none' else p_size::VARCHAR end as name from part",
     "field_agreement": "select 'q' as field, count(*) as n, round(avg((abs(l_quantity - (l_quantity + (l_suppkey % 3) * 0.004::DOUBLE)) <= 0.01)::INT), 6) as agree from lineitem union all select 'f', count(*), round(avg((l_linestatus = 'O')::INT), 6) from lineitem where l_partkey % 7 <> 0",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import ids, penalties, rules, special
 from .operators import aggregates as A
-from .operators import match, names, overlap, quality, review, runs, scan, stats
+from .operators import density, match, names, overlap, quality, review, runs, scan, stats
 from .oracle import SQL
 from .sources import markup, text
 
@@ -541,6 +541,42 @@ def gap_reasons(spark, d):
     return out.groupBy("paper", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("record").alias("records"))
 
 
+def equal_shares(spark, d):
+    o = _t(spark, d, "orders", "o_orderkey", "o_custkey", "o_totalprice").withColumn("field", F.least(F.col("o_custkey") % 40, F.lit(12)))
+    o = o.withColumn("filled", (F.col("o_totalprice") > 150000).cast("int"))
+    return review.equal_shares(o, "field", ["o_orderkey"], 777, 5, "filled").groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("orders"), F.sum("filled").alias("filled"))
+
+
+def density_plane(spark, d):
+    """The region that holds nine tenths of the lines by quantity and price, of each return flag."""
+    li = _t(spark, d, "lineitem", "l_returnflag", "l_quantity", "l_extendedprice")
+    out = density.plane(li, "l_quantity", "l_extendedprice", (0, 60), (0, 120000), ["l_returnflag"], 20)
+    return out.select("l_returnflag", "i", "j", "n", F.round(F.col("density") * 1e6, 6).alias("density"), "inside")
+
+
+def density_curve(spark, d):
+    out = density.curve(_t(spark, d, "events", "event_type", "value"), "value", (0, 100), ["event_type"], 50)
+    return out.withColumn("density", F.round("density", 8))
+
+
+def eligible_records(spark, d):
+    li = _t(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag").withColumns({"l_tax": F.nullif("l_tax", F.lit(0.0)), "l_discount": F.nullif("l_discount", F.lit(0.0)), "l_quantity": F.when(F.col("l_quantity") > 5, F.col("l_quantity"))})
+    return A.counted(review.eligible(li, ["l_quantity", "l_discount", "l_tax"], 2, [F.col("l_returnflag") != "R", F.nullif(F.col("l_linenumber"), F.lit(3)) < 6]), "filled", "l_returnflag")
+
+
+def decided_fresh(spark, d):
+    c = _t(spark, d, "conversations", "conv_id", "turn", "role")
+    answers = c.select("conv_id", F.concat("role", (F.col("turn") % 2).cast("string")).alias("who"), F.nullif(F.col("turn") % 3, F.lit(1)).alias("t")).select("conv_id", "who", (F.col("t") == 0).alias("carried"))
+    decisions = c.groupBy("conv_id").agg(F.array_sort(F.collect_set(F.concat("role", (F.col("turn") % 2).cast("string")))).alias("deciders")).withColumn("deciders", F.when(F.col("conv_id") % 4 != 0, F.slice("deciders", 1, 2)))
+    return review.decided_fresh(decisions, answers, ["conv_id"], "deciders", "who", "carried").select("conv_id", "fresh")
+
+
+def name_kinds(spark, d):
+    p = _t(spark, d, "part", "p_name", "p_type", "p_partkey")
+    name = F.when(F.col("p_partkey") % 5 == 0, F.concat("p_name", F.lit(" and "), "p_type")).when(F.col("p_partkey") % 5 == 1, F.concat(F.lit("IL-"), "p_type")).when(F.col("p_partkey") % 5 == 2, F.concat("p_type", F.lit("@C"))).otherwise(F.col("p_name"))
+    return A.counted(p.select(rules.name_kind(name).alias("kind"), rules.substance(F.concat(F.lit("["), "p_type", F.lit("] (Ac)"))).alias("substance")), "kind", "substance")
+
+
 def exact_tests(spark, d):
     """Tests on events: arms pairwise, analysis of variance, signed ranks and a binomial with its interval; one lazy plan."""
     e = _t(spark, d, "events", "event_type", "value")
@@ -566,7 +602,7 @@ QUERIES = (
     noise_between_groups, release_digest, verified_decisions, grown_policies, rescued_rows, parity_by_field, constraint_recall, run_states,
     bootstrap_shift, even_rolling_median, coerced_numbers, field_agreement, condition_points, runner_up, resolved_names, phase_cascade, release_build, mechanical_checks,
     screen_reasons, thin_records, clipped_histogram, log_histogram, grouped_percentiles, running_totals, frontier_arms, arm_tests, arm_anova, grouped_signed_rank,
-    proportion_intervals, answers_apart, grader_table, exact_tests, gap_reasons, sparse_assignment, paired_rest, evaluable_agreement, annotator_overlap, reach_by_kind, pass_rates_by_kind, case_tolerant_keys,
+    proportion_intervals, answers_apart, grader_table, exact_tests, gap_reasons, sparse_assignment, paired_rest, equal_shares, density_plane, density_curve, eligible_records, decided_fresh, name_kinds, evaluable_agreement, annotator_overlap, reach_by_kind, pass_rates_by_kind, case_tolerant_keys,
 )
 
 
