@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import bare_name
 
 
-def resolved(df: DataFrame, name: str, kind: Column, table: DataFrame, separator: str, fallback: tuple[str, str, str] | None = None) -> DataFrame:
+# Names that say that nothing was used or reported, what joins the parts of a mixture, and why there is no value.
+NOTHING = {"none": "no catalyst was used", "n/a": "not reported", "na": "not reported", "-": "not reported"}
+MIXTURE = r"\s*(?:/|:|\+|,|\band\b|\bwith\b)\s*"
+UNKNOWN_PART, UNKNOWN_NAME = "unknown: mixture with an unrecognised component", "unknown: name not in the lookup"
+
+
+def resolved(df: DataFrame, name: str, kind: Column, table: DataFrame, separator: str = MIXTURE, fallback: tuple[str, str, str] | None = None, nothing: Mapping[str, str] = NOTHING) -> DataFrame:
     """``df`` with ``value`` and ``origin`` of each name, resolved once for each distinct (kind, name).
 
     ``table`` (kind, name, value, note): a null or blank value is a refusal with its note.  In this order: no name ("not
-    reported"), a refusal ("unmappable: note"), the kind's entry ("lookup"), the entry of another kind (``fallback``: the
-    kind that may, the kind it falls back to, what it is then called), a mixture all of whose parts between ``separator``
-    have entries (values joined by points, sorted), else "unknown".
+    reported"), a word for nothing or a refusal ("unmappable: note"), the kind's entry ("lookup"), the entry of another kind
+    (``fallback``: the kind that may, the kind it falls back to, what it is then called), a mixture all of whose parts between
+    ``separator`` have entries (values joined by points, sorted); else ``UNKNOWN_PART`` for a mixture, ``UNKNOWN_NAME`` for a name.
     """
     t = table.select(F.col("kind").alias("__k"), bare_name(F.col("name")).alias("__n"), F.nullif(F.trim(F.col("value")), F.lit("")).alias("__v"), F.coalesce("note", F.lit("ambiguous")).alias("__note"))
     t = t.groupBy("__k", "__n").agg(F.min("__v").alias("__v"), F.min(F.when(F.col("__v").isNull(), F.col("__note"))).alias("__refused"))
     key = bare_name(F.col(name))
+    said = F.create_map(*(F.lit(x) for kv in nothing.items() for x in kv)) if nothing else F.create_map().cast("map<string,string>")
     names = df.select(kind.alias("__kind"), F.col(name).alias("__name"), key.alias("__key")).distinct()
     own = t.select(F.col("__k").alias("__kind"), F.col("__n").alias("__key"), F.col("__v").alias("__own"), "__refused")
     out = names.join(own, ["__kind", "__key"], "left")
@@ -27,15 +36,16 @@ def resolved(df: DataFrame, name: str, kind: Column, table: DataFrame, separator
         out = out.join(second, "__key", "left").withColumn("__other", F.when(F.col("__kind") == fallback[0], F.col("__other")))
     else:
         out = out.withColumn("__other", F.lit(None).cast("string"))
-    parts = names.select("__kind", "__key", F.explode(F.filter(F.split("__key", separator), lambda p: p != "")).alias("__part")).distinct()
+    parts = names.select("__kind", "__key").distinct().select("__kind", "__key", F.posexplode(F.filter(F.split("__key", separator), lambda p: p != "")).alias("__at", "__part"))
     found = parts.join(t.select(F.col("__k").alias("__kind"), F.col("__n").alias("__part"), "__v"), ["__kind", "__part"], "left")
     mixed = found.groupBy("__kind", "__key").agg(F.count(F.lit(1)).alias("__parts"), F.count("__v").alias("__found"), F.array_join(F.sort_array(F.collect_list("__v")), ".").alias("__mixture"))
     out = out.join(mixed, ["__kind", "__key"], "left")
     whole = (F.col("__parts") > 1) & (F.col("__parts") == F.col("__found"))
     empty = F.col("__name").isNull() | (F.trim(F.col("__name")) == "")
-    origin = F.when(empty, "not reported").when(F.col("__refused").isNotNull(), F.concat(F.lit("unmappable: "), F.col("__refused"))).when(F.col("__own").isNotNull(), "lookup")
-    origin = origin.when(F.col("__other").isNotNull(), fallback[2] if fallback else "").when(whole, "mixture").otherwise("unknown")
-    value = F.when(empty | F.col("__refused").isNotNull(), None).otherwise(F.coalesce("__own", "__other", F.when(whole, F.col("__mixture"))))
+    void = F.try_element_at(said, F.col("__key"))
+    origin = F.when(empty, "not reported").when(void.isNotNull(), F.concat(F.lit("unmappable: "), void)).when(F.col("__refused").isNotNull(), F.concat(F.lit("unmappable: "), F.col("__refused"))).when(F.col("__own").isNotNull(), "lookup")
+    origin = origin.when(F.col("__other").isNotNull(), fallback[2] if fallback else "").when(whole, "mixture").when(F.col("__parts") > 1, UNKNOWN_PART).otherwise(UNKNOWN_NAME)
+    value = F.when(empty | void.isNotNull() | F.col("__refused").isNotNull(), None).otherwise(F.coalesce("__own", "__other", F.when(whole, F.col("__mixture"))))
     done = out.select("__kind", "__name", value.alias("value"), origin.alias("origin"))
     return df.withColumn("__kind_", kind).join(done, F.col("__kind_").eqNullSafe(F.col("__kind")) & F.col(name).eqNullSafe(F.col("__name")), "left").drop("__kind", "__name", "__kind_")
 
@@ -57,11 +67,26 @@ def mappability(name: Column, nothing: list[str], material: str) -> Column:
     return F.when((text == "") | F.lower(text).isin(*nothing), "nothing to map").when(text.rlike(material), "no structure").otherwise("not yet mapped")
 
 
+# Spelling that only stands in the way of a nomenclature.
+PLAINER = (
+    (r"(?i)\bsulph", "sulf"), (r"(?i)\baluminium\b", "aluminum"), (r"(?i)\bcaesium\b", "cesium"), (r"(?i)\bglycerine\b", "glycerol"),
+    (r"(?i)\b(?:distilled|deionised|deionized|demineralized|di|ultrapure)\s+water\b", "water"),
+)
+
+
+def cleaned(name: Column) -> Column:
+    """The bare name in the spelling that a nomenclature reads; which substance is meant does not change."""
+    text = bare_name(name)
+    for pattern, plain in PLAINER:
+        text = F.regexp_replace(text, pattern, plain)
+    return F.trim(text)
+
+
 def tier(origin: Column, value: Column, derived: Column, mappable: Column) -> Column:
-    """How well a value is supported: by a second derivation, by the table alone, or not at all."""
-    has = value.isNotNull() | derived.isNotNull()
+    """How well a value is supported: "confirmed" by a derivation of its own (also one that writes it differently), "LLM written"
+    by the table alone, "no catalyst" where the paper reports that none was used, "not reported" for other refusals and
+    blanks, "impossible" for what has no single structure, else "unclear"."""
     return (
-        F.when(origin == "not reported", "not reported").when(origin.startswith("unmappable"), "impossible")
-        .when(derived.isNotNull() & (value.isNull() | value.eqNullSafe(derived)), "confirmed").when(has, "LLM written")
-        .when(mappable == "no structure", "impossible").otherwise("unclear")
+        F.when(origin.startswith("not reported"), "not reported").when(origin.startswith("unmappable") & origin.contains("no catalyst"), "no catalyst").when(origin.startswith("unmappable"), "not reported")
+        .when(derived.isNotNull(), "confirmed").when(value.isNotNull(), "LLM written").when(mappable == "no structure", "impossible").otherwise("unclear")
     )

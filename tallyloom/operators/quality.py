@@ -96,9 +96,10 @@ def screened(df: DataFrame, rules: Mapping[str, Column], passed: str = "keep") -
     return df.withColumn("reason", reason).withColumn("keep", F.coalesce(*(F.when(test, F.lit(False)) for test in rules.values()), F.lit(True)))
 
 
-def mechanical(df: DataFrame, key: Sequence[str], outcomes: Sequence[str], needed: Sequence[str], absurd: Mapping[str, float], part: str, whole: str, hot: str, most: float = 350.0) -> DataFrame:
+def mechanical(df: DataFrame, key: Sequence[str], outcomes: Sequence[str], needed: Sequence[str], absurd: Mapping[str, float], part: str, whole: str, hot: str, time: str, most: float = 350.0, longest: float = 10_080.0) -> DataFrame:
     """(check, n, total) of what is wrong on its face: repeated rows, no outcome, too little to model, shares over 100, yields
-    above conversions (the first two outcomes), absurd amounts, more of ``part`` than of ``whole``, temperatures over ``most``."""
+    above conversions (the first two outcomes), absurd amounts, more of ``part`` than of ``whole``, temperatures over ``most``,
+    times of zero or less or over ``longest``.  ``checks.modelable`` and ``checks.evidence`` have the papers and the rows."""
     per = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     known = lambda cs: F.greatest(*(F.col(c).isNotNull().cast("int") for c in cs)) if len(cs) > 1 else F.col(cs[0]).isNotNull().cast("int")
     any_of = lambda tests: F.greatest(*(F.coalesce(t.cast("int"), F.lit(0)) for t in tests), F.lit(0)) == 1
@@ -111,6 +112,7 @@ def mechanical(df: DataFrame, key: Sequence[str], outcomes: Sequence[str], neede
         "absurd amounts": (any_of([F.col(c) > v for c, v in absurd.items()]), F.lit(True)),
         "part outweighs whole": (share > 1, share.isNotNull()),
         "too hot": (F.col(hot) > most, F.col(hot).isNotNull()),
+        "no time or over a week": ((F.col(time) <= 0) | (F.col(time) > longest), F.col(time).isNotNull()),
     }
     cells = [F.struct(F.lit(k).alias("check"), F.count_if(t).alias("n"), F.count_if(of).alias("total")) for k, (t, of) in tests.items()]
     twice = per.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))

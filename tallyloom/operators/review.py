@@ -34,6 +34,51 @@ def apply_fixes(records: DataFrame, fixes: DataFrame, on: Sequence[str], fields:
     return done.select(*(F.col(f"__new_{c}").alias(c) if c in fields else c for c in records.columns)), changes
 
 
+def applied_verdicts(records: DataFrame, verdicts: DataFrame, on: Sequence[str], fields: Mapping[str, str], numeric: Sequence[str], aliases: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, changelog) after a judge: rows that it drops go, rows that it fixes are corrected, rows without a parsed verdict stay.
+
+    ``verdicts`` (on, parsed_ok, drop_record, critique, fixes: array of (field, value, evidence)), one a record.  A record's
+    fixes are taken in order: names are resolved through ``fields`` and ``aliases``, unknown ones are ignored, numbers are read
+    out of text, and a fix counts as a change where it differs from what stands there by then (nulls compared).  The
+    changelog has (on, action, critique, changes): "dropped", or "repaired" with field, was, to and evidence of each change in
+    the order of the fields.  Everything happens inside one row, so one join is all that is shuffled.
+    """
+    names = {f: f for f in fields} | dict(aliases or {})
+    v = F.struct("parsed_ok", "drop_record", "critique", "fixes").alias("__v")
+    out = records.join(verdicts.select(*on, v), list(on), "left")
+    ok = F.coalesce(F.col("__v.parsed_ok"), F.lit(False))
+    fixes = F.when(ok, F.coalesce(F.col("__v.fixes"), F.array().cast(verdicts.schema["fixes"].dataType)))
+    out = out.withColumns({"__drop": ok & F.coalesce(F.col("__v.drop_record"), F.lit(False)), "__fixes": fixes})
+    for f, kind in fields.items():
+        value = (lambda x: coerced_number(x).cast("double")) if f in numeric else (lambda x: x)
+        stored = F.col(f).cast("double") if f in numeric else F.col(f).cast("string")
+        mine = F.filter("__fixes", _of_field(names, f))
+        steps = F.concat(F.array(F.struct(stored.alias("value"), F.lit(None).cast("string").alias("evidence"))), F.coalesce(F.transform(mine, _step(value)), F.array()))
+        out = out.withColumn(f"__s_{f}", steps)
+    changes = F.concat(*(_changes(f) for f in fields))
+    out = out.withColumn("__changes", changes)
+    kept = out.filter(~F.col("__drop"))
+    new = {f: F.when(F.size(f"__s_{f}") > 1, F.element_at(f"__s_{f}", -1)["value"].cast(kind)).otherwise(F.col(f)) for f, kind in fields.items()}
+    log = out.filter(F.col("__drop") | (F.size("__changes") > 0)).select(*on, F.when(F.col("__drop"), "dropped").otherwise("repaired").alias("action"), F.coalesce("__v.critique", F.lit("")).alias("critique"), F.when(F.col("__drop"), F.array().cast(out.schema["__changes"].dataType)).otherwise(F.col("__changes")).alias("changes"))
+    return kept.select(*(new[c].alias(c) if c in new else F.col(c) for c in records.columns)), log
+
+
+def _of_field(names: Mapping[str, str], field: str):
+    return lambda x: canonical_field(x["field"], names) == F.lit(field)
+
+
+def _step(value):
+    return lambda x: F.struct(value(x["value"]).alias("value"), x["evidence"].alias("evidence"))
+
+
+def _changes(field: str) -> Column:
+    """The steps of a field that differ from the one before."""
+    steps = F.col(f"__s_{field}")
+    text = lambda x: x.cast("string")
+    every = F.transform(F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))), lambda x, i: F.struct(F.lit(field).alias("field"), text(F.get(steps, i)["value"]).alias("was"), text(x["value"]).alias("to"), x["evidence"].alias("evidence")))
+    return F.filter(every, lambda c: ~c["was"].eqNullSafe(c["to"]))
+
+
 def changed_cells(before: DataFrame, after: DataFrame, on: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """(field, n): cells that differ between two versions, nulls compared."""
     both = before.select(*on, *(F.col(f).alias(f"b_{f}") for f in fields)).join(after.select(*on, *(F.col(f).alias(f"a_{f}") for f in fields)), list(on))

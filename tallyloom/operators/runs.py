@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.penalties import SAME_NUMBER
 from ..functions.rules import normalised
+from . import stats
 
 
 def paired_by_name(runs: DataFrame, run: str, pattern: str = r"^judge_(.+)_on_(.+)$") -> DataFrame:
@@ -18,6 +19,23 @@ def paired_by_name(runs: DataFrame, run: str, pattern: str = r"^judge_(.+)_on_(.
     return fit.withColumn("__n", F.when(n > 1, F.raise_error(F.lit("a judge has two runs on one extraction")).cast("long")).otherwise(n)).filter("__n = 1").drop("__n")
 
 
+def judge_matrix(labels: DataFrame, verdicts: DataFrame, on: Sequence[str], extraction: str = "extraction", run: str = "run", metric: str = "metric", judge: str = "judge", situation: str = "situation", alone: str = "no counterpart") -> DataFrame:
+    """One row a judge and extraction: how often the judge says what the metric says, from the runs to the rates in one plan.
+
+    ``labels`` (extraction, on, metric, situation) of all extractions, ``verdicts`` (run, on, judge) of all judge runs, named
+    ``judge_<judge>_on_<extraction>``; a run of another name or of an unknown extraction is left out.  (judge, extraction,
+    records, agreement, evaluable, agreement_evaluable, agree, disagree, no_counterpart); agree, disagree and no counterpart
+    sum to records.
+    """
+    named = paired_by_name(verdicts.select(F.col(run).alias("__run")).distinct(), "__run")
+    said = verdicts.join(named.select("__run", F.col("judge").alias("__judge"), F.col("extraction").alias("__on")), F.col(run) == F.col("__run")).select("__judge", "__on", *(F.col(c).alias(f"__{c}") for c in on), F.col(judge).alias("__said"))
+    same = F.col(extraction) == F.col("__on")
+    for c in on:
+        same = same & (F.col(c) == F.col(f"__{c}"))
+    met = labels.join(said, same).select(F.col("__judge").alias("judge"), F.col("__on").alias("extraction"), F.col(metric).alias("__metric"), "__said", (F.col(situation) != alone).alias("__evaluable"))
+    return stats.evaluable_agreement(met, F.col("__metric"), F.col("__said"), F.col("__evaluable"), ["judge", "extraction"])
+
+
 def states(planned: DataFrame, extracted: DataFrame, evaluated: DataFrame, key: str) -> DataFrame:
     """``planned`` with ``state``: planned, extracted or evaluated."""
     mark = lambda df, name: df.select(key).distinct().withColumn(name, F.lit(True))

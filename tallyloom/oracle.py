@@ -104,6 +104,13 @@ _MATCHINGS = f"""pairs as materialized (select a.l_orderkey as k, a.index as i,
         union all select s.k, s.r + 1, case when o.j is null then s.used else s.used | (1::bigint << o.j) end, s.m + (o.j is not null)::int, s.cost + coalesce(o.c, 10), s.n from made s join rows t on t.k = s.k and t.r = s.r + 1
             join (select k, i, j, c from pairs union all select distinct k, i, null, null from pairs) o on o.k = s.k and o.i = t.i and (o.j is null or (s.used >> o.j) & 1 = 0))"""
 
+#: Parts as the records of ``queries._named``.
+_SOLVENTS = "['EG', 'ethylene glycol', 'MEG', 'H2O', 'water', 'ethanol', '1-butanol', 'water / ethylene glycol', 'DEG', 'CH3OH', 'MeOH']"
+_NAMED = f"""r as materialized (select p_partkey, case p_partkey % 11 when 0 then p_name || ' hydrate' when 1 then p_name || ' / ' || p_type when 2 then '5 wt% ' || p_name when 3 then 'ZnO ' || p_name when 4 then 'KOH' when 5 then 'Sodium hydroxide ' || p_type when 6 then 'none' when 7 then null else p_name end as name,
+    case when p_partkey % 5 <> 0 then upper(p_name[1:6]) || case when p_partkey % 2 = 0 then '.O' else '' end end as structure, case p_partkey % 3 when 0 then 'LLM written' when 1 then 'confirmed' end as source,
+    case when p_size % 13 < 11 then {_SOLVENTS}[p_size % 13 + 1] when p_size % 13 = 11 then lower(p_type) end as solvent, p_size::double as part, case when p_partkey % 6 <> 0 then p_retailprice else 0 end as whole from part)"""
+_FAMILIES = ("^(water|h2o|distilled water|deionis?zed water|di water)$", "^(eg|ethylene glycol|ethyleneglycol|mono ?ethylene glycol|meg)$", "^(methanol|meoh|ch3oh)$")
+
 SQL = {
     "route_cascade_counts": f"select {PART_CASE} as label, count(*) as n, 'part' as of from part group by 1 union all select case when source = 'src0' then 'main' when regexp_matches(source, '^src1[0-9]$') then 'teens' else 'other' end, count(*), 'document' from documents group by 1",
     "canonical_alias_counts": "select case lower(c_mktsegment) when 'automobile' then 'vehicle' when 'machinery' then 'industry' when 'building' then 'industry' else lower(c_mktsegment) end as name, count(*) as n, count(distinct c_mktsegment) as spellings, count(distinct c_nationkey) as nations from customer group by 1",
@@ -260,15 +267,54 @@ SQL = {
         a as (select conv_id, who, bool_and(coalesce(carried, false)) as carried from c group by all), s as (select d.conv_id, bool_and(a.carried) as every from d join a on a.conv_id = d.conv_id and list_contains(d.deciders, a.who) group by 1)
         select conv_id, not coalesce(every, false) as fresh from d left join s using (conv_id)""",
     "name_kinds": """select case p_partkey % 5 when 0 then 'mixture of two' when 1 then 'code the paper coined' when 2 then 'supported on a carrier' else 'plain chemical name' end as kind, translate(replace(replace(lower(p_type), 'ac', 'oac'), 'ooac', 'oac'), ' []()', '') || 'oac' as substance, count(*) as n from part group by all""",
+    "resolved_names": """with g as (select case p_partkey % 12 when 0 then upper(p_name) || ' dihydrate' when 1 then p_name || ' (99%)' when 2 then p_name || ' / hot ring' when 3 then p_name || ' + steel' when 4 then 'None' when 5 then 'N/A' when 6 then '  ' when 7 then '[' || p_name || ']' when 8 then lower(p_type) || ' zeolite' else p_name end as name,
+            case when p_partkey % 12 in (4, 5, 6) then null when p_partkey % 12 = 8 then lower(p_type) || ' zeolite' else p_name end as bare, p_partkey % 12 as k from part),
+        t as (select distinct p_name, p_name like 'old%' as oxide, case when length(p_name) % 4 <> 0 then upper(replace(p_name, ' ', '-')) end as value, case when length(p_name) % 8 = 0 then 'a material' else 'ambiguous' end as note from part where p_name not like 'blue%'),
+        j as (select g.*, t.value, t.note, t.oxide, h.value as ring from g left join t on bare = t.p_name left join t h on h.p_name = 'hot ring' and not h.oxide),
+        o as (select name, k, case when k = 6 then 'not reported' when k = 4 then 'unmappable: no catalyst was used' when k = 5 then 'unmappable: not reported'
+                when k = 2 then case when not oxide and value is not null and ring is not null then 'mixture' else 'unknown: mixture with an unrecognised component' end when k = 3 then 'unknown: mixture with an unrecognised component'
+                when not oxide and value is null then 'unmappable: ' || note when not oxide then 'lookup' when oxide and value is not null then 'lookup: an oxide' else 'unknown: name not in the lookup' end as origin, value, ring from j),
+        v as (select name, origin, case when origin = 'mixture' then list_aggregate(list_sort([value, ring]), 'string_agg', '.') when origin like 'lookup%' then value end as value, case when k in (4, 5, 6) then 'nothing to map' when k in (3, 8) then 'no structure' else 'not yet mapped' end as mappable from o)
+        select name, value, origin, mappable, case when origin = 'not reported' then 'not reported' when origin like 'unmappable%no catalyst%' then 'no catalyst' when origin like 'unmappable%' then 'not reported' when name like 'small%' then 'confirmed' when value is not null then 'LLM written' when mappable = 'no structure' then 'impossible' else 'unclear' end as tier, count(*) as n from v group by all""",
+    "identity_checks": f"""with {_NAMED}, s as (select distinct solvent from r where solvent is not null), m as (select structure, count(distinct name) as m from r where structure is not null group by 1)
+        select 'hydrate without water' as "check", count_if(regexp_matches(name, '(?i)H2O|hydrate|·\\s*\\d|\\.\\s*\\d\\s*H2O') and not regexp_matches(coalesce(structure, ''), '\\.O\\b|O\\.O')) as n, count_if(regexp_matches(name, '(?i)H2O|hydrate|·\\s*\\d|\\.\\s*\\d\\s*H2O')) as total from r
+        union all select 'several in one cell', count_if(regexp_matches(name, '\\s/\\s|\\s\\+\\s|,\\s|\\sand\\s')), count(*) from r union all select 'loading in the name', count_if(regexp_matches(name, '\\d\\s*(%|wt|mol|M\\b|mM\\b)')), count(*) from r
+        union all select 'unverified structure', count_if(source = 'LLM written'), count(*) from r union all select 'synonyms', count(distinct name) - count(distinct structure), count(distinct name) from r union all select 'structures of several names', count_if(m > 1), count(*) from m
+        union all select 'solvent spellings', {' + '.join(f"count_if(regexp_matches(lower(trim(solvent)), '{p}')) - 1" for p in _FAMILIES)}, count(*) from s""",
+    "inference_checks": f"""with {_NAMED}, f as (select *, case lower(solvent) when 'eg' then 'ethylene glycol' when 'deg' then 'diethylene glycol' when 'h2o' then 'water' when 'meoh' then 'methanol' else lower(solvent) end as full_name from r),
+        t as (select *, coalesce(not regexp_matches(full_name, 'glycol|\\beg\\b|methanol|\\bmeoh\\b|water|aqueous|steam'), true) as other, regexp_matches(lower(solvent), 'glycol|\\beg\\b|diethylene')::int + regexp_matches(lower(solvent), 'methanol|\\bmeoh\\b')::int + regexp_matches(lower(solvent), 'water|aqueous|steam')::int as fired from f)
+        select 'unseen abbreviation' as "check", count_if(solvent in ('DEG', 'H2O', 'PG', 'TEG', 'MEG', 'CH3OH', 'H₂O')) as n, count_if(other) as total from t union all select 'two rules fire', count_if(fired > 1), count(*) from t
+        union all select 'no slot for the route', count_if(coalesce(regexp_matches(solvent, '(?i)^(ethanol|etanol|EtOH|\\d-?(butan|pentan|hexan|octan|propan)ol)'), false) or other and solvent is not null), count(*) from t union all select 'solid among the dissolved', count_if(regexp_matches(name, '(?i)\\bZnO\\b')), count(*) from t""",
+    "reagent_bases": f"""with {_NAMED}, b as (select *, coalesce(regexp_matches(lower(name), '\\bk\\s*oh\\b|sodium hydroxide'), false) as base from r)
+        select count_if(base) as records, count_if(coalesce(name, 'none') <> 'none') as named, (select round(median(part * 100 / whole), 6) from b where base and whole > 0) as median from b""",
+    "answer_key_faults": """with l as (select l_orderkey as paper, l_returnflag || nullif(l_quantity::int % 3, 0) as name, case when l_quantity > 3 then l_quantity * 2.1::double end as y, case when l_tax > 0.01 then l_tax * 1300 - 20 end as c, l_discount - 0.01::double as mass, l_quantity::int % 7 = 0 or l_quantity::int % 3 = 0 as uncited from lineitem), d as (select count(*) as n from (select distinct paper, name, y, c, mass from l))
+        select unnest(['papers', 'distinct names', 'experiments', 'entered twice', 'no outcome at all', 'percentage outside 0-100', 'negative amount', 'citing no source chunk']) as fault,
+            unnest([count(distinct paper), count(distinct name), count(*), count(*) - (select n from d), count_if(y is null and c is null), count_if(y < 0 or y > 100) + count_if(c < 0 or c > 100), count_if(mass < 0) + count_if(c < 0), count_if(uncited)]) as n from l""",
+    "implied_error": """with e as (select abs(l_quantity * 2 - nullif(l_discount, 0.0) * (l_tax * 1000) / 100) as e from lineitem) select count(e) as n, round(avg(e), 6) as mean, round(stddev_samp(e), 6) as std, round(min(e), 6) as min, round(quantile_cont(e, 0.25), 6) as p25, round(median(e), 6) as median, round(quantile_cont(e, 0.75), 6) as p75, round(max(e), 6) as max from e""",
+    "modelable_core": f"with {_NAMED} select count_if(name is not null and structure is not null and solvent is not null) as rows, count(distinct case when name is not null and structure is not null and solvent is not null then nullif(p_partkey % 40, 7) end) as papers, count(*) as total from r",
+    "check_evidence": f"""with {_NAMED}, h as (select 'heavy' as "check", p_partkey, name from r where part > 45 union all select 'base', p_partkey, name from r where regexp_matches(lower(name), '\\bk\\s*oh\\b|sodium hydroxide')), k as (select *, row_number() over (partition by "check" order by p_partkey) as place from h)
+        select "check", place::int as place, case when name is null then '{{"p_partkey":' || p_partkey || '}}' else '{{"p_partkey":' || p_partkey || ',"name":"' || name || '"}}' end as "row" from k where place <= 4""",
+    "empty_paper_reasons": """with d as (select lower(left(text, 400)) as t from documents where doc_id % 3 <> 0)
+        select case when regexp_matches(t, 'enzym|petase|cutinase|hydrolase|esterase|lipase|bacter|microb|biolog|biodegrad|fungal|biocatal|whole-cell|coli') then 'enzymatic or biological' when regexp_matches(t, '\\breview\\b|recent advance|advances in|perspective|outlook|progress in|state of the art') then 'review article'
+            when regexp_matches(t, 'pyrolys|incinerat|combust|gasific|composite|membrane|fib(er|re)|elastomer|resin|coating|adsorb|electrode|microplastic|migration|copolyester|nanocage') then 'other route or material' else 'no extractable data' end as reason, count(*) as n from d group by 1""",
+    "reproduced_scores": "select doc_id % 6 as bucket, doc_id % 6 not in (2, 4) as ok from labels group by all",
+    "judge_matrix": """with l as (select e, o_custkey, o_orderkey, o_orderstatus = 'F' or e = 'y' and o_orderkey % 5 = 0 as m, o_orderkey % 4 <> 0 as v from orders, (values ('x'), ('y')) t(e)),
+        j as (select judge, e, o_custkey, o_orderkey, o_orderpriority < '3' or judge = 'b' as s from orders, (values ('a', 'x'), ('b', 'x'), ('a', 'y'), ('a', 'z')) t(judge, e) where o_orderkey % 7 <> 12 % 7)
+        select judge, e as extraction, count(*) as records, round(count_if(m = s) / count(*), 6) as agreement, count_if(v) as evaluable, round(count_if(v and m = s) / count_if(v), 6) as agreement_evaluable, count_if(v and m = s) as agree, count_if(v and m <> s) as disagree, count_if(not v) as no_counterpart from l join j using (e, o_custkey, o_orderkey) group by all""",
+    "verdict_changelog": """with e as (select event_id, event_type, value, try_cast(json_extract_string(props, '$.k') as double) as k, event_id % 7 <> 0 as ok, event_id % 11 = 0 as gone, coalesce(case when event_id % 5 <> 0 then event_type end, '') as critique, case when event_id % 2 = 0 then value end as back from events),
+        f as (select * from e where event_id % 3 = 0 and ok and not gone)
+        select event_id, 'dropped' as action, critique, null as field, null as evidence, null as "to" from e where event_id % 3 <> 1 and ok and gone
+        union all select event_id, 'repaired', critique, 'value', 'table', round(k, 6) from f where value is distinct from k union all select event_id, 'repaired', critique, 'value', 'figure', round(back, 6) from f where k is distinct from back
+        union all select event_id, 'repaired', critique, 'event_type', 'text', null from f where event_type <> 'fixed'
+        union all select event_id, 'kept', case when ok then 'fixed' else event_type end, null, null, round(case when ok then back else value end, 6) from e where event_id % 3 = 0 and not (ok and gone)""",
     "even_rolling_median": 'select event_id, round(case when count(value) over w >= 10 then quantile_cont(value, 0.5) over w end, 6) as rolling_median from events window w as (partition by event_type order by ts, event_id rows between 10 preceding and 9 following)',
     "coerced_numbers": "select p_partkey, case p_partkey % 5 when 0 then p_size::DOUBLE when 1 then cast(p_size || 'e-05' as DOUBLE) when 2 then -(p_size + 0.5::DOUBLE) when 3 then null else p_size::DOUBLE end as value, case p_partkey % 5 when 0 then p_size || ' c' when 1 then p_size || 'e-05' when 2 then p_size || '.5 g' when 3 then 'none' else p_size::VARCHAR end as name from part",
     "field_agreement": "select 'q' as field, count(*) as n, round(avg((abs(l_quantity - (l_quantity + (l_suppkey % 3) * 0.004::DOUBLE)) <= 0.01)::INT), 6) as agree from lineitem union all select 'f', count(*), round(avg((l_linestatus = 'O')::INT), 6) from lineitem where l_partkey % 7 <> 0",
     "condition_points": 'select p_size - 25 as x, count(*) as n, round(avg(log10(y)), 6) as y from (select p_size, p_retailprice - p_partkey % 3 * 1000 as y from part) where y > 0 group by p_size',
     "runner_up": "with a as (select o_orderpriority as arm, avg(o_totalprice) as m, min(o_totalprice) as lo, max(o_totalprice) as hi from orders where o_orderstatus = 'F' group by 1), t as (select *, row_number() over (order by m desc, arm) as p from a) select max(case when p = 1 then arm end) as best, max(case when p = 2 then arm end) as second, round(least(max(case when p = 1 then lo end), max(case when p = 2 then hi end)), 6) as meet from t where p <= 2",
-    "resolved_names": "with v(i, value, origin, mappable, tier) as (values (0, 'CC(=O)[O-].[Zn+2]', 'lookup', 'not yet mapped', 'LLM written'), (1, 'Cl[Zn]Cl', 'lookup', 'not yet mapped', 'confirmed'), (2, 'Cl[Zn]Cl.[Na+].[OH-]', 'mixture', 'not yet mapped', 'LLM written'), (3, '[Mg+2].[O-2]', 'lookup: an oxide', 'not yet mapped', 'LLM written'), (4, null, 'unmappable: a material', 'no structure', 'impossible'), (5, null, 'unknown', 'not yet mapped', 'unclear'), (6, null, 'unknown', 'no structure', 'impossible'), (7, null, 'not reported', 'nothing to map', 'not reported')) select p_partkey, value, origin, mappable, tier from part join v on p_partkey % 8 = i",
     "phase_cascade": "select label, reason, decided_by, count(*) as n from (select unnest(case when p_size = 1 then {'label': 'uncatalysed', 'reason': 'none reported', 'decided_by': 'tier'} when p_name in ('red bolt', 'blue ring') then {'label': 'heterogeneous', 'reason': 'decided by hand', 'decided_by': 'curated'} when regexp_matches(p_name, 'bolt|nut') then {'label': 'heterogeneous', 'reason': 'a solid', 'decided_by': 'solid'} when p_name like '%ring%' then {'label': 'homogeneous', 'reason': 'dissolves', 'decided_by': 'soluble'} else {'label': 'unknown', 'reason': 'no rule matched', 'decided_by': 'none'} end) from part) group by 1, 2, 3",
     "release_build": "select p_partkey, case when regexp_matches(p_brand, '[13]$') then 'homogeneous' else 'uncatalysed' end as phase, case when p_partkey % 4 <> 0 then p_name end as p_name, case when p_partkey % 9 <> 0 then round(p_size / p_retailprice, 4) end as loading, p_partkey % 4 <> 0 as single_component, case when length(p_type) % 2 <> 0 then 'molar' end as basis from part where regexp_matches(p_brand, '[135]$')",
-    "mechanical_checks": "with l as (select l_partkey, l_suppkey, case when l_quantity < 48 then l_quantity * 2.2::DOUBLE end as y, case when l_tax > 0.01 then l_tax * 1300 end as c, l_discount as part, l_quantity - 1 as whole, l_extendedprice / 200 as heat from lineitem) select 'no outcome' as check, count(*) filter (y is null and c is null) as n, count(*) as total from l union all select 'incomplete', count(*) filter (y is null or heat is null), count(*) from l union all select 'above 100%', count(*) filter (y > 100 or c > 100), count(*) from l union all select 'yield above conversion', count(*) filter (y > c + 1), count(*) filter (y is not null and c is not null) from l union all select 'absurd amounts', count(*) filter (y > 105 or part > 0.095), count(*) from l union all select 'part outweighs whole', count(*) filter (whole > 0 and part / whole > 1), count(*) filter (whole > 0 and part is not null) from l union all select 'too hot', count(*) filter (heat > 350), count(heat) from l union all select 'repeated', count(*) - (select count(*) from (select distinct l_partkey, l_suppkey from l)), count(*) from l",
+    "mechanical_checks": "with l as (select l_partkey, l_suppkey, case when l_quantity < 48 then l_quantity * 2.2::DOUBLE end as y, case when l_tax > 0.01 then l_tax * 1300 end as c, l_discount as part, l_quantity - 1 as whole, l_extendedprice / 200 as heat, nullif((l_quantity - 5) * 250, 2500) as time from lineitem) select 'no time or over a week' as check, count(*) filter (time <= 0 or time > 10080) as n, count(time) as total from l union all select 'no outcome', count(*) filter (y is null and c is null), count(*) from l union all select 'incomplete', count(*) filter (y is null or heat is null), count(*) from l union all select 'above 100%', count(*) filter (y > 100 or c > 100), count(*) from l union all select 'yield above conversion', count(*) filter (y > c + 1), count(*) filter (y is not null and c is not null) from l union all select 'absurd amounts', count(*) filter (y > 105 or part > 0.095), count(*) from l union all select 'part outweighs whole', count(*) filter (whole > 0 and part / whole > 1), count(*) filter (whole > 0 and part is not null) from l union all select 'too hot', count(*) filter (heat > 350), count(heat) from l union all select 'repeated', count(*) - (select count(*) from (select distinct l_partkey, l_suppkey from l)), count(*) from l",
     "screen_reasons": "select coalesce(reason is null, true) as keep, coalesce(reason, 'keep') as reason, count(*) as n from (select case when coalesce(length(text), 0) = 0 then 'no text' when n_chars < 300 then 'short' when lang <> 'en' then 'other language' end as reason from documents) group by 1, 2",
     "evaluable_agreement": """with l as (select doc_id % 4 as bucket, coalesce((quality = 1) = (toxic = 0), false) as s, doc_id % 3 <> 0 as e from labels)
         select bucket, count(*) as records, count_if(e) as evaluable, count_if(s and e) as agree, round(count_if(s) / count(*), 6) as agreement, round(count_if(s and e) / nullif(count_if(e), 0), 6) as agreement_evaluable,

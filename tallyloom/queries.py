@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import ids, penalties, rules, special
 from .operators import aggregates as A
-from .operators import density, match, names, overlap, quality, review, runs, scan, stats
+from .operators import checks, density, match, names, overlap, quality, review, runs, scan, stats
 from .oracle import SQL
 from .sources import markup, text
 
@@ -210,6 +210,18 @@ def fixes_changelog(spark, d):
     return A.counted(_fixed(spark, d)[1], "field")
 
 
+def verdict_changelog(spark, d):
+    """What a judge's verdicts on events drop and repair, change by change."""
+    e = _t(spark, d, "events", "event_id", "event_type", "value", "props")
+    fix = lambda field, value, why: F.struct(F.lit(field).alias("field"), value.alias("value"), F.lit(why).alias("evidence"))
+    fixes = F.array(fix("VALUE ", F.concat(F.get_json_object("props", "$.k"), F.lit(" C")), "table"), fix("kind", F.lit("fixed"), "text"), fix("colour", F.lit("red"), "none"), fix("value", F.when(F.col("event_id") % 2 == 0, F.col("value").cast("string")), "figure"))
+    verdicts = e.filter("event_id % 3 <> 1").select("event_id", (F.col("event_id") % 7 != 0).alias("parsed_ok"), (F.col("event_id") % 11 == 0).alias("drop_record"), F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("critique"), F.when(F.col("event_id") % 3 == 0, fixes).alias("fixes"))
+    kept, log = review.applied_verdicts(e.drop("props"), verdicts, ["event_id"], {"value": "double", "event_type": "string"}, ["value"], {"kind": "event_type"})
+    said = log.select("event_id", "action", "critique", F.explode_outer("changes").alias("c")).select("event_id", "action", "critique", "c.field", "c.evidence", F.when(F.col("c.field") == "value", F.round(F.col("c.to").cast("double"), 6)).alias("to"))
+    left = kept.filter("event_id % 3 = 0").select("event_id", F.lit("kept").alias("action"), F.col("event_type").alias("critique"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("evidence"), F.round("value", 6).alias("to"))
+    return said.unionByName(left)
+
+
 def first_active_answer(spark, d):
     c = _t(spark, d, "conversations", "conv_id", "turn", "role", "text").select("conv_id", F.col("role").alias("who"), F.when(F.length("text") > 200, "long").otherwise("short").alias("answer"), (F.col("turn") < 2).alias("active"))
     return review.settled_answers(c, ["conv_id"], "who", "answer", "active").withColumn("deciders", F.array_join("deciders", ","))
@@ -372,19 +384,97 @@ def runner_up(spark, d):
     return out.withColumn("meet", F.round("meet", 6))
 
 
-CURATED_NAMES = (("catalyst", "zinc acetate", "CC(=O)[O-].[Zn+2]", None), ("catalyst", "ZnCl2", "Cl[Zn]Cl", None), ("catalyst", "NaOH", "[Na+].[OH-]", None), ("oxide", "MgO", "[Mg+2].[O-2]", None), ("catalyst", "zeolite", None, "a material"), ("solvent", "water", "O", None))
-GIVEN_NAMES = ("Zinc acetate dihydrate", "[ZnCl2]", "ZnCl2/NaOH", "MgO", "zeolite (dry)", "ZnCl2/water", "steel", " ")
+def _spellings(spark, d):
+    """Part names as papers spell them, and a table of structures made of the names that occur."""
+    p, k = _t(spark, d, "part", "p_partkey", "p_name", "p_type"), F.col("p_partkey") % 12
+    name = (
+        F.when(k == 0, F.concat(F.upper("p_name"), F.lit(" dihydrate"))).when(k == 1, F.concat("p_name", F.lit(" (99%)"))).when(k == 2, F.concat("p_name", F.lit(" / hot ring"))).when(k == 3, F.concat("p_name", F.lit(" + steel")))
+        .when(k == 4, F.lit("None")).when(k == 5, F.lit("N/A")).when(k == 6, F.lit("  ")).when(k == 7, F.concat(F.lit("["), "p_name", F.lit("]"))).when(k == 8, F.concat(F.lower("p_type"), F.lit(" zeolite"))).otherwise(F.col("p_name"))
+    )
+    names_ = p.select("p_name").distinct()
+    known = F.when(F.length("p_name") % 4 != 0, F.upper(F.replace("p_name", F.lit(" "), F.lit("-"))))
+    table = names_.filter("p_name not like 'blue%'").select(F.when(F.col("p_name").like("old%"), "oxide").otherwise("catalyst").alias("kind"), F.col("p_name").alias("name"), known.alias("value"), F.when(F.length("p_name") % 8 == 0, "a material").alias("note"))
+    return p.select("p_partkey", name.alias("name")), table
 
 
 def resolved_names(spark, d):
-    """Made-up spellings, one for each part, resolved against a small curated table."""
-    table = spark.createDataFrame(CURATED_NAMES, "kind string, name string, value string, note string")
-    given = F.element_at(F.array(*map(F.lit, GIVEN_NAMES)), (F.col("p_partkey") % 8 + 1).cast("int"))
-    parts = _t(spark, d, "part", "p_partkey").select("p_partkey", given.alias("name"))
-    out = names.resolved(parts, "name", F.lit("catalyst"), table, "/", ("catalyst", "oxide", "lookup: an oxide"))
-    mappable = names.mappability(F.col("name"), ["none"], "(?i)zeolite|steel")
-    derived = F.when(F.col("name") == "[ZnCl2]", "Cl[Zn]Cl")
-    return out.select("p_partkey", "value", "origin", mappable.alias("mappable"), names.tier(F.col("origin"), F.col("value"), derived, mappable).alias("tier"))
+    """Structures, where they come from and how well they are supported, counted by spelling."""
+    given, table = _spellings(spark, d)
+    out = names.resolved(given, "name", F.lit("catalyst"), table, fallback=("catalyst", "oxide", "lookup: an oxide"))
+    mappable = names.mappability(F.col("name"), list(names.NOTHING), "(?i)zeolite|steel")
+    derived = F.when(F.col("name").like("small%"), "DERIVED")
+    return A.counted(out.select("name", "value", "origin", mappable.alias("mappable"), names.tier(F.col("origin"), F.col("value"), derived, mappable).alias("tier")), "name", "value", "origin", "mappable", "tier")
+
+
+def _named(spark, d):
+    """Parts as records: a catalyst's name, its structure and where that comes from, and a solvent."""
+    p, k = _t(spark, d, "part", "p_partkey", "p_name", "p_type", "p_size", "p_retailprice"), F.col("p_partkey") % 11
+    name = F.when(k == 0, F.concat("p_name", F.lit(" hydrate"))).when(k == 1, F.concat("p_name", F.lit(" / "), "p_type")).when(k == 2, F.concat(F.lit("5 wt% "), "p_name")).when(k == 3, F.concat(F.lit("ZnO "), "p_name")).when(k == 4, "KOH").when(k == 5, F.concat(F.lit("Sodium hydroxide "), "p_type")).when(k == 6, "none").when(k != 7, F.col("p_name"))
+    solvents = ("EG", "ethylene glycol", "MEG", "H2O", "water", "ethanol", "1-butanol", "water / ethylene glycol", "DEG", "CH3OH", "MeOH")
+    solvent = F.when(F.col("p_size") % 13 < 11, F.element_at(F.array(*map(F.lit, solvents)), (F.col("p_size") % 13 + 1).cast("int"))).when(F.col("p_size") % 13 == 11, F.lower("p_type"))
+    structure = F.when(F.col("p_partkey") % 5 != 0, F.concat(F.upper(F.substring("p_name", 1, 6)), F.when(F.col("p_partkey") % 2 == 0, ".O").otherwise("")))
+    return p.select("p_partkey", name.alias("name"), structure.alias("structure"), F.when(F.col("p_partkey") % 3 == 0, "LLM written").when(F.col("p_partkey") % 3 == 1, "confirmed").alias("source"), solvent.alias("solvent"), F.col("p_size").cast("double").alias("part"), F.when(F.col("p_partkey") % 6 != 0, F.col("p_retailprice")).otherwise(0.0).alias("whole"))
+
+
+def identity_checks(spark, d):
+    return checks.identity(_named(spark, d), "name", "structure", "solvent", "source")
+
+
+def inference_checks(spark, d):
+    df = _named(spark, d)
+    return checks.inference(df, "name", "solvent", rules.route_of(F.col("solvent")))
+
+
+def reagent_bases(spark, d):
+    return checks.reagent_bases(_named(spark, d), "name", "part", "whole").withColumn("median", F.round("median", 6))
+
+
+def answer_key_faults(spark, d):
+    li = _t(spark, d, "lineitem", "l_orderkey", "l_returnflag", "l_quantity", "l_discount", "l_tax").select(
+        F.col("l_orderkey").alias("paper"), F.concat("l_returnflag", F.nullif(F.col("l_quantity") % 3, F.lit(0.0)).cast("int").cast("string")).alias("name"), F.when(F.col("l_quantity") > 3, F.col("l_quantity") * 2.1).alias("yield"),
+        F.when(F.col("l_tax") > 0.01, F.col("l_tax") * 1300 - 20).alias("conversion"), (F.col("l_discount") - 0.01).alias("mass"), F.when(F.col("l_quantity") % 7 != 0, F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), (F.col("l_quantity") % 3).cast("int"))).alias("cited"),
+    )
+    return checks.key_faults(li, "paper", "name", ["name", "yield", "conversion", "mass"], ["yield", "conversion"], ["mass", "conversion"], "cited")
+
+
+def implied_error(spark, d):
+    li = _t(spark, d, "lineitem", "l_quantity", "l_discount", "l_tax").select((F.col("l_quantity") * 2).alias("y"), F.nullif(F.col("l_discount"), F.lit(0.0)).alias("c"), (F.col("l_tax") * 1000).alias("s"))
+    out = checks.implied_error(li, "y", "c", "s")
+    return out.select("n", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
+
+
+def modelable_core(spark, d):
+    df = _named(spark, d)
+    return checks.modelable(df.withColumn("paper", F.nullif(F.col("p_partkey") % 40, F.lit(7))), ["name", "structure", "solvent"], "paper")
+
+
+def check_evidence(spark, d):
+    df = _named(spark, d)
+    return checks.evidence(df, {"heavy": F.col("part") > 45, "base": F.lower("name").rlike(checks.ALKALI_BASE)}, ["p_partkey"], ["p_partkey", "name"], 4)
+
+
+def empty_paper_reasons(spark, d):
+    docs = _t(spark, d, "documents", "doc_id", "text")
+    return checks.empty_reasons(docs, F.substring("text", 1, 400), F.when(F.col("doc_id") % 3 == 0, 1))
+
+
+def reproduced_scores(spark, d):
+    """Scores by bucket, recomputed and as published; one was published wrong and one not at all."""
+    rows = _t(spark, d, "labels").withColumn("bucket", F.col("doc_id") % 6)
+    scores = stats.weighted_scores(rows, F.col("quality") == 1, F.col("toxic") == 0, F.lit(1.0), ["bucket"]).select("bucket", "precision", "recall", "f1")
+    counts = rows.groupBy("bucket").agg(F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("tp"), F.count_if(F.col("quality") == 1).alias("said"), F.count_if(F.col("toxic") == 0).alias("true"))
+    published = counts.select("bucket", (F.col("tp") / F.col("said")).alias("precision"), (F.col("tp") / F.col("true") + F.when(F.col("bucket") == 2, 1e-6).otherwise(0.0)).alias("recall"), (2 * F.col("tp") / (F.col("said") + F.col("true"))).alias("f1")).filter("bucket <> 4")
+    return checks.reproduced(scores, published, ["bucket"], ["precision", "recall", "f1"]).select("bucket", "ok")
+
+
+def judge_matrix(spark, d):
+    """Two judges on three extractions of the orders, of which one run has another name."""
+    o = _t(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
+    labels = o.withColumn("extraction", F.explode(F.array(F.lit("x"), F.lit("y")))).select("extraction", "o_custkey", "o_orderkey", F.when((F.col("o_orderstatus") == "F") | (F.col("extraction") == "y") & (F.col("o_orderkey") % 5 == 0), "correct").otherwise("incorrect").alias("metric"), F.when(F.col("o_orderkey") % 4 == 0, "no counterpart").otherwise("accepted").alias("situation"))
+    verdicts = o.withColumn("run", F.explode(F.array(*map(F.lit, ("judge_a_on_x", "judge_b_on_x", "judge_a_on_y", "judge_a_on_z", "warm up"))))).filter(F.col("o_orderkey") % 7 != F.length("run") % 7)
+    verdicts = verdicts.select("run", "o_custkey", "o_orderkey", F.when((F.col("o_orderpriority") < F.lit("3")) | F.col("run").contains("_b_"), "correct").otherwise("incorrect").alias("judge"))
+    out = runs.judge_matrix(labels, verdicts, ["o_custkey", "o_orderkey"])
+    return out.withColumns({c: F.round(c, 6) for c in ("agreement", "agreement_evaluable")})
 
 
 def phase_cascade(spark, d):
@@ -408,9 +498,9 @@ def release_build(spark, d):
 def mechanical_checks(spark, d):
     li = _t(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice").select(
         "l_partkey", "l_suppkey", F.when(F.col("l_quantity") < 48, F.col("l_quantity") * 2.2).alias("yield"), F.when(F.col("l_tax") > 0.01, F.col("l_tax") * 1300).alias("conversion"),
-        F.col("l_discount").alias("part"), (F.col("l_quantity") - 1).alias("whole"), (F.col("l_extendedprice") / 200).alias("heat"),
+        F.col("l_discount").alias("part"), (F.col("l_quantity") - 1).alias("whole"), (F.col("l_extendedprice") / 200).alias("heat"), F.nullif((F.col("l_quantity") - 5) * 250, F.lit(2500.0)).alias("time"),
     )
-    return quality.mechanical(li, ["l_partkey", "l_suppkey"], ["yield", "conversion"], ["yield", "heat"], {"yield": 105.0, "part": 0.095}, "part", "whole", "heat")
+    return quality.mechanical(li, ["l_partkey", "l_suppkey"], ["yield", "conversion"], ["yield", "heat"], {"yield": 105.0, "part": 0.095}, "part", "whole", "heat", "time")
 
 
 def screen_reasons(spark, d):
@@ -598,11 +688,12 @@ QUERIES = (
     fill_rate_by_group, within_group_spearman, pooled_vs_within, numeric_penalty_bands, tolerance_band_join, semi_anti_resume, key_overlap, agreement_kappa,
     weighted_prf, verdict_partition, explode_counter, pareto_frontier, threshold_sweep, largest_remainder, top_k_other, binned_share_within_group,
     left_closed_bins, crosstab_pivot, hash_stratified_sample, fingerprint_sample_id, chunk_sentences, chunk_ids, citation_resolution, apply_fixes_overlay,
-    fixes_changelog, first_active_answer, modal_label_group, topk_concentration, rolling_median, funnel, pairwise_votes, reconciled_counts,
+    fixes_changelog, verdict_changelog, first_active_answer, modal_label_group, topk_concentration, rolling_median, funnel, pairwise_votes, reconciled_counts,
     noise_between_groups, release_digest, verified_decisions, grown_policies, rescued_rows, parity_by_field, constraint_recall, run_states,
     bootstrap_shift, even_rolling_median, coerced_numbers, field_agreement, condition_points, runner_up, resolved_names, phase_cascade, release_build, mechanical_checks,
     screen_reasons, thin_records, clipped_histogram, log_histogram, grouped_percentiles, running_totals, frontier_arms, arm_tests, arm_anova, grouped_signed_rank,
-    proportion_intervals, answers_apart, grader_table, exact_tests, gap_reasons, sparse_assignment, paired_rest, equal_shares, density_plane, density_curve, eligible_records, decided_fresh, name_kinds, evaluable_agreement, annotator_overlap, reach_by_kind, pass_rates_by_kind, case_tolerant_keys,
+    proportion_intervals, answers_apart, grader_table, exact_tests, gap_reasons, sparse_assignment, paired_rest, equal_shares, density_plane, density_curve, identity_checks, inference_checks, reagent_bases, answer_key_faults, implied_error, modelable_core, check_evidence, empty_paper_reasons, reproduced_scores, judge_matrix,
+    eligible_records, decided_fresh, name_kinds, evaluable_agreement, annotator_overlap, reach_by_kind, pass_rates_by_kind, case_tolerant_keys,
 )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Field names as the files have them, here and below.
 TEXT_FIELDS = ("catalyst", "solvent")
 NUMBER_FIELDS = ("temperature_c", "reaction_time_min", "catalyst_amount_g", "PET_amount_g", "solvent_amount_g", "yield_percent", "selectivity_percent", "conversion_percent", "pressure_atm")
 #: The fields that are scored; the pressure is not.
@@ -33,3 +34,6 @@ RUN = _of(seed=_I, model=_S, git_commit=_S, started_at=_S, finished_at=_S, n_pap
 CANDIDATES = _of(doi=_S, keep=_S, reason=_S, title=_S, journal=_S, queries=_S, abstract=_S)
 LOOKUP = _of(kind=_S, name=_S, smiles=_S, note=_S)
 DECISIONS = _of(generated=_S, sample=_of(records=_I), decisions=T.ArrayType(_of(doi=_S, extracted_index=_I, human=_S, stratum=_S, carried_over=_B, note=_S)))
+FORMATS = _of(doi=_S, format=_S)
+ACCESS = _of(doi=_S, is_oa=_S)
+BASIS = _of(doi=_S, yield_basis=_S)
