@@ -9,8 +9,10 @@ The minimum cut is the labelling of least total cost; blocks on the source side
 
 Class and id words inform and do not veto: a container that holds the page's heading, its article, or nearly all its
 text is not boilerplate whatever it is called; a form, an aside or a footer is judged in the same way.  A short heading
-such as "3 comments" makes the rest of its parent reader comments.  There are no labelled pages to fit weights on, so
-they are set by hand (``WEIGHTS``).  Every step is linear in the length of the page, however deep its tags are nested.
+such as "3 comments" makes the rest of its parent reader comments.  Where articles hold most of the page, the rest counts as
+outside; a short text that reads like a notice on cookies or rights is one outside of them; a table's cells are neither, so their
+neighbours decide.  There are no labelled pages to fit weights on, so they are set by hand (``WEIGHTS``).  Every step is
+linear in the length of the page, however deep its tags are nested and however many blocks it has (see ``minimum_cut``).
 
 Defined results: null or empty html, and pages without content, give empty text; markup may be malformed (a
 paragraph ends where the next begins, an end tag closes what is open inside it, unknown end tags are ignored, a slash
@@ -56,11 +58,17 @@ COMMENT_HEADINGS = frozenset(("comment", "comments", "reader comments", "leave a
 LANDMARKS = {"article": 1.5, "main": 1.5, "nav": -3.0, "menu": -3.0, "aside": -2.5, "footer": -2.5, "dialog": -2.5, "header": -2.0}
 BOXES = {"form": -3.0, "fieldset": -1.5}
 #: Weights of the classifier: positive for content.
-WEIGHTS = {"bias": -0.6, "boiler_word": -3.0, "comments": -3.0, "content_word": 0.8, "words": 0.04, "most_words": 40, "sentence": 0.5, "linked": -2.5, "p": 0.4, "h1": 0.8, "heading": 0.2, "item": -0.2}
+WEIGHTS = {"bias": -0.6, "boiler_word": -3.0, "comments": -3.0, "content_word": 0.8, "words": 0.04, "most_words": 40, "sentence": 0.5, "linked": -2.5, "p": 0.4, "h1": 0.8, "heading": 0.2, "item": -0.2, "cell": 0.5, "notice": -3.0, "notice_length": 300, "outside": -1.5}
+#: What notices about cookies and rights say, in the languages of the word lists.
+NOTICE = re.compile(
+    r"\b(?:uses?|accept|allow|reject|manage)\s+(?:(?:all|the|our|necessary|optional|third.party)\s+)?cookies\b|\bcookie\s+(?:policy|settings|preferences|notice|consent)\b|\bcookies\s+(?:to improve|to ensure|on this (?:web)?site)\b|"
+    r"^\W*(?:©|\(c\)\s*(?:19|20)\d\d|copyright\b)|\ball rights reserved\b|\b(?:verwenden|nutzt|benutzt)\s+cookies\b|\balle rechte vorbehalten\b|\butilis(?:e|ons)\s+des cookies\b|\btous droits réservés\b|\butiliza(?:mos)?\s+cookies\b|\btodos los derechos reservados\b", re.I)
+#: Share of a page's text in article and main elements from which the rest of the page is outside of its text.
+INSIDE = 0.5
 ADJACENT, SIBLINGS, BORDER = 1.2, 0.6, 0.25
 #: Share of a page's text beyond which a container is the page.
 WHOLE = 0.8
-HARD = 1e9
+HARD, EVEN = 1e9, 1e-9
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!?\?[^>]*>|<![^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -86,6 +94,7 @@ class Node:
     land: float = 0.0
     box: float = 0.0
     good: float = 0.0
+    inside: bool = True  # in the page's article, if it has one
 
 
 @dataclass
@@ -211,6 +220,17 @@ def _judge(nodes: list[Node], blocks: list[Block]) -> None:
             n.parent.titled |= n.titled
             n.parent.main |= n.main
     whole = nodes[0].size
+    held, found = 0, set()
+    for n in nodes[1:]:  # parents come first
+        if n.tag in ("article", "main") and not n.boiler and not n.comments:
+            if id(n.parent) not in found:
+                held += n.size
+            found.add(id(n))
+        elif id(n.parent) in found:
+            found.add(id(n))
+    apart = held >= INSIDE * whole > 0
+    for n in nodes:
+        n.inside = not apart or id(n) in found
     for n in nodes[1:]:
         up, page = n.parent, n.size > WHOLE * whole
         n.land, n.box, n.good = up.land, up.box, max(up.good, WEIGHTS["content_word"] * n.content)
@@ -234,7 +254,8 @@ def score(block: Block) -> float:
         return -HARD
     value = w["bias"] + n.land + n.box + n.good
     value += w["words"] * min(text.count(" ") + 1, w["most_words"]) + w["linked"] * min(1.0, block.linked / len(text)) + w["sentence"] * (text[-1] in ".!?…:;")
-    return value + (w[n.kind] if n.kind in ("p", "h1") else w["heading"] if n.kind in HEADINGS else w["item"] if n.kind else 0.0)
+    value += w["notice"] * (n.land <= 0 and len(text) <= w["notice_length"] and bool(NOTICE.search(text))) + w["outside"] * (not n.inside)
+    return value + (w[n.kind] if n.kind in ("p", "h1") else w["heading"] if n.kind in HEADINGS else w["cell"] if n.kind in ("td", "th") else w["item"] if n.kind else 0.0)
 
 
 def proximity(a: Node, b: Node) -> float:
@@ -263,62 +284,101 @@ def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
 
 
 def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Labels (True: source side) of least cost: scores of the wrong sign and edges between labels.
+    """Labels (True: source side) of least cost: scores of the wrong sign and edges between labels; of several minimal cuts
+    the one with the fewest nodes on the source side.
 
-    A node whose own score outweighs all its edges keeps its sign in every minimum cut; such nodes are settled
-    first and their edges become scores of their neighbours.  Max-flow by shortest augmenting paths does the rest.
+    Blocks hang together as a chain with one more edge to an earlier sibling, so nearly all have at most two open neighbours.
+    Such a node is eliminated exactly: its best cost for each labelling of its neighbours becomes a score or an edge of
+    theirs, and its label follows from theirs in the end.  Every elimination takes constant time.  Costs stay submodular, so
+    what is left over, where blocks cross in more ways, is solved by max-flow.
     """
     n = len(scores)
-    scores, near = list(scores), [[] for _ in range(n)]
+    off, on = [max(s, 0.0) for s in scores], [max(-s, 0.0) for s in scores]  # costs of the labels False and True
+    near: list[dict[int, tuple[float, float, float, float]]] = [{} for _ in range(n)]  # costs of (own, other) label pairs
+
+    def tie(a: int, b: int, t: tuple[float, float, float, float]) -> None:
+        u = near[a].get(b, (0.0, 0.0, 0.0, 0.0))
+        t = (u[0] + t[0], u[1] + t[1], u[2] + t[2], u[3] + t[3])
+        near[a][b], near[b][a] = t, (t[0], t[2], t[1], t[3])
+
     for a, b, w in edges:
-        if w > 0:
-            near[a].append((b, w))
-            near[b].append((a, w))
-    slack = [sum(w for _, w in x) for x in near]
-    label: list[bool | None] = [None] * n
-    queue = deque(range(n))
+        if w > 0 and a != b:
+            tie(a, b, (0.0, w, w, 0.0))
+    gone, order = [False] * n, []
+    queue = deque(i for i in range(n) if len(near[i]) <= 2)
     while queue:
         i = queue.popleft()
-        if label[i] is None and (abs(scores[i]) > slack[i] or not near[i]):
-            label[i] = scores[i] > 0
-            for j, w in near[i]:
-                if label[j] is None:
-                    scores[j] += w if label[i] else -w
-                    slack[j] -= w
-                    queue.append(j)
-    open_nodes = [i for i in range(n) if label[i] is None]
-    if not open_nodes:
-        return [bool(x) for x in label]
-    source, sink = n, n + 1
-    room: dict[int, dict[int, float]] = {i: {} for i in (*open_nodes, source, sink)}
-    for i in open_nodes:
-        a, b = (source, i) if scores[i] > 0 else (i, sink)
-        room[a][b] = abs(scores[i])
-        room[b].setdefault(a, 0.0)
-        for j, w in near[i]:
-            if label[j] is None:
-                room[i][j] = room[i].get(j, 0.0) + w
+        if gone[i] or len(near[i]) > 2:
+            continue
+        gone[i] = True
+        ties = list(near[i].items())
+        order.append((i, off[i], on[i], ties))
+        for j, _ in ties:
+            del near[j][i]
+        if len(ties) == 1:
+            j, t = ties[0]
+            off[j] += min(off[i] + t[0], on[i] + t[2])
+            on[j] += min(off[i] + t[1], on[i] + t[3])
+        elif ties:
+            (j, t), (k, u) = ties
+            tie(j, k, tuple(min(off[i] + t[x] + u[y], on[i] + t[2 + x] + u[2 + y]) for x in (0, 1) for y in (0, 1)))
+        queue.extend(j for j, _ in ties if len(near[j]) <= 2)
+    label = [False] * n
+    core = [i for i in range(n) if not gone[i]]
+    if core:
+        for i in _flow(core, off, on, near):
+            label[i] = True
+    for i, without, with_, ties in reversed(order):
+        for j, t in ties:
+            without += t[label[j]]
+            with_ += t[2 + label[j]]
+        label[i] = with_ < without - EVEN
+    return label
+
+
+def _flow(core: list[int], off: list[float], on: list[float], near: list[dict]) -> set[int]:
+    """The nodes on the source side of the smallest minimum cut, by blocking flows."""
+    source, sink = -1, -2
+    room: dict[int, dict[int, float]] = {i: {} for i in (*core, source, sink)}
+    gain = {i: off[i] - on[i] for i in core}  # what the label True saves
+    for i in core:
+        for j, (a, b, c, d) in near[i].items():
+            if i < j:  # a + (c - a) x + (d - c) y + (b + c - a - d) (1 - x) y
+                gain[i] -= c - a
+                gain[j] -= d - c
+                room[j][i], room[i][j] = room[j].get(i, 0.0) + b + c - a - d, room[i].get(j, 0.0)
+    for i, g in gain.items():
+        a, b = (source, i) if g > 0 else (i, sink)
+        room[a][b], room[b][a] = abs(g), 0.0
     while True:
-        came, queue = {source: source}, deque([source])
-        while queue and sink not in came:
+        level, queue = {source: 0}, deque([source])
+        while queue:
             a = queue.popleft()
             for b, c in room[a].items():
-                if c > 1e-9 and b not in came:
-                    came[b] = a
+                if c > EVEN and b not in level:
+                    level[b] = level[a] + 1
                     queue.append(b)
-        if sink not in came:
-            break
-        path, b = [], sink
-        while b != source:
-            path.append((came[b], b))
-            b = came[b]
-        flow = min(room[a][b] for a, b in path)
-        for a, b in path:
-            room[a][b] -= flow
-            room[b][a] = room[b].get(a, 0.0) + flow
-    for i in open_nodes:
-        label[i] = i in came
-    return [bool(x) for x in label]
+        if sink not in level:
+            return set(level) - {source}
+        turns = {a: list(room[a]) for a in level}
+        path = [source]
+        while path:
+            a = path[-1]
+            if a == sink:
+                flow = min(room[x][y] for x, y in zip(path, path[1:]))
+                for x, y in zip(path, path[1:]):
+                    room[x][y] -= flow
+                    room[y][x] += flow
+                path = path[: next(k for k in range(1, len(path)) if room[path[k - 1]][path[k]] <= EVEN)]
+                continue
+            while turns[a] and not (room[a][turns[a][-1]] > EVEN and level.get(turns[a][-1], 0) == level[a] + 1):
+                turns[a].pop()
+            if turns[a]:
+                path.append(turns[a][-1])
+            else:
+                path.pop()
+                if path:
+                    turns[path[-1]].pop()
 
 
 def labelled(page: str | None) -> tuple[list[Block], list[float], list[bool]]:

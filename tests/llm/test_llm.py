@@ -158,6 +158,32 @@ def test_deep_and_hostile_markup_is_linear():
     assert time.perf_counter() - start < 60
 
 
+def test_many_blocks_take_a_second():
+    import time
+
+    for page in ("<p>short</p>" * 20_000, "".join(f"<p>{'Long enough to be kept, as it seems to be a sentence of some length here. ' * (i % 3 == 0)}a {i}</p>" for i in range(20_000)), "<div>" + "".join(f"text {i} <p>{'and many more words follow here, quite a few. ' * (i % 4)}</p>" for i in range(10_000)) + "</div>"):
+        blocks, scores, keep = html_extract.labelled(page)
+        edges = html_extract.smoothness(blocks)
+        start = time.process_time()
+        assert html_extract.minimum_cut(scores, edges) == keep and len(keep) >= 17_000
+        assert time.process_time() - start < 2
+
+
+TABLE = "<table><tr><th>Year</th><th>Rain</th></tr><tr><td>1990</td><td>12</td></tr><tr><td>1991</td><td>9</td></tr></table>"
+
+
+def test_tables_stay_and_notices_go_in_plain_containers():
+    bare = f"<body><div><a href=/>Home</a> <a href=/n>News</a></div><div><h1>Rain</h1><p>{STORY}</p>{TABLE}<p>{STORY}</p></div><div>We use cookies to improve this site.</div><div>Copyright 2024 Someone. All rights reserved.</div></body>"
+    assert html_extract.main_text(bare)[0] == f"Rain {STORY} Year Rain 1990 12 1991 9 {STORY}"
+    blocks, scores, keep = html_extract.labelled(bare)
+    mended = [b.text for b, x, k in zip(blocks, scores, keep) if (x > 0) != k]
+    assert "1990" in mended and "Year" in mended
+    page = f"<div>We use cookies on this site, and so does everyone who has a site.</div><article><h1>Rain</h1><p>{STORY}</p><p>Bakers use cookies too, and cookies made here are good.</p></article><div><p>{STORY[:60]}.</p></div><div>© 2024 Someone</div>"
+    assert html_extract.main_text(page)[0] == f"Rain {STORY} Bakers use cookies too, and cookies made here are good."
+    cards = f"<body><div><h1>Rain</h1><p>{STORY}</p><p>{STORY}</p><p>{STORY}</p></div><div class=related><article><a href=/1>Read on</a></article><article><a href=/2>Read more</a></article></div></body>"
+    assert html_extract.main_text(cards)[0] == f"Rain {STORY} {STORY} {STORY}"
+
+
 def test_minimum_cut_is_minimal():
     rng = np.random.default_rng(3)
     for _ in range(200):
@@ -165,8 +191,17 @@ def test_minimum_cut_is_minimal():
         scores = rng.normal(size=n).tolist()
         edges = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, n, 9), rng.integers(0, n, 9), rng.random(9)) if a != b]
         cost = lambda label: sum(abs(s) for s, k in zip(scores, label) if (s > 0) != k) + sum(w for a, b, w in edges if label[a] != label[b])
-        best = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
-        assert cost(html_extract.minimum_cut(scores, edges)) == pytest.approx(best)
+        every = [[bool(m >> i & 1) for i in range(n)] for m in range(1 << n)]
+        best = min(map(cost, every))
+        got = html_extract.minimum_cut(scores, edges)
+        assert cost(got) == pytest.approx(best)
+        assert sum(got) == min(sum(x) for x in every if cost(x) <= best + 1e-9)
+    for _ in range(60):  # dense: a core is left over
+        n = 9
+        scores = rng.normal(size=n).tolist()
+        edges = [(a, b, float(rng.random()) / 3) for a in range(n) for b in range(a)]
+        cost = lambda label: sum(abs(s) for s, k in zip(scores, label) if (s > 0) != k) + sum(w for a, b, w in edges if label[a] != label[b])
+        assert cost(html_extract.minimum_cut(scores, edges)) == pytest.approx(min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n)))
 
 
 def test_pages_against_their_article(spark):
