@@ -3,10 +3,12 @@
 Learning: Spark counts the four-grams of letters inside words of each language.  A language has a gram if the gram's share of
 its grams is at least ``1 / NOISE`` of the largest share that it has in any language, so a few foreign words in texts of a language
 do not teach it theirs, whatever the size of the corpus; every gram is in some filter.  All languages share one
-table of ``SLOTS`` slots of eight bits (a plane for each eight languages): the slot at each of a gram's ``HASHES`` hashes
+table of slots of eight bits (a plane for each eight languages): the slot at each of a gram's ``HASHES`` hashes
 has the bit of every language that has it, so one probe of a gram, the AND of its slots, gives the mask of all languages
-that hold it.  Tasks set the bits of the grams that Spark finds, and Spark ORs the set words of the table, so
-the driver gets the table, whose size is fixed, and no grams.  More grams fill it further; none is left out.
+that hold it.  The table has at least ``ROOM`` slots for each gram of the language with the most, which keeps the rate of false hits
+under 0.03 whatever the corpus.  Tasks set the bits of the grams that Spark finds, and Spark ORs the set words of the
+table, so the driver gets the table and no grams.  Four letters make a bounded number of grams in an alphabet; a
+table of more than ``MOST_BYTES`` is an error and not a worse filter.
 
 Deciding: a text's grams are counted by language over the masks.  If a share f of a language's slots is set, a
 gram it lacks still hits with probability f ** HASHES; the hits are corrected to the share of grams that the
@@ -34,7 +36,13 @@ from ._io import release, stored, text_column
 ORDER, BITS = 4, 16
 HASHES = 4
 NOISE = 10.0
-SLOTS = 1 << 24
+#: Slots a gram, the least number of slots, and the largest table that is sent to workers.
+ROOM, LEAST_SLOTS, MOST_BYTES = 8, 1 << 16, 1 << 31
+
+
+def slots_for(grams: int, room: float = ROOM) -> int:
+    """The power of two from ``room`` slots a gram on."""
+    return max(LEAST_SLOTS, 1 << (max(1, int(grams * room)) - 1).bit_length())
 
 
 def slots_of(grams: np.ndarray, k: int, slots: int) -> np.ndarray:
@@ -76,7 +84,7 @@ class MaskFilter:
         return [self.langs[b] if k else "und" for b, k in zip(best, n)], score
 
 
-def learn(rows: DataFrame, lang: str = "lang", text: str = "text", slots: int = SLOTS) -> MaskFilter:
+def learn(rows: DataFrame, lang: str = "lang", text: str = "text", room: float = ROOM) -> MaskFilter:
     """The filters of the languages in ``rows``; null texts and languages teach nothing."""
     read = rows.select(rows[lang].cast("string").alias("lang"), rows[text].cast("string").alias("text")).dropna()
     counts = stored(gram_counts(read, letters=True, order=ORDER, bits=BITS))
@@ -84,7 +92,11 @@ def learn(rows: DataFrame, lang: str = "lang", text: str = "text", slots: int =
     langs = [r["lang"] for r in totals.orderBy("lang").collect()]  # one row a language
     shares = stored(counts.join(totals, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share")))
     most = shares.groupBy("gram").agg(F.max("share").alias("most"))
-    grams = shares.join(most, "gram").filter(F.col("share") * NOISE >= F.col("most")).select("lang", "gram")
+    grams = stored(shares.join(most, "gram").filter(F.col("share") * NOISE >= F.col("most")).select("lang", "gram"))
+    slots = slots_for(max((r["count"] for r in grams.groupBy("lang").count().collect()), default=0), room)  # one row a language
+    planes = max(1, -(-len(langs) // 8))
+    if planes * slots > MOST_BYTES:
+        raise ValueError(f"filters of {len(langs)} languages need {planes} times {slots} bytes, more than {MOST_BYTES}: learn fewer languages at once")
     number = {lang: i for i, lang in enumerate(langs)}
 
     def set_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,9 +111,9 @@ def learn(rows: DataFrame, lang: str = "lang", text: str = "text", slots: int =
             yield pa.RecordBatch.from_arrays([pa.array(words[first]), pa.array((np.bitwise_or.reduceat(bits, first) if len(words) else bits).view(np.int64))], ["word", "bits"])
 
     words = grams.mapInArrow(set_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most the table
-    table = np.zeros(max(1, -(-len(langs) // 8)) * slots // 8, np.uint64)
+    table = np.zeros(planes * slots // 8, np.uint64)
     table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    release(counts, shares)
+    release(counts, shares, grams)
     return MaskFilter(langs, table.view(np.uint8).reshape(-1, slots))
 
 

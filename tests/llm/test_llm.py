@@ -364,11 +364,29 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.identify(table(spark, ["aaaa bbbb"] * 12, ["fr", "en"] * 6)).collect()} == {"en"}
 
 
-def test_filters_hold_every_gram_of_their_languages(spark):
+def test_filters_grow_with_the_grams(spark, monkeypatch):
+    """Ten times the grams: a larger table, the same rate of false hits; one that is too large is an error."""
+    monkeypatch.setattr(langid, "LEAST_SLOTS", 1)
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 8))
+    made = {}
+    for n in (300, 3000):
+        df = spark.createDataFrame([(lang, " ".join(word() for _ in range(n))) for lang in ("a", "b")], "lang string, text string")
+        made[n] = langid.learn(df)
+        assert (made[n].false_hits < 0.05).all()
+    assert made[3000].table.shape[1] >= 8 * made[300].table.shape[1]
+    assert langid.slots_for(10_000_000) == 1 << 27
+    monkeypatch.setattr(langid, "MOST_BYTES", 1024)
+    with pytest.raises(ValueError, match="learn fewer"):
+        langid.learn(df)
+
+
+def test_filters_hold_every_gram_of_their_languages(spark, monkeypatch):
     """Against sets: masks of 11 languages, no false negative, false hits at the rate that is corrected for, shares and decisions."""
     names = [f"l{i:02d}" for i in range(11)]
     texts = [" ".join(prose(60 + i, 80, 60)) for i in range(11)]
-    filters = langid.learn(spark.createDataFrame(list(zip(names, texts)), "lang string, text string"), slots=1 << 12)
+    monkeypatch.setattr(langid, "LEAST_SLOTS", 1)
+    filters = langid.learn(spark.createDataFrame(list(zip(names, texts)), "lang string, text string"), room=4)
     grams = lambda t: collections.Counter(g for w in t.split() for g in (("   " + w + " ")[i : i + 4] for i in range(len(w) + 1)))
     packed = lambda g: sum(ord(c) << (16 * (3 - i)) for i, c in enumerate(g))
     sets, every = [grams(t) for t in texts], sorted({g for t in texts for g in grams(t)})
