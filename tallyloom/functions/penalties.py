@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -33,25 +33,35 @@ def equality(a: Column, b: Column) -> Column:
     return F.when(a.eqNullSafe(b), 0.0).otherwise(1.0)
 
 
+class Ratios:
+    """Similarities of names that a task remembers, up to ``REMEMBERED`` pairs."""
+
+    def __init__(self) -> None:
+        self.known: dict[tuple[str, str], float] = {}
+
+    def of(self, x: Iterable[str], y: Iterable[str]) -> list[float]:
+        """The ratio of ordered matching blocks of each pair; two empty names have ratio 1, one empty name ratio 0."""
+        out, known = [], self.known
+        for pair in zip(x, y):
+            if pair not in known:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                p, q = pair
+                known[pair] = 1.0 if p == q else SequenceMatcher(None, p, q).ratio() if p and q else 0.0
+            out.append(known[pair])
+        return out
+
+
 def with_string_ratio(pairs: DataFrame, left: str, right: str, name: str = "ratio") -> DataFrame:
     """``pairs`` with the similarity of two normalised names, computed once for each distinct pair that a task remembers.
 
-    The ratio of ordered matching blocks depends on the order of its arguments, and has no SQL form.  Two empty
-    names have ratio 1, one empty name ratio 0.  Nothing is shuffled; a task forgets after ``REMEMBERED`` pairs.
+    The ratio depends on the order of its arguments, and has no SQL form.  Nothing is shuffled.
     """
 
     @F.pandas_udf("double")
     def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known: dict[tuple[str, str], float] = {}
+        ratios = Ratios()
         for x, y in batches:
-            out = []
-            for pair in zip(x, y):
-                if pair not in known:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    p, q = pair
-                    known[pair] = 1.0 if p == q else SequenceMatcher(None, p, q).ratio() if p and q else 0.0
-                out.append(known[pair])
-            yield pd.Series(out, dtype="float64")
+            yield pd.Series(ratios.of(x, y), dtype="float64")
 
     return pairs.withColumn(name, ratio(normalised(F.col(left)), normalised(F.col(right))))

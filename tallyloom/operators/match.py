@@ -7,11 +7,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from ..functions import penalties as P
 from ..functions.numerics import assignment, closest_first, sparse_assignment
+from ..functions.rules import normalised
 from . import scan
 from .graph import components
 
@@ -193,10 +196,90 @@ def totals(label_table: DataFrame, *by: str) -> DataFrame:
     })
 
 
-def evaluate(curated: DataFrame, extracted: DataFrame, group: str, index: str, name: str, numbers: Sequence[str], names: Sequence[str] = (), accept: float = P.ACCEPT, documents: DataFrame | None = None, **how) -> DataFrame:
-    """Labels of an extraction: pairs, assignment and leftovers in one."""
-    made = matched(pairs(curated, extracted, group, index, name, numbers, names, **how), group)
-    return labels(curated, extracted, made, group, index, accept, documents)
+def evaluate(curated: DataFrame, extracted: DataFrame, group: str, index: str, name: str, numbers: Sequence[str], names: Sequence[str] = (), accept: float = P.ACCEPT, documents: DataFrame | None = None, gate: float = P.GATE, tolerance: float = P.TOLERANCE, ratio: bool = True) -> DataFrame:
+    """Labels of an extraction, as ``labels`` of ``matched`` ``pairs`` gives them, in one pass over both sides.
+
+    The sides meet once, by a full join on the group, which the matcher's window keeps as it is: names are compared inside
+    the matcher, and what it leaves over comes out of it too, so neither side is read again and pairs are not shuffled.
+    """
+    fields = (name, *names, *numbers)
+    left = curated.select(F.col(group).alias("__g"), F.col(index).cast("long").alias("i"), *(F.col(c).alias(f"c_{c}") for c in fields))
+    right = extracted.select(F.col(group).alias("__h"), F.col(index).cast("long").alias("j"), *(F.col(c).alias(f"e_{c}") for c in fields))
+    if documents is not None:
+        left = left.join(documents.select(F.col(group).alias("__g")).distinct(), "__g", "left_semi")
+    both = left.join(right, F.col("__g") == F.col("__h"), "full_outer").withColumn(group, F.coalesce("__g", "__h"))
+    if documents is None:  # a group without an extracted record was not extracted
+        both = both.filter(F.col("__h").isNotNull() | F.col("j").isNotNull())
+    parts = {c: P.equality(F.col(f"c_{c}"), F.col(f"e_{c}")) for c in names} | {c: P.numeric(F.col(f"c_{c}"), F.col(f"e_{c}"), tolerance) for c in numbers}
+    rest = sum(parts.values(), F.lit(0.0))
+    wrong = F.array_compact(F.array(*(F.when(v >= 1.0, F.lit(k)) for k, v in parts.items()))) if parts else F.array().cast("array<string>")
+    if ratio:
+        x, y = normalised(F.col(f"c_{name}")), normalised(F.col(f"e_{name}"))
+    else:
+        x, y = (F.coalesce(F.concat(F.lit("="), F.col(f"{s}_{name}").cast("string")), F.lit("")) for s in "ce")
+    rows = both.select(group, "i", "j", x.alias("x"), y.alias("y"), rest.alias("rest"), wrong.alias("wrong"), F.row_number().over(Window.partitionBy(group).orderBy("i", "j")).alias("__place"))
+    kept = S.StructType([S.StructField(c, rows.schema[c].dataType) for c in (group, "i", "j", "rest", "wrong")] + [S.StructField("gate", S.BooleanType())])
+    k = len(fields)
+
+    def solve(i: np.ndarray, j: np.ndarray, costs: np.ndarray) -> list[int]:
+        at_row, at_column = np.unique(i, return_inverse=True)[1], np.unique(j, return_inverse=True)[1]
+        cost, place = np.full((at_row.max() + 1, at_column.max() + 1), GATE_COST), np.full((at_row.max() + 1, at_column.max() + 1), -1)
+        cost[at_row, at_column], place[at_row, at_column] = costs, np.arange(len(i))
+        return [place[p] for p in assignment(cost) if place[p] >= 0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratios, held = P.Ratios(), []
+        for b in chain(batches, [None]):
+            table = pa.Table.from_batches(held if b is None else [*held, b]) if held or b is not None else None
+            if table is None or not len(table):
+                continue
+            t = table.combine_chunks().to_batches()[0]
+            keys = t.column(0).to_numpy(zero_copy_only=False)
+            alone = [t.column(c).is_null().to_numpy(zero_copy_only=False) for c in (1, 2)]
+            nulls = t.column(0).is_null().to_numpy(zero_copy_only=False)
+            new = (keys[1:] != keys[:-1]) & ~(nulls[1:] & nulls[:-1])
+            starts = np.append(0, np.flatnonzero(new) + 1)
+            ends = np.append(starts[1:], len(keys))
+            whole = len(starts) if b is None else len(starts) - 1  # the last group may go on in the next batch
+            last = int(ends[whole - 1]) if whole else 0
+            own = t.slice(0, last)
+            held = [t.slice(int(starts[-1]))] if whole < len(starts) else []
+            if not last:
+                continue
+            groups = np.repeat(np.arange(whole), (ends - starts)[:whole])
+            i, j = (np.where(alone[c][:last], -1, own.column(c + 1).fill_null(0).to_numpy(zero_copy_only=False)) for c in (0, 1))
+            pair = np.flatnonzero(~alone[0][:last] & ~alone[1][:last])
+            met = own.take(pa.array(pair))
+            xs, ys = met.column(3).to_pylist(), met.column(4).to_pylist()
+            agree = np.array([r >= gate for r in ratios.of(xs, ys)] if ratio else [p == q for p, q in zip(xs, ys)], bool)
+            costs = np.where(agree, met.column(5).to_numpy(zero_copy_only=False) / k, GATE_COST)
+            chosen, hard = uncontested(groups[pair], i[pair], j[pair], costs)
+            begin, end = np.searchsorted(groups[pair], hard), np.searchsorted(groups[pair], hard, "right")
+            chosen = np.array([*chosen, *(a + p for a, z in zip(begin, end) for p in solve(i[pair][a:z], j[pair][a:z], costs[a:z]))], np.int64)
+            taken = [set(zip(groups[pair][chosen].tolist(), side[pair][chosen].tolist())) for side in (i, j)]
+            left_over = [np.unique(np.stack([groups[~alone[c][:last]], side[~alone[c][:last]], np.flatnonzero(~alone[c][:last])]), axis=1) for c, side in ((0, i), (1, j))]
+            firsts = []
+            for g in left_over:  # sorted by group and index: the first row of each record
+                fresh = np.append(True, (g[0, 1:] != g[0, :-1]) | (g[1, 1:] != g[1, :-1])) if g.shape[1] else np.empty(0, bool)
+                firsts.append(g[:, fresh])
+            single = [np.array([r for q, v, r in zip(*g.tolist()) if (q, v) not in used], np.int64) for g, used in zip(firsts, taken)]
+            at = np.concatenate([pair[chosen], *single])
+            side = np.repeat([0, 1, 2], [len(chosen), *map(len, single)])
+            out = own.take(pa.array(at))
+            blank = lambda c, mask: pc.if_else(pa.array(mask), pa.nulls(len(at), c.type), c)
+            flags = np.zeros(len(at), bool)
+            flags[: len(chosen)] = agree[chosen]
+            yield pa.RecordBatch.from_arrays([
+                out.column(0), blank(out.column(1), side == 2), blank(out.column(2), side == 1), blank(out.column(5), side > 0), out.column(6), pa.array(flags, mask=side > 0),
+            ], kept.names)
+
+    found = rows.mapInArrow(run, kept)
+    met, good = F.col("i").isNotNull() & F.col("j").isNotNull(), F.col("gate") & (F.col("__penalty") < accept)
+    verdict = F.when(F.col("j").isNull(), "FN").when(F.col("i").isNull(), "FP").when(good, "TP").otherwise("MISMATCH")
+    reason = F.when(~met, "no counterpart").when(good, F.lit(None)).when(~F.col("gate"), "names differ").otherwise("numbers differ")
+    every = F.when(~met, F.array().cast("array<string>")).when(F.col("gate"), F.col("wrong")).otherwise(F.concat(F.array(F.lit(name)), "wrong"))
+    penalty = F.when(met, (F.col("rest") + F.when(F.col("gate"), 0.0).otherwise(1.0)) / k)
+    return found.withColumn("__penalty", penalty).select(group, verdict.alias("verdict"), "i", "j", F.round("__penalty", 4).alias("penalty"), reason.alias("reason"), every.alias("wrong"))
 
 
 def field_errors(label_table: DataFrame) -> DataFrame:
