@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,6 +11,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as S
 from pyspark.sql.pandas.types import to_arrow_type
 
+
+def give_back() -> None:
+    """Return memory that Arrow and the C library hold but do not use; a worker lives on between the tasks of many stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a task, which gives memory back at the task's end."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 TYPES = {"long": S.LongType(), "int": S.IntegerType(), "double": S.DoubleType(), "string": S.StringType(), "boolean": S.BooleanType(), "binary": S.BinaryType()}
 
 
@@ -30,7 +50,7 @@ def with_columns(df: DataFrame, drop: tuple[str, ...], added: str, make: Callabl
             arrays += [pa.array(made[f.name], type=k) for f, k in zip(new, kinds)]
             yield pa.RecordBatch.from_arrays(arrays, [f.name for f in (*kept, *new)])
 
-    return df.mapInArrow(run, S.StructType([*kept, *new]))
+    return df.mapInArrow(trimmed(run), S.StructType([*kept, *new]))
 
 
 def exploded(df: DataFrame, drop: tuple[str, ...], added: str, make: Callable[[pa.RecordBatch], tuple[list[int], dict]]) -> DataFrame:
@@ -47,4 +67,4 @@ def exploded(df: DataFrame, drop: tuple[str, ...], added: str, make: Callable[[p
             arrays += [pa.array(made[f.name], type=k) for f, k in zip(new, kinds)]
             yield pa.RecordBatch.from_arrays(arrays, [f.name for f in (*kept, *new)])
 
-    return df.mapInArrow(run, S.StructType([*kept, *new]))
+    return df.mapInArrow(trimmed(run), S.StructType([*kept, *new]))

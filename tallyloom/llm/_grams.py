@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._arrow import trimmed
 
 #: Distinct grams that a task holds before it sends its partial counts on.
 HELD_GRAMS = 1_000_000
@@ -57,4 +58,4 @@ def gram_counts(docs: DataFrame, letters: bool = False, order: int = 4, bits: in
                 held, size = {}, 0
         yield from sums()
 
-    return docs.select("lang", "text").mapInPandas(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInPandas(trimmed(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from . import _text as T
+from ._arrow import trimmed
 from ._io import numbered, release, stored
 
 LEAST, GRAM = 50, 16
@@ -113,7 +114,7 @@ def suffixes(rows: DataFrame) -> DataFrame:
                 columns = (rids[s][w.text[first]], spans.of(place, GRAM).view(np.int64), spans.of(first, lengths).view(np.int64), (first - begin).astype(np.int32), lengths.astype(np.int32), (place - first).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _SUFFIX.names)
 
-    return rows.mapInArrow(run, _SUFFIX)
+    return rows.mapInArrow(trimmed(run), _SUFFIX)
 
 
 _SORTED = S.StructType([S.StructField(n, t) for n, t in (("low", S.IntegerType()), ("key", S.LongType()), ("right", S.BinaryType()), ("left", S.BinaryType()), ("rid", S.LongType()), ("place", S.IntegerType()), ("least", S.IntegerType()), ("most", S.IntegerType()))])
@@ -151,7 +152,7 @@ def placed(rows: DataFrame) -> DataFrame:
                     columns = (np.full(len(of), low, np.int32), spans.of(at - low, LEAST - high + low).view(np.int64), right, left, rids[s][of[:, 0]], place.astype(np.int32), least[least <= most].astype(np.int32), most[least <= most].astype(np.int32))
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], _SORTED.names)
 
-    return rows.mapInArrow(run, _SORTED)
+    return rows.mapInArrow(trimmed(run), _SORTED)
 
 
 _ARROW = [pa.field(n, t) for n, t in (("low", pa.int32()), ("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("rid", pa.int64()), ("place", pa.int32()), ("least", pa.int32()), ("most", pa.int32()))]
@@ -211,7 +212,7 @@ def compared(suffix_rows: DataFrame) -> DataFrame:
         if held:
             yield spans_of(pa.Table.from_batches(held))
 
-    return suffix_rows.repartitionByRange("low", "key").sortWithinPartitions("low", "key", "right").mapInArrow(run, _SPAN)
+    return suffix_rows.repartitionByRange("low", "key").sortWithinPartitions("low", "key", "right").mapInArrow(trimmed(run), _SPAN)
 
 
 _WINDOW = S.StructType([S.StructField(n, t) for n, t in (("rid", S.LongType()), ("hash", S.LongType()), ("start", S.IntegerType()))])
@@ -232,7 +233,7 @@ def one_by_one(suffix_rows: DataFrame) -> DataFrame:
                 hashes = T.mix(T.mix(key[at].view(np.uint64) ^ T.mix((low[at] + a).astype(np.uint64))) * _BASE + left[a, at] * _INVERSE + right[(high - low - a)[at], at])
                 yield pa.RecordBatch.from_arrays([pa.array(rid[at]), pa.array(hashes.view(np.int64)), pa.array((place[at] - low[at] - a).astype(np.int32))], _WINDOW.names)
 
-    windows = stored(suffix_rows.mapInArrow(run, _WINDOW))
+    windows = stored(suffix_rows.mapInArrow(trimmed(run), _WINDOW))
     place = F.struct("rid", "start")
     firsts = windows.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "first")
     return windows.join(firsts, "hash").filter(place != F.col("first")).select("rid", "start", (F.col("start") + LEAST).alias("end"))
@@ -307,4 +308,4 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
             }
             yield pa.RecordBatch.from_arrays([pa.array(new[f.name], type=k) if f.name in new else b.column(b.schema.get_field_index(f.name)) for f, k in zip(schema, kinds)], schema.names)
 
-    return marked.mapInArrow(run, schema)
+    return marked.mapInArrow(trimmed(run), schema)
