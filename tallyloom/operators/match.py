@@ -199,17 +199,19 @@ def totals(label_table: DataFrame, *by: str) -> DataFrame:
 def evaluate(curated: DataFrame, extracted: DataFrame, group: str, index: str, name: str, numbers: Sequence[str], names: Sequence[str] = (), accept: float = P.ACCEPT, documents: DataFrame | None = None, gate: float = P.GATE, tolerance: float = P.TOLERANCE, ratio: bool = True) -> DataFrame:
     """Labels of an extraction, as ``labels`` of ``matched`` ``pairs`` gives them, in one pass over both sides.
 
-    The sides meet once, by a full join on the group, which the matcher's window keeps as it is: names are compared inside
-    the matcher, and what it leaves over comes out of it too, so neither side is read again and pairs are not shuffled.
+    The sides meet once, by an outer join on the group: names are compared inside the matcher, and what it leaves over comes
+    out of it too, so neither side is read again.  Without ``documents`` the join keeps the side of the extraction, and its
+    partitioning up to the matcher, so pairs are not shuffled; a full join (``documents``) shuffles them once.
     """
     fields = (name, *names, *numbers)
     left = curated.select(F.col(group).alias("__g"), F.col(index).cast("long").alias("i"), *(F.col(c).alias(f"c_{c}") for c in fields))
     right = extracted.select(F.col(group).alias("__h"), F.col(index).cast("long").alias("j"), *(F.col(c).alias(f"e_{c}") for c in fields))
-    if documents is not None:
-        left = left.join(documents.select(F.col(group).alias("__g")).distinct(), "__g", "left_semi")
-    both = left.join(right, F.col("__g") == F.col("__h"), "full_outer").withColumn(group, F.coalesce("__g", "__h"))
+    same = F.col("__g") == F.col("__h")
     if documents is None:  # a group without an extracted record was not extracted
-        both = both.filter(F.col("__h").isNotNull() | F.col("j").isNotNull())
+        both = left.join(right, same, "right_outer").withColumnRenamed("__h", group)
+    else:
+        left = left.join(documents.select(F.col(group).alias("__g")).distinct(), "__g", "left_semi")
+        both = left.join(right, same, "full_outer").withColumn(group, F.coalesce("__g", "__h"))
     parts = {c: P.equality(F.col(f"c_{c}"), F.col(f"e_{c}")) for c in names} | {c: P.numeric(F.col(f"c_{c}"), F.col(f"e_{c}"), tolerance) for c in numbers}
     rest = sum(parts.values(), F.lit(0.0))
     wrong = F.array_compact(F.array(*(F.when(v >= 1.0, F.lit(k)) for k, v in parts.items()))) if parts else F.array().cast("array<string>")

@@ -209,3 +209,29 @@ def decided_fresh(decisions: DataFrame, annotators: DataFrame, key: Sequence[str
     asked = decisions.select(*key, F.explode(F.array_distinct(deciders)).alias(who)).distinct()
     seen = asked.join(flags, [*key, who]).groupBy(*key).agg(F.min("__carried").alias("__all"))
     return decisions.join(seen, list(key), "left").withColumn("fresh", F.coalesce(F.col("__all"), F.lit(0)) == 0).drop("__all")
+
+
+# What a correction asks for, and what reviewers said of it.
+CORRECTION_KINDS = ("fill", "empty", "substance", "number")
+OUTCOMES = ("caught", "both defensible", "rejected")
+
+
+def correction_kind(field: Column, was: Column, to: Column, identity: Sequence[str]) -> Column:
+    """fill a blank, empty a value, or change what it names (``identity`` fields) or a number."""
+    blank = lambda c: F.coalesce(c.cast("string"), F.lit("")) == ""
+    return F.when(blank(was) & ~blank(to), "fill").when(~blank(was) & blank(to), "empty").when(field.isin(*identity), "substance").otherwise("number")
+
+
+def review_outcome(answers: Column) -> Column:
+    """"both" among the answers wins over "judge"; everything else is a rejection; null without answers."""
+    return F.when(F.coalesce(F.size(answers), F.lit(0)) < 1, None).when(F.array_contains(answers, "both"), OUTCOMES[1]).when(F.array_contains(answers, "judge"), OUTCOMES[0]).otherwise(OUTCOMES[2])
+
+
+def outcome_table(rows: DataFrame, kind: str, outcome: str, outcomes: Sequence[str] = OUTCOMES) -> DataFrame:
+    """(kind, one column an outcome, cases, share of the first): counts by kind.  An outcome that is not listed fails while
+    running, so the columns always sum to the cases; rows without an outcome are left out."""
+    known = rows.filter(F.col(outcome).isNotNull())
+    counts = known.groupBy(kind).agg(*(F.count_if(F.col(outcome) == o).alias(o) for o in outcomes), F.count(F.lit(1)).alias("cases"))
+    whole = sum((F.col(f"`{o}`") for o in outcomes), F.lit(0))
+    checked = F.when(whole == F.col("cases"), F.col("cases")).otherwise(F.raise_error(F.lit("an outcome is not listed")).cast("long"))
+    return counts.withColumn("cases", checked).withColumn("share", F.try_divide(F.col(f"`{outcomes[0]}`"), "cases"))

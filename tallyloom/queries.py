@@ -222,6 +222,16 @@ def verdict_changelog(spark, d):
     return said.unionByName(left)
 
 
+def correction_outcomes(spark, d):
+    """What reviewers said of corrections to orders, by what the correction asks for."""
+    o = _t(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    field = F.when(F.col("o_orderkey") % 3 == 0, "name").otherwise("heat")
+    kind = review.correction_kind(field, F.when(F.col("o_custkey") % 4 != 0, F.col("o_orderstatus")).otherwise(""), F.when(F.col("o_custkey") % 5 != 0, F.col("o_orderpriority")), ["name"])
+    answers = F.array_compact(F.array(F.when(F.col("o_orderstatus") == "F", "judge"), F.when(F.col("o_orderpriority") < "3", "both"), F.when(F.col("o_orderkey") % 7 == 0, "neither")))
+    out = review.outcome_table(o.select(kind.alias("kind"), review.review_outcome(answers).alias("outcome")), "kind", "outcome")
+    return out.select("kind", F.col("caught"), F.col("`both defensible`").alias("both"), "rejected", "cases", F.round("share", 6).alias("share"))
+
+
 def first_active_answer(spark, d):
     c = _t(spark, d, "conversations", "conv_id", "turn", "role", "text").select("conv_id", F.col("role").alias("who"), F.when(F.length("text") > 200, "long").otherwise("short").alias("answer"), (F.col("turn") < 2).alias("active"))
     return review.settled_answers(c, ["conv_id"], "who", "answer", "active").withColumn("deciders", F.array_join("deciders", ","))
@@ -688,7 +698,7 @@ QUERIES = (
     fill_rate_by_group, within_group_spearman, pooled_vs_within, numeric_penalty_bands, tolerance_band_join, semi_anti_resume, key_overlap, agreement_kappa,
     weighted_prf, verdict_partition, explode_counter, pareto_frontier, threshold_sweep, largest_remainder, top_k_other, binned_share_within_group,
     left_closed_bins, crosstab_pivot, hash_stratified_sample, fingerprint_sample_id, chunk_sentences, chunk_ids, citation_resolution, apply_fixes_overlay,
-    fixes_changelog, verdict_changelog, first_active_answer, modal_label_group, topk_concentration, rolling_median, funnel, pairwise_votes, reconciled_counts,
+    fixes_changelog, verdict_changelog, correction_outcomes, first_active_answer, modal_label_group, topk_concentration, rolling_median, funnel, pairwise_votes, reconciled_counts,
     noise_between_groups, release_digest, verified_decisions, grown_policies, rescued_rows, parity_by_field, constraint_recall, run_states,
     bootstrap_shift, even_rolling_median, coerced_numbers, field_agreement, condition_points, runner_up, resolved_names, phase_cascade, release_build, mechanical_checks,
     screen_reasons, thin_records, clipped_histogram, log_histogram, grouped_percentiles, running_totals, frontier_arms, arm_tests, arm_anova, grouped_signed_rank,

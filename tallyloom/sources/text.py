@@ -13,6 +13,7 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+# Fixed value: the length from which a block is split, and where sentences end (above).
 def packed_sentences(text: Column, most: int = 2800) -> Column:
     """Runs of sentences joined by a space, each at most ``most`` characters unless one sentence is longer."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
@@ -25,9 +26,16 @@ def packed_sentences(text: Column, most: int = 2800) -> Column:
     return F.aggregate(sentences(text), start, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
 
 
+def split_long(text: Column, most: int = 2800) -> Column:
+    """A block of text as it is if it is short enough or holds a table, whose rows must stay with their header; else runs of
+    its sentences.  Blank text gives none."""
+    table = F.ltrim(text).startswith("|") | F.contains(text, F.lit("\n| "))
+    return F.when(text.isNull() | (F.trim(text) == ""), F.array().cast("array<string>")).when((F.length(text) <= most) | table, F.array(text)).otherwise(packed_sentences(text, most))
+
+
 def chunked(docs: DataFrame, key: str, text: str, most: int = 2800) -> DataFrame:
     """(key, pos, chunk_id, text); the id is named after key, position and text."""
-    rows = docs.select(key, F.posexplode(packed_sentences(F.col(text), most)).alias("pos", "text"))
+    rows = docs.select(key, F.posexplode(split_long(F.col(text), most)).alias("pos", "text"))
     return rows.select(key, "pos", uuid5(F.concat_ws("|", F.col(key).cast("string"), F.col("pos").cast("string"), F.substring("text", 1, 200))).alias("chunk_id"), "text")
 
 
