@@ -309,6 +309,10 @@ SQL = {
         union all select event_id, 'kept', case when ok then 'fixed' else event_type end, null, null, round(case when ok then back else value end, 6) from e where event_id % 3 = 0 and not (ok and gone)""",
     "correction_outcomes": """with o as (select case when o_custkey % 4 = 0 and o_custkey % 5 <> 0 then 'fill' when o_custkey % 4 <> 0 and o_custkey % 5 = 0 then 'empty' when o_orderkey % 3 = 0 then 'substance' else 'number' end as kind, o_orderpriority < '3' as b, o_orderstatus = 'F' as j, o_orderkey % 7 = 0 as n from orders)
         select kind, count_if(j and not b) as caught, count_if(b) as both, count_if(n and not j and not b) as rejected, count(*) as cases, round(count_if(j and not b) / count(*), 6) as share from o where b or j or n group by 1""",
+    "chunk_documents": f"""with s as (select doc_id, text, list_transform({SENTENCES}, lambda x: {{'done': []::varchar[], 'open': x}}) as s, length(text) <= 2800 or starts_with(ltrim(text), '|') or contains(text, chr(10) || '| ') as whole from documents where trim(text) <> ''),
+        r as (select doc_id, case when whole then [text] else (select list_append(r.done, r.open) from (select list_reduce(s, lambda a, x: case when length(a.open) + 1 + length(x.open) <= 2800 then {{'done': a.done, 'open': a.open || ' ' || x.open}} else {{'done': list_append(a.done, a.open), 'open': x.open}} end) as r)) end as c from s),
+        u as (select doc_id, unnest(range(len(c)))::int as pos, unnest(c) as text from r), h as (select *, sha1('\\x6b\\xa7\\xb8\\x11\\x9d\\xad\\x11\\xd1\\x80\\xb4\\x00\\xc0\\x4f\\xd4\\x30\\xc8'::blob || encode(doc_id || '|' || pos || '|' || left(text, 200))) as h from u)
+        select doc_id, pos, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (('0x' || h[17:17])::int % 4) + 1, 1) || h[18:20] || '-' || h[21:32] as chunk_id, text from h""",
     "even_rolling_median": 'select event_id, round(case when count(value) over w >= 10 then quantile_cont(value, 0.5) over w end, 6) as rolling_median from events window w as (partition by event_type order by ts, event_id rows between 10 preceding and 9 following)',
     "coerced_numbers": "select p_partkey, case p_partkey % 5 when 0 then p_size::DOUBLE when 1 then cast(p_size || 'e-05' as DOUBLE) when 2 then -(p_size + 0.5::DOUBLE) when 3 then null else p_size::DOUBLE end as value, case p_partkey % 5 when 0 then p_size || ' c' when 1 then p_size || 'e-05' when 2 then p_size || '.5 g' when 3 then 'none' else p_size::VARCHAR end as name from part",
     "field_agreement": "select 'q' as field, count(*) as n, round(avg((abs(l_quantity - (l_quantity + (l_suppkey % 3) * 0.004::DOUBLE)) <= 0.01)::INT), 6) as agree from lineitem union all select 'f', count(*), round(avg((l_linestatus = 'O')::INT), 6) from lineitem where l_partkey % 7 <> 0",

@@ -692,12 +692,12 @@ def exact_tests(spark, d):
     return functools.reduce(DataFrame.unionByName, parts).withColumn("value", F.round("value", 6))
 
 
-ROWS_ONLY = (assignment_match, assignment_score, greedy_match, string_ratio, chunk_documents, page_blocks)
+ROWS_ONLY = (assignment_match, assignment_score, greedy_match, string_ratio, page_blocks)
 QUERIES = (
     route_cascade_counts, canonical_alias_counts, rules_fired_ambiguous, quality_flags_lineitem, quality_report_lineitem, duplicate_of_first, duplicate_rows,
     fill_rate_by_group, within_group_spearman, pooled_vs_within, numeric_penalty_bands, tolerance_band_join, semi_anti_resume, key_overlap, agreement_kappa,
     weighted_prf, verdict_partition, explode_counter, pareto_frontier, threshold_sweep, largest_remainder, top_k_other, binned_share_within_group,
-    left_closed_bins, crosstab_pivot, hash_stratified_sample, fingerprint_sample_id, chunk_sentences, chunk_ids, citation_resolution, apply_fixes_overlay,
+    left_closed_bins, chunk_documents, crosstab_pivot, hash_stratified_sample, fingerprint_sample_id, chunk_sentences, chunk_ids, citation_resolution, apply_fixes_overlay,
     fixes_changelog, verdict_changelog, correction_outcomes, first_active_answer, modal_label_group, topk_concentration, rolling_median, funnel, pairwise_votes, reconciled_counts,
     noise_between_groups, release_digest, verified_decisions, grown_policies, rescued_rows, parity_by_field, constraint_recall, run_states,
     bootstrap_shift, even_rolling_median, coerced_numbers, field_agreement, condition_points, runner_up, resolved_names, phase_cascade, release_build, mechanical_checks,
