@@ -15,8 +15,8 @@ Equal vectors are one class with its k + 1 smallest ids, which is all that any a
 cost no more than others; the same holds for equal query vectors.
 
 Defined results: vectors that are null, empty, all zero or hold null or non-finite components take no part, as
-queries or as candidates; vectors of other lengths are compared among themselves; a query has fewer answers if
-there are fewer candidates; repeated rows with one id are one candidate; null ids take no part; an empty table
+queries or as candidates; vectors of other lengths are compared among themselves; of vectors found at one distance those
+with smaller ids come first; a query has fewer answers if there are fewer candidates; repeated rows with one id are one candidate; null ids take no part; an empty table
 gives no rows; other columns are not read.
 """
 
