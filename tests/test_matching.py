@@ -119,3 +119,20 @@ def test_spellings_of_one_substance_meet(spark):
     kinds = [r[0] for r in spark.createDataFrame([("a/b",), ("A and B",), ("x@y",), ("PIL-3",), ("Cat-1",), ("zinc acetate",), (None,)], "n string").select(rules.name_kind(F.col("n"))).collect()]
     assert kinds == ["mixture of two", "mixture of two", "supported on a carrier", "code the paper coined", "code the paper coined", "plain chemical name", "plain chemical name"]
     assert [r[0] for r in spark.createDataFrame([(" Glycolysis",), ("other",), (None,)], "n string").select(rules.product_of(F.col("n"))).collect()] == ["BHET", None, None]
+
+
+def test_tolerance_join_spreads_a_hot_key_and_equals_all_pairs(spark):
+    nan, inf = float("nan"), float("inf")
+    odd = [None, 0.0, -3.0, 19.0, 20.0, 20.5, 1e300, nan, inf]
+    rows = [("g", n, x, y) for n, (x, y) in enumerate((x, y) for x in odd for y in (None, 1.0, 2.0, inf))]
+    df = spark.createDataFrame(rows, "k string, id int, x double, y double")
+    for slack in (0.05, 0.0, 1.5):
+        pairs = match.tolerance_join(df, df, ["k"], ["x", "y"], slack)
+        both = df.selectExpr("k", "id id_l", "x x_l", "y y_l").join(df.selectExpr("k", "id id_r", "x x_r", "y y_r"), "k")
+        near = "coalesce(abs({0}_l - {0}_r) <= {1}D * greatest(abs({0}_l), abs({0}_r), 1e-9D), true)"
+        want = both.filter("x_l is not null and x_r is not null or y_l is not null and y_r is not null").filter(near.format("x", slack)).filter(near.format("y", slack))
+        ids = lambda t: sorted((r["id_l"], r["id_r"]) for r in t.collect())
+        assert ids(pairs) == ids(want)
+    hot = spark.range(3000).selectExpr("'g' k", "id", "cast(1 + id % 50 as double) x", "900D + id % 100 y")
+    found = match.tolerance_join(hot, hot, ["k"], ["x", "y"], 0.05)
+    assert found.groupBy(F.spark_partition_id()).count().count() > 10  # equal keys alone left all pairs to one task
