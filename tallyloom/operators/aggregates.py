@@ -86,10 +86,20 @@ def pareto(df: DataFrame, cost: str, gain: str) -> DataFrame:
     return before.filter(F.col(gain).isNotNull() & (F.col("__before").isNull() | (F.col(gain) > F.col("__before")))).select(cost, gain)
 
 
+def steady_mean(value: Column, digits: int = 4) -> Column:
+    """The mean of a group, the same in whatever order its rows are added: whole units of ``10 ** -digits`` are summed where
+    all values are such decimal numbers; else the plain mean, whose last digit depends on the order."""
+    x, unit = value.cast("double"), 10**digits
+    units = F.rint(x * unit)
+    whole = (F.abs(units) < 2**53) & (units / unit == x)
+    total = F.try_sum(F.when(whole, units.cast("long")))
+    return F.when((F.count_if(~whole) == 0) & total.isNotNull(), total / (F.count(x) * unit)).otherwise(F.avg(x))
+
+
 def frontier(runs: DataFrame, arm: Sequence[str], cost: str, gain: str, repeats: int = 3) -> DataFrame:
     """(arm, gain, spread, cost, repeats, on_frontier): arms with at least ``repeats`` runs of known cost, and whether no other
-    such arm costs no more and gains no less, one of them strictly.  Equal arms do not beat each other."""
-    arms = runs.filter(F.col(cost).isNotNull()).groupBy(*arm).agg(F.avg(gain).alias(gain), F.stddev_samp(gain).alias("spread"), F.avg(cost).alias(cost), F.count(gain).alias("repeats")).filter(F.col("repeats") >= repeats)
+    such arm costs no more and gains no less, one of them strictly.  Equal arms do not beat each other, in whatever order their rows come (``steady_mean``)."""
+    arms = runs.filter(F.col(cost).isNotNull()).groupBy(*arm).agg(steady_mean(F.col(gain)).alias(gain), F.stddev_samp(gain).alias("spread"), steady_mean(F.col(cost)).alias(cost), F.count(gain).alias("repeats")).filter(F.col("repeats") >= repeats)
     front = pareto(arms, cost, gain).select(F.col(cost).alias("__cost"), F.col(gain).alias("__gain"))
     met = arms.join(front, (F.col(cost) == F.col("__cost")) & (F.col(gain) == F.col("__gain")), "left")
     return met.withColumn("on_frontier", F.col("__cost").isNotNull()).drop("__cost", "__gain")

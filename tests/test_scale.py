@@ -198,3 +198,12 @@ def test_frontier_needs_repeats_and_lets_equal_arms_stand(spark):
     rows = [r for r in runs for _ in range(3)] + [("once", 0.1, 0.99), ("unpaid", None, 0.9)]
     got = {r["arm"]: r["on_frontier"] for r in aggregates.frontier(spark.createDataFrame(rows, "arm string, cost double, f1 double"), ["arm"], "cost", "f1").collect()}
     assert got == {"cheap": True, "even": True, "same": True, "dear": False}
+
+
+def test_equal_arms_stay_equal_in_any_order_of_rows(spark):
+    one, two = [0.1, 0.2, 0.3], [0.3, 0.2, 0.1]
+    assert (0.1 + 0.2) + 0.3 != (0.3 + 0.2) + 0.1
+    rows = [(arm, x, 0.5) for arm, xs in (("a", one), ("b", two)) for x in xs] + [("c", x, 0.4) for x in (1.0, 2.0, None, float("inf"), 1e-9)]
+    got = {r["arm"]: r for r in aggregates.frontier(spark.createDataFrame(rows, "arm string, cost double, f1 double").coalesce(1), ["arm"], "cost", "f1").collect()}
+    assert got["a"]["cost"] == got["b"]["cost"] == pytest.approx(0.2) and got["c"]["cost"] == float("inf")
+    assert [got[k]["on_frontier"] for k in "abc"] == [True, True, False]
