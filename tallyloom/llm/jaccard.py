@@ -4,19 +4,16 @@
    equal sets are one class, represented once.
 2. A class has one signature of ``TREES * DEPTH`` minima.  Tree t orders the minima by rotation, from its own
    ``DEPTH`` on, so the sorted signatures of a tree form a prefix trie.  The matched prefix starts long and is shortened
-   until the chance that a pair at the threshold shares it in some tree reaches ``RECALL``: that is the shortest
-   prefix which is ever used.  Below a node of that prefix with more than ``NODE`` classes the prefix stays longer,
-   step by step along ``STEPS``, so that crowded parts of the trie are compared deeper down.
+   until the chance that a pair at the threshold shares it in some tree reaches ``RECALL``: that is the prefix
+   which is used.  A node of more than ``NODE`` classes is cut into blocks of ``NODES * NODE``, and every pair of blocks is
+   a task, so crowded parts of the trie lose no pair.
 3. Inside a node the similarities are estimated from the whole signature.  Pairs that could reach the threshold are
-   candidates; where they are dense (over ``DENSE`` a class) a star of them stands for the cluster.  All classes of a
-   crowded node are compared with one of them, its hub, before the prefix grows, so that a class which leaves the crowd
-   alone still meets it; these pairs are a star where half of the node agrees with the hub.
+   candidates; where they are dense (over ``DENSE`` a class) a star of them stands for the cluster.
 4. Candidates are verified exactly: all pairs of a component of at most ``BLOCK`` classes at once; of a larger
    component, all pairs of each dense cluster, a pair of blocks a task, and every other candidate pair by itself.
 
-Links and groups are exact up to the candidates' recall: 0.999 for a pair at the threshold by the shortest prefix.  Below a
-crowded node the prefix grows, and pairs that part company there are left to the hub and the other trees; with nodes of 16
-classes in a template at 0.64, 0.997 of planted pairs at 0.81 were found.  ``n_links`` counts all links in components of at
+Links and groups are exact up to the candidates' recall: 0.999 for a pair at the threshold, whatever the
+size of its node.  A crowded node costs all pairs of its classes, in bounded memory.  ``n_links`` counts all links in components of at
 most ``BLOCK`` classes and in dense clusters, and the links among candidates elsewhere in larger components.  A template
 whose copies are about as similar as the threshold makes dense clusters, whose pairs are all compared, block by block.
 
@@ -46,8 +43,8 @@ TREES, DEPTH = 20, 12
 RECALL = 0.999
 #: Estimated similarity from which a pair may reach the threshold: four standard deviations below it.
 LIKELY = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / (TREES * DEPTH)) ** 0.5
-#: Lengths of the prefixes below crowded nodes.
-STEPS = (7, 9, 12, 18, 27, 40, 60, 90, 135, TREES * DEPTH)
+#: A node of more than ``NODE`` classes is compared by itself, in blocks of ``NODES`` times as many.
+NODES = 8
 NODE, DENSE, BLOCK = 512, 8, 1024
 _SEEDS = np.random.default_rng(11).integers(0, 2**63, (2, TREES * DEPTH), dtype=np.uint64)
 
@@ -135,17 +132,29 @@ def _roots(n: int, edges: Iterator[tuple[int, int]]) -> list[int]:
     return [find(x) for x in range(n)]
 
 
+def _agreeing(table: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """How many bytes of each row of ``table`` equal those of ``row``; at most 255 times eight of them."""
+    return (table == row).view(np.uint64).sum(1).view(np.uint8).reshape(-1, 8).sum(1)
+
+
 def candidates(part: pd.DataFrame, dense_at: int = DENSE) -> pd.DataFrame:
-    """(a, b, star) among the classes of each trie node in ``part`` (key, rid, signature) that may reach the threshold."""
+    """(a, b, star) among the classes of each trie node in ``part`` (key, rid, signature) that may reach the threshold.
+
+    With columns ``block``, ``i`` and ``j`` the part is a pair of blocks of one node: only pairs across them, if they differ.
+    """
     out: list[tuple[int, int, bool]] = []
-    part = part.sort_values(["key", "signature", "rid"], kind="stable")
+    paired = "block" in part and len(part) > 0
+    part = part.sort_values(["key", *(["block"] if paired else []), "signature", "rid"], kind="stable")
     rids, keys = part["rid"].to_numpy(np.int64), part["key"].to_numpy(np.int64)
+    across = int((part["block"] == part["i"]).sum()) if paired and part["i"].iloc[0] != part["j"].iloc[0] else None
     cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
     table = np.frombuffer(b"".join(part["signature"]), np.uint8).reshape(len(part), -1)
+    least = LIKELY * table.shape[1]
     for a, z in zip(np.append(0, cuts), np.append(cuts, len(part))):
         own, found = table[a:z], []
-        for i in range(z - a - 1):
-            found += [(i, i + 1 + int(j)) for j in np.flatnonzero((own[i + 1 :] == own[i]).mean(1) >= LIKELY)]
+        for i in range(z - a - 1 if across is None else across):
+            begin = i + 1 if across is None else across
+            found += [(i, begin + int(j)) for j in np.flatnonzero(_agreeing(own[begin:], own[i]) >= least)]
         roots = np.array(_roots(z - a, iter(found)), np.int64)
         pairs = np.bincount(np.array([roots[i] for i, _ in found], np.int64), minlength=z - a)
         dense = pairs > dense_at * np.bincount(roots, minlength=z - a)
@@ -163,47 +172,21 @@ def forest_edges(classes: DataFrame) -> DataFrame:
     nodes = classes.select(F.col("rep").alias("rid"), F.posexplode("keys").alias("tree", "key"))
     signs = classes.select(F.col("rep").alias("rid"), "signature")
     live = stored(_crowded(nodes).join(signs, "rid"))
-    found, depth = [], matched_depth()
-    dense_at = DENSE
-    for step in (*(s for s in STEPS if s > depth), None):
-        small = live.filter(F.col("size") <= NODE)
-        slots = max(1, -(-small.count() // 8_192))
-        found.append(stored(small.withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(slots))).groupBy("slot").applyInPandas(lambda part: candidates(part, dense_at), "a long, b long, star boolean")))
-        large = live.filter(F.col("size") > NODE)
-        if large.isEmpty():
-            break
-        found.append(_with_hubs(large))
-        if step is None:  # all minima agree
-            break
-        rotated = F.substring(F.concat("signature", "signature"), F.col("tree") * DEPTH + depth + 1, F.lit(step - depth))
-        before, depth = live, step
-        live = stored(_crowded(large.select("rid", "tree", "signature", F.xxhash64("key", rotated).alias("key"))))
-        release(before)
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionByName(more)
+    dense_at, edge = DENSE, "a long, b long, star boolean"
+    small, large = live.filter(F.col("size") <= NODE), live.filter(F.col("size") > NODE)
+    slots = max(1, -(-small.count() // 8_192))
+    found = [stored(small.withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(slots))).groupBy("slot").applyInPandas(lambda part: candidates(part, dense_at), edge))]
+    if not large.isEmpty():
+        blocks = F.ceil(F.col("size") / (NODES * NODE)).cast("long")
+        pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j"))))
+        dealt = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid"), "blocks")).withColumn("p", pair).select("key", "rid", "signature", "block", "p.i", "p.j")
+        found.append(stored(dealt.groupBy("key", "i", "j").applyInPandas(lambda part: candidates(part, dense_at), edge)))
+    edges = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     edges = stored(edges.groupBy("a", "b").agg(F.max("star").alias("star")))
     release(live, *found)
     return edges
 
 
-def _with_hubs(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b, star) between the classes of each node of ``nodes`` and its hub that may reach the threshold, stored."""
-    hubs = nodes.groupBy("key").agg(F.min(F.struct("rid", "signature")).alias("hub")).select("key", F.col("hub.rid").alias("hub"), F.col("hub.signature").alias("own"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("signature", "own"))
-            yield b.select(["key", "size", "rid", "hub"]).filter(pa.array((x == y).mean(1) >= LIKELY))
-
-    like = nodes.join(hubs, "key").filter("rid <> hub").select("key", "size", "rid", "hub", "signature", "own").mapInArrow(trimmed(run), "key long, size long, rid long, hub long")
-    like = stored(like)
-    share = like.groupBy("key").agg((2 * F.count(F.lit(1)) >= F.max("size")).alias("star"))
-    out = stored(like.join(share, "key").select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b"), "star"))
-    release(like)
-    return out
-
-
 def _crowded(nodes: DataFrame) -> DataFrame:
     """``nodes`` whose key others share, with the number of its classes."""
     sizes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")

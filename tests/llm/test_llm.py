@@ -751,3 +751,17 @@ def test_round_trip_digests(spark):
         ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_crowded_nodes_lose_no_candidate(spark, monkeypatch):
+    """Nodes above the limit give the same candidates as nodes without one, across pairs of blocks too."""
+    template = prose(41, 270)
+    texts = [" ".join(template + prose(3000 + i, 24)) for i in range(90)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "rid long, _text string")
+    classes = jaccard.signatures(rows, jaccard.matched_depth()).withColumnRenamed("rid", "rep").persist()
+    monkeypatch.setattr(jaccard, "DENSE", 1000)
+    found = []
+    for node in (10_000, 2):
+        monkeypatch.setattr(jaccard, "NODE", node)
+        found.append({(r["a"], r["b"]) for r in jaccard.forest_edges(classes).collect()})
+    assert found[0] == found[1] and len(found[0]) > 1000
