@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,14 @@ def numeric(a: Column, b: Column, tolerance: Column | float = TOLERANCE) -> Colu
     )
 
 
+def numeric_of(a: np.ndarray, no_a: np.ndarray, b: np.ndarray, no_b: np.ndarray, tolerance: float = TOLERANCE) -> np.ndarray:
+    """``numeric`` of two arrays with the masks of their nulls."""
+    with np.errstate(all="ignore"):
+        apart = np.abs(a - b)
+        share = np.fmin(apart / np.maximum(np.abs(a), np.abs(b)) / tolerance, 1.0)
+    return np.where(no_a & no_b, 0.0, np.where(no_a | no_b, 1.0, np.where(apart <= SAME_NUMBER, 0.0, share)))
+
+
 def equality(a: Column, b: Column) -> Column:
     return F.when(a.eqNullSafe(b), 0.0).otherwise(1.0)
 

@@ -136,3 +136,16 @@ def test_tolerance_join_spreads_a_hot_key_and_equals_all_pairs(spark):
     hot = spark.range(3000).selectExpr("'g' k", "id", "cast(1 + id % 50 as double) x", "900D + id % 100 y")
     found = match.tolerance_join(hot, hot, ["k"], ["x", "y"], 0.05)
     assert found.groupBy(F.spark_partition_id()).count().count() > 10  # equal keys alone left all pairs to one task
+
+
+def test_the_scorer_sends_no_pairs_to_the_matcher(spark):
+    """Rows that reach the matcher are groups, whatever the number of pairs, and its labels are those of the pair table."""
+    nan, inf = float("nan"), float("inf")
+    numbers = [None, 0.0, 1.0, 1.005, 1.1, -5.0, nan, inf]
+    key = spark.createDataFrame([(g, n, "zinc" if n % 3 else None, "a" if n % 2 else None, x) for g in range(4) for n, x in enumerate(numbers[g:])], "g int, index int, name string, s string, v double")
+    got = spark.createDataFrame([(g, 2 * n, "zincs" if n % 2 else "tin", "a", x) for g in range(1, 6) for n, x in enumerate(reversed(numbers))] + [(None, 7, "zinc", "a", 1.0)], key.schema)
+    out = match.evaluate(key, got, "g", "index", "name", ["v"], ["s"])
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()  # pairs were sorted before
+    made = match.labels(key, got, match.matched(match.pairs(key, got, "g", "index", "name", ["v"], ["s"]), "g"), "g", "index")
+    plain = lambda t: sorted(map(str, t.select("g", "verdict", "i", "j", "penalty", "reason", F.sort_array("wrong").alias("wrong")).collect()))
+    assert plain(out) == plain(made)
