@@ -149,3 +149,16 @@ def test_the_scorer_sends_no_pairs_to_the_matcher(spark):
     made = match.labels(key, got, match.matched(match.pairs(key, got, "g", "index", "name", ["v"], ["s"]), "g"), "g", "index")
     plain = lambda t: sorted(map(str, t.select("g", "verdict", "i", "j", "penalty", "reason", F.sort_array("wrong").alias("wrong")).collect()))
     assert plain(out) == plain(made)
+
+
+def test_only_large_groups_are_split_into_parts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(g, int(i), int(j), float(rng.integers(0, 9))) for g, n in ((1, 40), (2, 4), (None, 3)) for i in range(n) for j in {i, int(rng.integers(0, n)), int(rng.integers(0, n))}]
+    gated = spark.createDataFrame(rows, "g int, i long, j long, cost double")
+    calls, real = [], match.components
+    monkeypatch.setattr(match, "components", lambda edges: calls.append(edges.count()) or real(edges))
+    cost = lambda: {r["g"]: (r["n"], r["c"]) for r in match.sparse_matched(gated, "g", split=True).groupBy("g").agg(F.count("i").alias("n"), F.sum("cost").alias("c")).collect()}
+    together = cost()
+    assert not calls  # every pair went through the rounds before
+    monkeypatch.setattr(match, "TOGETHER", 20)
+    assert cost() == together and set(together) == {1, 2} and calls[0] == sum(r[0] == 1 for r in rows)
