@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 200
+#: Rows up to which a group is ordered in one range, where the caller lets it.
+HOT = 500_000
 
 
 def order_number(df: DataFrame, column: str) -> Column:
@@ -29,19 +31,30 @@ def order_number(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("double")
 
 
-def ranged(df: DataFrame, by: Sequence[str], column: str, ranges: int = RANGES, name: str = "__range", descending: bool = False) -> DataFrame:
-    """``df`` with the range of each row, from 0 on; the same value is always in the same range."""
+def ranged(df: DataFrame, by: Sequence[str], column: str, ranges: int = RANGES, name: str = "__range", descending: bool = False, hot: int = 0) -> DataFrame:
+    """``df`` with the range of each row, from 0 on; the same value is always in the same range.
+
+    ``hot``: groups of ``by`` with at most so many rows are one range, which saves the search of their values.
+    """
+    several = bool(by) and hot > 0
+    if several:  # at most the number of rows over ``hot`` groups
+        big = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > hot).select(*(F.col(c).alias(f"__k_{c}") for c in by), F.lit(True).alias("__hot"))
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+        df = df.join(F.broadcast(big), same, "left").drop(*(f"__k_{c}" for c in by))
     value = order_number(df, column)
     cuts = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
-    edges = df.agg(F.coalesce(F.array_distinct(F.percentile_approx(value, cuts, F.lit(20 * ranges))), F.array().cast("array<double>")).alias("__edges"))
+    edges = (df.filter("__hot") if several else df).agg(F.coalesce(F.array_distinct(F.percentile_approx(value, cuts, F.lit(20 * ranges))), F.array().cast("array<double>")).alias("__edges"))
     # binary search over the sorted edges: how many are below the value
     steps = max(1, ranges.bit_length() + 1)
     half = lambda s: F.floor((s["low"] + s["high"]) / 2).cast("int")
     go = lambda s: F.when(s["low"] >= s["high"], s).when(F.get(F.col("__edges"), half(s)) < F.col("__value"), F.struct((half(s) + 1).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), half(s).alias("high")))
     found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0).alias("low"), F.size("__edges").alias("high")), lambda s, _: go(s), lambda s: s["low"])
     place = F.when(F.col("__value").isNull(), -1).otherwise(found)
+    place = F.when(F.col("__hot"), place).otherwise(0) if several else place
     out = df.withColumn("__value", value).crossJoin(F.broadcast(edges)).withColumn(name, -place if descending else place)  # edges: one row
-    return out.drop("__edges", "__value")
+    return out.drop("__edges", "__value", "__hot")
 
 
 def offsets(dealt: DataFrame, by: Sequence[str], sums: dict[str, Column], range_: str = "__range", of: Callable[[Column], Column] = F.sum) -> DataFrame:
@@ -62,7 +75,7 @@ def _joined(dealt: DataFrame, found: DataFrame, by: Sequence[str], range_: str)
 
 def positions(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "position", ranges: int = RANGES, descending: bool = False) -> DataFrame:
     """``df`` with each row's place in its group from 0 on, in the order of ``order`` (of which ``descending`` turns the first)."""
-    dealt = ranged(df, by, order[0], ranges, descending=descending)
+    dealt = ranged(df, by, order[0], ranges, descending=descending, hot=HOT)
     below = offsets(dealt, by, {"__below": F.count(F.lit(1))})
     first = F.desc_nulls_last(order[0]) if descending else F.asc_nulls_first(order[0])
     inside = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(first, *order[1:])) - 1
@@ -85,7 +98,7 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), weight: Colu
     """(by, value, n, index, below): how often each value occurs in its group (or the sum of ``weight``), how many values of
     the group are smaller, and how many rows."""
     per = df.groupBy(*by, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
-    dealt = ranged(per, by, value, ranges)
+    dealt = ranged(per, by, value, ranges, hot=HOT)
     below = offsets(dealt, by, {"__index": F.count(F.lit(1)), "__below": F.sum("n")})
     w = Window.partitionBy(*by, "__range").orderBy(F.asc_nulls_first(value))
     inside = {"__i": F.row_number().over(w) - 1, "__b": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1))}

@@ -207,3 +207,14 @@ def test_equal_arms_stay_equal_in_any_order_of_rows(spark):
     got = {r["arm"]: r for r in aggregates.frontier(spark.createDataFrame(rows, "arm string, cost double, f1 double").coalesce(1), ["arm"], "cost", "f1").collect()}
     assert got["a"]["cost"] == got["b"]["cost"] == pytest.approx(0.2) and got["c"]["cost"] == float("inf")
     assert [got[k]["on_frontier"] for k in "abc"] == [True, True, False]
+
+
+def test_small_groups_stay_in_one_range(spark, monkeypatch):
+    df = spark.range(900).selectExpr("if(id % 9 = 0, if(id % 2 = 0, null, 'few'), 'most') g", "id * 7919 % 1000 / 4 x")
+    seen = {r["g"]: r["n"] for r in scan.ranged(df, ["g"], "x", hot=100).groupBy("g").agg(F.countDistinct("__range").alias("n")).collect()}
+    assert seen["few"] == seen[None] == 1 and seen["most"] > 50
+    places = []
+    for hot in (10**6, 100, 1):  # all, some and no groups in one range
+        monkeypatch.setattr(scan, "HOT", hot)
+        places.append(sorted(map(str, scan.positions(df, ["g"], ["x"], "at").collect() + scan.value_counts(df, "x", ["g"]).collect())))
+    assert places[0] == places[1] == places[2]
