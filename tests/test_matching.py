@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom import queries
 from tallyloom.functions import numerics as N
 from tallyloom.functions import rules
 from tallyloom.operators import graph, match, overlap
@@ -162,3 +163,29 @@ def test_only_large_groups_are_split_into_parts(spark, monkeypatch):
     assert not calls  # every pair went through the rounds before
     monkeypatch.setattr(match, "TOGETHER", 20)
     assert cost() == together and set(together) == {1, 2} and calls[0] == sum(r[0] == 1 for r in rows)
+
+
+def test_closest_pairs_are_chosen_without_a_table_of_pairs(spark, monkeypatch):
+    """Equal to the greedy matching of the pair table, to the last digit, with ties, odd numbers and groups in several slices."""
+    rng = np.random.default_rng(5)
+    numbers = [None, 0.0, 1.0, 1.1, 1.13, -5.0, float("nan"), float("inf")]
+    some = lambda of: of[int(rng.integers(len(of)))]
+    side = lambda few, many: [(g, 3 * n, some(["zinc", "zincs", "tin", None]), some(["a", None]), some(numbers), some(numbers)) for g in range(30) for n in range(int(rng.integers(few, many)))]
+    schema = "g int, index int, name string, s string, v double, w double"
+    key = spark.createDataFrame([*side(0, 7), (None, 0, "zinc", "a", 1.0, 1.0), *((99, n, "zinc", "a", 1.0, 1.0) for n in range(12))], schema)
+    got = spark.createDataFrame([*side(0, 9), (None, 0, "zinc", "a", 1.0, 1.0), *((99, n, "zinc", "a", 1.0, 1.0) for n in range(15))], schema)
+    fields = ("g", "index", "name", ["v", "w"], ["s"])
+    monkeypatch.setattr(match, "PAIRS", 40)
+    plain = lambda t: sorted(map(str, t.select("g", "i", "j", "gate", "penalty", "cost", F.sort_array("wrong").alias("wrong")).collect()))
+    for ratio in (True, False):
+        want = plain(match.matched(match.pairs(key, got, *fields, ratio=ratio), "g", greedy=True))
+        assert plain(match.closest(key, got, *fields, ratio=ratio)) == want and len(want) > 60
+    assert match.closest(key, got.limit(0), *fields).count() == 0
+    plan = queries.queries()["greedy_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(l_orderkey") == 2 and "ArrowEvalPython" not in plan  # pairs were compared one by one, sent and sorted before
+    cost = rng.integers(0, 4, (9, 14)).astype(float)
+    at = np.flatnonzero(rng.random(126) < 0.7)
+    wide = np.full((9, 14), 100.0)
+    wide.flat[at] = cost.flat[at]
+    chosen = N.closest_pairs(*np.divmod(at, 14), cost.flat[at])
+    assert sorted(divmod(int(k), 14) for k in at[chosen]) == [(i, j) for i, j in N.closest_first(wide) if wide[i, j] < 100]
